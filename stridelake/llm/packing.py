@@ -16,7 +16,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -98,20 +98,25 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE,
 
     Null and empty texts give the one token END. Repeated rows give pieces each. Other columns are not carried."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, end = _tokenizer(tokenizer_path), np.asarray([END], dtype="<u4").tobytes()
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = tokenizer.ids(text or "") + end
+            rows, tokens = [], []
+            for at_row, text in enumerate(batch.column(1)):
+                ids = tokenizer.ids(text.as_py() or "") + end
                 for piece, at in enumerate(range(0, len(ids), 4 * sequence)):
                     part = ids[at : at + 4 * sequence]
-                    row = (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part))
-                    rows.append((*row, np.frombuffer(part, "<u4").astype(np.int32)) if with_ids else row)
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-            yield pd.DataFrame(rows, columns=names[: 5 + with_ids]).astype({"doc_id": "Int64"})
+                    rows.append((at_row, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+                    if with_ids:
+                        tokens.append(np.frombuffer(part, "<u4").astype(np.int32))
+            cells = np.array(rows, dtype=np.int64).reshape(-1, 5)
+            arrays = [batch.column(0).take(pa.array(cells[:, 0])), pa.array(cells[:, 1].astype(np.int32)), *(pa.array(cells[:, i]) for i in (2, 3, 4))]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            if with_ids:
+                arrays, names = [*arrays, pa.array(tokens, type=pa.list_(pa.int32()))], [*names, "ids"]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return docs.select("doc_id", "text").mapInPandas(cut, PIECE_SCHEMA + ", ids array<int>" * with_ids)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECE_SCHEMA + ", ids array<int>" * with_ids)
 
 
 class Capacities:
@@ -209,16 +214,18 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE, group_rows: int = 200_000)
     ranked = salted.withColumn("_rank", F.row_number().over(own) - 1).join(base, ["length", "_salt"])
     ranked = ranked.select(*pieces.columns, (F.col("_rank") + F.col("_base")).alias("_rank"))
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = shared.value
         keys = plan[:, 0] * (1 << 48) + plan[:, 1]
         for batch in batches:
-            length, rank = batch["length"].to_numpy(np.int64), batch.pop("_rank").to_numpy(np.int64)
+            length, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "_rank"))
             row = plan[np.searchsorted(keys, length * (1 << 48) + rank, side="right") - 1]
-            yield batch.assign(sequence_id=row[:, 3] + rank - row[:, 1], offset=row[:, 4])
+            kept = [c for c in batch.schema.names if c != "_rank"]
+            arrays = [*(batch.column(c) for c in kept), pa.array(row[:, 3] + rank - row[:, 1]), pa.array(row[:, 4])]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ranked.mapInPandas(place, schema + ", sequence_id long, offset long")
+    return ranked.mapInArrow(place, schema + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE) -> DataFrame:
