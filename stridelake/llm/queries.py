@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridelake.llm import decontam, packing, simhash
+from stridelake.llm import decontam, packing, pii, rules, simhash
 from stridelake.llm.common import table
 
 #: The tokenizer file of the packing query: given by name, never copied.
 WORD_BPE = "word_bpe_49k.json"
 
 
+#: Makes surrogates of one run consistent; a deployment takes its own secret.
+PII_KEY = "stridelake-demo-key"
+
+
 def tokenizer_path(name: str = WORD_BPE) -> str:
     import public_tokenizers
 
@@ -29,6 +33,14 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_quality_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.verdicts(table(spark, sf_dir, "documents"))
+
+
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
