@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridelake.llm import decontam, packing, pii, rules, simhash
+from stridelake.llm import decontam, packing, pii, quality, rules, simhash, toxicity
 from stridelake.llm.common import table
 
 #: The tokenizer file of the packing query: given by name, never copied.
@@ -24,6 +24,16 @@ def tokenizer_path(name: str = WORD_BPE) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op2_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_quality_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    drawn = quality.resampled(docs, quality.target_texts(docs, table(spark, sf_dir, "labels")))
+    return drawn.select("doc_id", "log_weight", "n_grams", "sample_key", "selected")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
