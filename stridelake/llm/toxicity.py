@@ -23,12 +23,14 @@ DIMENSIONS = 1 << 22
 TRAIN_ROWS = 24_000
 #: Gaps of the skip-grams: pairs of words with so many words between them; 0 is the bigram.
 GAPS = (0, 1)
+#: Leading letters of a word that stand for its inflected forms.
+STEM = 5
 WORD = re.compile(r"[^\W\d_]+")
 BLOCK = 1 << 16
 
 
 class Features:
-    """Hashed features of texts, each once: words, and pairs of words at each gap. Hashes of words come from a bounded cache."""
+    """Hashed features of texts, each once: words, stems of words, and pairs of words at each gap. Hashes of words come from a bounded cache."""
 
     def __init__(self, dimensions: int = DIMENSIONS, cached: int = 400_000):
         self.dimensions, self.cached, self.codes = dimensions, cached, {}
@@ -42,9 +44,9 @@ class Features:
             part = words[max(0, at - 1 - max(GAPS)) : at + BLOCK]  # overlapping: features count once, so repeats do no harm
             for word in set(part):
                 if word not in codes:
-                    codes[word] = xxhash.xxh32_intdigest(word)
-            h = np.fromiter(map(codes.__getitem__, part), dtype=np.uint64, count=len(part))
-            grams = [h, *(h[: -1 - g] * np.uint64(0x85EBCA77 + 2 * g) + h[1 + g :] * np.uint64(0xC2B2AE3D) for g in GAPS)]
+                    codes[word] = (xxhash.xxh32_intdigest(word), xxhash.xxh32_intdigest(word[:STEM] + "-"))
+            h, stems = np.array([codes[w] for w in part], dtype=np.uint64).T
+            grams = [h, stems, *(h[: -1 - g] * np.uint64(0x85EBCA77 + 2 * g) + h[1 + g :] * np.uint64(0xC2B2AE3D) for g in GAPS)]
             mixed = np.concatenate(grams) * np.uint64(0x9E3779B97F4A7C15)
             out.append(np.unique((mixed >> np.uint64(32)) % np.uint64(self.dimensions)))
         if not out:
@@ -52,7 +54,7 @@ class Features:
         return (out[0] if len(out) == 1 else np.unique(np.concatenate(out))).astype(np.int64)
 
 
-def ftrl(examples: list[tuple[np.ndarray, int]], epochs: int = 3, alpha: float = 0.1, beta: float = 1.0, l1: float = 0.5, l2: float = 0.1, dimensions: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray, float]:
+def ftrl(examples: list[tuple[np.ndarray, int]], epochs: int = 3, alpha: float = 0.3, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1, dimensions: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray, float]:
     """Indices and values of the weights that are not zero, and the intercept. Examples are (features, label) in a fixed order."""
     z, n = np.zeros(dimensions), np.zeros(dimensions)
     z0 = n0 = w0 = 0.0
