@@ -2,20 +2,20 @@
 
 Two fingerprints of 64 bits that differ in at most 2 bits agree, but for at most one bit, in one of their two halves. So
 each distinct fingerprint is indexed under its halves with one bit wiped out (64 variants), and an equality join on the
-variants finds every pair. A bucket of many fingerprints is not paired up: its members are indexed again with two bits wiped
-out of the whole fingerprint (2016 variants), where a bucket has at most four members, all of them within 2 bits of each
-other. Copies share a fingerprint and are joined in before any pairing.
+variants finds every pair. A bucket of many fingerprints is not paired up: its members are indexed again under
+the 65 points of the balls of one bit around them. Two fingerprints share a point just if they are within 2 bits of each
+other, and a point has at most 65 of them, so these links need no check and stay in proportion to the fingerprints. Copies
+share a fingerprint and are joined in before any pairing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stridelake.llm.common import stored
@@ -23,8 +23,8 @@ from stridelake.llm.common import stored
 SEED = 42
 SHINGLE = 3
 HALF = 32
-#: Buckets of one-bit variants up to this size are paired up; larger ones go through two-bit variants.
-PAIRED = 16
+#: Buckets of one-bit variants up to this size are paired up; the members of larger ones go through balls.
+PAIRED = 8
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, block: int = 1 << 16) -> int:
@@ -68,31 +68,26 @@ def one_bit_variants(fps: DataFrame) -> DataFrame:
     return fps.select("fp", F.explode(F.array(*keys)).alias("key"))
 
 
-def two_bit_variants(fps: DataFrame) -> DataFrame:
-    """fp, wiped, rest: the fingerprint without two of its bits, for each two."""
+def balls(fps: DataFrame) -> DataFrame:
+    """fp, point: the fingerprint and all points one bit from it. Fingerprints have a point in common just if they are within
+    2 bits of each other, and no point has more than 65 of them."""
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    masks = [signed(((1 << 64) - 1) & ~(1 << a) & ~(1 << b)) for a, b in combinations(range(64), 2)]
-    wiped = F.explode(F.array(*map(F.lit, masks))).alias("wiped")
-    return fps.select("fp", wiped).withColumn("rest", F.col("fp").bitwiseAND(F.col("wiped")))
-
-
-def links(fps: DataFrame, most: int = 2, paired: int = PAIRED) -> DataFrame:
-    """Pairs a < b of distinct fingerprints (column fp, stored) that together connect all that are within `most` (1 or 2)
-    bits: all such pairs of small buckets, and in large ones each member with the least of every two-bit bucket."""
-    if most not in (1, 2):
-        raise ValueError("the two halves bound at most 2 differing bits")
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most
-    variants = one_bit_variants(fps)
-    buckets = stored(variants.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"))
-    two = buckets.filter("n = 2").select("a", "b").filter(near)
-    some = variants.join(buckets.filter(f"n > 2 and n <= {paired}").select("key"), "key")
+    masks = F.array(F.lit(0).cast("long"), *(F.lit(signed(1 << bit)).cast("long") for bit in range(64)))
+    return fps.select("fp", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("point"))
+
+
+def links(fps: DataFrame, paired: int = PAIRED) -> DataFrame:
+    """Pairs a < b of distinct fingerprints (column fp, stored) that connect all that are within 2 bits: all such pairs of small
+    buckets, and for fingerprints in larger ones each with the least at every point of its ball."""
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
+    bucket = Window.partitionBy("key")
+    counted = one_bit_variants(fps).withColumns({"n": F.count("*").over(bucket), "a": F.min("fp").over(bucket), "b": F.max("fp").over(bucket)})
+    held = stored(counted.filter("n > 1"))
+    two = held.filter("n = 2 and fp = a").select("a", "b").filter(near)
+    some = held.filter(f"n > 2 and n <= {paired}").select("key", "fp")
     pairs = some.withColumnRenamed("fp", "a").join(some.withColumnRenamed("fp", "b"), "key").filter("a < b").filter(near).select("a", "b")
-    many = variants.join(buckets.filter(f"n > {paired}").select("key"), "key").select("fp").distinct()
-    crowd = two_bit_variants(many).groupBy("wiped", "rest").agg(F.array_sort(F.collect_list("fp")).alias("fps")).filter("size(fps) > 1")
-    crowd = crowd.select(F.col("fps")[0].alias("a"), F.explode(F.slice("fps", 2, 3)).alias("b")).filter(near if most == 2 else F.lit(True))
-    if most == 1:
-        crowd = crowd.filter(near)
-    return two.unionByName(pairs).unionByName(crowd).distinct()
+    crowd = balls(held.filter(f"n > {paired}").select("fp").distinct()).withColumn("a", F.min("fp").over(Window.partitionBy("point")))
+    return two.unionByName(pairs).unionByName(crowd.filter("a < fp").select("a", F.col("fp").alias("b"))).distinct()
 
 
 def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
@@ -115,14 +110,14 @@ def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, most: int = 2) -> DataFrame:
-    """doc_id, fp, component_id: the smallest doc_id reachable over fingerprints that differ in at most `most` bits.
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id: the smallest doc_id reachable over fingerprints that differ in at most 2 bits.
 
     Texts without words (null, empty, blank) have fingerprint 0 and are linked like any other. Repeated rows each give a row;
     a null doc_id takes part but is never a component's id unless the component has no other. An empty table gives none."""
     held = stored(fingerprints(docs))
     nodes = stored(held.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(nodes.select("fp"), most))
+    roots = components(links(nodes.select("fp")))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_fp = rooted.join(ids, "root").select("fp", "component_id")
