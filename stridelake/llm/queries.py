@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridelake.llm import chat, decontam, packing, pii, quality, rules, simhash, toxicity, urls
+from stridelake.llm import chat, decontam, licenses, packing, pii, quality, rules, simhash, toxicity, urls
 from stridelake.llm.common import table
 
 #: The tokenizer file of the packing query: given by name, never copied.
@@ -34,6 +34,10 @@ def op2_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     drawn = quality.resampled(docs, quality.target_texts(docs, table(spark, sf_dir, "labels")))
