@@ -104,7 +104,7 @@ WITH held AS (
     (SELECT *, lead(ts) OVER (PARTITION BY domain, category ORDER BY ts, action) AS valid_to FROM turned)
   WHERE action = 'add' AND (valid_to IS NULL OR valid_to > ts)
 ), asked AS (
-  SELECT page_id, fetch_ts, unnest(list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1), i -> array_to_string(string_split(host, '.')[i:], '.'))) AS domain
+  SELECT page_id, fetch_ts, unnest(list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.'))) AS domain
   FROM held WHERE host IS NOT NULL
 ), found AS (
   SELECT page_id, count(*) AS n_active, array_to_string(list_sort(list_distinct(list(category))), ',') AS categories
