@@ -30,6 +30,9 @@ SYLLABLES = {
     "cyrillic": ["ба", "дер", "фи", "гор", "хал", "жен", "кас", "лин", "мор", "нев", "рос", "сел", "там", "вик", "вен", "зор"],
 }
 
+#: Entities that had to go on, in documents, up to which their table is broadcast; a larger one is joined by a shuffle.
+BROADCAST_ENTRIES = 100_000
+
 _MAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)+"
 _SECRET = r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,64}+(?![0-9A-Za-z])"
 _IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])"
@@ -91,9 +94,9 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     """The canonical surrogate of an entity at its attempt (0 first)."""
     d = _digest(key, kind, canon, attempt.cast("string"))
     again = F.when(attempt > 0, F.substring(_letters(d), 60, 6)).otherwise("")  # more room once short forms have collided
-    local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
+    local = F.substring_index(canon, "@", 1)
     like = lambda c, i: F.when(c.rlike("[0-9]"), F.substr(_numbers(d), i % 128 + 1, F.lit(1))).when(c.rlike("[a-z]"), F.substr(_letters(d), i % 128 + 1, F.lit(1))).otherwise(c)
-    mail = F.concat(F.array_join(F.transform(F.split(local, ""), like), ""), again, F.lit("@"), F.substring(_letters(_digest(key, F.lit("domain"), domain)), 1, 8), F.lit(".example.net"))
+    mail = F.concat(F.array_join(F.transform(F.split(local, ""), like), ""), again, F.lit("@"), F.substring(_letters(d), 40, 8), F.lit(".example.net"))
     digits = F.concat(F.substring(canon, 1, 1), F.substr(_numbers(d), F.lit(1), F.length(canon) - 1))
     octets = F.concat_ws(".", (240 + _byte(d, 1) % 16).cast("string"), *(_byte(d, at).cast("string") for at in (3, 5, 7)))
     gender, words = F.substring(canon, 1, 1), F.split(F.substr(canon, F.lit(3)), "[ \\-]")
@@ -166,7 +169,9 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", doc_id: str = "d
         held = docs.withColumn(names[1], F.lit(None).cast("map<string,int>"))
     else:  # the few documents with an entity that had to go on
         pair = F.struct(F.concat_ws(":", "kind", "canon"), "attempt")
-        per_doc = found.join(further, ["kind", "canon"]).groupBy(F.col("doc_id").alias("_id")).agg(F.map_from_entries(F.collect_set(pair)).alias(names[1]))
+        per_doc = stored(found.join(further, ["kind", "canon"]).groupBy(F.col("doc_id").alias("_id")).agg(F.map_from_entries(F.collect_set(pair)).alias(names[1])))
+        if per_doc.agg(F.coalesce(F.sum(F.size(names[1])), F.lit(0)).alias("n")).first()["n"] <= BROADCAST_ENTRIES:
+            per_doc = F.broadcast(per_doc)
         held = docs.join(per_doc, docs[doc_id].eqNullSafe(per_doc["_id"]), "left").drop("_id")
     held = held.withColumn(names[0], mentions(F.col(text)))
 
