@@ -117,7 +117,7 @@ def markers(records: DataFrame, stops: DataFrame, profile: Profile = DEFAULT) ->
         b.alias("b"),
         F.coalesce(step_score(b, [(3, 0), (8, 20), (15, 45), (25, 70), (40, 85)], 100), F.lit(0.0)).alias("score_b"),
         drop.alias("c"),
-        F.least(F.lit(100.0), step_score(drop, [(2, 0), (5, 20), (8, 40), (12, 60), (18, 80)], 100) + bonus).alias("score_c"),
+        F.when(drop.isNotNull(), F.least(F.lit(100.0), step_score(drop, [(2, 0), (5, 20), (8, 40), (12, 60), (18, 80)], 100) + bonus)).alias("score_c"),
         d.alias("d"),
         step_score(d, [(1, 0), (3, 25), (5, 50), (8, 75)], 100).alias("score_d"),
         F.bround(F.when(c("span_m") > 10, c("climb") / c("span_m") * 100).otherwise(0.0), 2).alias("gradient_pct"),

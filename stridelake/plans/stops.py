@@ -1 +1,169 @@
-"""Queries."""
+"""Queries over record streams: stops, markers, confidence, hotspots, performance."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from stridelake.operators import geo as G
+from stridelake.operators import stops as S
+from stridelake.plans.registry import query
+from stridelake.sources.fixtures import sql, view
+
+I = "PARTITION BY activity_id ORDER BY idx"
+IMPLICIT = f"""imp AS (SELECT activity_id, idx - 1 AS start_idx, idx AS end_idx, t0 AS start_t, t AS end_t FROM
+  (SELECT *, lag(t) OVER ({I}) AS t0, lag(distance) OVER ({I}) AS d0 FROM records)
+  WHERE t - t0 > 300 AND t - t0 >= 600 AND NOT coalesce((distance - d0) / (t - t0) * 3.6::DOUBLE > 6, false))"""
+EXPLICIT = f"""slow AS (SELECT activity_id, idx, t, sum(CASE WHEN t - l > 900 THEN 1 ELSE 0 END) OVER ({I}) AS run FROM
+  (SELECT *, lag(t) OVER ({I}) AS l FROM records WHERE coalesce(speed, 0) * 3.6::DOUBLE < 2)),
+exp AS (SELECT activity_id, min(idx) AS start_idx, max(idx) AS end_idx, min(t) AS start_t, max(t) AS end_t FROM slow GROUP BY activity_id, run)"""
+STOPS = f"""{IMPLICIT}, {EXPLICIT}, both_ AS (SELECT * FROM imp UNION ALL SELECT * FROM exp),
+pre AS (SELECT activity_id, idx, distance, sum(CASE WHEN coalesce(speed, 0) * 3.6::DOUBLE > 3.5 THEN 1 ELSE 0 END) OVER ({I}) AS fast FROM records),
+seg AS (SELECT *, max(end_t) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pt, max(end_idx) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pi
+  FROM both_ WINDOW o AS (PARTITION BY activity_id ORDER BY start_t, end_t, start_idx, end_idx)),
+brk AS (SELECT s.*, CASE WHEN pt IS NULL THEN 0 WHEN start_t - pt <= 0 THEN 0 WHEN start_t - pt <= 900 AND (start_idx - pi - 1 <= 0 OR 2 * (coalesce(b.fast, 0) - a.fast) < start_idx - pi - 1) THEN 0 ELSE 1 END AS br
+  FROM seg s LEFT JOIN pre a ON a.activity_id = s.activity_id AND a.idx = s.pi LEFT JOIN pre b ON b.activity_id = s.activity_id AND b.idx = s.start_idx - 1),
+run AS (SELECT *, sum(br) OVER (PARTITION BY activity_id ORDER BY start_t, end_t, start_idx, end_idx ROWS UNBOUNDED PRECEDING) AS r FROM brk),
+mrg AS (SELECT activity_id, min(start_idx) AS start_idx, max(end_idx) AS end_idx, min(start_t) AS start_t, max(end_t) AS end_t FROM run GROUP BY activity_id, r),
+lng AS (SELECT m.*, row_number() OVER (PARTITION BY m.activity_id, start_t ORDER BY end_t DESC) AS n FROM mrg m JOIN pre a ON a.activity_id = m.activity_id AND a.idx = start_idx JOIN pre b ON b.activity_id = m.activity_id AND b.idx = end_idx
+  WHERE end_t - start_t >= 600 AND NOT coalesce((b.distance - a.distance) / (end_t - start_t) * 3.6::DOUBLE > 6, false)),
+stops AS (SELECT activity_id, row_number() OVER (PARTITION BY activity_id ORDER BY start_t) AS stop_id, start_idx, end_idx, start_t, end_t, end_t - start_t AS duration_s FROM lng WHERE n = 1)"""
+LADDER = lambda x, op, steps, last: "CASE WHEN " + x + " IS NULL THEN NULL " + " ".join(f"WHEN {x} {op} {a} THEN {b}" for a, b in steps) + f" ELSE {last} END"
+MARKERS = f"""win AS (SELECT r.*, stop_id, start_idx, end_idx, start_t, end_t, coalesce(speed, 0) * 3.6::DOUBLE AS v, CASE WHEN idx < start_idx THEN 'before' WHEN idx > end_idx THEN 'after' ELSE 'in' END AS side
+  FROM records r JOIN stops s USING (activity_id) WHERE t >= start_t - 900 AND t <= end_t + 900),
+win2 AS (SELECT *, lead(altitude) OVER (PARTITION BY activity_id, stop_id, side ORDER BY idx) - altitude AS step FROM win),
+m AS (SELECT activity_id, stop_id, avg(hr) FILTER (side = 'in' AND t >= end_t - 180) - avg(hr) FILTER (side = 'in' AND t <= start_t + 180) AS a,
+  (avg(hr / v) FILTER (side = 'after' AND v > 5 AND hr > 0) / avg(hr / v) FILTER (side = 'before' AND v > 5 AND hr > 0) - 1) * 100 AS b,
+  avg(cadence) FILTER (side = 'before' AND cadence > 0) - avg(cadence) FILTER (side = 'after' AND cadence > 0) AS c,
+  (count(*) FILTER (side = 'after' AND v > 5 AND (cadence IS NULL OR cadence < 2)))::DOUBLE / nullif(count(*) FILTER (side = 'after' AND v > 5), 0) * 100
+  - (count(*) FILTER (side = 'before' AND v > 5 AND (cadence IS NULL OR cadence < 2)))::DOUBLE / nullif(count(*) FILTER (side = 'before' AND v > 5), 0) * 100 AS rise,
+  avg(respiration) FILTER (side = 'after') - avg(respiration) FILTER (side = 'before') AS d,
+  coalesce(sum(step) FILTER (side = 'after' AND step > 0.5), 0) AS climb, max(distance) FILTER (side = 'after') - min(distance) FILTER (side = 'after') AS span FROM win2 GROUP BY ALL),
+sc AS (SELECT activity_id, stop_id, a, b, c, d, coalesce(CASE WHEN a <= 0 THEN 0 ELSE {LADDER("a", "<", [(5, 15), (10, 35), (15, 55), (20, 70), (30, 85)], 100)} END, 0)::DOUBLE AS score_a,
+  coalesce({LADDER("b", "<=", [(3, 0), (8, 20), (15, 45), (25, 70), (40, 85)], 100)}, 0)::DOUBLE AS score_b,
+  CASE WHEN c IS NOT NULL THEN least(100, {LADDER("c", "<=", [(2, 0), (5, 20), (8, 40), (12, 60), (18, 80)], 100)} + CASE WHEN rise > 10 THEN 15 WHEN rise > 5 THEN 8 ELSE 0 END) END::DOUBLE AS score_c,
+  {LADDER("d", "<=", [(1, 0), (3, 25), (5, 50), (8, 75)], 100)}::DOUBLE AS score_d,
+  round_even(CASE WHEN span > 10 THEN climb / span * 100 ELSE 0 END, 2) AS gradient_pct FROM m),
+cf AS (SELECT *, round_even(round(raw, 9), 1) AS raw_confidence, round_even(round(least(100, greatest(0, raw * CASE WHEN coalesce(gradient_pct > 1.5, false) THEN 0.2::DOUBLE ELSE 1 END)), 9), 1) AS confidence, coalesce(gradient_pct > 1.5, false) AS gradient_penalty FROM
+  (SELECT *, (35 * score_a + 30 * score_b + CASE WHEN score_c IS NULL THEN 0 ELSE 20 * score_c END + CASE WHEN score_d IS NULL THEN 0 ELSE 15 * score_d END) / (65 + CASE WHEN score_c IS NULL THEN 0 ELSE 20 END + CASE WHEN score_d IS NULL THEN 0 ELSE 15 END) AS raw FROM sc))"""
+ANCHOR = """anc AS (SELECT activity_id, stop_id, coalesce(arg_max({{'lat': lat, 'lon': lon}}, idx) FILTER (idx <= start_idx), arg_min({{'lat': lat, 'lon': lon}}, idx) FILTER (idx > start_idx)) AS p
+  FROM records JOIN stops USING (activity_id) WHERE lat IS NOT NULL AND lon IS NOT NULL AND idx >= start_idx - 49 AND idx <= end_idx GROUP BY ALL),
+pts AS (SELECT activity_id * 1000 + stop_id AS point_id, p.lat AS lat, p.lon AS lon, confidence, round_even(duration_s / 60.0::DOUBLE, 1) AS duration_min, DATE '2024-01-01' + CAST(activity_id % 30 AS INTEGER) AS date
+  FROM anc JOIN cf USING (activity_id, stop_id) JOIN stops USING (activity_id, stop_id))""".replace("{{", "{").replace("}}", "}")
+
+
+def records(spark, d):
+    return view(spark, d, "records")
+
+
+@query("d32_implicit_stops", sql(f"{IMPLICIT} SELECT activity_id, start_idx, end_idx, start_t, end_t FROM imp"))
+def d32(spark, d):
+    return S.implicit_stops(records(spark, d))
+
+
+@query("d33_explicit_stops", sql(f"{EXPLICIT} SELECT * FROM exp"))
+def d33(spark, d):
+    return S.explicit_stops(records(spark, d))
+
+
+@query("d34_detect_stops", sql(f"{STOPS} SELECT * FROM stops"))
+def d34(spark, d):
+    return S.detect_stops(records(spark, d))
+
+
+@query("d35_d39_markers", sql(f"{STOPS}, {MARKERS} SELECT activity_id, stop_id, round(a, 6) AS a, round(b, 6) AS b, round(c, 6) AS c, round(d, 6) AS d, score_a, score_b, score_c, score_d, gradient_pct FROM sc"))
+def d35(spark, d):
+    r = records(spark, d)
+    m = S.markers(r, S.detect_stops(r))
+    return m.select("activity_id", "stop_id", *(F.round(x, 6).alias(x) for x in "abcd"), "score_a", "score_b", "score_c", "score_d", "gradient_pct")
+
+
+@query("d40_confidence", sql(f"{STOPS}, {MARKERS} SELECT activity_id, stop_id, raw_confidence, gradient_penalty, confidence FROM cf"))
+def d40(spark, d):
+    r = records(spark, d)
+    return S.confidence(S.markers(r, S.detect_stops(r))).select("activity_id", "stop_id", "raw_confidence", "gradient_penalty", "confidence")
+
+
+@query("d41_stop_report", sql(f"{STOPS}, {MARKERS}, {ANCHOR}, tot AS (SELECT activity_id, arg_max(distance, idx) AS total FROM records GROUP BY 1) SELECT s.activity_id, s.stop_id, s.duration_s, confidence, round_even(r.distance / 1000, 2) AS km_before, round_even((total - r.distance) / 1000, 2) AS km_after, printf('https://maps.example.org/?q=%.6f,%.6f', p.lat, p.lon) AS map_url FROM stops s JOIN cf USING (activity_id, stop_id) LEFT JOIN anc a ON a.activity_id = s.activity_id AND a.stop_id = s.stop_id JOIN tot ON tot.activity_id = s.activity_id JOIN records r ON r.activity_id = s.activity_id AND r.idx = s.start_idx"))
+def d41(spark, d):
+    return S.stop_report(records(spark, d)).select("activity_id", "stop_id", "duration_s", "confidence", "km_before", "km_after", "map_url")
+
+
+def points(spark, d):
+    report = S.stop_report(records(spark, d))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("activity_id") % 30).cast("int"))
+    located = report.filter("lat IS NOT NULL")
+    return located.select((F.col("activity_id") * 1000 + F.col("stop_id")).alias("point_id"), "lat", "lon", "confidence", F.bround(F.col("duration_s") / 60, 1).alias("duration_min"), day.alias("date"))
+
+
+@query("w25_stop_anchor", sql(f"{STOPS}, {MARKERS}, {ANCHOR} SELECT point_id, lat, lon, duration_min FROM pts"))
+def w25(spark, d):
+    return points(spark, d).select("point_id", "lat", "lon", "duration_min")
+
+
+HAV = "2 * 6371000 * asin(least(1, sqrt(pow(sin(radians({b}lat - {a}lat) / 2), 2) + cos(radians({a}lat)) * cos(radians({b}lat)) * pow(sin(radians({b}lon - {a}lon) / 2), 2))))"
+AREAS = [(50.02, 14.03, 1500.0), (50.08, 14.05, 900.0)]
+_AREA = " OR ".join(HAV.format(a="", b="q.").replace("q.lat", str(a)).replace("q.lon", str(b)) + f" <= {m}" for a, b, m in AREAS)
+
+
+@query("j11_exclusion_areas", sql(f"{STOPS}, {MARKERS}, {ANCHOR} SELECT point_id, lat, lon FROM pts WHERE NOT ({_AREA})"))
+def j11(spark, d):
+    return points(spark, d).filter(~S.in_any_area(F.col("lat"), F.col("lon"), AREAS)).select("point_id", "lat", "lon")
+
+
+@query("j13_neighbour_pairs", sql(f"{STOPS}, {MARKERS}, {ANCHOR} SELECT a.point_id, b.point_id AS point_id_b, round({HAV.format(a='a.', b='b.')}, 3) AS distance_m FROM pts a JOIN pts b ON a.point_id < b.point_id AND abs(a.lat - b.lat) < 0.01 WHERE {HAV.format(a='a.', b='b.')} <= 300"))
+def j13(spark, d):
+    p = points(spark, d).select("point_id", "lat", "lon")
+    b = p.select(F.col("point_id").alias("point_id_b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
+    return G.within(p, b, 300).filter("point_id < point_id_b").select("point_id", "point_id_b", F.round("distance_m", 3).alias("distance_m"))
+
+
+def clustered(spark, d):
+    if spark.sparkContext.getCheckpointDir() is None:
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stridelake-"))
+    return G.clusters(points(spark, d).checkpoint())
+
+
+@query("d42_stop_clusters")
+def d42(spark, d):
+    return clustered(spark, d).select("point_id", "cluster_id")
+
+
+@query("d43_hotspots")
+def d43(spark, d):
+    return G.hotspots(clustered(spark, d))
+
+
+@query("s20_hotspot_markers")
+def s20(spark, d):
+    spots = G.hotspots(clustered(spark, d))
+    return spots.select("cluster_id", "centroid_lat", "centroid_lon", *(c.alias(n) for n, c in G.marker_style(F.col("max_confidence"), F.col("visit_count")).items()))
+
+
+@query("j10_stops_near_hotspots")
+def j10(spark, d):
+    spots = G.hotspots(clustered(spark, d)).select("cluster_id", F.col("centroid_lat").alias("lat_b"), F.col("centroid_lon").alias("lon_b"))
+    return G.within(points(spark, d), spots, 400).select("cluster_id", "point_id", F.round("distance_m", 3).alias("distance_m"))
+
+
+PERF = f"""sides AS (SELECT r.*, stop_id, CASE WHEN t < start_t THEN 'before' WHEN t > end_t THEN 'after' END AS side FROM records r JOIN stops s USING (activity_id) WHERE t < start_t OR t > end_t),
+steps AS (SELECT *, t - lag(t) OVER (PARTITION BY activity_id, stop_id, side ORDER BY idx) AS dt FROM sides),
+pm AS (SELECT activity_id, stop_id, side, count(*) AS n, sum(CASE WHEN dt IS NULL THEN 1 WHEN dt < 30 THEN dt ELSE 0 END)::DOUBLE AS moving_s, (max(distance) - min(distance)) / 1000 AS km,
+  avg(hr) FILTER (hr > 30 AND hr < 250) AS mean_hr, avg(speed) FILTER (speed > 0) * 3.6::DOUBLE AS mean_kmh, avg(power) FILTER (power > 0) / avg(hr) FILTER (hr > 30 AND hr < 250) AS ef FROM steps GROUP BY ALL)"""
+
+
+@query("d44_before_after", sql(f"{STOPS}, {PERF} SELECT b.activity_id, b.stop_id, " + ", ".join(f"round(b.{c}, 8) AS before_{c}, round(a.{c}, 8) AS after_{c}, round(a.{c} - b.{c}, 8) AS delta_{c}" for c in ("moving_s", "km", "mean_hr", "mean_kmh", "ef")) + " FROM pm b JOIN pm a ON a.activity_id = b.activity_id AND a.stop_id = b.stop_id AND b.side = 'before' AND a.side = 'after' WHERE a.n >= 5 AND b.n >= 5"))
+def d44(spark, d):
+    r = records(spark, d)
+    p = S.performance(r, S.detect_stops(r))
+    return p.select("activity_id", "stop_id", *(F.round(f"{s}_{c}", 8).alias(f"{s}_{c}") for c in ("moving_s", "km", "mean_hr", "mean_kmh", "ef") for s in ("before", "after", "delta")))
+
+
+@query("a20_delta_statistics", sql(f"{STOPS}, {PERF}, w AS (SELECT a.mean_hr - b.mean_hr AS mean_hr, a.mean_kmh - b.mean_kmh AS mean_kmh, a.ef - b.ef AS ef FROM pm b JOIN pm a ON a.activity_id = b.activity_id AND a.stop_id = b.stop_id AND b.side = 'before' AND a.side = 'after' WHERE a.n >= 5 AND b.n >= 5) SELECT metric, count(value) AS n, round(avg(value), 5) AS mean, round(min(value), 5) AS least, round(max(value), 5) AS most FROM (UNPIVOT w ON mean_hr, mean_kmh, ef INTO NAME metric VALUE value) GROUP BY metric"))
+def a20(spark, d):
+    r = records(spark, d)
+    p = S.performance(r, S.detect_stops(r))
+    names = ["mean_hr", "mean_kmh", "ef"]
+    long = p.select(*(F.col(f"delta_{c}").alias(c) for c in names)).unpivot([], names, "metric", "value")
+    return long.groupBy("metric").agg(F.count("value").alias("n"), *(F.round(f("value"), 5).alias(a) for f, a in ((F.avg, "mean"), (F.min, "least"), (F.max, "most"))))

@@ -42,7 +42,7 @@ RECORDS = f"""
 SELECT activity_id, CASE activity_id % 3 WHEN 0 THEN 'running' WHEN 1 THEN 'cycling' ELSE 'hiking' END AS sport, idx, CAST(t AS BIGINT) AS t,
   CASE WHEN (ok + ln * 7) % 41 = 0 THEN NULL ELSE CAST(95 + abs(CAST(t AS BIGINT) % 240 - 120) * 3 / 4 + ok % 5 AS DOUBLE) END AS hr,
   CASE WHEN (ok + ln) % 53 = 0 THEN NULL WHEN CAST(floor(t / 1000) AS BIGINT) % 5 = 3 THEN 0.0 ELSE CAST(20 + (ok * 3 + ln) % 30 AS DOUBLE) / 10 END AS speed,
-  CAST(t AS DOUBLE) * 5 / 2 + CAST(idx AS DOUBLE) AS distance,
+  CAST(idx * 15 + CAST(floor(t / 1000) AS BIGINT) AS DOUBLE) AS distance,
   CASE WHEN (ok + ln * 3) % 29 = 0 THEN NULL ELSE CAST(200 + abs(CAST(floor(t / 8) AS BIGINT) % 400 - 200) AS DOUBLE) / 4 END AS altitude,
   CASE WHEN (ok + ln) % 17 = 0 THEN NULL ELSE CAST(60 + (ok * 5 + ln) % 40 AS DOUBLE) END AS cadence,
   CAST(120 + (ok * 7 + ln * 3) % 180 AS DOUBLE) AS power,
