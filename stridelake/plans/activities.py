@@ -1 +1,262 @@
-"""Queries."""
+"""Queries over activity summaries and record streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from stridelake.functions import rolling as R
+from stridelake.operators import activity as A
+from stridelake.operators import rr as RR
+from stridelake.plans.registry import query
+from stridelake.sources.fixtures import sql, view
+
+I = "PARTITION BY activity_id ORDER BY idx"
+
+
+def acts(spark, d):
+    return view(spark, d, "activities")
+
+
+def recs(spark, d):
+    return view(spark, d, "records")
+
+
+@query("d09_vam", sql("SELECT activity_id, round(CASE WHEN regexp_matches(sport, 'hiking|walking|running|cycling|biking') AND ascent_m > 50 AND duration_minutes > 15 AND ascent_m / (coalesce(distance_km, 0) * 1000 + 1e-5) > 0.04 THEN ascent_m / (CASE WHEN uphill_minutes > 0 THEN uphill_minutes ELSE duration_minutes / 2 END / 60) END, 7) AS vam FROM activities"))
+def d09(spark, d):
+    c = F.col
+    return acts(spark, d).select("activity_id", F.round(A.vam(c("duration_minutes"), c("ascent_m"), c("distance_km"), c("uphill_minutes"), c("sport")), 7).alias("vam"))
+
+
+@query("d15_fueling", sql("SELECT activity_id, round(z1*6*0.8::DOUBLE + z2*8*0.6::DOUBLE + z3*10*0.4::DOUBLE + z4*12*0.1::DOUBLE, 6) AS fat_kcal, round(z1*6*0.2::DOUBLE + z2*8*0.4::DOUBLE + z3*10*0.6::DOUBLE + z4*12*0.9::DOUBLE + z5*14, 6) AS carb_kcal, round((z1*6*0.8::DOUBLE + z2*8*0.6::DOUBLE + z3*10*0.4::DOUBLE + z4*12*0.1::DOUBLE) / 9, 6) AS fat_g FROM activities"))
+def d15(spark, d):
+    f = A.fueling()
+    return acts(spark, d).select("activity_id", *(F.round(f[n], 6).alias(n) for n in ("fat_kcal", "carb_kcal", "fat_g")))
+
+
+@query("d16_fluid_loss", sql("SELECT activity_id, round(duration_minutes / 60 * (0.6::DOUBLE + greatest(0, coalesce(avg_temp, 20) - 20) * 0.1::DOUBLE), 7) AS fluid_l FROM activities"))
+def d16(spark, d):
+    return acts(spark, d).select("activity_id", F.round(A.fluid_loss_l(F.col("duration_minutes"), F.col("avg_temp")), 7).alias("fluid_l"))
+
+
+@query("d17_temperature_effect", sql("SELECT athlete_id, n_hot, n_cool, CASE WHEN ok THEN round(h, 6) END AS drift_hot, CASE WHEN ok THEN round(c, 6) END AS drift_cool, CASE WHEN ok THEN round(h - c, 6) END AS temp_effect FROM (SELECT *, n_hot >= 3 AND n_cool >= 3 AS ok FROM (SELECT athlete_id, count(*) FILTER (coalesce(avg_temp > 25, false)) AS n_hot, count(*) FILTER (NOT coalesce(avg_temp > 25, false)) AS n_cool, avg(drift) FILTER (coalesce(avg_temp > 25, false)) AS h, avg(drift) FILTER (NOT coalesce(avg_temp > 25, false)) AS c FROM activities WHERE drift IS NOT NULL GROUP BY 1))"))
+def d17(spark, d):
+    t = A.temperature_effect(acts(spark, d))
+    return t.select("athlete_id", "n_hot", "n_cool", *(F.round(c, 6).alias(c) for c in ("drift_hot", "drift_cool", "temp_effect")))
+
+
+@query("d19_d20_threshold_epoc", sql("SELECT activity_id, z4 + z5 AS tte_min, 2 * z4 + 5 * z5 AS epoc, round(least(96, 0.08::DOUBLE * pow(coalesce(total_trimp, 0), 1.2::DOUBLE)), 5) AS recovery_h FROM activities"))
+def d19(spark, d):
+    c = F.col
+    return acts(spark, d).select("activity_id", (c("z4") + c("z5")).alias("tte_min"), A.epoc_score(c("z4"), c("z5")).alias("epoc"), F.round(A.recovery_hours(c("total_trimp")), 5).alias("recovery_h"))
+
+
+@query("d25_p18_climb_score", sql("SELECT activity_id, s AS climb_score, CASE WHEN s IS NULL THEN '' WHEN s < 1 THEN 'Flat' WHEN s < 3 THEN 'Rolling' WHEN s < 6 THEN 'Hilly' ELSE 'Mountainous' END AS category FROM (SELECT activity_id, round_even(round(ascent_m / nullif(distance_km * 1000, 0) * 100, 9), 2) AS s FROM activities)"))
+def d25(spark, d):
+    s = A.climb_score(F.col("ascent_m"), F.col("distance_km"))
+    return acts(spark, d).select("activity_id", s.alias("climb_score")).withColumn("category", A.climb_category(F.col("climb_score")))
+
+
+@query("d24_critical_hr", sql("g AS (SELECT athlete_id, count(*) AS n, quantile_cont(avg_hr, 0.85) FILTER (duration_minutes >= 30) AS q FROM activities WHERE regexp_matches(sport, 'cycl|bik|run') AND avg_hr IS NOT NULL AND duration_minutes >= 20 GROUP BY 1), r AS (SELECT athlete_id, CASE WHEN n >= 5 THEN CAST(floor(least(coalesce(q, 169.15), 169.15)) AS BIGINT) END AS critical_hr FROM g) SELECT activity_id, critical_hr, CASE WHEN critical_hr IS NULL THEN 0 ELSE z4 * greatest(0, 177 - critical_hr) + z5 * greatest(0, 191 - critical_hr) END AS tati FROM activities LEFT JOIN r USING (athlete_id)"))
+def d24(spark, d):
+    return A.critical_hr(acts(spark, d)).select("activity_id", "critical_hr", F.round("tati", 6).alias("tati"))
+
+
+@query("a08_effort_quantile", sql("SELECT athlete_id, round(quantile_cont(avg_hr, 0.85), 6) AS q85 FROM activities WHERE duration_minutes >= 30 GROUP BY 1"))
+def a08(spark, d):
+    return acts(spark, d).filter("duration_minutes >= 30").groupBy("athlete_id").agg(F.round(F.percentile("avg_hr", F.lit(0.85)), 6).alias("q85"))
+
+
+@query("p07_eligible_activities", sql("SELECT activity_id, sport, duration_minutes FROM activities WHERE regexp_matches(sport, 'running|cycling') AND duration_minutes >= 20"))
+def p07(spark, d):
+    return acts(spark, d).filter("sport RLIKE 'running|cycling' AND duration_minutes >= 20").select("activity_id", "sport", "duration_minutes")
+
+
+@query("t01_newest_cardio", sql("SELECT activity_id, date FROM activities WHERE regexp_matches(sport, 'cycl|bik|run|walk|hik|ski') ORDER BY date DESC, activity_id LIMIT 10000"))
+def t01(spark, d):
+    """A top-k report: the newest 10,000 activities."""
+    from stridelake.functions.scalars import is_cardio
+
+    return acts(spark, d).filter(is_cardio(F.col("sport"))).orderBy(F.desc("date"), "activity_id").limit(10000).select("activity_id", "date")
+
+
+@query("t03_arg_max_rows", sql("SELECT athlete_id, max(max_hrr) AS best_drop, min(activity_id) FILTER (max_hrr = m) AS activity_id FROM (SELECT *, max(max_hrr) OVER (PARTITION BY athlete_id) AS m FROM activities) GROUP BY 1"))
+def t03(spark, d):
+    best = F.max(F.when(F.col("max_hrr").isNotNull(), F.struct("max_hrr", (-F.col("activity_id")).alias("a"))))
+    return acts(spark, d).groupBy("athlete_id").agg(best.alias("b")).select("athlete_id", F.col("b.max_hrr").alias("best_drop"), (-F.col("b.a")).alias("activity_id"))
+
+
+@query("a22_run_summary", sql("SELECT sport, count(*) AS n, round(sum(total_trimp), 3) AS trimp, round(avg(total_trimp), 6) AS mean_trimp, count(DISTINCT athlete_id) AS athletes FROM activities GROUP BY 1"))
+def a22(spark, d):
+    return acts(spark, d).groupBy("sport").agg(F.count("*").alias("n"), F.round(F.sum("total_trimp"), 3).alias("trimp"), F.round(F.avg("total_trimp"), 6).alias("mean_trimp"), F.countDistinct("athlete_id").alias("athletes"))
+
+
+# --- records --------------------------------------------------------------------------------------------------------------
+
+Z = """CASE WHEN {h} IS NULL THEN '' WHEN {h} BETWEEN 100 AND 136 THEN 'Z1' WHEN {h} BETWEEN 137 AND 155 THEN 'Z2' WHEN {h} BETWEEN 156 AND 171 THEN 'Z3' WHEN {h} BETWEEN 172 AND 183 THEN 'Z4' WHEN {h} BETWEEN 184 AND 199 THEN 'Z5' WHEN {h} > 199 THEN 'Z5+' ELSE 'Z1' END"""
+FILL = f"""known AS (SELECT *, max(CASE WHEN hr IS NOT NULL THEN idx END) OVER ({I} ROWS UNBOUNDED PRECEDING) AS p0, min(CASE WHEN hr IS NOT NULL THEN idx END) OVER ({I} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS p1 FROM records),
+filled AS (SELECT k.*, CASE WHEN k.hr IS NOT NULL THEN k.hr WHEN k.idx - p0 <= 15 THEN coalesce(a.hr + (b.hr - a.hr) * (k.idx - p0) / (p1 - p0), a.hr) END AS hf FROM known k
+  LEFT JOIN records a ON a.activity_id = k.activity_id AND a.idx = k.p0 LEFT JOIN records b ON b.activity_id = k.activity_id AND b.idx = k.p1),
+zoned AS (SELECT *, {Z.format(h="h")} AS zone, CASE WHEN prev IS NULL THEN 1 ELSE greatest(0, least(120, t - prev)) END::DOUBLE AS dt FROM (SELECT *, CAST(round_even(hf, 0) AS INTEGER) AS h, lag(t) OVER ({I}) AS prev FROM filled)),
+active AS (SELECT *, coalesce(speed > CASE WHEN sport LIKE '%cycling%' THEN 0.833::DOUBLE ELSE 0.3::DOUBLE END, false) OR zone NOT IN ('Z1', '') AS is_active FROM zoned),
+rec2 AS (SELECT *, CASE WHEN is_active AND h > 41 THEN dt / 60 * r * 0.64::DOUBLE * exp(1.92::DOUBLE * r) ELSE 0 END AS trimp FROM (SELECT *, greatest(0, least(1, (h - 41) / 158.0::DOUBLE)) AS r FROM active))"""
+
+
+@query("w19_interpolation", sql(f"{FILL} SELECT activity_id, idx, round(hf, 6) AS hr FROM filled"))
+def w19(spark, d):
+    return recs(spark, d).select("activity_id", "idx", F.round(R.interpolated("hr", "idx", ["activity_id"], ["idx"], 15), 6).alias("hr"))
+
+
+@query("p01_p04_zones_and_activity", sql(f"{FILL} SELECT activity_id, idx, zone, dt, is_active, round(trimp, 6) AS trimp FROM rec2"))
+def p01(spark, d):
+    return A.with_zones(recs(spark, d)).select("activity_id", "idx", "zone", "dt", "is_active", F.round("trimp", 6).alias("trimp"))
+
+
+@query("d27_activity_roll_up", sql(f"{FILL}, sm AS (SELECT *, quantile_cont(speed, 0.5) OVER ({I} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS smooth, altitude - lag(altitude) OVER ({I}) AS up FROM rec2) SELECT activity_id, count(*) AS records_count, round(sum(trimp), 5) AS total_trimp, CAST(round_even(round(avg(h) FILTER (h > 0), 9), 0) AS BIGINT) AS avg_hr, CAST(max(least(h, 199)) FILTER (h IS NOT NULL) AS BIGINT) AS max_hr, " + ", ".join(f"round(coalesce(sum(dt) FILTER (is_active AND zone IN ('Z{i}', 'Z{i}+')), 0) / 60, 6) AS z{i}" for i in range(1, 6)) + ", round(coalesce(sum(dt) FILTER (is_active), 0) / 60, 6) AS active_minutes, round(quantile_cont(smooth, 0.99) FILTER (smooth > 0) * 3.6::DOUBLE, 6) AS max_speed_kmh, round((max(distance) - min(distance)) / 1000, 6) AS distance_km, round(coalesce(sum(up) FILTER (up > 0), 0), 6) AS ascent_m, round(coalesce(sum(dt) FILTER (up > 0), 0) / 60, 6) AS uphill_minutes FROM sm GROUP BY 1"))
+def d27(spark, d):
+    r = A.roll_up(recs(spark, d))
+    whole = ("activity_id", "records_count", "avg_hr", "max_hr")
+    return r.select(*whole, F.round("total_trimp", 5).alias("total_trimp"), *(F.round(c, 6).alias(c) for c in r.columns if c not in (*whole, "total_trimp")))
+
+
+@query("w16_time_steps", sql(f"SELECT activity_id, idx, CASE WHEN p IS NULL THEN 1 ELSE greatest(0, least(120, t - p)) END::DOUBLE AS dt FROM (SELECT *, lag(t) OVER ({I}) AS p FROM records)"))
+def w16(spark, d):
+    return recs(spark, d).select("activity_id", "idx", R.time_step("t", ["activity_id"], ["idx"]).alias("dt"))
+
+
+@query("w17_gap_islands", sql(f"SELECT activity_id, island, count(*) AS n, min(t) AS t0, max(t) AS t1 FROM (SELECT *, sum(CASE WHEN t - p > 600 THEN 1 ELSE 0 END) OVER ({I}) AS island FROM (SELECT *, lag(t) OVER ({I}) AS p FROM records)) GROUP BY 1, 2"))
+def w17(spark, d):
+    w = Window.partitionBy("activity_id").orderBy("idx")
+    r = recs(spark, d).withColumn("gap", F.col("t") - F.lag("t").over(w))
+    r = r.withColumn("island", R.islands(F.col("gap"), 600, ["activity_id"], ["idx"]))
+    return r.groupBy("activity_id", "island").agg(F.count("*").alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1"))
+
+
+@query("w15_running_median", sql(f"SELECT activity_id, idx, round(quantile_cont(speed, 0.5) OVER ({I} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS median3 FROM records"))
+def w15(spark, d):
+    return recs(spark, d).select("activity_id", "idx", F.round(F.percentile("speed", F.lit(0.5)).over(R.rows(["activity_id"], ["idx"], 3)), 6).alias("median3"))
+
+
+@query("w18_merge_intervals", sql("iv AS (SELECT activity_id % 50 AS g, idx * 37 % 5000 AS a, idx * 37 % 5000 + 5 + (activity_id + idx) % 11 AS b FROM records), o AS (SELECT *, max(b) OVER (PARTITION BY g ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM iv), r AS (SELECT *, sum(CASE WHEN a - p > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY g ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS run FROM o) SELECT g, min(a) AS a, max(b) AS b FROM r GROUP BY g, run"))
+def w18(spark, d):
+    iv = recs(spark, d).selectExpr("activity_id % 50 AS g", "idx * 37 % 5000 AS a", "idx * 37 % 5000 + 5 + (activity_id + idx) % 11 AS b")
+    return R.merged_intervals(iv, ["g"], "a", "b", 2)
+
+
+@query("w22_gradient", sql(f"SELECT activity_id, idx, round((altitude - lag(altitude) OVER ({I})) / nullif(distance - lag(distance) OVER ({I}), 0) * 100, 6) AS gradient FROM records"))
+def w22(spark, d):
+    w = Window.partitionBy("activity_id").orderBy("idx")
+    diff = lambda c: F.col(c) - F.lag(c).over(w)
+    return recs(spark, d).select("activity_id", "idx", F.round(diff("altitude") / F.nullif(diff("distance"), F.lit(0.0)) * 100, 6).alias("gradient"))
+
+
+@query("w31_first_last_valid", sql("SELECT activity_id, arg_min(altitude, idx) FILTER (altitude IS NOT NULL) AS first_altitude, arg_max(distance, idx) FILTER (distance IS NOT NULL) AS total_distance FROM records GROUP BY 1"))
+def w31(spark, d):
+    known = lambda c: F.when(F.col(c).isNotNull(), F.col("idx"))
+    return recs(spark, d).groupBy("activity_id").agg(F.min_by("altitude", known("altitude")).alias("first_altitude"), F.max_by("distance", known("distance")).alias("total_distance"))
+
+
+@query("a23_time_halves", sql("SELECT activity_id, round(avg(hr) FILTER (t <= mid), 6) AS hr1, round(avg(hr) FILTER (t > mid), 6) AS hr2 FROM (SELECT *, (min(t) OVER (PARTITION BY activity_id) + max(t) OVER (PARTITION BY activity_id)) / 2 AS mid FROM records) GROUP BY 1"))
+def a23(spark, d):
+    w = Window.partitionBy("activity_id")
+    r = recs(spark, d).withColumn("mid", (F.min("t").over(w) + F.max("t").over(w)) / 2)
+    half = lambda cond: F.round(F.avg(F.when(cond, F.col("hr"))), 6)
+    return r.groupBy("activity_id").agg(half(F.col("t") <= F.col("mid")).alias("hr1"), half(F.col("t") > F.col("mid")).alias("hr2"))
+
+
+@query("a24_hr_bins", sql("SELECT activity_id, CAST(floor(hr / 5) * 5 AS BIGINT) AS bin, count(*) AS n, round(avg(hrv), 6) AS mean_hrv FROM records WHERE hr > 0 GROUP BY 1, 2 HAVING count(*) >= 3"))
+def a24(spark, d):
+    b = (F.floor(F.col("hr") / 5) * 5).cast("long").alias("bin")
+    return recs(spark, d).filter("hr > 0").groupBy("activity_id", b).agg(F.count("*").alias("n"), F.round(F.avg("hrv"), 6).alias("mean_hrv")).filter("n >= 3")
+
+
+EFFORT = """eff AS (SELECT *, sport LIKE '%cycling%' AS cycling, CASE WHEN sport LIKE '%cycling%' THEN power ELSE speed END AS e FROM records),
+mov AS (SELECT * FROM eff WHERE (coalesce(speed > CASE WHEN cycling THEN 0.833::DOUBLE ELSE 0.3::DOUBLE END, false) OR coalesce(hr, 0) > 136) AND hr > 0 AND e > 0)"""
+HALF = """{out} AS (SELECT activity_id, any_value(cycling) AS cycling, count(*) AS n, max(hi) - max(lo) AS span, avg(e) FILTER (t <= (lo + hi) / 2) AS m1, avg(e) FILTER (t > (lo + hi) / 2) AS m2,
+  avg(e) FILTER (t <= (lo + hi) / 2) / avg(hr) FILTER (t <= (lo + hi) / 2) AS ef1, avg(e) FILTER (t > (lo + hi) / 2) / avg(hr) FILTER (t > (lo + hi) / 2) AS ef2
+  FROM (SELECT *, min(t) OVER (PARTITION BY activity_id) AS lo, max(t) OVER (PARTITION BY activity_id) AS hi FROM {src}) GROUP BY 1)"""
+
+
+@query("d01_cardiac_drift", sql(f"""{EFFORT}, w1 AS (SELECT *, min(t) OVER (PARTITION BY activity_id) AS f0, count(*) OVER (PARTITION BY activity_id) AS n0 FROM mov),
+w2 AS (SELECT *, count(*) OVER (PARTITION BY activity_id) AS n1, max(altitude) OVER (PARTITION BY activity_id) - min(altitude) OVER (PARTITION BY activity_id) AS rng, count(altitude) OVER (PARTITION BY activity_id) AS na FROM w1 WHERE n0 >= 20 AND t >= f0 + 600),
+w3 AS (SELECT * FROM w2 WHERE n1 >= 20 AND (cycling OR (NOT coalesce(na >= 10 AND rng > 30, false) AND {Z.format(h='CAST(hr AS INTEGER)')} IN ('Z1', 'Z2', '')))), {HALF.format(out='h', src='w3')}
+SELECT activity_id, CASE WHEN m1 >= CASE WHEN cycling THEN 30 ELSE 2 / 3.6::DOUBLE END AND m2 >= CASE WHEN cycling THEN 30 ELSE 2 / 3.6::DOUBLE END THEN round_even(round((ef1 - ef2) / ef1 * 100, 9), 2) END AS cardiac_drift FROM h WHERE n >= 20"""))
+def d01(spark, d):
+    return A.cardiac_drift(recs(spark, d))
+
+
+@query("d18_durability", sql(f"""{EFFORT}, {HALF.format(out='h', src='mov')} SELECT activity_id, CASE WHEN m1 >= CASE WHEN cycling THEN 30 ELSE 0.56::DOUBLE END AND m2 >= CASE WHEN cycling THEN 30 ELSE 0.56::DOUBLE END THEN round_even(round((ef2 / ef1 - 1) * 100, 9), 2) END AS durability FROM h WHERE n >= 20 AND span >= 7200"""))
+def d18(spark, d):
+    return A.durability(recs(spark, d))
+
+
+DENSE = """kn AS (SELECT activity_id, t, avg(hr) AS hr FROM records WHERE hr IS NOT NULL GROUP BY 1, 2),
+pr AS (SELECT *, lead(t) OVER (PARTITION BY activity_id ORDER BY t) AS t2, lead(hr) OVER (PARTITION BY activity_id ORDER BY t) AS hr2 FROM kn),
+ds AS (SELECT activity_id, s AS t, hr + coalesce((hr2 - hr) * (s - t) / (t2 - t), 0) AS hr FROM (SELECT *, unnest(range(t, least(coalesce(t2 - 1, t), t + 30) + 1)) AS s FROM pr))"""
+
+
+@query("w20_resample", sql(f"{DENSE} SELECT activity_id, t, round(hr, 6) AS hr FROM ds"))
+def w20(spark, d):
+    return A.resampled_hr(recs(spark, d)).select("activity_id", "t", F.round("hr", 6).alias("hr"))
+
+
+@query("d02_w21_max_hr_drop", sql(f"""{DENSE}, f AS (SELECT *, lead(hr, 60) OVER w AS e, hr - lead(hr, 3) OVER w AS f3 FROM ds WINDOW w AS (PARTITION BY activity_id ORDER BY t)),
+g AS (SELECT *, max(f3) OVER (PARTITION BY activity_id ORDER BY t ROWS BETWEEN CURRENT ROW AND 57 FOLLOWING) AS worst FROM f),
+b AS (SELECT activity_id, count(*) AS n, max(hr - e) FILTER (hr >= 110 AND hr - e > 0 AND hr - e <= 90 AND worst <= 30) AS d FROM g GROUP BY 1)
+SELECT c.activity_id, CASE WHEN known >= 60 AND n >= 61 THEN round_even(round(d, 9), 1) END AS max_hr_drop FROM (SELECT activity_id, count(hr) AS known FROM records GROUP BY 1) c LEFT JOIN b USING (activity_id)"""))
+def d02(spark, d):
+    return A.max_hr_drop(recs(spark, d))
+
+
+@query("d21_threshold_proxy", sql("""k AS (SELECT *, CAST(floor(hr / 5) * 5 AS BIGINT) AS bin FROM records WHERE hr > 0 AND hrv > 0), b AS (SELECT activity_id, bin, avg(hrv) AS m FROM k GROUP BY 1, 2 HAVING count(*) >= 3),
+l AS (SELECT activity_id, count(*) AS bins, min(bin) FILTER (m < best / 2) AS low FROM (SELECT *, max(m) OVER (PARTITION BY activity_id) AS best FROM b) GROUP BY 1)
+SELECT activity_id, CASE WHEN n > 100 AND bins >= 4 AND low >= 130 AND low <= 159.2 THEN low END AS threshold_hr FROM (SELECT activity_id, count(*) AS n FROM k GROUP BY 1) LEFT JOIN l USING (activity_id)"""))
+def d21(spark, d):
+    return A.threshold_proxy(recs(spark, d))
+
+
+@query("w23_w24_speed_segments", sql("""o AS (SELECT *, row_number() OVER (PARTITION BY activity_id ORDER BY speed, idx) - 1 AS rn, count(*) OVER (PARTITION BY activity_id) AS n FROM records WHERE speed > 0.5 AND hr > 0),
+k AS (SELECT *, least(10, n // 20) AS k FROM o WHERE n >= 100), s AS (SELECT *, rn // (n // k) AS segment FROM k WHERE k >= 4),
+g AS (SELECT activity_id, segment, avg(speed) AS speed, avg(hr) AS hr FROM s WHERE segment < k GROUP BY 1, 2)
+SELECT activity_id, segment, round(speed, 6) AS speed, round(hr, 6) AS hr, round(CASE WHEN abs(lead(speed) OVER w - speed) > 0.05 THEN (lead(hr) OVER w - hr) / (lead(speed) OVER w - speed) END, 6) AS slope FROM g WINDOW w AS (PARTITION BY activity_id ORDER BY segment)"""))
+def w23(spark, d):
+    return A.speed_segments(recs(spark, d)).select("activity_id", "segment", *(F.round(c, 6).alias(c) for c in ("speed", "hr", "slope")))
+
+
+# --- beat intervals -------------------------------------------------------------------------------------------------------
+
+RRV = "rr AS (SELECT activity_id, idx AS beat, CASE WHEN hr > 0 THEN 60000 / hr + (idx * 37) % 41 - 20 + CASE WHEN idx % 23 = 0 THEN 400 ELSE 0 END END AS rr_ms FROM records WHERE hr > 0)"
+
+
+def beats(spark, d):
+    return recs(spark, d).filter("hr > 0").selectExpr("activity_id", "idx AS beat", "60000 / hr + (idx * 37) % 41 - 20 + CASE WHEN idx % 23 = 0 THEN 400 ELSE 0 END AS rr_ms")
+
+
+@query("a25_rmssd", sql(f"{RRV} SELECT activity_id, round(sqrt(avg(pow(d, 2))), 5) AS rmssd FROM (SELECT activity_id, rr_ms - lag(rr_ms) OVER (PARTITION BY activity_id ORDER BY beat) AS d FROM rr) GROUP BY 1"))
+def a25(spark, d):
+    return RR.rmssd(beats(spark, d)).select("activity_id", F.round("rmssd", 5).alias("rmssd"))
+
+
+@query("w30_ectopic_filter", sql(f"{RRV} SELECT activity_id, beat, round(rr_ms, 6) AS rr_ms FROM (SELECT *, lag(rr_ms) OVER (PARTITION BY activity_id ORDER BY beat) AS p FROM rr WHERE rr_ms BETWEEN 273 AND 2000) WHERE p IS NULL OR abs(rr_ms - p) / p <= 0.20"))
+def w30(spark, d):
+    return RR.without_ectopic(beats(spark, d)).select("activity_id", "beat", F.round("rr_ms", 6).alias("rr_ms"))
+
+
+@query("f_arr2_beat_times", sql(f"{RRV} SELECT activity_id, beat, round(sum(rr_ms) OVER (PARTITION BY activity_id ORDER BY beat), 4) AS t_ms FROM rr"))
+def f_arr2(spark, d):
+    return RR.beat_times(beats(spark, d)).select("activity_id", "beat", F.round("t_ms", 4).alias("t_ms"))
+
+
+@query("w27_beat_windows", sql(f"{RRV}, n AS (SELECT *, row_number() OVER (PARTITION BY activity_id ORDER BY beat) - 1 AS i, count(*) OVER (PARTITION BY activity_id) AS n FROM rr) SELECT activity_id, win, round(avg(rr_ms), 6) AS mean_rr, round(stddev_pop(rr_ms) / avg(rr_ms), 6) AS cv FROM (SELECT *, unnest(range(greatest(0, (i - 199 + 29) // 30), i // 30 + 1)) AS win FROM n) WHERE win * 30 <= n - 200 GROUP BY 1, 2"))
+def w27(spark, d):
+    return RR.beat_windows(beats(spark, d)).select("activity_id", "win", F.round("mean_rr", 6).alias("mean_rr"), F.round("cv", 6).alias("cv"))
+
+
+@query("d22_dfa_thresholds")
+def d22(spark, d):
+    return RR.dfa_thresholds(beats(spark, d))
+
+
+@query("d23_respiration_rate")
+def d23(spark, d):
+    return RR.respiration_rate(beats(spark, d))
