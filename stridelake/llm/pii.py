@@ -62,11 +62,11 @@ def _title(m: Column) -> Column:
     return F.regexp_extract(m, rf"^{_ANY_TITLE}\.? ", 0)
 
 
-def canonical(m: Column) -> Column:
+def canonical(m: Column, kind: Column) -> Column:
     """What makes two mentions one entity: digits without format, addresses and names without case, names with their gender."""
     gender = F.when(_title(m).rlike("^(?:" + "|".join(TITLES["f"]) + r")\b"), "f").otherwise("m")
     name = F.concat(gender, F.lit(":"), F.lower(F.substr(m, F.length(_title(m)) + 1)))
-    return F.when(kind_of(m).isin("card", "phone", "identity"), F.regexp_replace(m, "[^0-9]", "")).when(kind_of(m) == "name", name).otherwise(F.lower(m))
+    return F.when(kind.isin("card", "phone", "identity"), F.regexp_replace(m, "[^0-9]", "")).when(kind == "name", name).otherwise(F.lower(m))
 
 
 def _digest(key: str, *parts: Column) -> Column:
@@ -90,9 +90,13 @@ def _pick(values: list[str], digest: Column, at: int) -> Column:
     return F.get(F.array(*map(F.lit, values)), F.conv(F.substring(digest, at, 1), 16, 10).cast("int") % len(values))
 
 
-def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
-    """The canonical surrogate of an entity at its attempt (0 first)."""
-    d = _digest(key, kind, canon, attempt.cast("string"))
+def entity_digest(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
+    return _digest(key, kind, canon, attempt.cast("string"))
+
+
+def surrogate(key: str, kind: Column, canon: Column, attempt: Column, d: Column) -> Column:
+    """The canonical surrogate of an entity at its attempt (0 first), from its digest. All arguments but the key are used often:
+    give columns or fields, not expressions."""
     again = F.when(attempt > 0, F.substring(_letters(d), 60, 6)).otherwise("")  # more room once short forms have collided
     local = F.substring_index(canon, "@", 1)
     like = lambda c, i: F.when(c.rlike("[0-9]"), F.substr(_numbers(d), i % 128 + 1, F.lit(1))).when(c.rlike("[a-z]"), F.substr(_letters(d), i % 128 + 1, F.lit(1))).otherwise(c)
@@ -141,7 +145,8 @@ def attempts(entities: DataFrame, key: str, rounds: int = 20) -> DataFrame | Non
     settled = entities.withColumn("attempt", F.lit(0))
     moved = False
     for _ in range(rounds):
-        made = settled.withColumn("made", surrogate(key, F.col("kind"), F.col("canon"), F.col("attempt")))
+        digested = settled.withColumn("d", entity_digest(key, F.col("kind"), F.col("canon"), F.col("attempt")))
+        made = digested.select("kind", "canon", "attempt", surrogate(key, *map(F.col, ("kind", "canon", "attempt", "d"))).alias("made"))
         lowered = F.when(F.col("kind") == "name", F.lower("made")).otherwise(F.col("made"))
         made = made.withColumn("made", lowered)
         shared = made.groupBy("kind", "made").agg(F.count("*").alias("n"), F.min("canon").alias("first")).filter("n > 1").select("kind", "made", "first")
@@ -162,7 +167,8 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", doc_id: str = "d
 
     Null stays null and empty stays empty; texts without entities are returned as they are. Repeated rows get equal texts."""
     found = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.array_distinct(mentions(F.col(text)))).alias("m"))
-    found = stored(found.select("doc_id", kind_of(F.col("m")).alias("kind"), canonical(F.col("m")).alias("canon")))
+    found = found.withColumn("kind", kind_of(F.col("m")))
+    found = stored(found.select("doc_id", "kind", canonical(F.col("m"), F.col("kind")).alias("canon")))
     further = attempts(stored(found.select("kind", "canon").distinct()), key)
     names, held = ["_mentions", "_attempts"], docs
     if further is None:
@@ -175,13 +181,16 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", doc_id: str = "d
         held = docs.join(per_doc, docs[doc_id].eqNullSafe(per_doc["_id"]), "left").drop("_id")
     held = held.withColumn(names[0], mentions(F.col(text)))
 
-    def replaced(m: Column) -> Column:
-        kind, canon = kind_of(m), canonical(m)
-        attempt = F.coalesce(F.element_at(F.col(names[1]), F.concat_ws(":", kind, canon)), F.lit(0))
-        return rendered(m, kind, surrogate(key, kind, canon, attempt))
-
+    # Each step binds what the next uses often.
+    x = F.transform(F.col(names[0]), lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
+    x = F.transform(x, lambda e: F.struct(e["m"].alias("m"), e["kind"].alias("kind"), canonical(e["m"], e["kind"]).alias("canon")))
+    tried = lambda e: F.coalesce(F.element_at(F.col(names[1]), F.concat_ws(":", e["kind"], e["canon"])), F.lit(0))
+    x = F.transform(x, lambda e: F.struct(e["m"].alias("m"), e["kind"].alias("kind"), e["canon"].alias("canon"), tried(e).alias("attempt")))
+    x = F.transform(x, lambda e: F.struct(*(e[c].alias(c) for c in ("m", "kind", "canon", "attempt")), entity_digest(key, e["kind"], e["canon"], e["attempt"]).alias("d")))
+    x = F.transform(x, lambda e: F.struct(e["m"].alias("m"), e["kind"].alias("kind"), surrogate(key, e["kind"], e["canon"], e["attempt"], e["d"]).alias("made")))
+    replaced = F.transform(x, lambda e: rendered(e["m"], e["kind"], e["made"]))
     between = F.split(F.col(text), ENTITY, -1)
-    new = F.zip_with(between, F.transform(F.col(names[0]), replaced), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    new = F.zip_with(between, replaced, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     rewritten = F.when(F.size(names[0]) == 0, F.col(text)).otherwise(F.array_join(new, ""))
     count = "pii_mentions"
     while count in {c.lower() for c in docs.columns}:

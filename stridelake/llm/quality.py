@@ -35,11 +35,11 @@ class Hasher:
     def __init__(self, buckets: int = BUCKETS, cached: int = 400_000):
         self.buckets, self.cached, self.codes = buckets, cached, {}
 
-    def _code(self, token: str) -> tuple[int, int]:
-        """Hashes of the token in lower case and of its shape."""
+    def _code(self, token: str) -> int:
+        """Hashes of the token in lower case (high half) and of its shape (low half)."""
         shape = "w" if token.islower() else "T" if token.istitle() else "U" if token.isupper() else "9" if token.isnumeric() else "x" if token[0].isalpha() else token
         digest = xxhash.xxh32_intdigest
-        return digest(token.lower()), digest("shape " + shape)
+        return digest(token.lower()) << 32 | digest("shape " + shape)
 
     def features(self, text: str | None) -> Iterator[np.ndarray]:
         """Buckets of the n-grams of a text, with repeats, in blocks; none for texts without tokens."""
@@ -52,8 +52,8 @@ class Hasher:
             for token in set(part):
                 if token not in codes:
                     codes[token] = self._code(token)
-            both = np.array([codes[t] for t in part], dtype=np.uint64)
-            words, shapes = both[:, 0], both[:, 1]
+            both = np.fromiter(map(codes.__getitem__, part), dtype=np.uint64, count=len(part))
+            words, shapes = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
             same = np.zeros(len(part), dtype=np.uint64)
             same[1:] = words[1:] == words[:-1]
             shapes = shapes + same * np.uint64(0x9E3779B1)

@@ -44,8 +44,9 @@ class Features:
             part = words[max(0, at - 1 - max(GAPS)) : at + BLOCK]  # overlapping: features count once, so repeats do no harm
             for word in set(part):
                 if word not in codes:
-                    codes[word] = (xxhash.xxh32_intdigest(word), xxhash.xxh32_intdigest(word[:STEM] + "-"))
-            h, stems = np.array([codes[w] for w in part], dtype=np.uint64).T
+                    codes[word] = xxhash.xxh32_intdigest(word) << 32 | xxhash.xxh32_intdigest(word[:STEM] + "-")
+            both = np.fromiter(map(codes.__getitem__, part), dtype=np.uint64, count=len(part))
+            h, stems = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
             grams = [h, stems, *(h[: -1 - g] * np.uint64(0x85EBCA77 + 2 * g) + h[1 + g :] * np.uint64(0xC2B2AE3D) for g in GAPS)]
             mixed = np.concatenate(grams) * np.uint64(0x9E3779B97F4A7C15)
             out.append(np.unique((mixed >> np.uint64(32)) % np.uint64(self.dimensions)))
