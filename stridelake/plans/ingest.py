@@ -1 +1,279 @@
-"""Queries."""
+"""Queries over landing: sources and sinks, exports, JSON, joins, set operations, duplicates."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from stridelake.functions.scalars import activity_id_of, is_cycling
+from stridelake.operators import ingest as G
+from stridelake.plans.registry import query
+from stridelake.sources import tables as T
+from stridelake.sources.fixtures import sql, view
+from stridelake.sources.tables import table
+
+
+def acts(spark, d):
+    return view(spark, d, "activities")
+
+
+def events(spark, d):
+    return table(spark, d, "events")
+
+
+EXPORT = """ex AS (SELECT user_id % 25 AS athlete_id, CAST(ts AS DATE) AS date, event_type = 'view' AS workout, value AS v, event_id AS k FROM events)"""
+
+
+def export_rows(spark, d):
+    eu = lambda x: F.regexp_replace(x.cast("string"), r"\.", ",")
+    v, k = F.col("value"), F.col("event_id")
+    return events(spark, d).select(
+        (F.col("user_id") % 25).alias("athlete_id"), F.date_format("ts", "dd.MM.yyyy HH:mm").alias("day"), F.when(F.col("event_type") == "view", "Run").alias("workout"),
+        F.when(k % 5 == 0, "-").otherwise(eu(v)).alias("vo2"), (40 + k % 20).cast("string").alias("rhr"), F.concat(eu(v), F.lit("-"), eu(v + 4)).alias("hrv"),
+        F.lit("97-98").alias("spo2"), F.concat((k % 9).cast("string"), F.lit("h "), (k % 60).cast("string"), F.lit("m")).alias("sleep"), F.concat(F.lit("1 "), F.lpad((k % 1000).cast("string"), 3, "0")).alias("active"), F.lit(None).cast("string").alias("resting"),
+    )
+
+
+@query("d28_health_export_days", sql(f"""{EXPORT}, dd AS (SELECT athlete_id, date, avg(CASE WHEN k % 5 <> 0 THEN v END) AS vo2, avg(40 + k % 20) AS rhr, avg(v + 2) AS hrv, avg(CASE WHEN NOT workout THEN 97.5::DOUBLE END) AS spo2,
+  nullif(sum(CASE WHEN NOT workout THEN nullif((k % 9) * 60 + k % 60, 0) END), 0) AS sleep_min, nullif(sum(CASE WHEN NOT workout THEN 1000 + k % 1000 END), 0) AS active FROM ex GROUP BY 1, 2)
+SELECT athlete_id, date, round(vo2, 8) AS vo2, round(rhr, 8) AS rhr, round(hrv, 8) AS hrv, spo2, sleep_min::DOUBLE AS sleep_min, active::DOUBLE AS active,
+  round(CASE WHEN count(hrv) OVER w >= 3 THEN avg(hrv) OVER w END, 8) AS hrv_weekly FROM dd WINDOW w AS (PARTITION BY athlete_id ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)"""))
+def d28(spark, d):
+    out = G.export_days(G.clean_export(export_rows(spark, d)))
+    return out.select("athlete_id", "date", *(F.round(c, 8).alias(c) for c in ("vo2", "rhr", "hrv", "hrv_weekly")), "spo2", "sleep_min", "active")
+
+
+def landing(spark, d):
+    """A response for each event: objects nested one to four deep, some as lists."""
+    v, k = F.col("value"), F.col("event_id")
+    n = lambda **kv: F.struct(*(x.alias(name) for name, x in kv.items()))
+    body = n(
+        hrvSummary=n(weeklyAvg=F.floor(v), lastNightAvg=F.when(k % 7 > 0, k % 90), status=F.col("event_type")),
+        dailySleepDTO=n(sleepScores=n(overall=n(value=F.when(k % 3 > 0, 50 + k % 50))), sleepTimeSeconds=k % 30000),
+        sleepScore=k % 40, bodyBatteryHighestValue=k % 100, averageStressLevel=F.when(k % 4 > 0, k % 60), restingHeartRate=F.lit(0).cast("long"), score=k % 80, recoveryTime=k % 24, hrvFactorPercent=k % 10,
+        latest=n(status=F.when(k % 2 == 0, "PEAKING"), acuteLoad=F.lit(0).cast("long")), status=F.lit("BASE"), acuteLoad=k % 500, balance=n(anaerobic=F.when(k % 5 > 0, k % 70)), anaerobic=k % 11, highAerobic=k % 13, lowAerobic=k % 17,
+        generic=n(vo2MaxPreciseValue=F.when(k % 6 > 0, 40 + k % 20)), vo2MaxValue=k % 3, heartRate=150 + k % 30, speed=k % 5, totalSteps=k % 20000, stepGoal=F.lit(8000), floorsAscended=k % 9, moderateIntensityMinutes=k % 45, vigorousIntensityMinutes=k % 20,
+        activityId=k, duration=k % 7200, distance=k % 40000, startTimeGMT=F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), heartRateValues=F.array(F.array(k, 60 + k % 80), F.array(k + 1, F.when(k % 3 > 0, 70 + k % 50)), F.array(k + 2, F.lit(0).cast("long"))),
+    )
+    one = F.to_json(body)
+    return events(spark, d).select((F.col("user_id") % 25).alias("athlete_id"), F.to_date("ts").alias("date"), F.when(k % 10 == 0, F.concat(F.lit("["), one, F.lit("]"))).otherwise(one).alias("payload"), k.alias("event_id"))
+
+
+#: For each table, its columns in SQL over event_id k and value.
+JSON_SQL = {
+    "hrv": "nullif(floor(value), 0)::DOUBLE AS weekly_avg, CASE WHEN k % 7 > 0 THEN nullif(k % 90, 0) END::DOUBLE AS last_night_avg, event_type AS status",
+    "sleep": "coalesce(CASE WHEN k % 3 > 0 THEN 50 + k % 50 END, nullif(k % 40, 0))::DOUBLE AS sleep_score, nullif(k % 30000, 0)::DOUBLE AS seconds",
+    "daily_health": "nullif(k % 100, 0)::DOUBLE AS body_battery_highest, CASE WHEN k % 4 > 0 THEN nullif(k % 60, 0) END::DOUBLE AS stress_average, NULL::DOUBLE AS resting_heart_rate",
+    "training_readiness": "nullif(k % 80, 0)::DOUBLE AS score, nullif(k % 24, 0)::DOUBLE AS recovery_time, nullif(k % 10, 0)::DOUBLE AS hrv_factor_percent",
+    "training_status": "CASE WHEN k % 2 = 0 THEN 'PEAKING' ELSE 'BASE' END AS training_status, nullif(k % 500, 0)::DOUBLE AS acute_load, nullif(k % 24, 0)::DOUBLE AS recovery_time",
+    "load_focus": "coalesce(CASE WHEN k % 5 > 0 THEN nullif(k % 70, 0) END, nullif(k % 11, 0))::DOUBLE AS anaerobic_load, nullif(k % 13, 0)::DOUBLE AS high_aerobic_load, nullif(k % 17, 0)::DOUBLE AS low_aerobic_load",
+    "vo2_max": "coalesce(CASE WHEN k % 6 > 0 THEN 40 + k % 20 END, nullif(k % 3, 0))::DOUBLE AS vo2_max",
+    "lactate_threshold": "(150 + k % 30)::DOUBLE AS lt_heart_rate, nullif(k % 5, 0)::DOUBLE AS lt_speed",
+    "movement": "nullif(k % 20000, 0)::DOUBLE AS steps, 8000::DOUBLE AS steps_goal, nullif(k % 9, 0)::DOUBLE AS floors_ascended",
+    "intensity": "nullif(k % 45, 0)::DOUBLE AS moderate_min, nullif(k % 20, 0)::DOUBLE AS vigorous_min",
+    "activities": "nullif(k, 0)::VARCHAR AS activity_id, nullif(k % 7200, 0)::DOUBLE AS duration_seconds, nullif(k % 40000, 0)::DOUBLE AS distance_meters, strftime(ts, '%Y-%m-%d %H:%M:%S') AS start_time_utc",
+}
+for _i, _name in enumerate(["activities", "hrv", "vo2_max", "sleep", "daily_health", "training_readiness", "training_status", "load_focus", "lactate_threshold", "movement", "intensity"]):
+
+    def _extract(spark, d, name=_name):
+        return G.extracted(landing(spark, d), name)
+
+    _keep = " OR ".join(f"{c} IS NOT NULL" for c in G.EXTRACTORS[_name][1])
+    query(f"e{_i + 1:02d}_json_{_name}", sql(f"SELECT * FROM (SELECT user_id % 25 AS athlete_id, CAST(ts AS DATE) AS date, {JSON_SQL[_name]} FROM (SELECT *, event_id AS k FROM events)) WHERE {_keep}"))(_extract)
+
+
+@query("e13_heart_rate_summary", sql("p AS (SELECT user_id % 25 AS athlete_id, CAST(ts AS DATE) AS date, unnest([60 + event_id % 80, CASE WHEN event_id % 3 > 0 THEN 70 + event_id % 50 END, 0]) AS hr FROM events WHERE event_id % 10 >= 0) SELECT athlete_id, date, round(avg(hr), 6) AS avg_hr, min(hr)::DOUBLE AS min_hr, max(hr)::DOUBLE AS max_hr FROM p WHERE hr > 0 GROUP BY 1, 2"))
+def e13(spark, d):
+    flat = landing(spark, d).withColumn("payload", G.first_record(F.col("payload")))
+    return G.heart_rate_summary(flat).select("athlete_id", "date", F.round("avg_hr", 6).alias("avg_hr"), "min_hr", "max_hr")
+
+
+@query("f_json1_recursive_search", sql("SELECT event_id, CAST(coalesce(nullif(CASE WHEN event_id % 6 > 0 THEN 40 + event_id % 20 END, -1), event_id % 3) AS VARCHAR) AS vo2, event_type AS status_any FROM events"))
+def f_json1(spark, d):
+    j = F.to_json(F.struct(F.struct(F.struct(F.when(F.col("event_id") % 6 > 0, 40 + F.col("event_id") % 20).otherwise(F.col("event_id") % 3).alias("vo2MaxPrecise")).alias("generic")).alias("body"), F.struct(F.col("event_type").alias("theStatus")).alias("meta")))
+    return events(spark, d).select("event_id", G.found_anywhere(j, "vo2max").alias("vo2"), G.found_anywhere(j, "STATUS").alias("status_any"))
+
+
+@query("s08_props_landing", sql("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"))
+def s08(spark, d):
+    return events(spark, d).select("event_id", F.try_variant_get(F.parse_json("props"), "$.k", "long").alias("k"))
+
+
+@query("s01_j01_records_of_newest", sql("SELECT r.activity_id, count(*) AS n, max(t) AS last_t FROM records r WHERE activity_id IN (SELECT DISTINCT o_custkey FROM orders) GROUP BY 1"))
+def s01(spark, d):
+    ids = table(spark, d, "orders").select(F.col("o_custkey").alias("activity_id")).distinct()
+    return view(spark, d, "records").join(ids, "activity_id", "left_semi").groupBy("activity_id").agg(F.count("*").alias("n"), F.max("t").alias("last_t"))
+
+
+@query("s02_s03_typed_summary", sql("SELECT o_orderkey::VARCHAR AS activity_id, CAST(o_orderdate AS DATE) AS date, o_totalprice AS price FROM orders"))
+def s02(spark, d):
+    return table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("activity_id"), F.to_date("o_orderdate").alias("date"), F.col("o_totalprice").alias("price"))
+
+
+@query("s05_a17_union_distinct", sql("SELECT DISTINCT athlete_id, date, sport, NULL::DOUBLE AS hrv FROM activities UNION SELECT DISTINCT athlete_id, date, NULL, hrv FROM bio"))
+def s05(spark, d):
+    return T.union_all(acts(spark, d).select("athlete_id", "date", "sport"), view(spark, d, "bio").select("athlete_id", "date", "hrv")).distinct()
+
+
+@query("s06b_landed_file", sql("SELECT activity_id, arg_min(path, p) AS path FROM (SELECT event_id AS activity_id, '/secondary/' || event_id || '.fit' AS path, 2 AS p FROM events UNION ALL SELECT event_id, '/primary/activity_' || event_id || '.fit', 1 FROM events WHERE user_id % 2 = 0) GROUP BY 1"))
+def s06b(spark, d):
+    e = events(spark, d)
+    k = F.col("event_id").cast("string")
+    files = e.select(F.concat(F.lit("/secondary/"), k, F.lit(".fit")).alias("path"), F.lit(2).alias("p")).unionByName(e.filter("user_id % 2 = 0").select(F.concat(F.lit("/primary/activity_"), k, F.lit(".fit")).alias("path"), F.lit(1).alias("p")))
+    named = files.withColumn("activity_id", activity_id_of(F.col("path")).cast("long"))
+    return T.latest(named, ["activity_id"], ["p", "path"]).select("activity_id", "path")
+
+
+@query("s10_upsert", sql("o AS (SELECT activity_id, total_trimp AS v FROM activities), n AS (SELECT o_orderkey AS activity_id, o_totalprice AS v FROM orders WHERE o_orderstatus = 'F') SELECT * FROM n UNION ALL SELECT * FROM o WHERE activity_id NOT IN (SELECT activity_id FROM n)"))
+def s10(spark, d):
+    new = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("activity_id"), F.col("o_totalprice").alias("v"))
+    return T.upserted(acts(spark, d).select("activity_id", F.col("total_trimp").alias("v")), new, ["activity_id"])
+
+
+@query("s11_j14_unseen", sql("SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)"))
+def s11(spark, d):
+    known = table(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("user_id"))
+    return T.unseen(events(spark, d).select("event_id", "user_id"), known, ["user_id"])
+
+
+@query("s13_incremental_window", sql("SELECT activity_id, date FROM activities WHERE date >= (SELECT max(date) FROM activities) - 3"))
+def s13(spark, d):
+    a = acts(spark, d)
+    since = a.agg(F.date_sub(F.max("date"), 3).alias("since"))
+    return a.join(F.broadcast(since), F.col("date") >= F.col("since")).select("activity_id", "date")  # one row
+
+
+@query("s14_changed_ids", sql("SELECT DISTINCT athlete_id FROM activities WHERE activity_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')"))
+def s14(spark, d):
+    ids = table(spark, d, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("activity_id"))
+    return acts(spark, d).join(ids, "activity_id", "left_semi").select("athlete_id").distinct()
+
+
+@query("s15_cycling_export", sql("SELECT activity_id, athlete_id, date, sport FROM activities WHERE regexp_matches(sport, 'cycl|biking|ride')"))
+def s15(spark, d):
+    return acts(spark, d).filter(is_cycling(F.col("sport"))).select("activity_id", "athlete_id", "date", "sport")
+
+
+@query("p10_enforced_schema", sql("SELECT activity_id::VARCHAR AS activity_id, NULL::DOUBLE AS vo2_max, sport FROM activities"))
+def p10(spark, d):
+    from pyspark.sql import types as ST
+
+    schema = ST.StructType([ST.StructField("activity_id", ST.StringType()), ST.StructField("vo2_max", ST.DoubleType()), ST.StructField("sport", ST.StringType())])
+    return T.enforced(acts(spark, d), schema)
+
+
+@query("j02_j03_enriched_activities", sql("SELECT activity_id, date, hrv, sleep_score FROM activities LEFT JOIN bio USING (athlete_id, date)"))
+def j02(spark, d):
+    daily = view(spark, d, "bio").dropDuplicates(["athlete_id", "date"])
+    return acts(spark, d).join(daily, ["athlete_id", "date"], "left").select("activity_id", "date", "hrv", "sleep_score")
+
+
+@query("j04_daily_frame", sql("SELECT athlete_id, date, trimp, hrv, rhr, coalesce(trimp, 0) * coalesce(rhr, 0) AS mixed FROM (SELECT athlete_id, date, round(sum(z1 + z2), 4) AS trimp FROM activities GROUP BY 1, 2) LEFT JOIN (SELECT athlete_id, date, hrv FROM bio) USING (athlete_id, date) LEFT JOIN (SELECT athlete_id, date, rhr FROM bio WHERE rhr > 40) USING (athlete_id, date)"))
+def j04(spark, d):
+    on, bio = ["athlete_id", "date"], view(spark, d, "bio")
+    days = acts(spark, d).groupBy(*on).agg(F.round(F.sum(F.col("z1") + F.col("z2")), 4).alias("trimp"))
+    out = days.join(bio.select(*on, "hrv"), on, "left").join(bio.filter("rhr > 40").select(*on, "rhr"), on, "left")
+    return out.withColumn("mixed", F.coalesce("trimp", F.lit(0.0)) * F.coalesce("rhr", F.lit(0.0)))
+
+
+@query("j07_pause_intervals", sql("pz AS (SELECT user_id, ts AS a, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS b, event_type FROM events), pp AS (SELECT user_id, a, b FROM pz WHERE event_type = 'error' AND b IS NOT NULL) SELECT user_id, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM pp WHERE pp.user_id = e.user_id AND e.ts BETWEEN a AND b)) AS paused FROM events e GROUP BY 1"))
+def j07(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("ts")
+    e = events(spark, d).withColumns({"open": F.col("event_type") == "error", "next": F.lead("ts").over(w)})
+    # A pause runs from an error to the user's next event, so a row is paused if it or the row before opened one.
+    opened = F.col("open") & F.col("next").isNotNull()
+    e = e.withColumn("paused", opened | F.coalesce(F.lag("open").over(w), F.lit(False)))
+    return e.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if("paused").alias("paused"))
+
+
+@query("j15_address_lookup", sql("SELECT activity_id, idx, 'place ' || (CAST(floor(lat * 100) AS BIGINT) % 7) AS address FROM records WHERE lat IS NOT NULL AND CAST(floor(lat * 100) AS BIGINT) % 7 <> 3"))
+def j15(spark, d):
+    cell = F.floor(F.col("lat") * 100).cast("long")
+    r = view(spark, d, "records").filter("lat IS NOT NULL").withColumn("key", cell.cast("string"))
+    book = r.select("key", F.concat(F.lit("place "), (F.col("key").cast("long") % 7).cast("string")).alias("address")).distinct().filter("address <> 'place 3'")
+    return r.join(book, "key").select("activity_id", "idx", "address")
+
+
+@query("j16_activities_with_records", sql("SELECT s_suppkey AS activity_id, count(l_suppkey) AS n FROM supplier LEFT JOIN lineitem ON s_suppkey = l_suppkey GROUP BY 1"))
+def j16(spark, d):
+    n = view(spark, d, "records").groupBy("activity_id").agg(F.count("*").alias("n"))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("activity_id"))
+    return s.join(n, "activity_id", "left").select("activity_id", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("j17_combine_first", sql("SELECT athlete_id, date, coalesce(b.hrv, a.avg_hr / 3) AS hrv FROM (SELECT athlete_id, date, max(avg_hr) AS avg_hr FROM activities GROUP BY 1, 2) a LEFT JOIN bio b USING (athlete_id, date)"))
+def j17(spark, d):
+    on = ["athlete_id", "date"]
+    a = acts(spark, d).groupBy(*on).agg(F.max("avg_hr").alias("avg_hr"))
+    return a.join(view(spark, d, "bio").select(*on, "hrv"), on, "left").select(*on, F.coalesce("hrv", F.col("avg_hr") / 3).alias("hrv"))
+
+
+@query("a18_keep_last", sql("SELECT athlete_id, sport, activity_id, date FROM (SELECT *, row_number() OVER (PARTITION BY athlete_id, sport ORDER BY date DESC, activity_id DESC) AS n FROM activities) WHERE n = 1"))
+def a18(spark, d):
+    return T.latest(acts(spark, d), ["athlete_id", "sport"], [F.desc("date"), F.desc("activity_id")]).select("athlete_id", "sport", "activity_id", "date")
+
+
+@query("a21_distinct_counts", sql("SELECT sport, count(DISTINCT athlete_id) AS athletes, count(DISTINCT date) AS days FROM activities GROUP BY 1"))
+def a21(spark, d):
+    return acts(spark, d).groupBy("sport").agg(F.countDistinct("athlete_id").alias("athletes"), F.countDistinct("date").alias("days"))
+
+
+@query("u02_source_tag_union", sql("SELECT source, count(*) AS n, min(id) AS lo, max(id) AS hi FROM (SELECT 'primary' AS source, o_orderkey AS id FROM orders UNION ALL SELECT 'secondary', l_orderkey FROM lineitem) GROUP BY 1"))
+def u02(spark, d):
+    a = table(spark, d, "orders").select(F.lit("primary").alias("source"), F.col("o_orderkey").alias("id"))
+    b = table(spark, d, "lineitem").select(F.lit("secondary").alias("source"), F.col("l_orderkey").alias("id"))
+    return T.union_all(a, b).groupBy("source").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+
+
+@query("u05_wide_to_long", sql("SELECT activity_id, zone, minutes FROM (UNPIVOT (SELECT activity_id, z1, z2, z3, z4, z5 FROM activities) ON z1, z2, z3, z4, z5 INTO NAME zone VALUE minutes)"))
+def u05(spark, d):
+    zones = ["z1", "z2", "z3", "z4", "z5"]
+    return acts(spark, d).select("activity_id", *zones).unpivot("activity_id", zones, "zone", "minutes")
+
+
+@query("d29_file_profile", sql("""r AS (SELECT activity_id AS file_id, count(*) AS n_records, count(*) FILTER (hr > 0) AS n_hr, min(t) AS start_t FROM records GROUP BY 1),
+dv AS (SELECT s_suppkey AS file_id, s_nationkey % 3 <> 0 AS hr, s_nationkey % 3 = 1 AS strap FROM supplier)
+SELECT file_id, n_records, n_hr, round(n_hr / n_records, 8) AS density, start_t, CASE WHEN strap THEN 'strap' WHEN hr THEN 'optical' ELSE 'unknown' END AS sensor FROM r LEFT JOIN dv USING (file_id)"""))
+def d29(spark, d):
+    kind = F.col("s_nationkey") % 3
+    devices = table(spark, d, "supplier").select(F.col("s_suppkey").alias("file_id"), F.when(kind != 0, "heart_rate").otherwise("gps").alias("device_type"), F.when(kind == 1, "antplus").otherwise("local").alias("source_type"))
+    out = G.file_profile(view(spark, d, "records").withColumnRenamed("activity_id", "file_id"), devices)
+    return out.withColumn("density", F.round("density", 8))
+
+
+SESSIONS = """se AS (SELECT user_id AS athlete_id, epoch_us(ts) // 1000000 AS start_t, event_id AS file_id, CASE WHEN event_id % 2 = 0 THEN 'primary' ELSE 'secondary' END AS source, 1000 + event_id % 700 AS n_records, event_id % 60 AS n_rr,
+  (50 + event_id % 51) / 100.0::DOUBLE AS density, CASE event_id % 3 WHEN 0 THEN 'strap' WHEN 1 THEN 'optical' ELSE 'unknown' END AS sensor, event_id % 97 AS size FROM events)"""
+
+
+def sessions(spark, d):
+    k = F.col("event_id")
+    return events(spark, d).select(
+        F.col("user_id").alias("athlete_id"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).cast("long").alias("start_t"), k.alias("file_id"),
+        F.when(k % 2 == 0, "primary").otherwise("secondary").alias("source"), (1000 + k % 700).alias("n_records"), (k % 60).alias("n_rr"), ((50 + k % 51) / F.lit(100.0)).alias("density"),
+        F.when(k % 3 == 0, "strap").when(k % 3 == 1, "optical").otherwise("unknown").alias("sensor"), (k % 97).alias("size"),
+    )
+
+
+WINNER = """CASE WHEN abs(a.n_records - b.n_records) / greatest(a.n_records, b.n_records) > 0.25 THEN b.n_records > a.n_records
+ WHEN a.source <> b.source THEN CASE WHEN (a.source = 'primary' AND a.sensor = 'strap') OR (b.source = 'primary' AND b.sensor = 'strap') THEN b.source = 'primary'
+   WHEN a.sensor = 'strap' OR b.sensor = 'strap' THEN a.source = 'primary' WHEN (a.n_rr >= 30) <> (b.n_rr >= 30) THEN b.n_rr >= 30
+   WHEN CASE WHEN a.source = 'primary' THEN a.density ELSE b.density END >= 0.9 THEN b.source = 'primary' ELSE a.source = 'primary' END
+ WHEN (a.sensor = 'strap' AND b.sensor = 'unknown') OR (b.sensor = 'strap' AND a.sensor = 'unknown') THEN b.sensor = 'strap'
+ WHEN a.sensor <> 'unknown' AND b.sensor <> 'unknown' AND a.sensor <> b.sensor THEN b.sensor = 'strap'
+ WHEN a.sensor = 'unknown' AND b.sensor = 'unknown' AND (a.n_rr >= 30) <> (b.n_rr >= 30) THEN b.n_rr >= 30
+ WHEN a.density <> b.density THEN b.density > a.density ELSE b.size > a.size END"""
+
+
+@query("d30_pair_winner", sql(f"{SESSIONS}, p AS (SELECT *, lead(file_id) OVER (PARTITION BY athlete_id ORDER BY start_t, file_id) AS other FROM se) SELECT a.file_id, b.file_id AS other, CASE WHEN {WINNER} THEN b.file_id ELSE a.file_id END AS winner FROM p a JOIN se b ON b.file_id = a.other"))
+def d30(spark, d):
+    from pyspark.sql import Window
+
+    s = sessions(spark, d)
+    pair = s.select(F.struct(*s.columns).alias("a"), F.lead(F.struct(*s.columns)).over(Window.partitionBy("athlete_id").orderBy("start_t", "file_id")).alias("b")).filter("b IS NOT NULL")
+    return pair.select(F.col("a.file_id"), F.col("b.file_id").alias("other"), F.when(G.second_wins("a", "b"), F.col("b.file_id")).otherwise(F.col("a.file_id")).alias("winner"))
+
+
+@query("d31_j12_deduplicated_sessions")
+def d31(spark, d):
+    return G.deduplicated(sessions(spark, d))

@@ -1 +1,58 @@
-"""Queries."""
+"""Queries over streams: each drains the events table as a stream and returns what the sink holds."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from stridelake.plans.registry import query
+from stridelake.streaming import jobs as J
+
+
+def folder(spark) -> str:
+    named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stridelake-")
+    return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def events(spark, d):
+    e = J.stream_of(spark, f"{d}/events.parquet")
+    return e.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("st3_daily_load", "SELECT user_id, CAST(ts AS DATE) AS date, round(sum(value), 4) AS load, count(*) AS n FROM events GROUP BY 1, 2")
+def st3(spark, d):
+    out = J.drained(J.daily_load(events(spark, d)), folder(spark), "complete")
+    return out.select("user_id", "date", F.round("load", 4).alias("load"), "n")
+
+
+@query("st6_sliding_load", "SELECT user_id, CAST(ts AS DATE) + CAST(k AS INTEGER) AS until, round(sum(value), 4) AS load FROM events, range(1, 8) r(k) GROUP BY 1, 2")
+def st6(spark, d):
+    out = J.drained(J.acute_load(events(spark, d)), folder(spark), "complete")
+    return out.select("user_id", "until", F.round("load", 4).alias("load"))
+
+
+@query("st5_inactivity_sessions", "SELECT user_id, min(ts) AS start_ts, max(ts) + INTERVAL 15 MINUTE AS end_ts, count(*) AS n FROM (SELECT *, sum(CASE WHEN ts - p >= INTERVAL 15 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events)) GROUP BY user_id, s")
+def st5(spark, d):
+    out = J.drained(J.inactivity_sessions(events(spark, d)), folder(spark), "complete")
+    return out.select("user_id", F.col("start_ts").cast("timestamp_ntz").alias("start_ts"), F.col("end_ts").cast("timestamp_ntz").alias("end_ts"), "n")
+
+
+@query("st1_unseen_events", "SELECT event_id, user_id, event_type FROM events")
+def st1(spark, d):
+    return J.drained(J.unseen(events(spark, d).select("event_id", "user_id", "event_type", "ts"), "event_id").select("event_id", "user_id", "event_type"), folder(spark))
+
+
+@query("st4_fitness_state")
+def st4(spark, d):
+    days = events(spark, d).select("user_id", F.to_date("ts").alias("date"), F.col("value").alias("load"))
+    return J.drained(J.fitness(days), folder(spark))
+
+
+@query("st2_overlap_upsert", "SELECT event_id, user_id, value FROM events")
+def st2(spark, d):
+    path = folder(spark)
+    stream = events(spark, d).select("event_id", "user_id", "value")
+    stream.writeStream.foreachBatch(J.upsert_sink(f"{path}/table", ["event_id"])).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/table/v=0")
