@@ -183,4 +183,6 @@ def deduplicated(entries: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
                 kept.append(row)
         return pd.DataFrame(kept, columns=group.columns)[names]
 
-    return held.drop("_gap").groupBy("athlete_id", "_island").applyInPandas(fold, entries.schema)
+    held = held.drop("_gap").withColumn("_size", F.count("*").over(Window.partitionBy("athlete_id", "_island")))
+    alone = held.filter("_size = 1").select(*names)  # nearly all
+    return alone.unionByName(held.filter("_size > 1").drop("_size").groupBy("athlete_id", "_island").applyInPandas(fold, entries.schema))
