@@ -22,11 +22,11 @@ def _order():
 def implicit_stops(records: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
     """D-32: gaps between rows of at least the least stop, unless the odometer moved on faster than its limit.
     activity_id, start_idx, end_idx, start_t, end_t."""
-    before = records.select(KEY, "idx", "t", "distance", F.lag("t").over(_order()).alias("t0"), F.lag("distance").over(_order()).alias("d0"))
+    before = records.select(KEY, "idx", "t", "distance", F.lag("t").over(_order()).alias("t0"), F.lag("distance").over(_order()).alias("d0"), F.lag("idx").over(_order()).alias("i0"))
     gap = before.filter((F.col("t") - F.col("t0") > profile.gap_s) & (F.col("t") - F.col("t0") >= profile.min_stop_s))
     moved = (F.col("distance") - F.col("d0")) / (F.col("t") - F.col("t0")) * 3.6
     still = gap.filter(~F.coalesce(moved > profile.odometer_kmh, F.lit(False)))
-    return still.select(KEY, (F.col("idx") - 1).alias("start_idx"), F.col("idx").alias("end_idx"), F.col("t0").alias("start_t"), F.col("t").alias("end_t"))
+    return still.select(KEY, F.col("i0").alias("start_idx"), F.col("idx").alias("end_idx"), F.col("t0").alias("start_t"), F.col("t").alias("end_t"))
 
 
 def explicit_stops(records: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
