@@ -23,10 +23,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: that with the smallest doc_id, or, if rows repeat it, one of them.
 
-    The keepers are joined as ids, so that texts are read once more but not grouped."""
+    The keepers are joined as ids, always by a shuffle: they grow with the corpus, so they are never broadcast."""
     found = simhash.near_duplicates(docs)
     keepers = stored(found.filter("doc_id = component_id").select("doc_id").distinct())
-    kept = docs.join(keepers, "doc_id", "left_semi").select(*docs.columns)
+    kept = docs.join(keepers.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
     repeated = stored(docs.groupBy("doc_id").count().filter("count > 1").select("doc_id"))
     if not repeated.limit(1).count():
         return kept
