@@ -9,12 +9,12 @@ COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def test_stages(spark, tmp_path):
-    good = [(i, prose(i, 60)) for i in range(40)]
-    docs = good + [(100, good[3][1]), (101, " ".join(f"{w}###" for w in prose(500, 60).split())), (102, prose(300, 30) + " " + prose(777, 40)), (103, prose(301, 50) + " mail a.b@c.example.org"), (104, None)]
+    good = [(i, prose(i, 150)) for i in range(90)]
+    docs = good + [(100, good[3][1]), (101, " ".join(f"{w}###" for w in prose(500, 60).split())), (102, prose(300, 30) + " " + prose(777, 40)), (103, prose(301, 200) + " mail a.b@c.example.org"), (104, None)]
     folder = str(tmp_path)
     rows = [(i, t, "en", "s", len(t or "")) for i, t in docs]
     spark.createDataFrame(rows, COLUMNS).write.parquet(f"{folder}/documents.parquet")
-    spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(101, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(90)] + [(101, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     bench = [(1, prose(777, 40))]
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
 
