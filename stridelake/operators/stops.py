@@ -144,14 +144,14 @@ def anchors(records: DataFrame, stops: DataFrame) -> DataFrame:
     return out.select(KEY, "stop_id", "p.lat", "p.lon")
 
 
-def stop_report(records: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
+def stop_report(records: DataFrame, profile: Profile = DEFAULT, km_digits: int = 2) -> DataFrame:
     """D-41: every stop with its markers, confidence, kilometres before and after, anchor and map link."""
     stops = detect_stops(records, profile)
     scored = confidence(markers(records, stops, profile))
     total = records.groupBy(KEY).agg(F.max_by("distance", F.when(F.col("distance").isNotNull(), F.col("idx"))).alias("_total"))
     at = records.select(KEY, F.col("idx").alias("start_idx"), F.col("distance").alias("_at"))
     out = stops.join(scored, [KEY, "stop_id"]).join(anchors(records, stops), [KEY, "stop_id"], "left").join(total, KEY).join(at, [KEY, "start_idx"], "left")
-    km = lambda x: F.bround(F.round(x / 1000, 9), 2)
+    km = lambda x: F.bround(F.round(x / 1000, 9), km_digits)
     out = out.withColumns({"km_before": km(F.col("_at")), "km_after": km(F.col("_total") - F.col("_at")), "map_url": F.when(F.col("lat").isNotNull(), map_url(F.col("lat"), F.col("lon")))})
     return out.drop("_total", "_at")
 

@@ -83,9 +83,9 @@ def d40(spark, d):
     return S.confidence(S.markers(r, S.detect_stops(r))).select("activity_id", "stop_id", "raw_confidence", "gradient_penalty", "confidence")
 
 
-@query("d41_stop_report", sql(f"{STOPS}, {MARKERS}, {ANCHOR}, tot AS (SELECT activity_id, arg_max(distance, idx) AS total FROM records GROUP BY 1) SELECT s.activity_id, s.stop_id, s.duration_s, confidence, round_even(round(r.distance / 1000, 9), 2) AS km_before, round_even(round((total - r.distance) / 1000, 9), 2) AS km_after, printf('https://maps.example.org/?q=%.6f,%.6f', p.lat, p.lon) AS map_url FROM stops s JOIN cf USING (activity_id, stop_id) LEFT JOIN anc a ON a.activity_id = s.activity_id AND a.stop_id = s.stop_id JOIN tot ON tot.activity_id = s.activity_id JOIN records r ON r.activity_id = s.activity_id AND r.idx = s.start_idx"))
+@query("d41_stop_report", sql(f"{STOPS}, {MARKERS}, {ANCHOR}, tot AS (SELECT activity_id, arg_max(distance, idx) AS total FROM records GROUP BY 1) SELECT s.activity_id, s.stop_id, s.duration_s, confidence, round(r.distance / 1000, 3) AS km_before, round((total - r.distance) / 1000, 3) AS km_after, printf('https://maps.example.org/?q=%.6f,%.6f', p.lat, p.lon) AS map_url FROM stops s JOIN cf USING (activity_id, stop_id) LEFT JOIN anc a ON a.activity_id = s.activity_id AND a.stop_id = s.stop_id JOIN tot ON tot.activity_id = s.activity_id JOIN records r ON r.activity_id = s.activity_id AND r.idx = s.start_idx"))
 def d41(spark, d):
-    return S.stop_report(records(spark, d)).select("activity_id", "stop_id", "duration_s", "confidence", "km_before", "km_after", "map_url")
+    return S.stop_report(records(spark, d), km_digits=3).select("activity_id", "stop_id", "duration_s", "confidence", "km_before", "km_after", "map_url")
 
 
 def points(spark, d):
