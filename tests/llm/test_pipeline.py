@@ -14,7 +14,7 @@ def test_stages(spark, tmp_path):
     folder = str(tmp_path)
     rows = [(i, t, "en", "s", len(t or "")) for i, t in docs]
     spark.createDataFrame(rows, COLUMNS).write.parquet(f"{folder}/documents.parquet")
-    spark.createDataFrame([(i, 1, 0) for i in range(90)] + [(101, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in [*range(90), 100, 102, 103]] + [(101, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     bench = [(1, prose(777, 40))]
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
 
