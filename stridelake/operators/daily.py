@@ -176,6 +176,16 @@ def acwr_label(x: Column) -> Column:
     return F.when(x < 0.8, "low").when(x <= 1.3, "optimal").when(x <= 1.5, "caution").when(x.isNotNull(), "danger").otherwise("")
 
 
+def hrv_cv_label(x: Column) -> Column:
+    """P22."""
+    return F.when(x < 10, "stable").when(x < 15, "raised").when(x.isNotNull(), "high stress").otherwise("")
+
+
+def mix_label(x: Column) -> Column:
+    """P22."""
+    return F.when(x >= 80, "high").when(x >= 60, "reduced").when(x.isNotNull(), "low").otherwise("")
+
+
 def daily_mart(activities: DataFrame, bio: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
     """D-26 for days: load, form, strain, readiness, recovery, warnings and advice, one row for each athlete and dense day."""
     load = monotony_strain(acute_chronic(daily_load(activities), profile))

@@ -52,29 +52,74 @@ def first_record(json: Column) -> Column:
     return F.when(F.ltrim(json).startswith("["), F.get_json_object(json, "$[0]")).otherwise(json)
 
 
-#: Columns of each daily table: name, type, paths by preference; and those of which one must be there to keep the row.
-EXTRACTORS: dict[str, tuple[list[tuple[str, str, list[str]]], list[str]]] = {
-    "hrv": ([("weekly_avg", "double", ["$.hrvSummary.weeklyAvg"]), ("last_night_avg", "double", ["$.hrvSummary.lastNightAvg"]), ("status", "string", ["$.hrvSummary.status"])], ["last_night_avg"]),
-    "sleep": ([("sleep_score", "double", ["$.dailySleepDTO.sleepScores.overall.value", "$.sleepScore"]), ("seconds", "double", ["$.dailySleepDTO.sleepTimeSeconds"])], ["sleep_score", "seconds"]),
-    "daily_health": ([("body_battery_highest", "double", ["$.bodyBatteryHighestValue"]), ("stress_average", "double", ["$.averageStressLevel"]), ("resting_heart_rate", "double", ["$.restingHeartRate"])], ["body_battery_highest", "stress_average", "resting_heart_rate"]),
-    "training_readiness": ([("score", "double", ["$.score"]), ("recovery_time", "double", ["$.recoveryTime"]), ("hrv_factor_percent", "double", ["$.hrvFactorPercent"])], ["score", "recovery_time"]),
-    "training_status": ([("training_status", "string", ["$.latest.status", "$.status"]), ("acute_load", "double", ["$.latest.acuteLoad", "$.acuteLoad"]), ("recovery_time", "double", ["$.recoveryTime"])], ["training_status", "acute_load", "recovery_time"]),
-    "load_focus": ([("anaerobic_load", "double", ["$.balance.anaerobic", "$.anaerobic"]), ("high_aerobic_load", "double", ["$.balance.highAerobic", "$.highAerobic"]), ("low_aerobic_load", "double", ["$.balance.lowAerobic", "$.lowAerobic"])], ["anaerobic_load", "high_aerobic_load", "low_aerobic_load"]),
-    "vo2_max": ([("vo2_max", "double", ["$.generic.vo2MaxPreciseValue", "$.vo2MaxValue"])], ["vo2_max"]),
-    "lactate_threshold": ([("lt_heart_rate", "double", ["$.heartRate"]), ("lt_speed", "double", ["$.speed"])], ["lt_heart_rate", "lt_speed"]),
-    "movement": ([("steps", "double", ["$.totalSteps"]), ("steps_goal", "double", ["$.stepGoal"]), ("floors_ascended", "double", ["$.floorsAscended"])], ["steps", "floors_ascended"]),
-    "intensity": ([("moderate_min", "double", ["$.moderateIntensityMinutes"]), ("vigorous_min", "double", ["$.vigorousIntensityMinutes"])], ["moderate_min", "vigorous_min"]),
-    "activities": ([("activity_id", "string", ["$.activityId"]), ("duration_seconds", "double", ["$.duration"]), ("distance_meters", "double", ["$.distance"]), ("start_time_utc", "string", ["$.startTimeGMT"])], ["activity_id"]),
+def _any(*columns: str) -> str:
+    return " OR ".join(f"{c} IS NOT NULL" for c in columns)
+
+
+_SLEEP, _NEWEST = "$.dailySleepDTO", "$.mostRecentTrainingStatus"
+_LATEST = f"{_NEWEST}.latestTrainingStatusData"
+
+
+def _nested(field: str, root: bool = True) -> list[str]:
+    """Where a field of the training status may stand: in the latest data, in the newest status, at the top."""
+    return [f"{_LATEST}.{field}", f"{_NEWEST}.{field}", *([f"$.{field}"] if root else [])]
+
+
+#: Columns of each daily table: name, type, paths by preference; and which rows are kept, as SQL over the columns.
+EXTRACTORS: dict[str, tuple[list[tuple[str, str, list[str]]], str]] = {
+    "hrv": ([("weekly_avg", "double", ["$.hrvSummary.weeklyAvg"]), ("last_night_avg", "double", ["$.hrvSummary.lastNightAvg"]), ("last_night_5min_high", "double", ["$.hrvSummary.lastNight5MinHigh"]), ("status", "string", ["$.hrvSummary.status"]), ("feedback_text", "string", ["$.hrvSummary.feedbackPhrase"])], "sample_count > 0 OR last_night_avg IS NOT NULL"),
+    "sleep": (
+        [("sleep_score", "double", [f"{_SLEEP}.sleepScores.overall.value"]), ("sleep_start_time", "string", [f"{_SLEEP}.sleepStartTimestampGMT"]), ("sleep_end_time", "string", [f"{_SLEEP}.sleepEndTimestampGMT"])]
+        + [(f"{part}_sleep_percentage", "double", [f"{_SLEEP}.sleepScores.{part}Percentage.value"]) for part in ("rem", "light", "deep")]
+        + [("awake_count", "double", [f"{_SLEEP}.awakeCount"]), ("avg_spo2", "double", [f"{_SLEEP}.averageSpO2Value"]), ("avg_respiration", "double", [f"{_SLEEP}.averageRespirationValue"])],
+        "sleep_score > 0 OR duration_minutes > 0",
+    ),
+    "daily_health": ([("body_battery_highest", "double", ["$.bodyBatteryHighestValue"]), ("body_battery_lowest", "double", ["$.bodyBatteryLowestValue"]), ("stress_average", "double", ["$.averageStressLevel"]), ("stress_max", "double", ["$.maxStressLevel"]), ("resting_heart_rate", "double", ["$.restingHeartRate"])], _any("body_battery_highest", "body_battery_lowest", "stress_average", "stress_max", "resting_heart_rate")),
+    "training_readiness": ([("score", "double", ["$.score"]), ("recovery_time", "double", ["$.recoveryTime"]), ("sleep_score", "double", ["$.sleepScore"]), ("hrv_factor_percent", "double", ["$.hrvFactorPercent"])], _any("score", "recovery_time", "sleep_score", "hrv_factor_percent")),
+    "training_status": ([("training_status", "string", _nested("trainingStatus", False)), ("acute_load", "double", _nested("acuteLoad", False)), ("recovery_time", "double", _nested("recoveryTime", False)), ("load_focus", "string", _nested("loadFocus", False))], _any("training_status", "acute_load", "recovery_time")),
+    "training_status_history": ([("training_status", "string", _nested("trainingStatus")), ("acute_load", "double", _nested("acuteLoad")), ("recovery_time", "double", _nested("recoveryTime")), ("vo2_max", "double", _nested("vo2Max"))], _any("training_status", "acute_load", "recovery_time")),
+    "load_focus": (
+        [(column, "double", [f"{_LATEST}.{field}", f"$.{field}"]) for column, field in (("anaerobic_load", "anaerobicLoad"), ("high_aerobic_load", "highAerobicLoad"), ("low_aerobic_load", "lowAerobicLoad"), ("vo2_max", "vo2Max"))] + [("recovery_time", "double", _nested("recoveryTime", False))],
+        _any("anaerobic_load", "high_aerobic_load", "low_aerobic_load", "recovery_time", "vo2_max"),
+    ),
+    "vo2_max": ([("vo2_max", "double", ["$.generic.vo2MaxPreciseValue", "$.vo2MaxValue"])], _any("vo2_max")),
+    "lactate_threshold": ([("lt_heart_rate", "double", ["$.lactateThresholdHeartRate"]), ("lt_speed", "double", ["$.lactateThresholdSpeed"])], _any("lt_heart_rate", "lt_speed")),
+    "movement": ([("steps", "double", ["$.totalSteps"]), ("steps_goal", "double", ["$.stepsGoal"]), ("floors_ascended", "double", ["$.floorsAscended"])], "TRUE"),
+    "intensity": ([("moderate_min", "double", ["$.moderateIntensityMinutes"]), ("vigorous_min", "double", ["$.vigorousIntensityMinutes"])], "TRUE"),
+    "activities": (
+        [("activity_id", "string", ["$.activityId"]), ("activity_name", "string", ["$.activityName"]), ("activity_type_id", "string", ["$.activityType.typeId"]), ("duration_seconds", "double", ["$.duration"]), ("distance_meters", "double", ["$.distance"])]
+        + [("calories", "double", ["$.calories"]), ("avg_heart_rate", "double", ["$.averageHR"]), ("max_heart_rate", "double", ["$.maxHR"]), ("start_time", "string", ["$.startTimeLocal"]), ("start_time_utc", "string", ["$.startTimeGMT"])]
+        + [("epoc_load", "double", ["$.trainingLoad"]), ("aerobic_te", "double", ["$.aerobicTrainingEffect"]), ("anaerobic_te", "double", ["$.anaerobicTrainingEffect"])],
+        "date IS NOT NULL",
+    ),
 }
 
 
+def _computed(name: str, json: Column) -> dict[str, Column]:
+    """The columns of a daily table that are not just a value at a path."""
+    number = lambda path: F.coalesce(value_at(json, path).try_cast("double"), F.lit(0.0))
+    if name == "hrv":
+        return {"sample_count": F.coalesce(F.json_array_length(F.get_json_object(json, "$.hrvReadings")), F.lit(0)).cast("long")}
+    if name == "sleep":
+        return {"duration_minutes": F.floor(number(f"{_SLEEP}.sleepTimeSeconds") / 60).cast("long")}
+    if name == "intensity":
+        return {"total_intensity_min": number("$.moderateIntensityMinutes") + number("$.vigorousIntensityMinutes")}
+    if name == "activities":
+        return {"date": F.substring(value_at(json, "$.startTimeGMT", "$.startTimeLocal"), 1, 10).try_cast("date")}
+    return {}
+
+
 def extracted(landing: DataFrame, name: str) -> DataFrame:
-    """A daily table out of landed responses (athlete_id, date, payload): one row for each response that has any of the
-    table's key values; a list counts as its first element."""
+    """A daily table out of landed responses (athlete_id, date, payload): one row for each response that holds what the
+    table needs; a list counts as its first element. Values that are missing, empty or 0 are null. An activity's date is that of
+    its start (UTC, else local); without either it is left out."""
     columns, keep = EXTRACTORS[name]
     one = landing.withColumn("_j", first_record(F.col("payload")))
-    out = one.select("athlete_id", "date", *(value_at(F.col("_j"), *paths).try_cast(kind).alias(c) for c, kind, paths in columns))
-    return out.filter(F.coalesce(*(F.col(c).cast("string") for c in keep)).isNotNull())
+    values = {c: value_at(F.col("_j"), *paths).try_cast(kind) for c, kind, paths in columns} | _computed(name, F.col("_j"))
+    date = values.pop("date", F.col("date"))
+    # A generator computes the values once: a filter over a plain projection would be pushed below it, with every value in it again.
+    row = F.struct(date.alias("date"), *(x.alias(c) for c, x in values.items()), F.col("_j").isNotNull().alias("_found"))
+    return one.select("athlete_id", F.inline(F.array(row))).filter("_found").filter(keep).drop("_found")
 
 
 def heart_rate_details(landing: DataFrame) -> DataFrame:

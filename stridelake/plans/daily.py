@@ -177,6 +177,20 @@ def d08(spark, d):
     return rounded(D.polarisation(view(spark, d, "activities")), "athlete_id", "date", "low_pct", "mid_pct", "high_pct", mix_efficiency=4)
 
 
+@query("p22_status_labels", sql(f"""{LOAD}, {ACWR}, {POLAR}, cv AS (SELECT athlete_id, date, round(CASE WHEN count(hrv) {R7} >= 3 THEN stddev_samp(hrv) {R7} / avg(hrv) {R7} * 100 END, 6) AS v
+  FROM load LEFT JOIN bio USING (athlete_id, date)), mix AS (SELECT athlete_id, date, CASE WHEN low_pct IS NOT NULL THEN round(greatest(0, least(100, low_pct + high_pct - greatest(0, mid_pct - 5))), 4) END AS m FROM pr)
+SELECT athlete_id, date, CASE WHEN round(acwr, 6) < 0.8 THEN 'low' WHEN round(acwr, 6) <= 1.3 THEN 'optimal' WHEN round(acwr, 6) <= 1.5 THEN 'caution' WHEN acwr IS NOT NULL THEN 'danger' ELSE '' END AS load_status,
+  CASE WHEN v < 10 THEN 'stable' WHEN v < 15 THEN 'raised' WHEN v IS NOT NULL THEN 'high stress' ELSE '' END AS hrv_status,
+  CASE WHEN m >= 80 THEN 'high' WHEN m >= 60 THEN 'reduced' WHEN m IS NOT NULL THEN 'low' ELSE '' END AS mix_status
+FROM acwr LEFT JOIN cv USING (athlete_id, date) LEFT JOIN mix USING (athlete_id, date)"""))
+def p22(spark, d):
+    load = loads(spark, d)
+    cv = D.sleep_need(load, view(spark, d, "bio")).select(*KEY, *DAY, F.round("hrv_cv", 6).alias("v"))
+    mix = D.polarisation(view(spark, d, "activities")).select(*KEY, *DAY, F.round("mix_efficiency", 4).alias("m"))
+    days = D.acute_chronic(load).join(cv, [*KEY, *DAY], "left").join(mix, [*KEY, *DAY], "left")
+    return days.select(*KEY, *DAY, D.acwr_label(F.round("acwr", 6)).alias("load_status"), D.hrv_cv_label(F.col("v")).alias("hrv_status"), D.mix_label(F.col("m")).alias("mix_status"))
+
+
 ILL = f"""dayz AS (SELECT s.athlete_id, s.date, round(strain, 6) AS strain, r.hrv, hrv_weekly, rhr, sleep_score, sleep_minutes, pure_recovery, tsb, acwr, ctl_ramp, trimp FROM strain s
   LEFT JOIN rec r USING (athlete_id, date) JOIN (SELECT athlete_id, date, tsb, ctl_ramp FROM fitness) USING (athlete_id, date) JOIN (SELECT athlete_id, date, acwr FROM acwr) USING (athlete_id, date)),
 ill AS (SELECT *, f1::BIGINT + f2::BIGINT + f3::BIGINT + f4::BIGINT AS illness_count FROM (SELECT *, coalesce(hrv < hrv_weekly * 0.9::DOUBLE, false) AS f1, coalesce(rhr > 46, false) AS f2,

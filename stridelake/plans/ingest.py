@@ -46,39 +46,53 @@ def landing(spark, d):
     """A response for each event: objects nested one to four deep, some as lists."""
     v, k = F.col("value"), F.col("event_id")
     n = lambda **kv: F.struct(*(x.alias(name) for name, x in kv.items()))
+    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    latest = n(trainingStatus=F.when(k % 2 == 0, "PEAKING"), acuteLoad=F.lit(0).cast("long"), recoveryTime=F.when(k % 3 == 0, k % 24), vo2Max=F.when(k % 4 > 0, 45 + k % 15), loadFocus=F.when(k % 3 > 0, "BALANCED"), anaerobicLoad=F.when(k % 5 > 0, k % 70), highAerobicLoad=k % 13)
+    scores = n(overall=n(value=F.when(k % 3 > 0, 50 + k % 50)), remPercentage=n(value=k % 30), lightPercentage=n(value=40 + k % 20), deepPercentage=n(value=k % 25))
     body = n(
-        hrvSummary=n(weeklyAvg=F.floor(v), lastNightAvg=F.when(k % 7 > 0, k % 90), status=F.col("event_type")),
-        dailySleepDTO=n(sleepScores=n(overall=n(value=F.when(k % 3 > 0, 50 + k % 50))), sleepTimeSeconds=k % 30000),
-        sleepScore=k % 40, bodyBatteryHighestValue=k % 100, averageStressLevel=F.when(k % 4 > 0, k % 60), restingHeartRate=F.lit(0).cast("long"), score=k % 80, recoveryTime=k % 24, hrvFactorPercent=k % 10,
-        latest=n(status=F.when(k % 2 == 0, "PEAKING"), acuteLoad=F.lit(0).cast("long")), status=F.lit("BASE"), acuteLoad=k % 500, balance=n(anaerobic=F.when(k % 5 > 0, k % 70)), anaerobic=k % 11, highAerobic=k % 13, lowAerobic=k % 17,
-        generic=n(vo2MaxPreciseValue=F.when(k % 6 > 0, 40 + k % 20)), vo2MaxValue=k % 3, heartRate=150 + k % 30, speed=k % 5, totalSteps=k % 20000, stepGoal=F.lit(8000), floorsAscended=k % 9, moderateIntensityMinutes=k % 45, vigorousIntensityMinutes=k % 20,
-        activityId=k, duration=k % 7200, distance=k % 40000, startTimeGMT=F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), heartRateValues=F.array(F.array(k, 60 + k % 80), F.array(k + 1, F.when(k % 3 > 0, 70 + k % 50)), F.array(k + 2, F.lit(0).cast("long"))),
+        hrvSummary=n(weeklyAvg=F.floor(v), lastNightAvg=F.when(k % 7 > 0, k % 90), lastNight5MinHigh=k % 120, status=F.col("event_type"), feedbackPhrase=F.when(k % 5 > 0, F.concat(F.lit("HRV_"), k % 3))),
+        hrvReadings=F.slice(F.array(F.lit(1), F.lit(2)), F.lit(1), (k % 3).cast("int")),
+        dailySleepDTO=n(sleepScores=scores, sleepTimeSeconds=k % 30000, sleepStartTimestampGMT=1700000000000 + k, sleepEndTimestampGMT=1700000000001 + k, awakeCount=k % 6, averageSpO2Value=90 + k % 10, averageRespirationValue=12 + k % 6),
+        bodyBatteryHighestValue=k % 100, bodyBatteryLowestValue=k % 40, averageStressLevel=F.when(k % 4 > 0, k % 60), maxStressLevel=k % 95, restingHeartRate=F.lit(0).cast("long"),
+        score=k % 80, recoveryTime=k % 24, sleepScore=k % 40, hrvFactorPercent=k % 10,
+        mostRecentTrainingStatus=n(latestTrainingStatusData=latest, trainingStatus=F.when(k % 9 > 0, "BASE"), acuteLoad=F.when(k % 3 > 0, k % 200)),
+        trainingStatus=F.lit("MAINTAINING"), acuteLoad=k % 500, vo2Max=k % 50, anaerobicLoad=k % 11, lowAerobicLoad=k % 17,
+        generic=n(vo2MaxPreciseValue=F.when(k % 6 > 0, 40 + k % 20)), vo2MaxValue=k % 3, lactateThresholdHeartRate=150 + k % 30, lactateThresholdSpeed=k % 5,
+        totalSteps=k % 20000, stepsGoal=F.lit(8000), floorsAscended=k % 9, moderateIntensityMinutes=k % 45, vigorousIntensityMinutes=k % 20,
+        activityId=k, activityName=F.concat(F.lit("act_"), k % 7), activityType=n(typeId=k % 12), duration=k % 7200, distance=k % 40000, calories=k % 900, averageHR=F.when(k % 11 > 0, 110 + k % 75), maxHR=150 + k % 50, startTimeGMT=F.when(k % 5 > 0, stamp), startTimeLocal=F.when(k % 7 > 0, stamp), trainingLoad=k % 300, aerobicTrainingEffect=k % 6, anaerobicTrainingEffect=k % 4,
+        heartRateValues=F.array(F.array(k, 60 + k % 80), F.array(k + 1, F.when(k % 3 > 0, 70 + k % 50)), F.array(k + 2, F.lit(0).cast("long"))),
     )
     one = F.to_json(body)
     return events(spark, d).select((F.col("user_id") % 25).alias("athlete_id"), F.to_date("ts").alias("date"), F.when(k % 10 == 0, F.concat(F.lit("["), one, F.lit("]"))).otherwise(one).alias("payload"), k.alias("event_id"))
 
 
+def _d(**columns: str) -> str:
+    """SQL of double columns: 0 counts as missing."""
+    return ", ".join(f"nullif({x}, 0)::DOUBLE AS {c}" for c, x in columns.items())
+
+
 #: For each table, its columns in SQL over event_id k and value.
 JSON_SQL = {
-    "hrv": "nullif(floor(value), 0)::DOUBLE AS weekly_avg, CASE WHEN k % 7 > 0 THEN nullif(k % 90, 0) END::DOUBLE AS last_night_avg, event_type AS status",
-    "sleep": "coalesce(CASE WHEN k % 3 > 0 THEN 50 + k % 50 END, nullif(k % 40, 0))::DOUBLE AS sleep_score, nullif(k % 30000, 0)::DOUBLE AS seconds",
-    "daily_health": "nullif(k % 100, 0)::DOUBLE AS body_battery_highest, CASE WHEN k % 4 > 0 THEN nullif(k % 60, 0) END::DOUBLE AS stress_average, NULL::DOUBLE AS resting_heart_rate",
-    "training_readiness": "nullif(k % 80, 0)::DOUBLE AS score, nullif(k % 24, 0)::DOUBLE AS recovery_time, nullif(k % 10, 0)::DOUBLE AS hrv_factor_percent",
-    "training_status": "CASE WHEN k % 2 = 0 THEN 'PEAKING' ELSE 'BASE' END AS training_status, nullif(k % 500, 0)::DOUBLE AS acute_load, nullif(k % 24, 0)::DOUBLE AS recovery_time",
-    "load_focus": "coalesce(CASE WHEN k % 5 > 0 THEN nullif(k % 70, 0) END, nullif(k % 11, 0))::DOUBLE AS anaerobic_load, nullif(k % 13, 0)::DOUBLE AS high_aerobic_load, nullif(k % 17, 0)::DOUBLE AS low_aerobic_load",
-    "vo2_max": "coalesce(CASE WHEN k % 6 > 0 THEN 40 + k % 20 END, nullif(k % 3, 0))::DOUBLE AS vo2_max",
-    "lactate_threshold": "(150 + k % 30)::DOUBLE AS lt_heart_rate, nullif(k % 5, 0)::DOUBLE AS lt_speed",
-    "movement": "nullif(k % 20000, 0)::DOUBLE AS steps, 8000::DOUBLE AS steps_goal, nullif(k % 9, 0)::DOUBLE AS floors_ascended",
-    "intensity": "nullif(k % 45, 0)::DOUBLE AS moderate_min, nullif(k % 20, 0)::DOUBLE AS vigorous_min",
-    "activities": "nullif(k, 0)::VARCHAR AS activity_id, nullif(k % 7200, 0)::DOUBLE AS duration_seconds, nullif(k % 40000, 0)::DOUBLE AS distance_meters, strftime(ts, '%Y-%m-%d %H:%M:%S') AS start_time_utc",
+    "hrv": _d(weekly_avg="floor(value)", last_night_avg="CASE WHEN k % 7 > 0 THEN k % 90 END", last_night_5min_high="k % 120") + ", event_type AS status, CASE WHEN k % 5 > 0 THEN 'HRV_' || (k % 3) END AS feedback_text, k % 3 AS sample_count",
+    "sleep": _d(sleep_score="CASE WHEN k % 3 > 0 THEN 50 + k % 50 END", rem_sleep_percentage="k % 30", light_sleep_percentage="40 + k % 20", deep_sleep_percentage="k % 25", awake_count="k % 6", avg_spo2="90 + k % 10", avg_respiration="12 + k % 6") + ", (1700000000000 + k)::VARCHAR AS sleep_start_time, (1700000000001 + k)::VARCHAR AS sleep_end_time, k % 30000 // 60 AS duration_minutes",
+    "daily_health": _d(body_battery_highest="k % 100", body_battery_lowest="k % 40", stress_average="CASE WHEN k % 4 > 0 THEN k % 60 END", stress_max="k % 95", resting_heart_rate="0"),
+    "training_readiness": _d(score="k % 80", recovery_time="k % 24", sleep_score="k % 40", hrv_factor_percent="k % 10"),
+    "training_status": "CASE WHEN k % 2 = 0 THEN 'PEAKING' WHEN k % 9 > 0 THEN 'BASE' END AS training_status, CASE WHEN k % 3 > 0 THEN 'BALANCED' END AS load_focus, " + _d(acute_load="CASE WHEN k % 3 > 0 THEN k % 200 END", recovery_time="CASE WHEN k % 3 = 0 THEN k % 24 END"),
+    "load_focus": _d(anaerobic_load="coalesce(CASE WHEN k % 5 > 0 THEN nullif(k % 70, 0) END, k % 11)", high_aerobic_load="k % 13", low_aerobic_load="k % 17", vo2_max="CASE WHEN k % 4 > 0 THEN 45 + k % 15 ELSE k % 50 END", recovery_time="CASE WHEN k % 3 = 0 THEN k % 24 END"),
+    "vo2_max": _d(vo2_max="coalesce(CASE WHEN k % 6 > 0 THEN 40 + k % 20 END, k % 3)"),
+    "lactate_threshold": _d(lt_heart_rate="150 + k % 30", lt_speed="k % 5"),
+    "movement": _d(steps="k % 20000", steps_goal="8000", floors_ascended="k % 9"),
+    "intensity": _d(moderate_min="k % 45", vigorous_min="k % 20") + ", (k % 45 + k % 20)::DOUBLE AS total_intensity_min",
+    "activities": "nullif(k, 0)::VARCHAR AS activity_id, 'act_' || (k % 7) AS activity_name, nullif(k % 12, 0)::VARCHAR AS activity_type_id, " + _d(duration_seconds="k % 7200", distance_meters="k % 40000", calories="k % 900", avg_heart_rate="CASE WHEN k % 11 > 0 THEN 110 + k % 75 END", max_heart_rate="150 + k % 50", epoc_load="k % 300", aerobic_te="k % 6", anaerobic_te="k % 4") + ", CASE WHEN k % 7 > 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS start_time, CASE WHEN k % 5 > 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS start_time_utc",
+    "training_status_history": "CASE WHEN k % 2 = 0 THEN 'PEAKING' WHEN k % 9 > 0 THEN 'BASE' ELSE 'MAINTAINING' END AS training_status, " + _d(acute_load="coalesce(CASE WHEN k % 3 > 0 THEN nullif(k % 200, 0) END, k % 500)", recovery_time="k % 24", vo2_max="CASE WHEN k % 4 > 0 THEN 45 + k % 15 ELSE k % 50 END"),
 }
-for _i, _name in enumerate(["activities", "hrv", "vo2_max", "sleep", "daily_health", "training_readiness", "training_status", "load_focus", "lactate_threshold", "movement", "intensity"]):
+for _label, _name in [*((f"e{i:02d}_json_{t}", t) for i, t in enumerate(["activities", "hrv", "vo2_max", "sleep", "daily_health", "training_readiness", "training_status", "load_focus", "lactate_threshold", "movement", "intensity"], 1)), ("e08_json_training_status_history", "training_status_history")]:
 
     def _extract(spark, d, name=_name):
         return G.extracted(landing(spark, d), name)
 
-    _keep = " OR ".join(f"{c} IS NOT NULL" for c in G.EXTRACTORS[_name][1])
-    query(f"e{_i + 1:02d}_json_{_name}", sql(f"SELECT * FROM (SELECT user_id % 25 AS athlete_id, CAST(ts AS DATE) AS date, {JSON_SQL[_name]} FROM (SELECT *, event_id AS k FROM events)) WHERE {_keep}"))(_extract)
+    _date = "CASE WHEN k % 35 > 0 THEN CAST(ts AS DATE) END" if _name == "activities" else "CAST(ts AS DATE)"
+    query(_label, sql(f"SELECT * FROM (SELECT user_id % 25 AS athlete_id, {_date} AS date, {JSON_SQL[_name]} FROM (SELECT *, event_id AS k FROM events)) WHERE {G.EXTRACTORS[_name][1]}"))(_extract)
 
 
 @query("e13_heart_rate_summary", sql("p AS (SELECT user_id % 25 AS athlete_id, CAST(ts AS DATE) AS date, unnest([60 + event_id % 80, CASE WHEN event_id % 3 > 0 THEN 70 + event_id % 50 END, 0]) AS hr FROM events WHERE event_id % 10 >= 0) SELECT athlete_id, date, round(avg(hr), 6) AS avg_hr, min(hr)::DOUBLE AS min_hr, max(hr)::DOUBLE AS max_hr FROM p WHERE hr > 0 GROUP BY 1, 2"))
@@ -135,6 +149,14 @@ def s11(spark, d):
     return T.unseen(events(spark, d).select("event_id", "user_id"), known, ["user_id"])
 
 
+@query("s12_changed_files", sql("SELECT path, mtime FROM (SELECT event_id, 'f/' || event_id AS path, epoch_us(ts) // 1000000 AS mtime FROM events) WHERE event_id % 5 = 0 OR event_id % 3 = 2 OR event_id % 7 = 0"))
+def s12(spark, d):
+    k = F.col("event_id")
+    files = events(spark, d).select("event_id", F.concat(F.lit("f/"), k).alias("path"), F.unix_timestamp("ts").alias("mtime"))
+    cache = files.filter(k % 5 > 0).select("path", (F.col("mtime") + k % 3).alias("mtime"), F.when(k % 7 == 0, 1).otherwise(2).alias("version"))
+    return T.changed_files(files, cache, 2).select("path", "mtime")
+
+
 @query("s13_incremental_window", sql("SELECT activity_id, date FROM activities WHERE date >= (SELECT max(date) FROM activities) - 3"))
 def s13(spark, d):
     a = acts(spark, d)

@@ -53,6 +53,15 @@ def unseen(rows: DataFrame, known: DataFrame, key: list[str]) -> DataFrame:
     return rows.join(known.select(*key).distinct(), key, "left_anti")
 
 
+def changed_files(files: DataFrame, cache: DataFrame, version: int, tolerance_s: float = 1.0) -> DataFrame:
+    """The files (path, mtime) whose cached metadata (path, mtime, version) cannot be reused: no entry of this version has the
+    path and a time at most tolerance_s away. Rows with a null path or time count as changed. The join is on the path."""
+    valid = cache.filter(F.col("version") == version).select("path", F.col("mtime").alias("_cached"))
+    apart = F.abs(F.col("mtime").cast("double") - F.col("_cached").cast("double"))
+    same = files.select("path", "mtime").join(valid, "path").filter(apart <= tolerance_s).select("path", "mtime").distinct()
+    return files.join(same, ["path", "mtime"], "left_anti").select(*files.columns)
+
+
 def trimmed_header(df: DataFrame) -> DataFrame:
     """Column names without quotes and blanks around them."""
     return df.toDF(*(c.strip().strip('"').strip() for c in df.columns))

@@ -211,3 +211,42 @@ def test_registry_names_match():
     from stridelake.plans import registry
 
     assert set(registry.oracle_sql()) <= set(registry.queries()) and len(registry.queries()) > 100
+
+
+def landed(spark, *payloads):
+    return spark.createDataFrame([(1, DAY, p) for p in payloads], "athlete_id long, date date, payload string")
+
+
+def test_hrv_response_is_kept_for_readings_or_a_night(spark):
+    rows = I.extracted(landed(spark, '{"hrvReadings": [1, 2]}', '{"hrvSummary": {"lastNightAvg": 40, "lastNight5MinHigh": 0}}', '{"hrvSummary": {"weeklyAvg": 40}}', "{}", None, "no json"), "hrv").collect()
+    assert sorted((r.sample_count, r.last_night_avg, r.last_night_5min_high) for r in rows if r.last_night_avg) == [(0, 40.0, None)]
+    assert sorted(r.sample_count for r in rows) == [0, 2]
+
+
+def test_activity_takes_the_date_of_its_start(spark):
+    rows = I.extracted(landed(spark, '{"activityId": 1, "startTimeGMT": "2024-03-01 23:00:00", "startTimeLocal": "2024-03-02 00:00:00"}', '{"activityId": 2, "startTimeLocal": "2024-03-02 00:00:00"}', '{"activityId": 3}'), "activities").collect()
+    assert sorted((r.activity_id, r.date) for r in rows) == [("1", dt.date(2024, 3, 1)), ("2", dt.date(2024, 3, 2))]
+
+
+def test_sleep_is_in_whole_minutes_and_intensity_keeps_zeros(spark):
+    rows = I.extracted(landed(spark, '{"dailySleepDTO": {"sleepTimeSeconds": 119}}', '{"dailySleepDTO": {"sleepTimeSeconds": 59}}'), "sleep").collect()
+    assert [(r.duration_minutes, r.sleep_score) for r in rows] == [(1, None)]
+    assert [r.total_intensity_min for r in I.extracted(landed(spark, '{"vigorousIntensityMinutes": 5}', "{}", None), "intensity").collect()] == [5.0, 0.0]
+
+
+def test_training_status_history_falls_back_to_the_top(spark):
+    both = landed(spark, '{"mostRecentTrainingStatus": {"latestTrainingStatusData": {"acuteLoad": 0}, "acuteLoad": 7}, "acuteLoad": 9}', '{"acuteLoad": 9}')
+    assert sorted(r.acute_load for r in I.extracted(both, "training_status_history").collect()) == [7.0, 9.0]
+    assert [r.acute_load for r in I.extracted(both, "training_status").collect()] == [7.0]
+
+
+def test_changed_files(spark):
+    files = spark.createDataFrame([("a", 100), ("b", 100), ("c", 100), ("d", 100), (None, 100), ("e", None)], "path string, mtime long")
+    cache = spark.createDataFrame([("a", 101, 2), ("a", 300, 2), ("b", 102, 2), ("c", 100, 1), (None, 100, 2), ("e", None, 2)], "path string, mtime long, version int")
+    assert {r.path for r in T.changed_files(files, cache, 2).collect()} == {"b", "c", "d", None, "e"}
+    assert T.changed_files(files, cache.limit(0), 2).count() == 6
+
+
+@pytest.mark.parametrize("label, value, text", [(D.hrv_cv_label, 9.9, "stable"), (D.hrv_cv_label, 10.0, "raised"), (D.hrv_cv_label, 15.0, "high stress"), (D.hrv_cv_label, None, ""), (D.mix_label, 80.0, "high"), (D.mix_label, 60.0, "reduced"), (D.mix_label, 59.9, "low"), (D.mix_label, None, "")])
+def test_status_labels(spark, label, value, text):
+    assert one(spark, label(F.lit(value).cast("double"))) == text
