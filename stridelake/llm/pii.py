@@ -4,7 +4,8 @@ Detected entities (mail and IP addresses, phone, card and identity numbers, secr
 surrogates made from a keyed digest of the entity: of the same type, gender, script and format, the same for the same entity
 in every document (coreference), and others for others. The entities of the corpus are checked for collisions: where two
 have one surrogate, or a surrogate is itself an entity of the corpus, all but one go on to their next digest until none
-collides. A first digest is computed in place, so texts are joined with nothing unless an entity in them had to go on.
+collides. Later digests draw from spaces that grow with the attempt, so that this ends however many entities of a short form
+there are. A first digest is computed in place, so texts are joined with nothing unless an entity in them had to go on.
 """
 
 from __future__ import annotations
@@ -37,11 +38,15 @@ _MAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0
 _SECRET = r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,64}+(?![0-9A-Za-z])"
 _IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])"
 _CARD = r"(?<![0-9A-Za-z])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])"
-_PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}(?:[ .\-]?\([0-9]{1,4}\)|[ .\-][0-9]{1,4})(?:[ .\-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})(?![0-9])"
+_SEVEN = "(?<=[0-9]" + r"[ .\-()]{0,2}[0-9]" * 6 + ")"
+#: After a plus, seven digits at least (the lookbehind cannot pass the plus), and no decimal below one: no country code is 0.
+_PHONE = r"(?<![0-9A-Za-z])(?:\+(?!0\.)[0-9]{1,3}(?:[ .\-]?\([0-9]{1,4}\)|[ .\-][0-9]{1,4})(?:[ .\-]?[0-9]{2,4}){1,4}" + _SEVEN + r"|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})(?![0-9])"
 _IDENTITY = r"(?<![0-9A-Za-z\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
 _ANY_TITLE = "(?:" + "|".join(t for titles in TITLES.values() for t in titles) + ")"
 _NAME = rf"(?<!\p{{L}}){_ANY_TITLE}\.? \p{{Lu}}[\p{{Ll}}']+(?:[ \-]\p{{Lu}}[\p{{Ll}}']+){{0,2}}"
 ENTITY = "|".join([_MAIL, _SECRET, _IP, _CARD, _PHONE, _IDENTITY, _NAME])
+#: Attempts in the length and range of the entity; each further one has one digit more (octets up to 999).
+SAME_LENGTH = 5
 #: Every entity has one of these; texts without any are not searched further.
 GATE = rf"[0-9@]|{_ANY_TITLE}[. ]"
 
@@ -97,18 +102,24 @@ def entity_digest(key: str, kind: Column, canon: Column, attempt: Column) -> Col
 def surrogate(key: str, kind: Column, canon: Column, attempt: Column, d: Column) -> Column:
     """The canonical surrogate of an entity at its attempt (0 first), from its digest. All arguments but the key are used often:
     give columns or fields, not expressions."""
-    again = F.when(attempt > 0, F.substring(_letters(d), 60, 6)).otherwise("")  # more room once short forms have collided
+    # More room once short forms have collided: each attempt has more letters, syllables or digits.
+    again = F.when(attempt > 0, F.substr(_letters(d), F.lit(60), attempt + 5)).otherwise("")
+    longer = F.greatest(F.lit(0), attempt - SAME_LENGTH)
     local = F.substring_index(canon, "@", 1)
     like = lambda c, i: F.when(c.rlike("[0-9]"), F.substr(_numbers(d), i % 128 + 1, F.lit(1))).when(c.rlike("[a-z]"), F.substr(_letters(d), i % 128 + 1, F.lit(1))).otherwise(c)
     mail = F.concat(F.array_join(F.transform(F.split(local, ""), like), ""), again, F.lit("@"), F.substring(_letters(d), 40, 8), F.lit(".example.net"))
-    digits = F.concat(F.substring(canon, 1, 1), F.substr(_numbers(d), F.lit(1), F.length(canon) - 1))
-    octets = F.concat_ws(".", (240 + _byte(d, 1) % 16).cast("string"), *(_byte(d, at).cast("string") for at in (3, 5, 7)))
+    same_first = F.concat(F.substring(canon, 1, 1), F.substr(_numbers(d), F.lit(1), F.length(canon) - 1))
+    digits = F.when(attempt > 0, F.substr(_numbers(d), F.lit(1), F.length(canon) + longer)).otherwise(same_first)
+    octet = lambda at: F.when(longer > 0, F.substring(_numbers(d), 3 * at, 3).cast("int")).otherwise(_byte(d, at)).cast("string")
+    octets = F.concat_ws(".", (240 + _byte(d, 1) % 16).cast("string"), *(octet(at) for at in (3, 5, 7)))
     gender, words = F.substring(canon, 1, 1), F.split(F.substr(canon, F.lit(3)), "[ \\-]")
     family = F.element_at(words, -1)
 
     def name(script: str) -> Column:
         own = _digest(key, F.lit("family"), family, attempt.cast("string"))
-        last = F.initcap(F.concat(*(_pick(SYLLABLES[script], own, at) for at in (1, 2, 3, 4)), F.when(attempt > 0, _pick(SYLLABLES[script], d, 9)).otherwise("")))
+        syllable = lambda h: F.get(F.array(*map(F.lit, SYLLABLES[script])), F.conv(h, 16, 10).cast("int"))
+        more = F.array_join(F.transform(F.split(F.substr(d, F.lit(9), attempt), ""), syllable), "")
+        last = F.initcap(F.concat(*(_pick(SYLLABLES[script], own, at) for at in (1, 2, 3, 4)), F.when(attempt > 0, more).otherwise("")))
         first = F.when(gender == "f", _pick(GIVEN["f", script], d, 5)).otherwise(_pick(GIVEN["m", script], d, 5))
         return F.when(F.size(words) > 1, F.concat_ws(" ", first, last)).otherwise(last)
 
@@ -123,9 +134,10 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column, d: Column)
 
 
 def rendered(m: Column, kind: Column, made: Column) -> Column:
-    """A canonical surrogate in the format of the mention it replaces."""
+    """A canonical surrogate in the format of the mention it replaces; digits it has more follow the last."""
     place = lambda i: F.length(F.regexp_replace(F.substr(m, F.lit(1), i + 1), "[^0-9]", ""))  # noqa: E731  a mention is short
     spaced = F.array_join(F.transform(F.split(m, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substr(made, place(i), F.lit(1))).otherwise(c)), "")
+    spaced = F.concat(spaced, F.substr(made, place(F.length(m)) + 1))
     upper = m == F.upper(m)
     return (
         F.when(kind.isin("card", "phone", "identity"), spaced)
@@ -140,11 +152,14 @@ def mentions(text: Column) -> Column:
     return F.when(text.rlike(GATE), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
-def attempts(entities: DataFrame, key: str, rounds: int = 20) -> DataFrame | None:
-    """The entities (kind, canon; distinct and stored) that need an attempt above 0, with it; None if there is none."""
+def attempts(entities: DataFrame, key: str) -> DataFrame | None:
+    """The entities (kind, canon; distinct and stored) that need an attempt above 0, with it; None if there is none.
+
+    There is no last round: the space of a surrogate is ten times as large or more at each attempt over SAME_LENGTH, so the
+    entities that collide soon run out."""
     settled = entities.withColumn("attempt", F.lit(0))
     moved = False
-    for _ in range(rounds):
+    while True:
         digested = settled.withColumn("d", entity_digest(key, F.col("kind"), F.col("canon"), F.col("attempt")))
         made = digested.select("kind", "canon", "attempt", surrogate(key, *map(F.col, ("kind", "canon", "attempt", "d"))).alias("made"))
         lowered = F.when(F.col("kind") == "name", F.lower("made")).otherwise(F.col("made"))
@@ -158,7 +173,6 @@ def attempts(entities: DataFrame, key: str, rounds: int = 20) -> DataFrame | Non
         if not judged.filter("clash").limit(1).count():
             return settled.filter("attempt > 0") if moved else None
         moved = True
-    raise RuntimeError(f"surrogates still collide after {rounds} rounds")
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -315,6 +315,26 @@ def test_surrogates(spark):
     assert pii.pseudonymise(docs.limit(0), "k").count() == 0
 
 
+def test_signed_decimals_are_no_phones(spark):
+    texts = ["rose +0.123 and +1 2 34, then +0.12345678", "+1 2 34 5 6789 12", "call +683 4000 or +1 (555) 123-4567"]
+    got = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    assert got[:2] == texts[:2] and "683 4000" not in got[2] and "123-4567" not in got[2]
+
+
+def test_crowded_entities_settle(spark):
+    """All numbers of a first digit and a length, all numbers of two digits, and many single surnames."""
+    from pyspark.sql import functions as F
+
+    entities = [("phone", str(i)) for i in range(1000, 2000)] + [("identity", f"{i:02}") for i in range(100)] + [("name", f"m:x{i}") for i in range(3000)]
+    held = spark.createDataFrame(entities, "kind string, canon string")
+    made = held.join(pii.attempts(held, "k"), ["kind", "canon"], "left").na.fill(0, ["attempt"])
+    made = made.withColumn("d", pii.entity_digest("k", *map(F.col, ("kind", "canon", "attempt"))))
+    made = made.withColumn("made", pii.surrogate("k", *map(F.col, ("kind", "canon", "attempt", "d")))).collect()
+    surrogates = {(r.kind, r.made.lower()) for r in made}
+    assert len(made) == len(surrogates) == len(entities) and not surrogates & set(entities)
+    assert spark.range(1).select(pii.rendered(F.lit("+1 23-4"), F.lit("phone"), F.lit("567890"))).first()[0] == "+5 67-890"
+
+
 def test_surrogates_stay_distinct(spark, monkeypatch):
     """Where first surrogates collide, entities go on, and the result is the same by broadcast and by shuffle."""
     original = pii.surrogate
