@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stridelake.llm import decontam, packing, pii, quality, simhash
-from stridelake.llm.common import stored, table
+from stridelake.llm.common import fresh, stored, table
 from stridelake.llm.queries import PII_KEY, tokenizer_path
 
 
@@ -21,17 +21,22 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that with the smallest doc_id, or, if rows repeat it, one of them.
-
-    The keepers are joined as ids, always by a shuffle: they grow with the corpus, so they are never broadcast."""
-    found = simhash.near_duplicates(docs)
-    keepers = stored(found.filter("doc_id = component_id").select("doc_id").distinct())
-    kept = docs.join(keepers.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
-    repeated = stored(docs.groupBy("doc_id").count().filter("count > 1").select("doc_id"))
-    if not repeated.limit(1).count():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    return once.unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    """One row of each group of near copies stays: that with the smallest doc_id (nulls last), then by fingerprint and text hash.
+
+    Rows are told apart by doc_id and text, so a group keeps its row whatever its ids: null, or shared with other groups.
+    The keepers are joined always by a shuffle: they grow with the corpus, so they are never broadcast."""
+    keepers = stored(simhash.keepers(docs)).withColumnRenamed("doc_id", "_id")
+    (text_hash,) = fresh(docs, "_hash")
+    hashed = docs.withColumn(text_hash, F.xxhash64("text"))
+
+    def kept(keys: DataFrame) -> DataFrame:
+        same = hashed["doc_id"].cast("long").eqNullSafe(keys["_id"]) & (hashed[text_hash] == keys["text_hash"])
+        return hashed.join(keys.hint("merge"), same, "left_semi")
+
+    if not keepers.filter("n > 1").limit(1).count():
+        return kept(keepers).select(*docs.columns)
+    repeated = kept(keepers.filter("n > 1")).dropDuplicates(["doc_id", text_hash])
+    return kept(keepers.filter("n = 1")).unionByName(repeated).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,15 +43,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, block: int = 1 << 16)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a long). Null text counts as a text without words. Repeated rows stay."""
+def fingerprints(docs: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, fp (the fingerprint's bits as a long) and the carried columns (longs). Null text counts as a text without words.
+    Repeated rows stay."""
+    names = ["doc_id", "fp", *carried]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = np.array([fingerprint(t.as_py()) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits), *batch.columns[2:]], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text", *carried).mapInArrow(score, ", ".join(f"{n} long" for n in names))
 
 
 def _half(fp, half: int):
@@ -110,6 +112,12 @@ def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def rooted(nodes: DataFrame) -> DataFrame:
+    """nodes (column fp, distinct; stored) with root, the least fingerprint of each one's component."""
+    roots = components(links(nodes.select("fp")))
+    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id reachable over fingerprints that differ in at most 2 bits.
 
@@ -117,12 +125,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     a null doc_id takes part but is never a component's id unless the component has no other. An empty table gives none."""
     held = stored(fingerprints(docs))
     nodes = stored(held.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(nodes.select("fp")))
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_fp = rooted.join(ids, "root").select("fp", "component_id")
+    found = rooted(nodes)
+    ids = found.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    by_fp = found.join(ids, "root").select("fp", "component_id")
     return held.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def keepers(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash (xxhash64 of the text) and n (rows that have both) of one row of every component: that with the least
+    doc_id, nulls last, then the least fingerprint and text hash."""
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    rows = fingerprints(hashed, "text_hash").groupBy("fp", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "text_hash", "n")
+    found = rooted(stored(rows.groupBy("fp").agg(F.min(first).alias("first"))))
+    return found.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.text_hash", "first.n")
+
+
 def hex_digits(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -47,3 +47,14 @@ def test_repeated_rows_and_empty(spark, tmp_path):
     got = P.near_dedup(spark, docs, "").collect()
     assert sorted(r.doc_id for r in got) == [1, 2]
     assert P.near_dedup(spark, docs.limit(0), "").count() == 0
+
+
+def test_every_group_keeps_a_row(spark):
+    """Null ids, and an id whose two texts lie in two groups, one of them with another id."""
+    a, b, c, d = (prose(i, 50) for i in (11, 12, 13, 14))
+    rows = [(None, a), (None, a), (None, b), (5, c), (5, d), (7, d), (None, d), (4, c), (9, None)]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], COLUMNS)
+    got = P.near_dedup(spark, docs, "").collect()
+    assert sorted(((r.doc_id or 0, r.text or "") for r in got)) == sorted([(0, a), (0, b), (4, c), (5, d), (9, "")])
+    shared = docs.filter("doc_id = 5")
+    assert sorted(r.text for r in P.near_dedup(spark, shared.unionByName(shared), "").collect()) == sorted([c, d])
