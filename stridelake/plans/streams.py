@@ -55,4 +55,4 @@ def st2(spark, d):
     path = folder(spark)
     stream = events(spark, d).select("event_id", "user_id", "value")
     stream.writeStream.foreachBatch(J.upsert_sink(f"{path}/table", ["event_id"])).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{path}/table/v=0")
+    return J.latest(spark, f"{path}/table")

@@ -13,10 +13,15 @@ from stridelake.sources.tables import upserted
 
 
 def stream_of(spark: SparkSession, path: str) -> DataFrame:
-    """ST1: files of a folder, or one table, as a stream with the schema of what is there."""
-    schema = spark.read.parquet(path).schema
+    """ST1: files of a folder, or one table (a file, or a folder of part files), as a stream with the schema of what is there."""
+    found = spark.read.parquet(path)
+    stream = spark.readStream.schema(found.schema)
     folder, _, name = path.rstrip("/").rpartition("/")
-    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path) if not name.endswith(".parquet") else spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    if not name.endswith(".parquet"):
+        return stream.option("pathGlobFilter", "*.parquet").parquet(path)
+    if any(f"/{name}/" in file for file in found.inputFiles()):
+        return stream.parquet(path)
+    return stream.option("pathGlobFilter", name).parquet(folder)
 
 
 def unseen(events: DataFrame, key: str, delay: str = "3 days") -> DataFrame:
@@ -83,6 +88,12 @@ def upsert_sink(path: str, key: list[str]) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """ST2: the version with the greatest number."""
+    number = spark.read.parquet(path).agg(F.max("v")).first()[0]
+    return spark.read.parquet(f"{path}/v={number}")
+
+
 def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there, into Parquet (append) or, in complete mode, a table of the last state."""
     spark = stream.sparkSession

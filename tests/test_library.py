@@ -199,6 +199,21 @@ def test_upsert_and_unseen(spark):
     assert [tuple(r) for r in T.unseen(new, old, ["k"]).collect()] == [(3, 9)]
 
 
+def test_streams_read_tables_of_part_files(spark, tmp_path):
+    from stridelake.plans import streams
+    from stridelake.streaming import jobs as J
+
+    rows = spark.range(40).selectExpr("id AS event_id", "id % 3 AS user_id", "cast(id AS double) AS value", "'view' AS event_type", "timestamp_ntz'2024-01-01 00:00:00' AS ts")
+    rows.repartition(4).write.parquet(f"{tmp_path}/events.parquet")
+    for name in (streams.st1, streams.st2, streams.st3):
+        assert name(spark, str(tmp_path)).count() == (3 if name is streams.st3 else 40)
+    write = J.upsert_sink(f"{tmp_path}/table", ["event_id"])
+    write(rows.select("event_id", "value"), 0)
+    write(rows.selectExpr("event_id + 20 AS event_id", "-1.0D AS value"), 1)
+    got = {r.event_id: r.value for r in J.latest(spark, f"{tmp_path}/table").collect()}
+    assert len(got) == 60 and got[19] == 19 and got[20] == got[59] == -1
+
+
 def test_duplicate_sessions(spark):
     names = "athlete_id long, start_t long, file_id long, source string, n_records long, n_rr long, density double, sensor string, size long"
     rows = [(1, 0, 1, "primary", 100, 0, 0.95, "optical", 1), (1, 1800, 2, "secondary", 100, 0, 0.99, "strap", 1), (1, 3601, 3, "primary", 100, 0, 0.5, "unknown", 1), (1, 9000, 4, "primary", 100, 0, 0.5, "unknown", 1)]
