@@ -33,27 +33,51 @@ def within(a: DataFrame, b: DataFrame, metres: float) -> DataFrame:
     return left.join(near, ["_row", "_col"]).withColumn("distance_m", far).filter(F.col("distance_m") <= metres).drop("_row", "_col")
 
 
-def clusters(points: DataFrame, metres: float = DEFAULT.cluster_m, rounds: int = 50) -> DataFrame:
+def _components(pairs: DataFrame) -> DataFrame:
+    """node, root (the least node reachable) of an undirected graph of pairs (a, b), by alternating large and small stars: the
+    rounds grow with the logarithm of the longest chain. Ends when nothing changes."""
+    edges = pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct().checkpoint()
+    told = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        lower = large.groupBy("u").agg(F.min("v").alias("m"))
+        edges = large.join(lower, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct().checkpoint()
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == told:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        told = now
+
+
+def clusters(points: DataFrame, metres: float = DEFAULT.cluster_m) -> DataFrame:
     """D-42: points (point_id, lat, lon) with cluster_id, the least point_id that is reachable by steps of at most `metres`
-    (density clustering with one point enough). Points of one place are joined first; labels then spread along the links and
-    jump to their label's label, with checkpoints, until none changes."""
+    (density clustering with one point enough). Points of one place are joined first; the places are then joined along
+    their links, with checkpoints, until nothing changes."""
     known = points.filter("lat IS NOT NULL AND lon IS NOT NULL")
     places = known.groupBy("lat", "lon").agg(F.min("point_id").alias("place"))
     b = places.select(F.col("place").alias("place_b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
-    links = within(places, b, metres).select("place", "place_b").checkpoint()
-    labels = places.select("place", F.col("place").alias("label")).checkpoint()
-    for _ in range(rounds):
-        least = links.join(labels.withColumnRenamed("place", "place_b"), "place_b").groupBy("place").agg(F.min("label").alias("near"))
-        moved = labels.join(least, "place").select("place", F.least("label", "near").alias("_l"), F.col("label").alias("_old"))
-        jump = labels.select(F.col("place").alias("_l"), F.col("label").alias("_further"))
-        new = moved.join(jump, "_l").select("place", F.least("_l", "_further").alias("label"), "_old").checkpoint()
-        labels = new.select("place", "label")
-        if not new.filter("label <> _old").limit(1).count():
-            break
-    own = places.join(labels, "place").select("lat", "lon", F.col("label").alias("cluster_id"))
+    links = within(places, b, metres).filter("place > place_b").select(F.col("place").alias("a"), F.col("place_b").alias("b"))
+    roots = _components(links).withColumnRenamed("node", "place")
+    own = places.join(roots, "place", "left").select("lat", "lon", F.coalesce("root", "place").alias("cluster_id"))
     return known.join(own, ["lat", "lon"])
 
 
+def _ranked(df: DataFrame, *order: Column) -> DataFrame:
+    """df with rank (1 first) by a total order: row numbers within ranges of it, after the rows of the ranges before."""
+    ranged = df.orderBy(*order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    counts = {r["_range"]: r["count"] for r in ranged.groupBy("_range").count().collect()}  # a row for each partition
+    before, offsets = 0, []
+    for k in sorted(counts):
+        offsets.append((k, before))
+        before += counts[k]
+    if not offsets:
+        return ranged.withColumn("rank", F.lit(0).cast("long")).drop("_range")
+    start = F.broadcast(df.sparkSession.createDataFrame(offsets, "_range int, _before long"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn("_own", own).join(start, "_range").withColumn("rank", F.col("_before") + F.col("_own")).drop("_range", "_before", "_own")
+
+
 def hotspots(clustered: DataFrame, profile: Profile = DEFAULT, addresses: DataFrame | None = None) -> DataFrame:
     """D-43: a ranked row for each cluster that is likely enough or visited three times, from point rows with confidence,
     duration_min and date; the address is looked up by the centroid rounded to four decimals."""
@@ -67,11 +91,10 @@ def hotspots(clustered: DataFrame, profile: Profile = DEFAULT, addresses: DataFr
         F.array_sort(F.collect_set("date")).alias("_dates"),
     )
     g = g.filter((F.col("max_confidence") >= profile.min_confidence) | (F.col("visit_count") >= 3))
-    order = Window.partitionBy(F.lit(0)).orderBy(F.col("visit_count").desc(), F.col("avg_confidence").desc(), "cluster_id")
+    g = _ranked(g, F.col("visit_count").desc(), F.col("avg_confidence").desc(), F.col("cluster_id"))
     older = F.size("_dates") - 5
     last = F.array_join(F.transform(F.slice("_dates", F.greatest(F.lit(1), older + 1), F.lit(5)), lambda x: x.cast("string")), ", ")
     out = g.withColumns({
-        "rank": F.row_number().over(order).cast("long"),  # clusters are few
         "spot_category": spot_category(F.col("max_confidence"), F.col("avg_confidence"), F.col("visit_count")),
         "dates": F.when(older > 0, F.concat(last, F.lit(" + "), older.cast("string"), F.lit(" older"))).otherwise(last),
         "map_url": map_url(F.col("centroid_lat"), F.col("centroid_lon")),

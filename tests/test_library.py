@@ -165,6 +165,18 @@ def test_clusters_do_not_depend_on_order(spark):
         assert got == root
 
 
+def test_long_chain_is_one_cluster_and_ranks_run_on(spark):
+    """A label that has to travel back over a hundred places; ranks over several ranges."""
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    xy = [(i, 50 + k * 0.002, 14.0) for k, i in enumerate([*range(100, 200), 0])] + [(500, 10.0, 10.0)]
+    got = {r.point_id: r.cluster_id for r in G.clusters(spark.createDataFrame(xy, "point_id long, lat double, lon double")).collect()}
+    assert got == {i: 0 if i < 500 else 500 for i, *_ in xy}
+    spots = spark.range(40).selectExpr("id AS cluster_id", "60.0D AS confidence", "5.0D AS duration_min", "date'2024-01-01' AS date", "50.0D AS lat", "14.0D AS lon")
+    ranked = {r.cluster_id: r["rank"] for r in G.hotspots(spots).collect()}
+    assert ranked == {i: i + 1 for i in range(40)}
+    assert G.hotspots(spots.limit(0)).count() == 0
+
+
 def test_rolled_up_activity(spark):
     r = A.roll_up(ride(spark)).first()
     assert r.records_count == 210 and r.max_hr == 150 and r.z1 == pytest.approx((1 + 59 * 10 + 0) / 60) and r.max_speed_kmh == 18
