@@ -163,16 +163,23 @@ def test_plan_equals_best_fit_decreasing():
 
 
 def test_chunk_tokenizer_equals_the_library():
+    import pyarrow as pa
     from tokenizers import Tokenizer
 
     path = tokenizer_path()
     whole, ours = Tokenizer.from_file(path), packing.ChunkTokenizer(path, cached=50)
-    for text in ["", "It's THEY'LL 123½ x y", "tab\tx\r\ny  ", "ΣΑΣ İstanbul", "a<|endoftext|>b <|startoftext|>", "é é ́", prose(1, 300), "日本語 text", "\x1cq\x85w", "a" * 3000]:
-        assert ours.ids(text) == np.asarray(whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), text
+    texts = ["", "It's THEY'LL 123½ x y", "tab\tx\r\ny  ", "ΣΑΣ İstanbul", "a<|endoftext|>b <|startoftext|>", "é é ́", prose(1, 300), "日本語 text", "\x1cq\x85w", "a" * 3000]
+    rng = np.random.default_rng(7)
+    alphabet = list("aAbeÉßñ'’sS.,-<|>_0129½ \t\n\r\x0b\x1c\xa0\u2003ΣИжİı日\u0301🙂") + ["<|endoftext|>", "'ll", "'RE", "the", " of "]
+    texts += ["".join(rng.choice(alphabet, rng.integers(0, 60))) for _ in range(4000)]
+    for part in (texts[:5], texts[5:], texts[:0]):
+        ids, begins = ours.ids(pa.array(part, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(begins, begins[1:], strict=False)] == [whole.encode(t, add_special_tokens=False).ids for t in part]
 
 
-def test_packing(spark, rows):
+def test_packing(spark, rows, monkeypatch):
     docs = spark.createDataFrame([(*r, "x") for r in rows], DOCS + ", sequence_id string")
+    monkeypatch.setattr(packing, "SLICE_BYTES", 5000)
     got = packing.pack_documents(docs, tokenizer_path(), 256).collect()
     from tokenizers import Tokenizer
 
@@ -195,7 +202,9 @@ def test_packing(spark, rows):
         assert at <= 256
     assert len(held) == best_fit([r.length for r in got], 256)
     assert packing.pack_documents(docs.limit(0), tokenizer_path()).count() == 0
-    salted = packing.pack(spark.createDataFrame(got).drop("sequence_id", "offset"), 256, group_rows=3)
+    clashing = spark.createDataFrame(got).drop("sequence_id", "offset").selectExpr("*", "1 AS _salt", "2 AS _RANK", "3 AS _base", "4 AS _salts")
+    salted = packing.pack(clashing, 256, group_rows=3)
+    assert salted.columns == [*clashing.columns, "sequence_id", "offset"] and salted.filter("_salt = 1 AND _rank = 2 AND _base = 3 AND _salts = 4").count() == len(got)
     assert len({(r.sequence_id, r.offset) for r in salted.collect()}) == len(got)
     single = docs.filter("doc_id <> 9")
     places = packing.pack_documents(single, tokenizer_path(), 256)
