@@ -2,10 +2,17 @@
 
 Detected entities (mail and IP addresses, phone, card and identity numbers, secrets, names with a title) are replaced by
 surrogates made from a keyed digest of the entity: of the same type, gender, script and format, the same for the same entity
-in every document (coreference), and others for others. The entities of the corpus are checked for collisions: where two
-have one surrogate, or a surrogate is itself an entity of the corpus, all but one go on to their next digest until none
-collides. Later digests draw from spaces that grow with the attempt, so that this ends however many entities of a short form
-there are. A first digest is computed in place, so texts are joined with nothing unless an entity in them had to go on.
+in every document (coreference), and others for others. Phones keep their country code, cards that pass the Luhn check get
+surrogates that do. The family of a name is an entity of its own, so that "Mr Novak" and "Mr Jan Novak" keep one family name
+whatever becomes of their given names.
+
+The entities of the corpus are checked for collisions: where two have one surrogate, or a surrogate is itself an entity of
+the corpus, all but one go on to their next digest until none collides. Later digests draw from spaces that grow with the
+attempt, so that this ends however many entities of a short form there are. A first digest is computed in place, so texts are
+joined with nothing unless an entity in them had to go on.
+
+No pattern repeats a group without bound but possessively: such groups are matched in a loop, others by recursion, which a
+long text would take too deep.
 """
 
 from __future__ import annotations
@@ -13,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import stored
+from stridelake.llm.common import fresh, stored
 
 #: Titles by gender, and names and syllables by gender and script: fixed values.
 TITLES = {
@@ -34,17 +41,19 @@ SYLLABLES = {
 #: Entities that had to go on, in documents, up to which their table is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ENTRIES = 100_000
 
-_MAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)+"
+_MAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)++"
 _SECRET = r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,64}+(?![0-9A-Za-z])"
 _IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])"
+#: Eight groups, or two and more before a double colon.
+_IP6 = r"(?<![0-9A-Za-z:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5})(?![0-9A-Za-z:])"
 _CARD = r"(?<![0-9A-Za-z])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])"
 _SEVEN = "(?<=[0-9]" + r"[ .\-()]{0,2}[0-9]" * 6 + ")"
 #: After a plus, seven digits at least (the lookbehind cannot pass the plus), and no decimal below one: no country code is 0.
 _PHONE = r"(?<![0-9A-Za-z])(?:\+(?!0\.)[0-9]{1,3}(?:[ .\-]?\([0-9]{1,4}\)|[ .\-][0-9]{1,4})(?:[ .\-]?[0-9]{2,4}){1,4}" + _SEVEN + r"|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})(?![0-9])"
 _IDENTITY = r"(?<![0-9A-Za-z\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"
 _ANY_TITLE = "(?:" + "|".join(t for titles in TITLES.values() for t in titles) + ")"
-_NAME = rf"(?<!\p{{L}}){_ANY_TITLE}\.? \p{{Lu}}[\p{{Ll}}']+(?:[ \-]\p{{Lu}}[\p{{Ll}}']+){{0,2}}"
-ENTITY = "|".join([_MAIL, _SECRET, _IP, _CARD, _PHONE, _IDENTITY, _NAME])
+_NAME = rf"(?<!\p{{L}}){_ANY_TITLE}\.? \p{{Lu}}[\p{{Ll}}']+(?:[ \-](?!{_ANY_TITLE}(?!\p{{L}}))\p{{Lu}}[\p{{Ll}}']+){{0,2}}"
+ENTITY = "|".join([_MAIL, _SECRET, _IP, _IP6, _CARD, _PHONE, _IDENTITY, _NAME])
 #: Attempts in the length and range of the entity; each further one has one digit more (octets up to 999).
 SAME_LENGTH = 5
 #: Every entity has one of these; texts without any are not searched further.
@@ -56,6 +65,7 @@ def kind_of(m: Column) -> Column:
         F.when(m.contains("@"), "mail")
         .when(m.rlike(f"^{_SECRET}$"), "secret")
         .when(m.rlike(f"^{_IP}$"), "ip")
+        .when(m.contains(":"), "ip6")
         .when(m.rlike(f"^{_IDENTITY}$"), "identity")
         .when(m.rlike(r"^\p{L}"), "name")
         .when(m.rlike(f"^{_CARD}$"), "card")
@@ -68,10 +78,24 @@ def _title(m: Column) -> Column:
 
 
 def canonical(m: Column, kind: Column) -> Column:
-    """What makes two mentions one entity: digits without format, addresses and names without case, names with their gender."""
+    """What makes two mentions one entity: digits without format (after the country code of a phone and a blank), addresses and
+    names without case, names with their gender."""
     gender = F.when(_title(m).rlike("^(?:" + "|".join(TITLES["f"]) + r")\b"), "f").otherwise("m")
     name = F.concat(gender, F.lit(":"), F.lower(F.substr(m, F.length(_title(m)) + 1)))
-    return F.when(kind.isin("card", "phone", "identity"), F.regexp_replace(m, "[^0-9]", "")).when(kind == "name", name).otherwise(F.lower(m))
+    country = F.regexp_extract(m, r"^\+([0-9]{1,3})", 1)
+    digits = F.regexp_replace(m, "[^0-9]", "")
+    abroad = F.concat(F.lit("+"), country, F.lit(" "), F.substr(digits, F.length(country) + 1))
+    return (
+        F.when(kind == "phone", F.when(country != "", abroad).otherwise(digits))
+        .when(kind.isin("card", "identity"), digits)
+        .when(kind == "name", name)
+        .otherwise(F.lower(m))
+    )
+
+
+def family_of(canon: Column) -> Column:
+    """The family part of a canonical name."""
+    return F.element_at(F.split(F.substr(canon, F.lit(3)), "[ \\-]"), -1)
 
 
 def _digest(key: str, *parts: Column) -> Column:
@@ -99,10 +123,40 @@ def entity_digest(key: str, kind: Column, canon: Column, attempt: Column) -> Col
     return _digest(key, kind, canon, attempt.cast("string"))
 
 
-def surrogate(key: str, kind: Column, canon: Column, attempt: Column, d: Column) -> Column:
-    """The canonical surrogate of an entity at its attempt (0 first), from its digest. All arguments but the key are used often:
-    give columns or fields, not expressions."""
-    # More room once short forms have collided: each attempt has more letters, syllables or digits.
+def _luhn_rest(digits: Column) -> Column:
+    """The Luhn sum of digits, modulo 10: 0 for a valid number. Every second digit from the last but one is doubled."""
+    value = lambda c, i: c.cast("int") * F.when((F.length(digits) - i) % 2 == 0, 2).otherwise(1)
+    return F.aggregate(F.transform(F.split(digits, ""), lambda c, i: F.coalesce(value(c, i), F.lit(0))), F.lit(0), lambda a, x: a + F.when(x > 9, x - 9).otherwise(x)) % 10
+
+
+def _syllables(hexes: Column, script: str) -> Column:
+    values = F.array(*map(F.lit, SYLLABLES[script]))
+    return F.array_join(F.transform(F.split(hexes, ""), lambda h: F.coalesce(F.get(values, F.conv(h, 16, 10).cast("int")), F.lit(""))), "")
+
+
+def _by_script(canon: Column, made) -> Column:
+    return F.when(canon.rlike(r"\p{IsCyrillic}"), made("cyrillic")).otherwise(made("latin"))
+
+
+def family_surrogate(family: Column, attempt: Column, d: Column) -> Column:
+    """Four syllables, and one more for each further attempt."""
+    return _by_script(family, lambda script: F.initcap(_syllables(F.substr(d, F.lit(1), attempt + 4), script)))
+
+
+def given_surrogate(canon: Column, attempt: Column, d: Column) -> Column:
+    """A given name of the gender and script, with a syllable more for each further attempt; empty for names without one."""
+
+    def given(script: str) -> Column:
+        first = F.when(F.substring(canon, 1, 1) == "f", _pick(GIVEN["f", script], d, 5)).otherwise(_pick(GIVEN["m", script], d, 5))
+        return F.concat(first, F.when(attempt > 0, _syllables(F.substr(d, F.lit(9), attempt), script)).otherwise(""))
+
+    return F.when(F.size(F.split(F.substr(canon, F.lit(3)), "[ \\-]")) > 1, _by_script(canon, given)).otherwise("")
+
+
+def surrogate(kind: Column, canon: Column, attempt: Column, d: Column) -> Column:
+    """The canonical surrogate of an entity that is no name at its attempt (0 first), from its digest. All arguments are used
+    often: give columns or fields, not expressions."""
+    # More room once short forms have collided: each attempt has more letters or digits.
     again = F.when(attempt > 0, F.substr(_letters(d), F.lit(60), attempt + 5)).otherwise("")
     longer = F.greatest(F.lit(0), attempt - SAME_LENGTH)
     local = F.substring_index(canon, "@", 1)
@@ -110,29 +164,43 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column, d: Column)
     mail = F.concat(F.array_join(F.transform(F.split(local, ""), like), ""), again, F.lit("@"), F.substring(_letters(d), 40, 8), F.lit(".example.net"))
     same_first = F.concat(F.substring(canon, 1, 1), F.substr(_numbers(d), F.lit(1), F.length(canon) - 1))
     digits = F.when(attempt > 0, F.substr(_numbers(d), F.lit(1), F.length(canon) + longer)).otherwise(same_first)
+    # The last digit of a card makes its sum what the card's was: 0 if it was valid, else drawn.
+    drawn = F.substr(digits, F.lit(1), F.length(digits) - 1)
+    last = (10 - _luhn_rest(F.concat(drawn, F.lit("0")))) % 10
+    card = F.when(_luhn_rest(canon) == 0, F.concat(drawn, last.cast("string"))).otherwise(digits)
+    country = F.substring_index(F.substr(canon, F.lit(2)), " ", 1)
+    abroad = F.concat(country, F.substr(_numbers(d), F.lit(1), F.length(canon) - F.length(country) - 2 + longer))
     octet = lambda at: F.when(longer > 0, F.substring(_numbers(d), 3 * at, 3).cast("int")).otherwise(_byte(d, at)).cast("string")
     octets = F.concat_ws(".", (240 + _byte(d, 1) % 16).cast("string"), *(octet(at) for at in (3, 5, 7)))
-    gender, words = F.substring(canon, 1, 1), F.split(F.substr(canon, F.lit(3)), "[ \\-]")
-    family = F.element_at(words, -1)
-
-    def name(script: str) -> Column:
-        own = _digest(key, F.lit("family"), family, attempt.cast("string"))
-        syllable = lambda h: F.get(F.array(*map(F.lit, SYLLABLES[script])), F.conv(h, 16, 10).cast("int"))
-        more = F.array_join(F.transform(F.split(F.substr(d, F.lit(9), attempt), ""), syllable), "")
-        last = F.initcap(F.concat(*(_pick(SYLLABLES[script], own, at) for at in (1, 2, 3, 4)), F.when(attempt > 0, more).otherwise("")))
-        first = F.when(gender == "f", _pick(GIVEN["f", script], d, 5)).otherwise(_pick(GIVEN["m", script], d, 5))
-        return F.when(F.size(words) > 1, F.concat_ws(" ", first, last)).otherwise(last)
-
-    names = F.concat(gender, F.lit(":"), F.when(canon.rlike(r"\p{IsCyrillic}"), name("cyrillic")).otherwise(name("latin")))
+    groups = F.array_join(F.transform(F.split(canon, ""), lambda c, i: F.when(c.rlike("[0-9a-f]"), F.substr(d, i + 1, F.lit(1))).otherwise(c)), "")
+    groups = F.concat(groups, F.when(longer > 0, F.substr(d, F.lit(100), longer)).otherwise(""))
     return (
         F.when(kind == "mail", mail)
         .when(kind == "ip", octets)
+        .when(kind == "ip6", groups)
         .when(kind == "secret", F.substr(d, F.lit(1), F.length(canon)))
-        .when(kind == "name", names)
+        .when(kind == "card", card)
+        .when(canon.startswith("+"), abroad)
         .otherwise(digits)
     )
 
 
+def distinguishing(kind: Column, canon: Column, attempt: Column, d: Column) -> Column:
+    """What must differ between entities of a kind for their surrogates to differ. Families have distinct surrogates, so given
+    names must differ within a family alone."""
+    named = F.concat(F.substring(canon, 1, 1), F.lit("|"), given_surrogate(canon, attempt, d), F.lit("|"), family_of(canon))
+    abroad = F.concat(F.lit("+"), F.substring_index(F.substr(canon, F.lit(2)), " ", 1), F.lit(" "))
+    made = surrogate(kind, canon, attempt, d)
+    # A phone abroad in its canonical form; others are in theirs.
+    phone = F.concat(abroad, F.substr(made, F.length(abroad) - 1))
+    return (
+        F.when(kind == "family", F.lower(family_surrogate(canon, attempt, d)))
+        .when(kind == "name", named)
+        .when(canon.startswith("+"), phone)
+        .otherwise(made)
+    )
+
+
 def rendered(m: Column, kind: Column, made: Column) -> Column:
     """A canonical surrogate in the format of the mention it replaces; digits it has more follow the last."""
     place = lambda i: F.length(F.regexp_replace(F.substr(m, F.lit(1), i + 1), "[^0-9]", ""))  # noqa: E731  a mention is short
@@ -161,9 +229,7 @@ def attempts(entities: DataFrame, key: str) -> DataFrame | None:
     moved = False
     while True:
         digested = settled.withColumn("d", entity_digest(key, F.col("kind"), F.col("canon"), F.col("attempt")))
-        made = digested.select("kind", "canon", "attempt", surrogate(key, *map(F.col, ("kind", "canon", "attempt", "d"))).alias("made"))
-        lowered = F.when(F.col("kind") == "name", F.lower("made")).otherwise(F.col("made"))
-        made = made.withColumn("made", lowered)
+        made = digested.select("kind", "canon", "attempt", distinguishing(*map(F.col, ("kind", "canon", "attempt", "d"))).alias("made"))
         shared = made.groupBy("kind", "made").agg(F.count("*").alias("n"), F.min("canon").alias("first")).filter("n > 1").select("kind", "made", "first")
         real = entities.select("kind", F.col("canon").alias("made"), F.lit(True).alias("is_real"))
         judged = made.join(shared, ["kind", "made"], "left").join(real, ["kind", "made"], "left")
@@ -175,38 +241,54 @@ def attempts(entities: DataFrame, key: str) -> DataFrame | None:
         moved = True
 
 
-def pseudonymise(docs: DataFrame, key: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with every detected entity in `text` replaced; all other columns are untouched, and the column pii_mentions
-    (long; underscores added if docs has it) counts them.
+def with_surrogates(key: str, found: Column, tried) -> Column:
+    """An array of mentions as structs of the mention (m), its kind and its canonical surrogate (made). tried: the attempt of
+    (kind, canon). Each step binds what the next uses often."""
+    keep = lambda e, *names: [e[n].alias(n) for n in names]
+    x = F.transform(found, lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
+    x = F.transform(x, lambda e: F.struct(*keep(e, "m", "kind"), canonical(e["m"], e["kind"]).alias("canon")))
+    family = lambda e: F.when(e["kind"] == "name", family_of(e["canon"]))
+    x = F.transform(x, lambda e: F.struct(*keep(e, "m", "kind", "canon"), tried(e["kind"], e["canon"]).alias("attempt"), family(e).alias("family")))
+    theirs = lambda e: F.when(e["family"].isNotNull(), entity_digest(key, F.lit("family"), e["family"], tried(F.lit("family"), e["family"])))
+    own = lambda e: entity_digest(key, e["kind"], e["canon"], e["attempt"])
+    x = F.transform(x, lambda e: F.struct(*keep(e, "m", "kind", "canon", "attempt", "family"), own(e).alias("d"), theirs(e).alias("fd")))
+
+    def made(e: Column) -> Column:
+        family = family_surrogate(e["family"], tried(F.lit("family"), e["family"]), e["fd"])
+        given = given_surrogate(e["canon"], e["attempt"], e["d"])
+        name = F.concat(F.substring(e["canon"], 1, 2), F.ltrim(F.concat(given, F.lit(" "), family)))
+        return F.when(e["kind"] == "name", name).otherwise(surrogate(e["kind"], e["canon"], e["attempt"], e["d"]))
+
+    return F.transform(x, lambda e: F.struct(*keep(e, "m", "kind"), made(e).alias("made")))
+
+
+def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """docs with every detected entity in `text` replaced; all other columns are untouched, whatever their names, and the column
+    pii_mentions (long; underscores added if docs has it) counts them.
 
-    Null stays null and empty stays empty; texts without entities are returned as they are. Repeated rows get equal texts."""
-    found = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.array_distinct(mentions(F.col(text)))).alias("m"))
+    Null stays null and empty stays empty; texts without entities are returned as they are. Equal texts stay equal."""
+    names = fresh(docs, "_mentions", "_attempts", "_hash", "pii_mentions")
+    own_hash = F.xxhash64(text)
+    found = docs.select(own_hash.alias("h"), F.explode(F.array_distinct(mentions(F.col(text)))).alias("m"))
     found = found.withColumn("kind", kind_of(F.col("m")))
-    found = stored(found.select("doc_id", "kind", canonical(F.col("m"), F.col("kind")).alias("canon")))
+    found = stored(found.select("h", "kind", canonical(F.col("m"), F.col("kind")).alias("canon")))
+    families = found.filter("kind = 'name'").select("h", F.lit("family").alias("kind"), family_of(F.col("canon")).alias("canon"))
+    found = found.unionByName(families)
     further = attempts(stored(found.select("kind", "canon").distinct()), key)
-    names, held = ["_mentions", "_attempts"], docs
     if further is None:
-        held = docs.withColumn(names[1], F.lit(None).cast("map<string,int>"))
-    else:  # the few documents with an entity that had to go on
+        held, tried = docs, lambda kind, canon: F.lit(0)
+    else:  # the few texts with an entity that had to go on, by their hash: texts that share one only share a map
         pair = F.struct(F.concat_ws(":", "kind", "canon"), "attempt")
-        per_doc = stored(found.join(further, ["kind", "canon"]).groupBy(F.col("doc_id").alias("_id")).agg(F.map_from_entries(F.collect_set(pair)).alias(names[1])))
-        if per_doc.agg(F.coalesce(F.sum(F.size(names[1])), F.lit(0)).alias("n")).first()["n"] <= BROADCAST_ENTRIES:
-            per_doc = F.broadcast(per_doc)
-        held = docs.join(per_doc, docs[doc_id].eqNullSafe(per_doc["_id"]), "left").drop("_id")
+        per_text = found.join(further, ["kind", "canon"]).groupBy(F.col("h").alias(names[2])).agg(F.map_from_entries(F.collect_set(pair)).alias(names[1]))
+        per_text = stored(per_text)
+        if per_text.agg(F.coalesce(F.sum(F.size(names[1])), F.lit(0)).alias("n")).first()["n"] <= BROADCAST_ENTRIES:
+            per_text = F.broadcast(per_text)
+        held = docs.withColumn(names[2], own_hash).join(per_text, names[2], "left")
+        tried = lambda kind, canon: F.coalesce(F.element_at(F.col(names[1]), F.concat_ws(":", kind, canon)), F.lit(0))
     held = held.withColumn(names[0], mentions(F.col(text)))
 
-    # Each step binds what the next uses often.
-    x = F.transform(F.col(names[0]), lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
-    x = F.transform(x, lambda e: F.struct(e["m"].alias("m"), e["kind"].alias("kind"), canonical(e["m"], e["kind"]).alias("canon")))
-    tried = lambda e: F.coalesce(F.element_at(F.col(names[1]), F.concat_ws(":", e["kind"], e["canon"])), F.lit(0))
-    x = F.transform(x, lambda e: F.struct(e["m"].alias("m"), e["kind"].alias("kind"), e["canon"].alias("canon"), tried(e).alias("attempt")))
-    x = F.transform(x, lambda e: F.struct(*(e[c].alias(c) for c in ("m", "kind", "canon", "attempt")), entity_digest(key, e["kind"], e["canon"], e["attempt"]).alias("d")))
-    x = F.transform(x, lambda e: F.struct(e["m"].alias("m"), e["kind"].alias("kind"), surrogate(key, e["kind"], e["canon"], e["attempt"], e["d"]).alias("made")))
-    replaced = F.transform(x, lambda e: rendered(e["m"], e["kind"], e["made"]))
+    replaced = F.transform(with_surrogates(key, F.col(names[0]), tried), lambda e: rendered(e["m"], e["kind"], e["made"]))
     between = F.split(F.col(text), ENTITY, -1)
     new = F.zip_with(between, replaced, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     rewritten = F.when(F.size(names[0]) == 0, F.col(text)).otherwise(F.array_join(new, ""))
-    count = "pii_mentions"
-    while count in {c.lower() for c in docs.columns}:
-        count += "_"
-    return held.select(*(rewritten.alias(text) if c == text else held[c] for c in docs.columns), F.size(names[0]).cast("long").alias(count))
+    return held.select(*(rewritten.alias(text) if c == text else held[c] for c in docs.columns), F.size(names[0]).cast("long").alias(names[3]))

@@ -331,14 +331,15 @@ def test_signed_decimals_are_no_phones(spark):
 
 
 def test_crowded_entities_settle(spark):
-    """All numbers of a first digit and a length, all numbers of two digits, and many single surnames."""
+    """All numbers of a first digit and a length, all numbers of two digits, most of a country, many families, many given names in one."""
     from pyspark.sql import functions as F
 
-    entities = [("phone", str(i)) for i in range(1000, 2000)] + [("identity", f"{i:02}") for i in range(100)] + [("name", f"m:x{i}") for i in range(3000)]
+    entities = [("phone", str(i)) for i in range(1000, 2000)] + [("identity", f"{i:02}") for i in range(100)] + [("family", f"x{i}") for i in range(3000)] + [("name", f"f:g{i} novak") for i in range(300)]
+    entities += [("phone", f"+420 {i:04}") for i in range(900)]
     held = spark.createDataFrame(entities, "kind string, canon string")
     made = held.join(pii.attempts(held, "k"), ["kind", "canon"], "left").na.fill(0, ["attempt"])
     made = made.withColumn("d", pii.entity_digest("k", *map(F.col, ("kind", "canon", "attempt"))))
-    made = made.withColumn("made", pii.surrogate("k", *map(F.col, ("kind", "canon", "attempt", "d")))).collect()
+    made = made.withColumn("made", pii.distinguishing(*map(F.col, ("kind", "canon", "attempt", "d")))).collect()
     surrogates = {(r.kind, r.made.lower()) for r in made}
     assert len(made) == len(surrogates) == len(entities) and not surrogates & set(entities)
     assert spark.range(1).select(pii.rendered(F.lit("+1 23-4"), F.lit("phone"), F.lit("567890"))).first()[0] == "+5 67-890"
@@ -348,10 +349,10 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     """Where first surrogates collide, entities go on, and the result is the same by broadcast and by shuffle."""
     original = pii.surrogate
 
-    def crowded(key, kind, canon, attempt, d):
+    def crowded(kind, canon, attempt, d):
         from pyspark.sql import functions as F
 
-        return F.when(attempt < 2, "clash@example.net").otherwise(original(key, kind, canon, attempt, d))
+        return F.when(attempt < 2, "clash@example.net").otherwise(original(kind, canon, attempt, d))
 
     monkeypatch.setattr(pii, "surrogate", crowded)
     docs = spark.createDataFrame([(i, f"a{i}@b.example c{i}@b.example") for i in range(20)], DOCS)
@@ -362,6 +363,51 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     assert sorted(r.text for r in pii.pseudonymise(docs, "k").collect()) == one
 
 
+def test_names_keep_families_when_given_names_go_on(spark):
+    """100 given names of one family: all distinct, one family name in all, in mentions with a given name and without."""
+    rng = np.random.default_rng(3)
+    given = ["".join(rng.choice(list("abcdefgh"), 6)).capitalize() for _ in range(100)]
+    docs = spark.createDataFrame([(i, f"Mr {g} Novak met Mr Novak and Mrs {g} Novak") for i, g in enumerate(given)], DOCS)
+    got = [r.text for r in pii.pseudonymise(docs, "k").collect()]
+    parts = [re.fullmatch(r"Mr (\w+) (\w+) met Mr (\w+) and Mrs (\w+) (\w+)", t).groups() for t in got]
+    assert len({x for p in parts for x in (p[1], p[2], p[4])}) == 1 and "Novak" not in {p[1] for p in parts}
+    assert len({p[0] for p in parts}) == len({p[3] for p in parts}) == 100
+
+
+def test_surrogates_keep_type_and_format(spark):
+    """Country codes, the Luhn check, IPv6 groups; and distinctness and coreference over many entities, by brute force."""
+    luhn = lambda d: sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10
+    cards = [n for n in map(str, range(4000123412340000, 4000123412340200)) if luhn(n) == 0]
+    phones = [f"+420 601 {i:03} {j:03}" for i in range(10) for j in range(10)]
+    addresses = [f"2001:db8:0:0:0:0:0:{i:x}" for i in range(30)] + [f"fe80:1::{i:x}" for i in range(30)]
+    entities = cards + phones + addresses
+    docs = [(i, f"x {e} y") for i, e in enumerate(entities)] + [(1000 + i, f"again: {e}") for i, e in enumerate(entities)]
+    got = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(docs, DOCS), "k").collect()}
+    made = [got[i][2:-2] for i in range(len(entities))]
+    assert made == [got[1000 + i][7:] for i in range(len(entities))] and len(set(made)) == len(made) and not set(made) & set(entities)
+    assert all(re.fullmatch(r"\d{16}", m) and luhn(m) == 0 for m in made[: len(cards)])
+    assert all(re.fullmatch(r"\+420 \d{3} \d{3} \d{3}", m) for m in made[len(cards) : len(cards) + 100])
+    assert all(re.sub("[0-9a-f]", "h", m) == re.sub("[0-9a-f]", "h", e) for m, e in zip(made[-60:], addresses, strict=True))
+
+
+def test_long_entities_and_clashing_columns(spark):
+    long = "x@y" + ".z" * 100_000
+    texts = [(1, long), (2, "9" * 200_000), (3, "a" * 200_000 + "@b.cc"), (4, "Mr Novak " * 20_000), (5, "1 " * 100_000), (6, "+1 " * 50_000), (7, "1:" * 50_000), (8, prose(1, 100_000))]
+    docs = spark.createDataFrame([(*t, 7, 8, 9, 10) for t in texts], DOCS + ", _mentions int, _ID int, _attempts int, _hash int")
+    out = pii.pseudonymise(docs, "k")
+    got = {r.doc_id: r for r in out.collect()}
+    assert out.columns == [*docs.columns, "pii_mentions"] and all(tuple(r)[2:6] == (7, 8, 9, 10) for r in got.values())
+    assert got[1].pii_mentions == got[3].pii_mentions == 1 and re.fullmatch(r".@\w{8}\.example\.net", got[1].text) and got[4].pii_mentions == 20_000
+    assert got[8].text == texts[7][1] and got[2].text == texts[1][1]
+
+
+def test_short_phones_settle(spark):
+    texts = [(i, f"+1 {a}{b} {c}{d} 12 34") for i, (a, b, c, d) in enumerate(np.ndindex(10, 10, 10, 10)) if i % 10 == 0]
+    got = [r.text for r in pii.pseudonymise(spark.createDataFrame(texts, DOCS), "k").collect()]
+    digits = {re.sub(r"\D", "", t) for t in got}
+    assert len(digits) == len(texts) and not digits & {re.sub(r"\D", "", t) for _, t in texts}
+
+
 # --- 9 ------------------------------------------------------------------------------------------------------------------
 
 
