@@ -57,6 +57,13 @@ def with_field(schema: T.StructType, *fields: tuple[str, str]) -> T.StructType:
     return out
 
 
+def one_text(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """chosen (distinct doc_ids of a bounded number, more columns) with the text of each: the least of an id's texts, so that
+    repeated ids give no more rows. Ids that docs has not are left out."""
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return texts.join(F.broadcast(chosen), "doc_id")
+
+
 def crc_fold(column, folds: int = 5):
     """crc32 of the column as text, modulo folds."""
     return F.crc32(column.cast("string").cast("binary")) % folds

@@ -56,6 +56,8 @@ _NAME = rf"(?<!\p{{L}}){_ANY_TITLE}\.? \p{{Lu}}[\p{{Ll}}']+(?:[ \-](?!{_ANY_TITL
 ENTITY = "|".join([_MAIL, _SECRET, _IP, _IP6, _CARD, _PHONE, _IDENTITY, _NAME])
 #: Attempts in the length and range of the entity; each further one has one digit more (octets up to 999).
 SAME_LENGTH = 5
+#: Most characters before the @ of a mail surrogate (the limit of the mail standard); the digest is of the whole address.
+MAIL_LOCAL = 64
 #: Every entity has one of these; texts without any are not searched further.
 GATE = rf"[0-9@]|{_ANY_TITLE}[. ]"
 
@@ -159,7 +161,7 @@ def surrogate(kind: Column, canon: Column, attempt: Column, d: Column) -> Column
     # More room once short forms have collided: each attempt has more letters or digits.
     again = F.when(attempt > 0, F.substr(_letters(d), F.lit(60), attempt + 5)).otherwise("")
     longer = F.greatest(F.lit(0), attempt - SAME_LENGTH)
-    local = F.substring_index(canon, "@", 1)
+    local = F.substring(F.substring_index(canon, "@", 1), 1, MAIL_LOCAL)
     like = lambda c, i: F.when(c.rlike("[0-9]"), F.substr(_numbers(d), i % 128 + 1, F.lit(1))).when(c.rlike("[a-z]"), F.substr(_letters(d), i % 128 + 1, F.lit(1))).otherwise(c)
     mail = F.concat(F.array_join(F.transform(F.split(local, ""), like), ""), again, F.lit("@"), F.substring(_letters(d), 40, 8), F.lit(".example.net"))
     same_first = F.concat(F.substring(canon, 1, 1), F.substr(_numbers(d), F.lit(1), F.length(canon) - 1))

@@ -1,9 +1,11 @@
 """Importance resampling of raw text towards a target: hashed n-gram generative models and Gumbel top-k.
 
 Two bag-of-hashed-n-grams models are counted, one over the target texts and one over all raw texts. A document's log weight is
-the sum over its n-grams of the log ratio of the two models; adding Gumbel noise and taking the k greatest draws k documents
-without replacement in proportion to their weights. Features are uni- and bigrams of words and of word shapes (case, digits,
-symbols, repeat of the word before), so that the models see form as well as vocabulary.
+the sum over its n-grams of the log ratio of the two models, scaled down to that of GRAMS n-grams where it has more: n-grams
+of one text are far from independent, and unscaled a long text would have a weight of hundreds, against which the noise of
+the draw is nothing. Adding Gumbel noise and taking the k greatest draws k documents without replacement in proportion to
+exp(log weight). Features are uni- and bigrams of words and of word shapes (case, digits, symbols, repeat of the word
+before), so that the models see form as well as vocabulary.
 """
 
 from __future__ import annotations
@@ -19,11 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stridelake.llm.common import stored
+from stridelake.llm.common import crc_fold, fresh, one_text, stored, with_field
 
 BUCKETS = 1 << 14
 #: Labelled documents that the target model is counted over, at most.
 TARGET_ROWS = 20_000
+#: n-grams that a document counts for at most.
+GRAMS = 64
 TOKENS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 #: Tokens of a text that are hashed at once.
 BLOCK = 1 << 16
@@ -84,14 +88,22 @@ def gram_counts(texts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     return out
 
 
-def log_ratios(target: np.ndarray, raw: np.ndarray, smooth: float = 1.0) -> np.ndarray:
-    share = lambda c: np.log(c + smooth) - math.log(c.sum() + smooth * len(c))
-    return share(target.astype(float)) - share(raw.astype(float))
+def log_ratios(target: np.ndarray, raw: np.ndarray, prior: float = BUCKETS) -> np.ndarray:
+    """Of each bucket the log of its share in the target over that in the raw texts; 0 for buckets that the raw texts have not. The
+    target's shares are drawn to the raw ones by `prior` counts, so that a small target says little, not the contrary."""
+    seen = raw > 0
+    share = raw[seen] / raw.sum()
+    out = np.zeros(len(raw))
+    out[seen] = np.log((target[seen] + prior * share) / (target.sum() + prior)) - np.log(share)
+    return out
 
 
-def weighted(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
-    """docs with log_weight and n_grams; a text without tokens has log weight 0 of 0 n-grams."""
+def weighted(docs: DataFrame, ratios: np.ndarray, grams: int = GRAMS, keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` (all, if None) of docs with two more (double, long; log_weight and n_grams, with underscores where
+    docs has these): the log weight and the number of n-grams. A text without tokens has log weight 0 of 0 n-grams."""
+    keep = docs.columns if keep is None else keep
     held, text = docs.sparkSession.sparkContext.broadcast(ratios), docs.columns.index("text")
+    places, names = [docs.columns.index(c) for c in keep], fresh(docs, "log_weight", "n_grams")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratios, hasher = held.value, Hasher(len(held.value))
@@ -99,17 +111,17 @@ def weighted(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
             sums, sizes = [], []
             for t in batch.column(text):
                 parts = [(ratios[p].sum(), len(p)) for p in hasher.features(t.as_py())]
-                sums.append(float(sum(p[0] for p in parts)))
-                sizes.append(sum(p[1] for p in parts))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.float64()), pa.array(sizes, pa.int64())], names=[*batch.schema.names, "log_weight", "n_grams"])
+                n = sum(p[1] for p in parts)
+                sums.append(float(sum(p[0] for p in parts)) * min(1.0, grams / max(n, 1)))
+                sizes.append(n)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), pa.array(sums, pa.float64()), pa.array(sizes, pa.int64())], names=[*keep, *names])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("log_weight", T.DoubleType()), T.StructField("n_grams", T.LongType())])
-    return docs.mapInArrow(score, schema)
+    return docs.mapInArrow(score, with_field(T.StructType([docs.schema[i] for i in places]), (names[0], "double"), (names[1], "long")))
 
 
-def gumbel(doc_id: Column, seed: int) -> Column:
-    """Standard Gumbel noise that depends on id and seed alone, so that a lost task draws the same again."""
-    u = (F.shiftrightunsigned(F.xxhash64(doc_id, F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
+def gumbel(of: list[Column], seed: int | Column) -> Column:
+    """Standard Gumbel noise that depends on the columns and the seed alone, so that a lost task draws the same again."""
+    u = (F.shiftrightunsigned(F.xxhash64(*of, seed if isinstance(seed, Column) else F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
     return -F.log(-F.log(u))
 
 
@@ -144,27 +156,45 @@ def sort_key(x: Column) -> Column:
     return F.round(x * 1e6).cast("long")
 
 
-def resampled(docs: DataFrame, target: DataFrame, k: int | None = None, seed: int = 0, temperature: float = 0.25, fit_on: DataFrame | None = None) -> DataFrame:
-    """Every row of docs with log_weight, n_grams, sample_key and selected: whether it is among the k greatest keys
-    (log_weight / temperature + Gumbel noise, to six decimals).
+def keyed(docs: DataFrame, target: DataFrame, seed: int = 0, grams: int = GRAMS, keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` (all, if None) of docs, stored, with three more, named log_weight, n_grams and sample_key (with
+    underscores where docs has these): sample_key is log weight + Gumbel noise, to six decimals.
+
+    target: the texts to be like (column text); the raw model is counted over docs, whole. The noise depends on doc_id, text
+    and seed: repeated rows share it. Texts without tokens have weight 1. An empty target says nothing (all weights are 1)."""
+    raw, wanted = gram_counts(docs), gram_counts(target)
+    ratios = log_ratios(wanted, raw)
+    keep = docs.columns if keep is None else keep
+    (noise,) = fresh(docs, "_noise")
+    scored = weighted(docs.withColumn(noise, gumbel([F.col("doc_id"), F.col("text")], seed)), ratios, grams, [*keep, noise])
+    weight, n = scored.columns[-2:]
+    (key,) = fresh(docs, "sample_key")
+    return stored(scored.select(*keep, weight, n, sort_key(F.col(weight) + F.col(noise)).alias(key)))
+
+
+def drawn(keyed: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """keyed() with a last column for each (name, k) of sizes, underscores added if it is there: whether the row is among the k
+    greatest sample keys. Ties with the k-th key are all selected, and repeated rows with each other."""
+    key, names = keyed.columns[-1], fresh(keyed, *sizes)
+    least = [kth_greatest(keyed.select(F.col(key).alias("key")), k) for k in sizes.values()]
+    return keyed.select("*", *((F.lit(False) if at is None else F.col(key) >= at).alias(n) for n, at in zip(names, least, strict=True)))
+
+
+def likelier(keyed: DataFrame) -> int:
+    """How many rows are at least as likely under the target model as under the raw one."""
+    return keyed.filter(F.col(keyed.columns[-3]) >= 0).count()
+
 
-    target: the texts to be like (column text); the raw model is counted over fit_on, or else docs, whole. k None: as many as
-    have a log weight of at least 0, that is, are likelier under the target model. Ties with the k-th key are all selected,
-    repeated rows of one id with it. Texts without tokens have weight 1. Empty tables give an empty result; an empty target
-    says nothing (all weights are 1)."""
-    raw = gram_counts(docs if fit_on is None else fit_on)
-    wanted = gram_counts(target)
-    ratios = log_ratios(wanted, raw) if wanted.sum() else np.zeros(len(raw))
-    key = sort_key(F.col("log_weight") / temperature + gumbel(F.col("doc_id"), seed))
-    scored = stored(weighted(docs, ratios).withColumn("sample_key", key))
-    if k is None:
-        k = scored.filter("log_weight >= 0").count()
-    least = kth_greatest(scored.select(F.col("sample_key").alias("key")), k)
-    return scored.withColumn("selected", F.lit(False) if least is None else F.col("sample_key") >= least)
+def resampled(docs: DataFrame, target: DataFrame, k: int | None = None, seed: int = 0, grams: int = GRAMS) -> DataFrame:
+    """Every row of docs with the columns of keyed() and a last one, selected: whether it is among the k drawn. k None: as many
+    as are likelier under the target model. Empty tables give an empty result."""
+    held = keyed(docs, target, seed, grams)
+    return drawn(held, {"selected": likelier(held) if k is None else k})
 
 
 def target_texts(docs: DataFrame, labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:
-    """The texts of at most `rows` documents that are labelled as good, chosen by a hash of their ids."""
-    good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
+    """The texts of at most `rows` documents that are labelled as good, chosen by a hash of their ids; of an id with several
+    texts the least. Ids whose crc32 modulo 5 is 0 are left for measuring."""
+    good = labels.filter("quality = 1 AND doc_id IS NOT NULL").filter(crc_fold(F.col("doc_id")) != 0).select("doc_id").distinct()
     chosen = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.join(F.broadcast(chosen), "doc_id", "left_semi").select("text")  # `rows` ids at most
+    return one_text(docs, chosen).select("text")

@@ -39,9 +39,11 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """selected: drawn when as many are drawn as are likelier under the target; in_half: when half as many are."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    drawn = quality.resampled(docs, quality.target_texts(docs, table(spark, sf_dir, "labels")))
-    return drawn.select("doc_id", "log_weight", "n_grams", "sample_key", "selected")
+    held = quality.keyed(docs, quality.target_texts(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    k = quality.likelier(held)
+    return quality.drawn(held, {"selected": k, "in_half": k // 2})
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,9 +14,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from stridelake.llm.common import crc_fold
+from stridelake.llm.common import crc_fold, fresh, one_text, with_field
 
 DIMENSIONS = 1 << 22
 #: Labelled rows that are learnt from, at most.
@@ -77,8 +76,8 @@ def ftrl(examples: list[tuple[np.ndarray, int]], epochs: int = 3, alpha: float =
     return seen, weights(z[seen], n[seen]), float(w0)
 
 
-def learn(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weights from labelled (doc_id, text, toxic): of rows with a label, those with the least hashes of their id, at most `rows`.
+def learn(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights from labelled (doc_id, text, toxic), which must be bounded: all rows go through one task, as training_rows() gives them.
 
     No labelled row: no weights and an intercept of 0, so that every score is 0.5."""
 
@@ -108,7 +107,9 @@ def learn(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.n
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: str = "text") -> DataFrame:
-    """docs with a last column score, from 0 to 1. Null and empty texts have no features and get the intercept's score."""
+    """docs with a last column score (underscores added if docs has it), from 0 to 1. Null and empty texts have no features and get
+    the intercept's score. Whole texts are read, in blocks."""
+    (name,) = fresh(docs, "score")
     held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,18 +118,19 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: s
         table[seen] = values
         for batch in batches:
             sums = np.array([table[features.of(t.as_py())].sum(dtype=np.float64) for t in batch.column(at)]) + intercept
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(sums, -35, 35))), pa.float64())], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(sums, -35, 35))), pa.float64())], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(score, with_field(docs.schema, (name, "double")))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, text, toxic of at most `rows` labelled documents outside the held-out fold, by the least hashes of their ids.
 
-    Of several labels of one document the greatest counts. Rows without id or label are not used."""
+    An id has one row: of several labels of it the greatest counts, of several texts the least. Rows without id or label are
+    not used."""
     usable = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(crc_fold(F.col("doc_id")) != 0)
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `rows` labels at most
+    return one_text(docs, chosen)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

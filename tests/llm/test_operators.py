@@ -84,6 +84,15 @@ def test_toxicity_learns_and_holds_out(spark):
     held = [i for i in range(400) if got[i].held_out]
     assert min(got[i].score for i in held if i % 4 == 0) > max(got[i].score for i in held if i % 4)
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
+    # An id counts once in training, however often it is repeated and whatever its texts.
+    repeated = docs.unionByName(docs.filter("doc_id = 1").crossJoin(spark.range(300)).select("doc_id", "text"))
+    rows = toxicity.training_rows(repeated.unionByName(spark.createDataFrame([(1, "zzz")], DOCS)), labels, 50)
+    assert rows.count() == rows.select("doc_id").distinct().count() == 50
+    assert toxicity.training_rows(repeated, labels).filter("doc_id = 1").count() == 1
+    clash = toxicity.scored(docs.selectExpr("*", "'x' AS Score"), (np.zeros(0, dtype=int), np.zeros(0), 0.0))
+    assert clash.columns == ["doc_id", "text", "Score", "score_"] and clash.filter("Score = 'x' AND score_ = 0.5").count() == docs.count()
+    long = spark.createDataFrame([(1, prose(1, 100_000) + " nasty brute words"), (1, prose(1, 100_000) + " nasty brute words")], DOCS)
+    assert len({r.score for r in toxicity.scored(long, toxicity.learn(toxicity.training_rows(docs, labels))).collect()}) == 1
     assert {r.score for r in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0.5}
 
 
@@ -101,16 +110,57 @@ def test_features_do_not_depend_on_blocks(monkeypatch):
 def test_resampling_keeps_target_like_texts(spark):
     good = [(i, prose(i, 50)) for i in range(200)]
     bad = [(1000 + i, " ".join(f"{w}$$$" for w in prose(i, 50).split())) for i in range(60)]
-    docs = spark.createDataFrame([*good, *bad, (5000, None), (5001, "")], DOCS)
+    more = [(5000, None), (5001, ""), (7, prose(7, 50)), (None, prose(3, 50))]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in [*good, *bad, *more]], DOCS + ", Selected int, log_weight int")
     labels = spark.createDataFrame([(i, 1) for i in range(0, 200, 2)], "doc_id long, quality int")
-    got = {r.doc_id: r for r in quality.resampled(docs, quality.target_texts(docs, labels)).collect()}
-    assert all(got[i].selected for i, _ in good) and not any(got[i].selected for i, _ in bad)
-    keys = sorted((r.sample_key for r in got.values()), reverse=True)
-    for k in (0, 1, 17, 262):
-        drawn = quality.resampled(docs, quality.target_texts(docs, labels), k=k).filter("selected").count()
+    target = quality.target_texts(docs, labels)
+    assert target.count() == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(0, 200, 2))
+    out = quality.resampled(docs, target)
+    assert out.columns == [*docs.columns, "log_weight_", "n_grams", "sample_key", "selected_"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert all(got[i].selected_ for i, _ in good) and not any(got[i].selected_ for i, _ in bad)
+    assert got[5000].log_weight_ == got[5001].log_weight_ == 0 and out.count() == len(good) + len(bad) + len(more)
+    assert len({r.sample_key for r in out.filter("doc_id = 7").collect()}) == 1
+    long = quality.keyed(spark.createDataFrame([(1, prose(2, 100_000)), (2, "x")], DOCS), target, keep=["doc_id"])
+    assert long.columns == ["doc_id", "log_weight", "n_grams", "sample_key"] and {r.doc_id: r.n_grams for r in long.collect()} == {1: 399_998, 2: 2}
+    keys = sorted((r.sample_key for r in out.collect()), reverse=True)
+    for k in (0, 1, 17, len(keys)):
+        drawn = quality.resampled(docs, target, k=k).filter("selected_").count()
         assert drawn == sum(x >= keys[k - 1] for x in keys) if k else drawn == 0
-    assert quality.resampled(docs.limit(0), quality.target_texts(docs, labels)).count() == 0
-    assert quality.resampled(docs, quality.target_texts(docs, labels.limit(0))).filter("log_weight <> 0").count() == 0
+    other = {r.doc_id for r in quality.resampled(docs, target, k=100, seed=1).filter("selected_").collect()}
+    assert len(other ^ {r.doc_id for r in quality.resampled(docs, target, k=100).filter("selected_").collect()}) > 20
+    assert quality.resampled(docs.limit(0), target).count() == 0
+    assert quality.resampled(docs, quality.target_texts(docs, labels.limit(0))).filter("log_weight_ <> 0").count() == 0
+
+
+def test_gumbel_top_k_draws_in_proportion(spark):
+    """Inclusion rates of the two greatest keys over many seeds, against those of drawing twice without replacement."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    weights, seeds = [0.0, 1.0, 1.5, 2.0, -1.0], 20_000
+    p = np.exp(weights) / np.exp(weights).sum()
+    want = [p[i] + sum(p[j] * p[i] / (1 - p[j]) for j in range(len(p)) if j != i) for i in range(len(p))]
+    each = spark.range(seeds).select(F.col("id").alias("seed"), F.posexplode(F.array(*map(F.lit, weights))).alias("doc_id", "w"))
+    keys = each.withColumn("key", F.col("w") + quality.gumbel([F.col("doc_id"), F.lit("text")], F.col("seed")))
+    top = keys.withColumn("n", F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("key")))).filter("n <= 2")
+    got = {r.doc_id: r["count"] / seeds for r in top.groupBy("doc_id").count().collect()}
+    assert all(abs(got[i] - want[i]) < 0.015 for i in range(len(p)))
+
+
+def test_log_weights_equal_the_definition(spark):
+    """Weights by counting in plain Python, scaled down to GRAMS n-grams."""
+    docs = spark.createDataFrame([(i, prose(i, 30 + 5 * i)) for i in range(20)], DOCS)
+    target = docs.filter("doc_id < 8").select("text")
+    features = {r.doc_id: np.concatenate(list(quality.Hasher().features(r.text))) for r in docs.collect()}
+    count = lambda ids: Counter(int(f) for i in ids for f in features[i])
+    wanted, raw = count(range(8)), count(range(20))
+    n_wanted, n_raw, prior = sum(wanted.values()), sum(raw.values()), quality.BUCKETS
+    for r in quality.keyed(docs, target).collect():
+        own = features[r.doc_id]
+        q = {int(f): raw[int(f)] / n_raw for f in own}
+        log = sum(np.log((wanted[int(f)] + prior * q[int(f)]) / (n_wanted + prior) / q[int(f)]) for f in own)
+        assert abs(r.log_weight - log * min(1, quality.GRAMS / len(own))) < 1e-6 and r.n_grams == len(own)
 
 
 # --- 3 ------------------------------------------------------------------------------------------------------------------
@@ -397,7 +447,7 @@ def test_long_entities_and_clashing_columns(spark):
     out = pii.pseudonymise(docs, "k")
     got = {r.doc_id: r for r in out.collect()}
     assert out.columns == [*docs.columns, "pii_mentions"] and all(tuple(r)[2:6] == (7, 8, 9, 10) for r in got.values())
-    assert got[1].pii_mentions == got[3].pii_mentions == 1 and re.fullmatch(r".@\w{8}\.example\.net", got[1].text) and got[4].pii_mentions == 20_000
+    assert got[1].pii_mentions == got[3].pii_mentions == 1 and re.fullmatch(r".@\w{8}\.example\.net", got[1].text) and re.fullmatch(r"\w{64}@\w{8}\.example\.net", got[3].text) and got[4].pii_mentions == 20_000
     assert got[8].text == texts[7][1] and got[2].text == texts[1][1]
 
 
