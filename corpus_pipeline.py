@@ -17,7 +17,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Importance resampling towards the documents labelled as good; what it does not draw goes. As many are drawn as are
     likelier under the model of good texts than under that of all texts."""
     target = quality.target_texts(docs, table(spark, sf_dir, "labels"))
-    return quality.resampled(docs, target).filter("selected").select(*docs.columns)
+    drawn = quality.resampled(docs, target)
+    return drawn.filter(F.col(drawn.columns[-1])).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
