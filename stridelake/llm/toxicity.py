@@ -54,7 +54,7 @@ class Features:
         return (out[0] if len(out) == 1 else np.unique(np.concatenate(out))).astype(np.int64)
 
 
-def ftrl(examples: list[tuple[np.ndarray, int]], epochs: int = 3, alpha: float = 0.3, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1, dimensions: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray, float]:
+def ftrl(examples: list[tuple[np.ndarray, int]], epochs: int = 5, alpha: float = 0.3, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1, dimensions: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray, float]:
     """Indices and values of the weights that are not zero, and the intercept. Examples are (features, label) in a fixed order."""
     z, n = np.zeros(dimensions), np.zeros(dimensions)
     z0 = n0 = w0 = 0.0
