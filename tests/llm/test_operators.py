@@ -519,3 +519,44 @@ def test_decontamination(spark, rows, monkeypatch):
     assert clean.columns == ["doc_id", "text", "matches"] and clean.count() == sum(not r[5] for r in want)
     assert decontam.report(docs, bench.limit(0)).filter("contaminated").count() == 0
     assert decontam.report(docs.limit(0), bench).count() == 0
+
+
+def slow_longest(w, v):
+    """Length of the longest run of words in both, by the table of common suffixes."""
+    best, row = 0, [0] * (len(v) + 1)
+    for x in w:
+        row = [0, *(row[j] + 1 if x == y else 0 for j, y in enumerate(v))]
+        best = max(best, *row)
+    return best
+
+
+def test_longest_matches_equal_brute_force():
+    rng = np.random.default_rng(5)
+    for words in (1, 2, 3, 30):
+        for _ in range(40):
+            passages = [rng.integers(1, words + 1, rng.integers(1, 40)) for _ in range(rng.integers(1, 4))]
+            items = [rng.integers(1, words + 1, rng.integers(1, 30)) for _ in range(rng.integers(1, 4))]
+            for (p, a, o, n), v in zip(decontam.longest_matches(passages, items), items, strict=True):
+                assert n == max(slow_longest(w.tolist(), v.tolist()) for w in passages)
+                assert n == 0 or passages[p][a : a + n].tolist() == v[o : o + n].tolist()
+
+
+def test_repeated_words_cost_no_pairs(spark):
+    """An item of one word over and over, in texts of that word: linear, where places times owners would be hundreds of millions."""
+    docs = spark.createDataFrame([(i, "na " * (20_000 + i)) for i in range(3)] + [(9, "na na"), (10, None)], DOCS)
+    bench = spark.createDataFrame([(i, "na " * 4000) for i in range(50)] + [(99, None)], "item_id long, text string")
+    import time
+
+    began = time.time()
+    got = {r.doc_id: r for r in decontam.report(docs, bench).collect()}
+    assert time.time() - began < 60
+    assert [got[i].n_hit for i in (0, 1, 2, 9, 10)] == [20_000, 20_001, 20_002, 0, 0] and got[0].n_items == 50
+    assert {m.n_words for m in got[1].matches} == {4000}
+
+
+def test_common_passage_in_many_items(spark):
+    passage = prose(40, 14)
+    items = [(i, f"{prose(1000 + i, 20)} {passage} {prose(2000 + i, 20)}") for i in range(60)]
+    rows = [(i, f"{prose(3000 + i, 30)} {passage} {prose(4000 + i, 30)}") for i in range(40)]
+    got = decontam.report(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((tuple(r)[:6] for r in got.collect()), key=str) == slow_contamination(rows, items)
