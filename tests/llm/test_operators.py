@@ -337,8 +337,9 @@ def test_rule_measures(spark, rows):
         assert not (failed and got[i].kept)
     assert got[1].kept and got[8].kept is not None
     assert rules.verdicts(spark.createDataFrame([], DOCS)).count() == 0
-    with pytest.raises(ValueError):
-        rules.cascade(spark.createDataFrame([(1, "x", True)], DOCS + ", kept boolean"))
+    out = rules.cascade(spark.createDataFrame([(1, "x", 5, 6)], DOCS + ", Kept int, n_words int"))
+    assert out.columns == ["doc_id", "text", "Kept", "n_words", "n_words_", *rules.MEASURES[1:], "base_failed", "rejected_by", "kept_"]
+    assert tuple(out.first()) == (1, "x", 5, 6, 1, 1, 0, 0, 0, True, "few_words_or_repeats", False)
 
 
 def test_order_changes_no_verdict(spark, rows):
@@ -348,6 +349,17 @@ def test_order_changes_no_verdict(spark, rows):
     assert sorted(one) == sorted(two)
 
 
+def test_cheap_rules_that_reject_come_first(spark):
+    """Against a rule that searches every text many times over, one that rejects as much for nothing; one without hits is last."""
+    from pyspark.sql import functions as F
+
+    sample = rules.measures(spark.createDataFrame([(i, prose(i, 2000)) for i in range(200)], DOCS))
+    slow = sum((F.regexp_count("text", F.lit(f"(a|b|e)+{i}?[a-z]*x")) for i in range(3)), F.lit(0)) >= 0
+    found = rules.measured_order(sample, {"never": F.col("n_words") < 0, "slow": slow, "cheap": F.col("doc_id") % 2 == 0})
+    assert [f[0] for f in found] == ["cheap", "slow", "never"] and [f[1] for f in found] == [0.5, 1.0, 0.0]
+    assert rules.sampled(sample, 20).count() < 60 and rules.sampled(sample, 500).count() == 200
+
+
 # --- 8 ------------------------------------------------------------------------------------------------------------------
 
 
