@@ -170,13 +170,38 @@ def test_license_scan(spark):
     lines = [
         ("MIT", "alpha beta.\nReleased under the MIT License."), ("Apache-2.0", "Licensed under the Apache License, Version 2.0.\ntail"), ("CC-BY-NC-4.0", "x\nLicensed under CC BY-NC 4.0."),
         ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."), ("", "The Apache helicopter landed under licence."), ("", "MIT students wrote it."), ("", None), ("", ""), ("", "\n \n"),
+        ("GPL-3.0,MIT", "Released under the MIT License.\nLicensed under the GNU General Public License, version 3.\nalpha beta"), ("MIT", prose(9, 30_000) + "\n\n\nReleased under the MIT License.\n" + prose(8, 30_000)),
     ]
-    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(lines)] + [(100 + i, prose(i, 40)) for i in range(50)], DOCS)
-    got = {r.doc_id: r for r in licenses.license_scan(docs).collect()}
-    assert [got[i].families for i in range(len(lines))] == [f for f, _ in lines]
-    assert got[0].n_paragraphs == 2 and got[0].licenses[0].paragraph == 1 and got[8].n_paragraphs == 0
-    assert all(got[100 + i].families == "" for i in range(50))
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(lines)] + [(100 + i, prose(i, 40)) for i in range(50)] + [(100, prose(0, 40)), (None, lines[0][1])], DOCS)
+    rows = licenses.license_scan(docs).collect()
+    got = {r.doc_id: r for r in rows}
+    assert len(rows) == len(lines) + 52 and [got[i].families for i in range(len(lines))] == [f for f, _ in lines]
+    assert got[0].n_paragraphs == 1 and got[0].licenses[0].line == 1 and got[8].n_paragraphs == 0 and got[10].n_paragraphs == 2 and got[10].licenses[0].asDict()["line"] == 3
+    assert all(got[100 + i].families == "" for i in range(50)) and got[None].families == "MIT"
     assert licenses.license_scan(docs.limit(0)).count() == 0
+    clash = licenses.scan(docs.selectExpr("*", "1 AS Licenses"), licenses.train([prose(i, 40) for i in range(50)], rounds=5))
+    assert clash.columns == ["doc_id", "text", "Licenses", "n_paragraphs", "licenses_"] and clash.filter("Licenses = 1").count() == len(rows)
+
+
+def test_license_versions_variants_and_wraps():
+    import textwrap
+
+    model = licenses.train([prose(i, 40) for i in range(400)])
+    notice = {f: n[0] for f, n in licenses.NOTICES.items()}
+    texts = [(f, textwrap.fill(notice[f], width)) for f in notice if f != "BSD-3-Clause" for width in (40, 60, 10_000)]
+    texts += [(f, f"alpha beta {t} gamma") for f, t in texts] + [(f, t.replace("free of charge", "at no charge").replace("the Free", "our Free")) for f, t in texts]
+    texts += [
+        ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."), ("CC-BY-4.0", "Licensed under CC BY 4.0"), ("CC-BY-3.0", "Licensed under CC BY 3.0."), ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
+        ("LGPL-2.1", "This library is released under the GNU Lesser General Public License, version 2.1"), ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."), ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+        ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"), ("GPL-3.0", "// SPDX-License-Identifier: GPL-3.0-only"), ("MIT", "This project is licensed under the MIT License."), ("", "Licensed under the GNU General Public License, version 4."), ("GPL", "This code is licensed under the GNU General Public License."),
+        ("", "CC BY 2.5"), ("", "Fishing licences are granted to any person over twenty."), ("", "The license of the driver was taken away by the court."), ("", "")
+    ]
+    assert [f for f, t in texts if ",".join(x["family"] for x in licenses.judged(model, t)[1]) != f] == []
+
+
+def test_paragraphs():
+    assert list(licenses.paragraphs_of("")) == [] and list(licenses.paragraphs_of("\n \n")) == []
+    assert list(licenses.paragraphs_of("a\nb\n\n \nc")) == [(0, ["a", "b"]), (4, ["c"])] and list(licenses.paragraphs_of("\na\n")) == [(1, ["a"])]
 
 
 # --- 5 ------------------------------------------------------------------------------------------------------------------
