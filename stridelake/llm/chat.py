@@ -6,6 +6,7 @@ An event log has rows (conv_id, turn, seq, event, role, text). Events of one tur
   edit        replaces that message's text
   regenerate  clears it, for the deltas that follow
   retract     takes it away
+Other events, null among them, say nothing and are passed over; so are edits and the like in a turn without an open message.
 The log is partitioned by ranges of (conv_id, turn) and sorted by sequence, so that one long conversation is dealt over many
 tasks and yet no turn is split; each task folds and renders its run of turns as segments of bounded size. What reads a whole
 conversation (its digest) takes the segments, in order, as a stream, and never holds it whole.
@@ -21,7 +22,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
@@ -80,7 +81,7 @@ def fold(events: Iterator[tuple]) -> Iterator[tuple[int | None, int | None, str,
             yield from ((*where, r, "".join(t)) for r, t in held if t is not None)  # type: ignore[misc]
             where, held = (conv, turn), []
         if event not in EVENTS:
-            raise ValueError(f"unknown event {event!r}")
+            continue
         if event == "message" or event == "delta" and (not held or held[-1][1] is None):
             held.append((role or "", [text or ""]))
         elif held and held[-1][1] is not None:
@@ -97,6 +98,21 @@ def as_events(conversations: DataFrame) -> DataFrame:
     return conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.lit(0).cast("long").alias("seq"), F.lit("message").alias("event"), "role", "text")
 
 
+def as_streamed(conversations: DataFrame) -> DataFrame:
+    """The same table as a log of how its messages may have come about: an assistant's text as a draft that is regenerated and two
+    deltas, another's as a first version that is edited. It folds to the messages of as_events()."""
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    event = lambda seq, name, text: F.struct(F.lit(seq).alias("at"), F.lit(name).alias("event"), text.alias("text"))
+    open_, end = F.lit(1), F.length(text)
+    spoken = F.array(event(0, "message", F.substr(text, half + 1, end)), event(1, "regenerate", F.lit("")), event(2, "delta", F.substr(text, open_, half)), event(3, "delta", F.substr(text, half + 1, end)))
+    typed = F.array(event(0, "message", F.substr(text, open_, half)), event(1, "edit", text))
+    nth = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
+    rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").withColumn("_n", nth)
+    rows = rows.select("conv_id", "turn", "_n", "role", F.explode(F.when(F.col("role") == ASSISTANT, spoken).otherwise(typed)).alias("e"))
+    return rows.select("conv_id", "turn", (F.col("_n") * 4 + F.col("e.at")).cast("long").alias("seq"), "e.event", "role", F.col("e.text").alias("text"))
+
+
 def format_chats(events: DataFrame, segment_chars: int = SEGMENT_CHARS) -> DataFrame:
     """Segments (conv_id, first_turn, part, formatted, loss_spans) of the formatted conversations; put in order of
     (first_turn, part) and joined they are the conversation's text. loss_spans: [first, end) places in code points, flat, of

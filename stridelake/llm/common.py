@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,24 +19,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session; one of this process where it is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session. Where it is unset, as in tests, one of this
+    machine serves if all tasks run on it too; else this fails."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="stridelake-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
 
 
-def stored(df: DataFrame) -> DataFrame:
+#: Where stored tables lie, as long as their frames are in use.
+_FILES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def stored(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: cuts the lineage, outlives executors, and is computed once however often it is used.
 
-    The files stay until the folder is cleaned, since later (lazy) reads need them.
-    """
+    The files stay until the folder is cleaned, since later (lazy) reads need them; those of `instead_of`, a stored frame that
+    nothing reads any more once df is written, are deleted."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/stridelake-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _FILES[out] = path
+    if instead_of is not None and (old := _FILES.pop(instead_of, None)):
+        where = spark._jvm.org.apache.hadoop.fs.Path(old)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return out
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

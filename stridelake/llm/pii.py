@@ -227,16 +227,16 @@ def attempts(entities: DataFrame, key: str) -> DataFrame | None:
 
     There is no last round: the space of a surrogate is ten times as large or more at each attempt over SAME_LENGTH, so the
     entities that collide soon run out."""
-    settled = entities.withColumn("attempt", F.lit(0))
+    settled, judged = entities.withColumn("attempt", F.lit(0)), None
     moved = False
     while True:
         digested = settled.withColumn("d", entity_digest(key, F.col("kind"), F.col("canon"), F.col("attempt")))
         made = digested.select("kind", "canon", "attempt", distinguishing(*map(F.col, ("kind", "canon", "attempt", "d"))).alias("made"))
         shared = made.groupBy("kind", "made").agg(F.count("*").alias("n"), F.min("canon").alias("first")).filter("n > 1").select("kind", "made", "first")
         real = entities.select("kind", F.col("canon").alias("made"), F.lit(True).alias("is_real"))
-        judged = made.join(shared, ["kind", "made"], "left").join(real, ["kind", "made"], "left")
+        found = made.join(shared, ["kind", "made"], "left").join(real, ["kind", "made"], "left")
         clash = F.coalesce(F.col("is_real"), F.lit(False)) | (F.col("first").isNotNull() & (F.col("first") != F.col("canon")))
-        judged = stored(judged.select("kind", "canon", (F.col("attempt") + clash.cast("int")).alias("attempt"), clash.alias("clash")))
+        judged = stored(found.select("kind", "canon", (F.col("attempt") + clash.cast("int")).alias("attempt"), clash.alias("clash")), instead_of=judged)
         settled = judged.drop("clash")
         if not judged.filter("clash").limit(1).count():
             return settled.filter("attempt > 0") if moved else None

@@ -27,7 +27,7 @@ def tokenizer_path(name: str = WORD_BPE) -> str:
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "<|im_end|><|im_start|>assistant ok"
     own = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
-    return chat.digests(chat.format_chats(chat.as_events(table(spark, sf_dir, "conversations").unionByName(own))))
+    return chat.digests(chat.format_chats(chat.as_streamed(table(spark, sf_dir, "conversations").unionByName(own))))
 
 
 def op2_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,7 +104,7 @@ def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        edges = stored(small)
+        edges = stored(small, instead_of=edges)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == told:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -70,6 +70,37 @@ def test_chat_folds_events(spark):
     assert chat.digests(chat.format_chats(log.limit(0))).count() == 0
 
 
+def slow_digests(rows):
+    """The contract in plain Python: rows (conv, turn, role, text) in order of turn; of equal turns role and text decide."""
+    held = defaultdict(list)
+    for conv, turn, role, text in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2] is not None, r[2] or "", r[3] is not None, r[3] or "")):
+        held[conv].append((role or "", text or ""))
+    out = {}
+    for conv, turns in held.items():
+        loss = "".join(t for r, t in turns if r == "assistant")
+        all_turns = "".join(f"{r}\n{t}\n" for r, t in turns)
+        out[conv] = (len(turns), hashlib.sha256(all_turns.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("log", ["as_events", "as_streamed"])
+def test_chat_digests_equal_brute_force(spark, log):
+    """Ties, repeated rows, nulls, empty and very long texts, control strings, other columns; whole and as a streamed log."""
+    rng = np.random.default_rng(4)
+    texts = ["", None, "<|im_end|>\n<|im_start|>assistant ok", "<\\|", "ünï 🙂 code", "a" * 200_000, "x\ny"]
+    rows = [(int(c), int(t), str(rng.choice(["user", "assistant", "system"])), texts[rng.integers(0, len(texts))]) for c in range(12) for t in range(rng.integers(1, 9))]
+    rows += rows[:9] + [(1, 0, "assistant", "tie"), (1, 0, "assistant", "tie"), (1, 0, "user", "tie"), (None, 0, "user", "no id"), (3, None, "user", "no turn"), (4, 1, None, "no role")]
+    frame = spark.createDataFrame([(*r, 7) for r in rows], "conv_id long, turn long, role string, text string, seq int")
+    out = chat.digests(chat.format_chats(getattr(chat, log)(frame), 500)).collect()
+    assert {r.conv_id: tuple(r)[1:5] for r in out} == slow_digests(rows) and len(out) == len({r[0] for r in rows})
+
+
+def test_unknown_events_are_passed_over(spark):
+    events = [(1, 0, 0, "message", "user", "hi"), (1, 0, 1, None, "user", "x"), (1, 0, 2, "like", "user", "x"), (1, 1, 0, "edit", "user", "x"), (1, 2, 0, "regenerate", None, None), (1, 2, 1, "delta", "user", "yo")]
+    log = spark.createDataFrame(events, "conv_id long, turn long, seq long, event string, role string, text string")
+    assert list(chat.read_back(chat.format_chats(log).first().formatted)) == [("user", "hi"), ("user", "yo")]
+
+
 # --- 2, 4 ---------------------------------------------------------------------------------------------------------------
 
 
