@@ -33,6 +33,14 @@ def rolling_quantile(column, q, partition, order, n, least):
     return guarded(F.percentile(column, F.lit(q)), column, rows(partition, order, n), least)
 
 
+def rolling_median3(column: str, partition, order) -> Column:
+    """The median of the values (nulls left out) on the last three rows; null where all are."""
+    w = Window.partitionBy(*partition).orderBy(*order)
+    held = F.array_sort(F.array_compact(F.array(F.col(column).cast("double"), *(F.lag(F.col(column).cast("double"), k).over(w) for k in (1, 2)))))
+    at = lambda i: F.get(held, F.lit(i))
+    return F.when(F.size(held) == 2, at(0) + (at(1) - at(0)) / 2).when(F.size(held) == 3, at(1)).otherwise(at(0))
+
+
 def forward_fill(column: str, partition, order) -> Column:
     return F.last(column, ignorenulls=True).over(Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
 
@@ -78,13 +86,18 @@ def merged_intervals(df: DataFrame, partition, start: str, end: str, gap: float
     return grouped.groupBy(*partition, "_run").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_run")
 
 
+def _neighbours(known: Column, partition, order) -> tuple[Column, Column]:
+    """The last value of `known` up to each row and the first from it on. The latter is the last in descending order: both frames
+    grow from the partition's edge, so each row costs one step."""
+    up_to_here = lambda columns: Window.partitionBy(*partition).orderBy(*columns).rowsBetween(Window.unboundedPreceding, 0)
+    return (F.last(known, ignorenulls=True).over(up_to_here(order)), F.last(known, ignorenulls=True).over(up_to_here([F.desc(c) for c in order])))
+
+
 def interpolated(column: str, position: str, partition, order, limit: int) -> Column:
     """Linear interpolation by row: the first `limit` rows of any gap are filled, a leading gap stays null, a trailing gap
     repeats the last value for `limit` rows. position: a gap-free row number of the partition."""
-    back = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*partition).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
     known = F.when(F.col(column).isNotNull(), F.struct(F.col(position).alias("p"), F.col(column).cast("double").alias("v")))
-    a, b = F.last(known, ignorenulls=True).over(back), F.first(known, ignorenulls=True).over(ahead)
+    a, b = _neighbours(known, partition, order)
     line = a["v"] + (b["v"] - a["v"]) * (F.col(position) - a["p"]) / (b["p"] - a["p"])
     filled = F.when(F.col(position) - a["p"] <= limit, F.coalesce(line, a["v"]))
     return F.when(F.col(column).isNotNull(), F.col(column).cast("double")).otherwise(filled)
@@ -94,3 +107,16 @@ def time_step(t: str, partition, order, most: float = 120, first: float = 1) ->
     """Seconds since the row before, between 0 and `most`; `first` for the first row."""
     before = F.lag(t).over(Window.partitionBy(*partition).orderBy(*order))
     return F.when(before.isNull(), F.lit(float(first))).otherwise(clip((F.col(t) - before).cast("double"), 0, most))
+
+
+def interpolated_by_time(column: str, t: str, position: str, partition, order, seconds: float = 15, limit: int = 10) -> Column:
+    """A gap is filled as a whole or not at all: where its bounding times are at most `seconds` apart, or, where a time is
+    unknown, its rows are at most `limit`. Gaps at the edges, which have one bound, take its value under the row limit."""
+    known = F.when(F.col(column).isNotNull(), F.struct(F.col(position).alias("p"), F.col(column).cast("double").alias("v"), F.col(t).alias("t")))
+    a, b = _neighbours(known, partition, order)
+    ends = Window.partitionBy(*partition)
+    first, last = F.min(position).over(ends), F.max(position).over(ends)
+    rows = F.coalesce(b["p"], last + 1) - F.coalesce(a["p"], first - 1) - 1
+    near = F.coalesce(b["t"] - a["t"] <= seconds, rows <= limit)
+    line = a["v"] + (b["v"] - a["v"]) * (F.col(position) - a["p"]) / (b["p"] - a["p"])
+    return F.when(F.col(column).isNotNull(), F.col(column).cast("double")).when(near, F.coalesce(line, a["v"], b["v"]))

@@ -100,7 +100,7 @@ def roll_up(records: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
     """D-27: one row for each activity from its records: counts, impulse, heart rates, minutes by zone, active minutes, robust
     greatest speed (99th percentile of 3-row medians), distance, ascent, uphill minutes."""
     z = with_zones(records, profile)
-    median = F.percentile("speed", F.lit(0.5)).over(R.rows([KEY], ["idx"], 3))
+    median = R.rolling_median3("speed", [KEY], ["idx"])
     step = F.col("altitude") - F.lag("altitude").over(_order())
     z = z.withColumns({"_smooth": median, "_up": step})
     minutes = lambda names: F.sum(F.when(F.col("is_active") & F.col("zone").isin(*names), F.col("dt")).otherwise(0.0)) / 60

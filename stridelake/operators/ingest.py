@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stridelake.functions import rolling as R
 from stridelake.functions.scalars import day_first_date, eu_number, sleep_minutes
@@ -41,14 +41,37 @@ def export_days(cleaned: DataFrame) -> DataFrame:
 # --- raw JSON (section E) ---------------------------------------------------------------------------------------------------
 
 
-def value_at(json: Column, *paths: str) -> Column:
-    """F-json2: the first of the paths that holds something other than null, an empty text or 0."""
-    got = [F.get_json_object(json, p) for p in paths]
-    return F.coalesce(*(F.when((g != "") & (g != "0"), g) for g in got))
+def parsed(json: Column, paths: list[str]) -> Column:
+    """F-json3: the values at the paths ("$.a.b"), as texts in nested structs, by one parse of the JSON; of a list, its first
+    element's. Null for null, and for an empty list."""
+    tree: dict = {}
+    for path in paths:
+        *inner, leaf = path.removeprefix("$.").split(".")
+        at = tree
+        for name in inner:
+            at = at.setdefault(name, {})
+        at[leaf] = None
+
+    def struct(names: dict) -> T.StructType:
+        return T.StructType([T.StructField(n, T.StringType() if below is None else struct(below)) for n, below in names.items()])
+
+    return F.get(F.from_json(json, T.ArrayType(struct(tree))), F.lit(0))  # an object is read as a list of one
+
+
+def value_at(record: Column, *paths: str) -> Column:
+    """F-json2: the first of the paths into a parsed record that holds something other than null, an empty text or 0."""
+
+    def at(path: str) -> Column:
+        out = record
+        for name in path.removeprefix("$.").split("."):
+            out = out[name]
+        return out
+
+    return F.coalesce(*(F.when((at(p) != "") & (at(p) != "0"), at(p)) for p in paths))
 
 
 def first_record(json: Column) -> Column:
-    """F-json3: the first element of a list, or the object itself."""
+    """The text of the first element of a list, or of the object itself."""
     return F.when(F.ltrim(json).startswith("["), F.get_json_object(json, "$[0]")).otherwise(json)
 
 
@@ -82,7 +105,7 @@ EXTRACTORS: dict[str, tuple[list[tuple[str, str, list[str]]], str]] = {
         [(column, "double", [f"{_LATEST}.{field}", f"$.{field}"]) for column, field in (("anaerobic_load", "anaerobicLoad"), ("high_aerobic_load", "highAerobicLoad"), ("low_aerobic_load", "lowAerobicLoad"), ("vo2_max", "vo2Max"))] + [("recovery_time", "double", _nested("recoveryTime", False))],
         _any("anaerobic_load", "high_aerobic_load", "low_aerobic_load", "recovery_time", "vo2_max"),
     ),
-    "vo2_max": ([("vo2_max", "double", ["$.generic.vo2MaxPreciseValue", "$.vo2MaxValue"])], _any("vo2_max")),
+    "vo2_max": ([("vo2_max", "double", ["$.generic.vo2MaxPreciseValue"])], _any("vo2_max")),
     "lactate_threshold": ([("lt_heart_rate", "double", ["$.lactateThresholdHeartRate"]), ("lt_speed", "double", ["$.lactateThresholdSpeed"])], _any("lt_heart_rate", "lt_speed")),
     "movement": ([("steps", "double", ["$.totalSteps"]), ("steps_goal", "double", ["$.stepsGoal"]), ("floors_ascended", "double", ["$.floorsAscended"])], "TRUE"),
     "intensity": ([("moderate_min", "double", ["$.moderateIntensityMinutes"]), ("vigorous_min", "double", ["$.vigorousIntensityMinutes"])], "TRUE"),
@@ -95,33 +118,80 @@ EXTRACTORS: dict[str, tuple[list[tuple[str, str, list[str]]], str]] = {
 }
 
 
-def _computed(name: str, json: Column) -> dict[str, Column]:
+#: Paths of the columns that are not just a value at a path.
+_MORE = {
+    "hrv": ["$.hrvReadings"],
+    "sleep": [f"{_SLEEP}.sleepTimeSeconds"],
+    "intensity": ["$.moderateIntensityMinutes", "$.vigorousIntensityMinutes"],
+    "activities": ["$.startTimeGMT", "$.startTimeLocal"],
+}
+
+
+def _computed(name: str, record: Column) -> dict[str, Column]:
     """The columns of a daily table that are not just a value at a path."""
-    number = lambda path: F.coalesce(value_at(json, path).try_cast("double"), F.lit(0.0))
+    number = lambda path: F.coalesce(value_at(record, path).try_cast("double"), F.lit(0.0))
     if name == "hrv":
-        return {"sample_count": F.coalesce(F.json_array_length(F.get_json_object(json, "$.hrvReadings")), F.lit(0)).cast("long")}
+        return {"sample_count": F.coalesce(F.json_array_length(record["hrvReadings"]), F.lit(0)).cast("long")}
     if name == "sleep":
         return {"duration_minutes": F.floor(number(f"{_SLEEP}.sleepTimeSeconds") / 60).cast("long")}
     if name == "intensity":
         return {"total_intensity_min": number("$.moderateIntensityMinutes") + number("$.vigorousIntensityMinutes")}
     if name == "activities":
-        return {"date": F.substring(value_at(json, "$.startTimeGMT", "$.startTimeLocal"), 1, 10).try_cast("date")}
+        return {"date": F.substring(value_at(record, "$.startTimeGMT", "$.startTimeLocal"), 1, 10).try_cast("date")}
     return {}
 
 
 def extracted(landing: DataFrame, name: str) -> DataFrame:
     """A daily table out of landed responses (athlete_id, date, payload): one row for each response that holds what the
     table needs; a list counts as its first element. Values that are missing, empty or 0 are null. An activity's date is that of
-    its start (UTC, else local); without either it is left out."""
+    its start (UTC, else local); without either it is left out. The oxygen uptake is looked for everywhere, see vo2_max()."""
     columns, keep = EXTRACTORS[name]
-    one = landing.withColumn("_j", first_record(F.col("payload")))
-    values = {c: value_at(F.col("_j"), *paths).try_cast(kind) for c, kind, paths in columns} | _computed(name, F.col("_j"))
+    paths = [p for _, _, own in columns for p in own] + _MORE.get(name, [])
+    # Generators bind what is used often: a plain projection would be merged with what reads it, and parse once for each value.
+    one = landing.select("athlete_id", "date", "payload", F.inline(F.array(F.struct(parsed(F.col("payload"), paths).alias("_r")))))
+    record = F.col("_r")
+    values = {c: value_at(record, *own).try_cast(kind) for c, kind, own in columns} | _computed(name, record)
+    if name == "vo2_max":
+        values["vo2_max"] = F.coalesce(values["vo2_max"], vo2_max(F.col("payload")))
     date = values.pop("date", F.col("date"))
-    # A generator computes the values once: a filter over a plain projection would be pushed below it, with every value in it again.
-    row = F.struct(date.alias("date"), *(x.alias(c) for c, x in values.items()), F.col("_j").isNotNull().alias("_found"))
+    row = F.struct(date.alias("date"), *(x.alias(c) for c, x in values.items()), record.isNotNull().alias("_found"))
     return one.select("athlete_id", F.inline(F.array(row))).filter("_found").filter(keep).drop("_found")
 
 
+def vo2_max(payload: Column) -> Column:
+    """Of the first item (of a list, or the object itself) that has one: the precise value, wherever it is, else the first value
+    under a key with vo2max in its name."""
+    number = lambda x: F.get(F.transform(F.array(x.try_cast("double")), lambda v: F.nullif(v, F.lit(0.0))), F.lit(0))  # noqa: E731  evaluates x once
+    of = lambda item: F.coalesce(number(F.get_json_object(item, "$.generic.vo2MaxPreciseValue")), number(found_anywhere(item, "vo2MaxPreciseValue")), number(found_anywhere(item, "vo2Max")))
+    items = F.when(F.ltrim(payload).startswith("["), F.from_json(payload, "array<string>")).otherwise(F.array(payload))
+    return F.get(F.filter(F.transform(items, of), lambda x: x.isNotNull()), F.lit(0))
+
+
+def in_range_or_before(rows: DataFrame, start: str, end: str, days: int = 30) -> DataFrame:
+    """An athlete's rows with a date from start to end; for an athlete with none, those of the days before, from `days` before the end on."""
+    date, whole = F.col("date"), Window.partitionBy("athlete_id")
+    first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
+    near = rows.filter((date <= last) & (date >= F.least(first, F.date_sub(last, days)))).withColumn("_inside", date >= first)
+    return near.withColumn("_any", F.max("_inside").over(whole)).filter("_inside OR NOT _any").drop("_inside", "_any")
+
+
+def lactate_threshold(reports: DataFrame, summaries: DataFrame, start: str, end: str, as_of: str, most: int = 8) -> DataFrame:
+    """athlete_id, date, lt_heart_rate, lt_speed from the reports (athlete_id, payload): every record of a list, and an object
+    with either value; without a date, that of the run. For an athlete without any, the first `most` daily summaries (athlete_id,
+    date, payload) from start to end that have either."""
+    read = lambda j: {"lt_heart_rate": F.get_json_object(j, "$.lactateThresholdHeartRate").try_cast("double"), "lt_speed": F.get_json_object(j, "$.lactateThresholdSpeed").try_cast("double")}
+    either = "coalesce(lt_heart_rate, 0) <> 0 OR coalesce(lt_speed, 0) <> 0"
+    listed = F.ltrim("payload").startswith("[")
+    items = reports.select("athlete_id", listed.alias("_list"), F.explode(F.when(listed, F.from_json("payload", "array<string>")).otherwise(F.array("payload"))).alias("j"))
+    items = items.filter(F.ltrim("j").startswith("{")).withColumns(read(F.col("j")))
+    items = items.withColumn("date", F.coalesce(F.substring(F.get_json_object("j", "$.date"), 1, 10).try_cast("date"), F.lit(as_of).cast("date"))).filter(f"_list OR {either}")
+    daily = summaries.filter(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).withColumns(read(F.col("payload"))).filter(either)
+    daily = daily.join(items.select("athlete_id").distinct(), "athlete_id", "left_anti")
+    daily = daily.withColumn("_n", F.row_number().over(Window.partitionBy("athlete_id").orderBy("date", "lt_heart_rate", "lt_speed"))).filter(F.col("_n") <= most)
+    columns = ["athlete_id", "date", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("lt_heart_rate", "lt_speed"))]
+    return items.select(*columns).unionByName(daily.select(*columns))
+
+
 def heart_rate_details(landing: DataFrame) -> DataFrame:
     """E13, F-json4: [[time, rate], ...] as a row for each pair with a rate above 0."""
     pairs = F.from_json(F.get_json_object("payload", "$.heartRateValues"), "array<array<double>>")
@@ -130,21 +200,38 @@ def heart_rate_details(landing: DataFrame) -> DataFrame:
 
 
 def heart_rate_summary(landing: DataFrame) -> DataFrame:
-    """A14."""
-    return heart_rate_details(landing).groupBy("athlete_id", "date").agg(F.avg("heart_rate").alias("avg_hr"), F.min("heart_rate").alias("min_hr"), F.max("heart_rate").alias("max_hr"))
+    """Of each response the mean of its rates above 0 (one decimal; 0 without any), and the greatest, least and resting rate it
+    states; responses without any of the four are left out."""
+    record = parsed(F.col("payload"), ["$.heartRateValues", "$.maxHeartRate", "$.minHeartRate", "$.restingHeartRate"])
+    one = landing.select("athlete_id", "date", F.inline(F.array(F.struct(record.alias("r")))))
+    rates = F.filter(F.transform(F.from_json("r.heartRateValues", "array<array<double>>"), lambda p: F.get(p, F.lit(1))), lambda x: x > 0)
+    mean = F.aggregate(rates, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(rates), F.lit(0))
+    stated = {f"{short}_hr": F.coalesce(F.col(f"r.{long}HeartRate").try_cast("double"), F.lit(0.0)) for short, long in (("max", "max"), ("min", "min"), ("resting", "resting"))}
+    out = one.select("athlete_id", "date", F.coalesce(F.bround(F.round(mean, 9), 1), F.lit(0.0)).alias("avg_hr"), *(x.alias(c) for c, x in stated.items()))
+    return out.filter("avg_hr <> 0 OR max_hr <> 0 OR min_hr <> 0 OR resting_hr <> 0")
+
 
+_ENTRY = "array<struct<path:array<int>,key:string,json:string>>"
 
-def found_anywhere(json: Column, key: str, depth: int = 4) -> Column:
-    """F-json1: the first value under a key whose name contains `key`, without case, down to `depth` levels of objects, the
-    outer levels first."""
-    level = F.array(json)
-    out = []
-    for _ in range(depth):
-        entries = F.flatten(F.transform(level, lambda j: F.coalesce(F.map_entries(F.from_json(j, "map<string,string>")), F.array().cast("array<struct<key:string,value:string>>"))))
-        hit = F.filter(entries, lambda e: F.lower(e["key"]).contains(key.lower()) & ~F.coalesce(F.ltrim(e["value"]).startswith("{"), F.lit(True)))
-        out.append(F.get(F.transform(hit, lambda e: e["value"]), F.lit(0)))
-        level = F.transform(F.filter(entries, lambda e: F.coalesce(F.ltrim(e["value"]).startswith("{"), F.lit(False))), lambda e: e["value"])
-    return F.coalesce(*out)
+
+def found_anywhere(json: Column, key: str, depth: int = 10) -> Column:
+    """F-json1: the first value, in the order of the text, under a key whose name contains `key`, without case: in objects and lists
+    down to `depth` levels below the outermost. Objects and lists come as their JSON text."""
+    none = F.array().cast(_ENTRY)
+
+    def below(e: Column) -> Column:
+        member = lambda i, name, value: F.struct(F.concat(e["path"], F.array(i)).alias("path"), name.alias("key"), value.alias("json"))
+        fields = F.transform(F.map_entries(F.from_json(e["json"], "map<string,string>")), lambda x, i: member(i, x["key"], x["value"]))
+        items = F.transform(F.from_json(e["json"], "array<string>"), lambda x, i: member(i, F.lit(None).cast("string"), x))
+        start = F.ltrim(e["json"])
+        return F.coalesce(F.when(start.startswith("{"), fields).when(start.startswith("["), items), none)
+
+    root = F.array(F.struct(F.array().cast("array<int>").alias("path"), F.lit(None).cast("string").alias("key"), json.alias("json"))).cast(_ENTRY)
+    state = F.struct(none.alias("seen"), root.alias("level"))
+    step = lambda a, _: F.struct(F.concat(a["seen"], a["level"]).alias("seen"), F.flatten(F.transform(a["level"], below)).alias("level"))
+    every = F.aggregate(F.sequence(F.lit(0), F.lit(depth)), state, step, lambda a: F.concat(a["seen"], a["level"]))
+    hits = F.filter(every, lambda e: F.lower(e["key"]).contains(key.lower()))
+    return F.array_min(F.transform(hits, lambda e: F.struct(e["path"], e["json"])))["json"]
 
 
 # --- files and duplicate sessions -------------------------------------------------------------------------------------------
@@ -160,20 +247,19 @@ def file_profile(records: DataFrame, devices: DataFrame) -> DataFrame:
     return r.join(d, "file_id", "left").select("file_id", "n_records", "n_hr", (F.col("n_hr") / F.col("n_records")).alias("density"), "start_t", kind.alias("sensor"))
 
 
-def second_wins(a: str, b: str, profile: Profile = DEFAULT) -> Column:
+def second_wins(a: Column, b: Column, profile: Profile = DEFAULT) -> Column:
     """D-30: whether the second of two duplicate sessions (structs a and b: source, n_records, n_rr, density, sensor, size) wins; ties
     go to the first. The rules in order: many more records; then, of different sources: a strap, beat intervals on one side
     only, the primary if its heart rate is dense; of one source: strap before unknown, better sensor, intervals, density, size."""
-    x = lambda side, c: F.col(f"{side}.{c}")
-    n1, n2 = x(a, "n_records"), x(b, "n_records")
-    apart = F.abs(n1 - n2) / F.greatest(n1, n2) > profile.integrity_diff
-    rank = lambda side: F.when(x(side, "sensor") == "strap", 2).when(x(side, "sensor") == "optical", 1).otherwise(0)
-    strap = lambda side: x(side, "sensor") == "strap"
-    rr = lambda side: x(side, "n_rr") >= 30
-    first = lambda side: x(side, "source") == "primary"
+    n1, n2 = a["n_records"], b["n_records"]
+    apart = F.abs(n1 - n2) / F.greatest(n1, n2, F.lit(1)) > profile.integrity_diff
+    rank = lambda x: F.when(x["sensor"] == "strap", 2).when(x["sensor"] == "optical", 1).otherwise(0)
+    strap = lambda x: F.coalesce(x["sensor"] == "strap", F.lit(False))
+    rr = lambda x: F.coalesce(x["n_rr"] >= 30, F.lit(False))
+    first = lambda x: x["source"] == "primary"
     prime = F.when(first(a), strap(a)).otherwise(strap(b))
     other = F.when(first(a), strap(b)).otherwise(strap(a))
-    dense = F.when(first(a), x(a, "density")).otherwise(x(b, "density")) >= profile.hr_density
+    dense = F.when(first(a), a["density"]).otherwise(b["density"]) >= profile.hr_density
     across = F.when(prime, first(b)).when(other, first(a)).when(rr(a) != rr(b), rr(b)).when(dense, first(b)).otherwise(first(a))
     known = (rank(a) > 0) & (rank(b) > 0)
     unknown = (rank(a) == 0) & (rank(b) == 0)
@@ -181,53 +267,32 @@ def second_wins(a: str, b: str, profile: Profile = DEFAULT) -> Column:
         F.when((strap(a) & (rank(b) == 0)) | (strap(b) & (rank(a) == 0)), strap(b))
         .when(known & (rank(a) != rank(b)), rank(b) > rank(a))
         .when(unknown & (rr(a) != rr(b)), rr(b))
-        .when(x(a, "density") != x(b, "density"), x(b, "density") > x(a, "density"))
-        .otherwise(x(b, "size") > x(a, "size"))
+        .when(a["density"] != b["density"], b["density"] > a["density"])
+        .otherwise(b["size"] > a["size"])
     )
-    return F.when(apart, n2 > n1).when(x(a, "source") != x(b, "source"), across).otherwise(within)
+    return F.coalesce(F.when(apart, n2 > n1).when(a["source"] != b["source"], across).otherwise(within), F.lit(False))
 
 
 def deduplicated(entries: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
     """D-31: sessions (athlete_id, start_t, file_id, source, n_records, n_rr, density, sensor, size) walked by start; each within the
-    window of the one kept last is weighed against it, the winner stays. Islands split where starts are further apart; an
-    island's sessions, few, are folded in one group."""
+    window of the one kept last is weighed against it, the winner stays. Islands split where starts are further apart; each is
+    folded over its sorted array, so that a row holds the sessions of one island."""
     order = Window.partitionBy("athlete_id").orderBy("start_t", "file_id")
     held = entries.withColumn("_gap", F.col("start_t") - F.lag("start_t").over(order))
     held = held.withColumn("_island", R.islands(F.col("_gap"), profile.dedup_window_s, ["athlete_id"], ["start_t", "file_id"]))
     names = entries.columns
-
-    def second(a, b) -> bool:
-        if abs(a.n_records - b.n_records) / max(a.n_records, b.n_records, 1) > profile.integrity_diff:
-            return b.n_records > a.n_records
-        rank = {"strap": 2, "optical": 1}
-        ra, rb, rra, rrb = rank.get(a.sensor, 0), rank.get(b.sensor, 0), a.n_rr >= 30, b.n_rr >= 30
-        if a.source != b.source:
-            p, o, later = (a, b, False) if a.source == "primary" else (b, a, True)
-            if p.sensor == "strap":
-                return later
-            if o.sensor == "strap":
-                return not later
-            if rra != rrb:
-                return rrb
-            return later if p.density >= profile.hr_density else not later
-        if {ra, rb} == {0, 2}:
-            return rb == 2
-        if ra and rb and ra != rb:
-            return rb > ra
-        if not ra and not rb and rra != rrb:
-            return rrb
-        return b.density > a.density if a.density != b.density else b.size > a.size
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        kept = []
-        for row in group.sort_values(["start_t", "file_id"]).itertuples(index=False):
-            if kept and row.start_t - kept[-1].start_t <= profile.dedup_window_s:
-                if second(kept[-1], row):
-                    kept[-1] = row
-            else:
-                kept.append(row)
-        return pd.DataFrame(kept, columns=group.columns)[names]
-
-    held = held.drop("_gap").withColumn("_size", F.count("*").over(Window.partitionBy("athlete_id", "_island")))
+    held = held.withColumn("_size", F.count("*").over(Window.partitionBy("athlete_id", "_island")))
     alone = held.filter("_size = 1").select(*names)  # nearly all
-    return alone.unionByName(held.filter("_size > 1").drop("_size").groupBy("athlete_id", "_island").applyInPandas(fold, entries.schema))
+    kind = entries.schema
+    sortable = ["start_t", "file_id", *(c for c in names if c not in ("start_t", "file_id"))]
+    crowd = held.filter("_size > 1").groupBy("athlete_id", "_island").agg(F.array_sort(F.collect_list(F.struct(*sortable))).alias("rows"))
+
+    def step(kept: Column, row: Column) -> Column:
+        last = F.get(kept, F.size(kept) - 1)
+        near = F.coalesce(row["start_t"] - last["start_t"] <= profile.dedup_window_s, F.lit(False))
+        replaced = F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(row))
+        return F.when(~near, F.concat(kept, F.array(row))).when(second_wins(last, row, profile), replaced).otherwise(kept)
+
+    element = "array<struct<" + ",".join(f"`{c}`:{kind[c].dataType.simpleString()}" for c in sortable) + ">>"
+    folded = crowd.select(F.inline(F.aggregate("rows", F.array().cast(element), step)))
+    return alone.unionByName(folded)

@@ -134,7 +134,7 @@ def w17(spark, d):
 
 @query("w15_running_median", sql(f"SELECT activity_id, idx, round(quantile_cont(speed, 0.5) OVER ({I} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS median3 FROM records"))
 def w15(spark, d):
-    return recs(spark, d).select("activity_id", "idx", F.round(F.percentile("speed", F.lit(0.5)).over(R.rows(["activity_id"], ["idx"], 3)), 6).alias("median3"))
+    return recs(spark, d).select("activity_id", "idx", F.round(R.rolling_median3("speed", ["activity_id"], ["idx"]), 6).alias("median3"))
 
 
 @query("w18_merge_intervals", sql("iv AS (SELECT activity_id % 50 AS g, idx * 37 % 5000 AS a, idx * 37 % 5000 + 5 + (activity_id + idx) % 11 AS b FROM records), o AS (SELECT *, max(b) OVER (PARTITION BY g ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM iv), r AS (SELECT *, sum(CASE WHEN a - p > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY g ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS run FROM o) SELECT g, min(a) AS a, max(b) AS b FROM r GROUP BY g, run"))

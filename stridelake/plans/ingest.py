@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from stridelake.functions.scalars import activity_id_of, is_cycling
@@ -60,7 +62,7 @@ def landing(spark, d):
         generic=n(vo2MaxPreciseValue=F.when(k % 6 > 0, 40 + k % 20)), vo2MaxValue=k % 3, lactateThresholdHeartRate=150 + k % 30, lactateThresholdSpeed=k % 5,
         totalSteps=k % 20000, stepsGoal=F.lit(8000), floorsAscended=k % 9, moderateIntensityMinutes=k % 45, vigorousIntensityMinutes=k % 20,
         activityId=k, activityName=F.concat(F.lit("act_"), k % 7), activityType=n(typeId=k % 12), duration=k % 7200, distance=k % 40000, calories=k % 900, averageHR=F.when(k % 11 > 0, 110 + k % 75), maxHR=150 + k % 50, startTimeGMT=F.when(k % 5 > 0, stamp), startTimeLocal=F.when(k % 7 > 0, stamp), trainingLoad=k % 300, aerobicTrainingEffect=k % 6, anaerobicTrainingEffect=k % 4,
-        heartRateValues=F.array(F.array(k, 60 + k % 80), F.array(k + 1, F.when(k % 3 > 0, 70 + k % 50)), F.array(k + 2, F.lit(0).cast("long"))),
+        maxHeartRate=k % 7 * 30, minHeartRate=40 + k % 9, heartRateValues=F.array(F.array(k, 60 + k % 80), F.array(k + 1, F.when(k % 3 > 0, 70 + k % 50)), F.array(k + 2, F.lit(0).cast("long"))),
     )
     one = F.to_json(body)
     return events(spark, d).select((F.col("user_id") % 25).alias("athlete_id"), F.to_date("ts").alias("date"), F.when(k % 10 == 0, F.concat(F.lit("["), one, F.lit("]"))).otherwise(one).alias("payload"), k.alias("event_id"))
@@ -79,32 +81,107 @@ JSON_SQL = {
     "training_readiness": _d(score="k % 80", recovery_time="k % 24", sleep_score="k % 40", hrv_factor_percent="k % 10"),
     "training_status": "CASE WHEN k % 2 = 0 THEN 'PEAKING' WHEN k % 9 > 0 THEN 'BASE' END AS training_status, CASE WHEN k % 3 > 0 THEN 'BALANCED' END AS load_focus, " + _d(acute_load="CASE WHEN k % 3 > 0 THEN k % 200 END", recovery_time="CASE WHEN k % 3 = 0 THEN k % 24 END"),
     "load_focus": _d(anaerobic_load="coalesce(CASE WHEN k % 5 > 0 THEN nullif(k % 70, 0) END, k % 11)", high_aerobic_load="k % 13", low_aerobic_load="k % 17", vo2_max="CASE WHEN k % 4 > 0 THEN 45 + k % 15 ELSE k % 50 END", recovery_time="CASE WHEN k % 3 = 0 THEN k % 24 END"),
-    "vo2_max": _d(vo2_max="coalesce(CASE WHEN k % 6 > 0 THEN 40 + k % 20 END, k % 3)"),
+    "vo2_max": _d(vo2_max="CASE WHEN k % 6 > 0 THEN 40 + k % 20 WHEN k % 4 > 0 THEN 45 + k % 15 ELSE k % 50 END"),
     "lactate_threshold": _d(lt_heart_rate="150 + k % 30", lt_speed="k % 5"),
     "movement": _d(steps="k % 20000", steps_goal="8000", floors_ascended="k % 9"),
     "intensity": _d(moderate_min="k % 45", vigorous_min="k % 20") + ", (k % 45 + k % 20)::DOUBLE AS total_intensity_min",
     "activities": "nullif(k, 0)::VARCHAR AS activity_id, 'act_' || (k % 7) AS activity_name, nullif(k % 12, 0)::VARCHAR AS activity_type_id, " + _d(duration_seconds="k % 7200", distance_meters="k % 40000", calories="k % 900", avg_heart_rate="CASE WHEN k % 11 > 0 THEN 110 + k % 75 END", max_heart_rate="150 + k % 50", epoc_load="k % 300", aerobic_te="k % 6", anaerobic_te="k % 4") + ", CASE WHEN k % 7 > 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS start_time, CASE WHEN k % 5 > 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS start_time_utc",
     "training_status_history": "CASE WHEN k % 2 = 0 THEN 'PEAKING' WHEN k % 9 > 0 THEN 'BASE' ELSE 'MAINTAINING' END AS training_status, " + _d(acute_load="coalesce(CASE WHEN k % 3 > 0 THEN nullif(k % 200, 0) END, k % 500)", recovery_time="k % 24", vo2_max="CASE WHEN k % 4 > 0 THEN 45 + k % 15 ELSE k % 50 END"),
 }
+#: Which rows a table keeps, in SQL.
+JSON_KEPT = {
+    "activities": "date IS NOT NULL",
+    "hrv": "sample_count > 0 OR last_night_avg IS NOT NULL",
+    "sleep": "sleep_score > 0 OR duration_minutes > 0",
+    "daily_health": "coalesce(body_battery_highest, body_battery_lowest, stress_average, stress_max, resting_heart_rate) IS NOT NULL",
+    "training_readiness": "coalesce(score, recovery_time, sleep_score, hrv_factor_percent) IS NOT NULL",
+    "training_status": "training_status IS NOT NULL OR acute_load IS NOT NULL OR recovery_time IS NOT NULL",
+    "training_status_history": "training_status IS NOT NULL OR acute_load IS NOT NULL OR recovery_time IS NOT NULL",
+    "load_focus": "coalesce(anaerobic_load, high_aerobic_load, low_aerobic_load, recovery_time, vo2_max) IS NOT NULL",
+    "vo2_max": "vo2_max IS NOT NULL",
+    "lactate_threshold": "coalesce(lt_heart_rate, lt_speed) IS NOT NULL",
+}
 for _label, _name in [*((f"e{i:02d}_json_{t}", t) for i, t in enumerate(["activities", "hrv", "vo2_max", "sleep", "daily_health", "training_readiness", "training_status", "load_focus", "lactate_threshold", "movement", "intensity"], 1)), ("e08_json_training_status_history", "training_status_history")]:
 
     def _extract(spark, d, name=_name):
         return G.extracted(landing(spark, d), name)
 
     _date = "CASE WHEN k % 35 > 0 THEN CAST(ts AS DATE) END" if _name == "activities" else "CAST(ts AS DATE)"
-    query(_label, sql(f"SELECT * FROM (SELECT user_id % 25 AS athlete_id, {_date} AS date, {JSON_SQL[_name]} FROM (SELECT *, event_id AS k FROM events)) WHERE {G.EXTRACTORS[_name][1]}"))(_extract)
+    query(_label, sql(f"SELECT * FROM (SELECT user_id % 25 AS athlete_id, {_date} AS date, {JSON_SQL[_name]} FROM (SELECT *, event_id AS k FROM events)) WHERE {JSON_KEPT.get(_name, "TRUE")}"))(_extract)
+
 
+HR = """h AS (SELECT user_id % 25 AS athlete_id, CAST(ts AS DATE) AS date, event_id AS k, [60 + event_id % 80, CASE WHEN event_id % 3 > 0 THEN 70 + event_id % 50 END, 0] AS hr FROM events)"""
 
-@query("e13_heart_rate_summary", sql("p AS (SELECT user_id % 25 AS athlete_id, CAST(ts AS DATE) AS date, unnest([60 + event_id % 80, CASE WHEN event_id % 3 > 0 THEN 70 + event_id % 50 END, 0]) AS hr FROM events WHERE event_id % 10 >= 0) SELECT athlete_id, date, round(avg(hr), 6) AS avg_hr, min(hr)::DOUBLE AS min_hr, max(hr)::DOUBLE AS max_hr FROM p WHERE hr > 0 GROUP BY 1, 2"))
+
+@query("e13_heart_rate_summary", sql(f"""{HR} SELECT athlete_id, date, round_even(round(list_avg(list_filter(hr, lambda x: x > 0)), 9), 1) AS avg_hr, (k % 7 * 30)::DOUBLE AS max_hr, (40 + k % 9)::DOUBLE AS min_hr, 0::DOUBLE AS resting_hr FROM h"""))
 def e13(spark, d):
-    flat = landing(spark, d).withColumn("payload", G.first_record(F.col("payload")))
-    return G.heart_rate_summary(flat).select("athlete_id", "date", F.round("avg_hr", 6).alias("avg_hr"), "min_hr", "max_hr")
+    return G.heart_rate_summary(landing(spark, d)).select("athlete_id", "date", "avg_hr", "max_hr", "min_hr", "resting_hr")
+
+
+@query("e13_heart_rate_details", sql(f"""{HR} SELECT athlete_id, date, k + i - 1 AS ts_ms, hr[i]::DOUBLE AS heart_rate FROM h, range(1, 4) r(i) WHERE k % 10 <> 0 AND hr[i] > 0"""))
+def e13_details(spark, d):
+    """Of responses that are objects."""
+    return G.heart_rate_details(landing(spark, d))
 
 
-@query("f_json1_recursive_search", sql("SELECT event_id, CAST(coalesce(nullif(CASE WHEN event_id % 6 > 0 THEN 40 + event_id % 20 END, -1), event_id % 3) AS VARCHAR) AS vo2, event_type AS status_any FROM events"))
+@query("f_json1_recursive_search", sql("SELECT event_id, CAST(CASE WHEN event_id % 6 > 0 THEN 40 + event_id % 20 ELSE event_id % 3 END AS VARCHAR) AS vo2, event_type AS status_any, CASE WHEN event_id % 4 > 0 THEN 'deep' || event_id % 5 END AS deep, NULL::VARCHAR AS missing FROM events"))
 def f_json1(spark, d):
-    j = F.to_json(F.struct(F.struct(F.struct(F.when(F.col("event_id") % 6 > 0, 40 + F.col("event_id") % 20).otherwise(F.col("event_id") % 3).alias("vo2MaxPrecise")).alias("generic")).alias("body"), F.struct(F.col("event_type").alias("theStatus")).alias("meta")))
-    return events(spark, d).select("event_id", G.found_anywhere(j, "vo2max").alias("vo2"), G.found_anywhere(j, "STATUS").alias("status_any"))
+    """Keys four levels deep, in lists, ten and eleven levels deep, and before others of their kind."""
+    k = F.col("event_id")
+    deep = F.when(k % 4 > 0, F.concat(F.lit("deep"), k % 5))
+    for level in range(10):  # the key lies in the tenth object below the outermost
+        deep = F.struct(deep.alias("far_off" if level == 0 else f"n{level}"))
+    vo2 = F.when(k % 6 > 0, 40 + k % 20).otherwise(k % 3)
+    generic = F.struct(vo2.alias("vo2MaxPrecise"))
+    items = F.array(F.struct(F.lit(1).alias("x"), F.when(F.lit(False), generic).alias("generic")), F.struct(F.lit(None).cast("int").alias("x"), generic.alias("generic")))
+    body = F.struct(items.alias("list"), F.lit(99).alias("vo2max"))
+    j = F.to_json(F.struct(body.alias("body"), F.struct(F.col("event_type").alias("theStatus"), F.lit("later").alias("status")).alias("meta"), deep.alias("chain"), F.struct(F.struct(deep.alias("n")).alias("n")).alias("too")))
+    far = G.found_anywhere(j, "far_off")
+    return events(spark, d).select("event_id", G.found_anywhere(j, "vo2max").alias("vo2"), G.found_anywhere(j, "STATUS").alias("status_any"), far.alias("deep"), G.found_anywhere(j, "nowhere").alias("missing"))
+
+
+VO2 = "v AS (SELECT user_id % 25 AS athlete_id, CAST(ts AS DATE) AS date, CASE k % 5 WHEN 0 THEN 40 + k % 7 WHEN 1 THEN 50 + k % 7 WHEN 2 THEN 60 WHEN 3 THEN 33 END::DOUBLE AS vo2_max FROM (SELECT *, event_id AS k FROM events))"
+
+
+def uptakes(spark, d):
+    """Oxygen uptakes at the usual path, under the precise name elsewhere, under another name deep in a list, in the second item of a list, and nowhere."""
+    k = F.col("event_id")
+    text = (
+        F.when(k % 5 == 0, F.concat(F.lit('{"generic": {"vo2MaxPreciseValue": '), 40 + k % 7, F.lit('}, "vo2Max": 1}')))
+        .when(k % 5 == 1, F.concat(F.lit('{"generic": {"x": 0}, "b": [{"vo2MaxPreciseValue": '), 50 + k % 7, F.lit("}]}")))
+        .when(k % 5 == 2, F.lit('{"a": {"b": [[{"theVO2MaxValue": 60}]]}, "vo2Max": 5}'))
+        .when(k % 5 == 3, F.lit('[{"x": 1}, {"vo2Max": 33}]'))
+        .otherwise(F.lit('{"x": {"y": 0}}'))
+    )
+    return events(spark, d).select((F.col("user_id") % 25).alias("athlete_id"), F.to_date("ts").alias("date"), text.alias("payload"))
+
+
+@query("e03_vo2_search", sql(f"{VO2} SELECT * FROM v WHERE vo2_max IS NOT NULL"))
+def e03_search(spark, d):
+    return G.extracted(uptakes(spark, d), "vo2_max")
+
+
+@query("e03_vo2_range_fallback", sql(f"""{VO2}, m AS (SELECT max(date) AS e FROM v), w AS (SELECT v.*, e FROM v, m WHERE vo2_max IS NOT NULL AND (athlete_id % 3 > 0 OR date < e - 2))
+SELECT athlete_id, date, vo2_max FROM (SELECT *, date >= e - 2 AS i, max(date >= e - 2) OVER (PARTITION BY athlete_id) AS a FROM w WHERE date >= e - 30) WHERE i OR NOT a"""))
+def e03_range(spark, d):
+    rows = G.extracted(uptakes(spark, d), "vo2_max")
+    end = events(spark, d).agg(F.max(F.to_date("ts")).alias("e")).first()["e"]
+    start = end - datetime.timedelta(days=2)
+    return G.in_range_or_before(rows.filter((F.col("athlete_id") % 3 > 0) | (F.col("date") < F.lit(start))), str(start), str(end))
+
+
+@query("e10_lactate_fallback", sql("""e AS (SELECT *, user_id % 25 AS athlete_id, CAST(ts AS DATE) AS day, event_id AS k FROM events),
+r AS (SELECT athlete_id, CASE WHEN k % 4 = 0 THEN day ELSE DATE '2024-06-01' END AS date, (k % 5 * 30)::DOUBLE AS lt_heart_rate, (k % 3)::DOUBLE AS lt_speed FROM e WHERE athlete_id % 2 = 0 AND (k % 2 = 0 OR k % 15 > 0)
+  UNION ALL SELECT athlete_id, DATE '2024-06-01', 0, 0 FROM e WHERE athlete_id % 2 = 0 AND k % 2 = 0),
+s AS (SELECT athlete_id, day AS date, (k % 6 * 25)::DOUBLE AS lt_heart_rate, 0::DOUBLE AS lt_speed, row_number() OVER (PARTITION BY athlete_id ORDER BY day, k % 6 * 25) AS n FROM e WHERE athlete_id % 2 = 1 AND k % 6 > 0 AND day BETWEEN DATE '2024-01-05' AND DATE '2024-12-31')
+SELECT * FROM r UNION ALL SELECT athlete_id, date, lt_heart_rate, lt_speed FROM s WHERE n <= 8"""))
+def e10_fallback(spark, d):
+    k, e = F.col("event_id"), events(spark, d).withColumns({"athlete_id": F.col("user_id") % 25, "date": F.to_date("ts")})
+    dated = F.when(k % 4 == 0, F.concat(F.lit(', "date": "'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm"), F.lit('"'))).otherwise("")
+    one = F.concat(F.lit('{"lactateThresholdHeartRate": '), k % 5 * 30, F.lit(', "lactateThresholdSpeed": '), k % 3, dated, F.lit("}"))
+    reports = e.filter("athlete_id % 2 = 0").select("athlete_id", F.when(k % 2 == 0, F.concat(F.lit("["), one, F.lit(", {}]"))).otherwise(one).alias("payload"))
+    daily = e.select("athlete_id", "date", F.concat(F.lit('{"lactateThresholdHeartRate": '), k % 6 * 25, F.lit("}")).alias("payload"))
+    return G.lactate_threshold(reports, daily, "2024-01-05", "2024-12-31", "2024-06-01")
 
 
 @query("s08_props_landing", sql("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"))
@@ -277,7 +354,7 @@ def sessions(spark, d):
     )
 
 
-WINNER = """CASE WHEN abs(a.n_records - b.n_records) / greatest(a.n_records, b.n_records) > 0.25 THEN b.n_records > a.n_records
+WINNER = """CASE WHEN abs(a.n_records - b.n_records) / greatest(a.n_records, b.n_records, 1) > 0.25 THEN b.n_records > a.n_records
  WHEN a.source <> b.source THEN CASE WHEN (a.source = 'primary' AND a.sensor = 'strap') OR (b.source = 'primary' AND b.sensor = 'strap') THEN b.source = 'primary'
    WHEN a.sensor = 'strap' OR b.sensor = 'strap' THEN a.source = 'primary' WHEN (a.n_rr >= 30) <> (b.n_rr >= 30) THEN b.n_rr >= 30
    WHEN CASE WHEN a.source = 'primary' THEN a.density ELSE b.density END >= 0.9 THEN b.source = 'primary' ELSE a.source = 'primary' END
@@ -293,9 +370,17 @@ def d30(spark, d):
 
     s = sessions(spark, d)
     pair = s.select(F.struct(*s.columns).alias("a"), F.lead(F.struct(*s.columns)).over(Window.partitionBy("athlete_id").orderBy("start_t", "file_id")).alias("b")).filter("b IS NOT NULL")
-    return pair.select(F.col("a.file_id"), F.col("b.file_id").alias("other"), F.when(G.second_wins("a", "b"), F.col("b.file_id")).otherwise(F.col("a.file_id")).alias("winner"))
+    return pair.select(F.col("a.file_id"), F.col("b.file_id").alias("other"), F.when(G.second_wins(F.col("a"), F.col("b")), F.col("b.file_id")).otherwise(F.col("a.file_id")).alias("winner"))
+
+
+#: The walk in SQL: from each kept session to the next one; `w` is the winner of the two, which is told once the next lies outside its window.
+WALK = f"""{SESSIONS}, o AS (SELECT *, row_number() OVER (PARTITION BY athlete_id ORDER BY start_t, file_id) AS n FROM se),
+walk AS (SELECT athlete_id, n, file_id AS held FROM o WHERE n = 1 UNION ALL
+  SELECT b.athlete_id, b.n, CASE WHEN b.start_t - a.start_t > 1800 OR ({WINNER}) THEN b.file_id ELSE a.file_id END
+  FROM walk JOIN o a ON a.file_id = walk.held JOIN o b ON b.athlete_id = walk.athlete_id AND b.n = walk.n + 1),
+last AS (SELECT walk.*, h.start_t AS held_t, nx.start_t AS next_t FROM walk JOIN o h ON h.file_id = walk.held LEFT JOIN o nx ON nx.athlete_id = walk.athlete_id AND nx.n = walk.n + 1)"""
 
 
-@query("d31_j12_deduplicated_sessions")
+@query("d31_j12_deduplicated_sessions", "WITH RECURSIVE " + f"{WALK} SELECT athlete_id, start_t, file_id, source, n_records, n_rr, density, sensor, size FROM se WHERE file_id IN (SELECT held FROM last WHERE next_t IS NULL OR next_t - held_t > 1800)")
 def d31(spark, d):
     return G.deduplicated(sessions(spark, d))
