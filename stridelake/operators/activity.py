@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stridelake.functions import rolling as R
-from stridelake.functions.scalars import hr_zone, is_cycling, moving_speed, sport_matches, trimp_increment
+from stridelake.functions.scalars import hr_zone, is_cardio, is_cycling, moving_speed, sport_matches, trimp_increment
 from stridelake.profile import DEFAULT, Profile
 
 KEY = "activity_id"
@@ -87,15 +87,87 @@ def critical_hr(activities: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
 # --- record streams -----------------------------------------------------------------------------------------------------
 
 
+STOPS, STARTS = ("stop", "stop_disable", "stop_disable_all"), ("start", "start_data")
+
+
+def pauses(events: DataFrame) -> DataFrame:
+    """activity_id, start_t, end_t of the pauses that timer events (activity_id, t, event, event_type) tell: from a stop to the next
+    start; of stops in a row the last counts, a start without a stop before it says nothing. At one time stops come first."""
+    kind = F.when(F.lower("event_type").isin(*STOPS), 0).when(F.lower("event_type").isin(*STARTS), 1)
+    timer = events.filter((F.lower("event") == "timer") & F.col("t").isNotNull()).withColumn("_kind", kind).filter("_kind IS NOT NULL")
+    order = Window.partitionBy(KEY).orderBy("t", "_kind")
+    told = timer.withColumns({"_before": F.lag("_kind").over(order), "start_t": F.lag("t").over(order)})
+    return told.filter("_kind = 1 AND _before = 0").select(KEY, "start_t", F.col("t").alias("end_t"))
+
+
+def with_pauses(records: DataFrame, paused: DataFrame) -> DataFrame:
+    """P5: records with in_pause: whether t lies in a pause of the activity, both ends included. Pauses follow one another, so the last
+    one begun tells: records and pauses are sorted together, and nothing is multiplied."""
+    rows = records.withColumns({"_end": F.lit(None).cast("long"), "_record": F.lit(1)})
+    marks = paused.select(KEY, F.col("start_t").alias("t"), F.col("end_t").cast("long").alias("_end"), F.lit(0).alias("_record"))
+    upto = Window.partitionBy(KEY).orderBy("t", "_record").rowsBetween(Window.unboundedPreceding, 0)
+    both = rows.unionByName(marks, allowMissingColumns=True).withColumn("_open", F.max("_end").over(upto))
+    return both.filter("_record = 1").withColumn("in_pause", F.coalesce(F.col("t") <= F.col("_open"), F.lit(False))).drop("_end", "_record", "_open")
+
+
 def with_zones(records: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
-    """Heart rate interpolated over 15 rows, zone, seconds of the row, activity and impulse of each record."""
+    """Heart rate interpolated over 15 rows, zone, seconds of the row, activity and impulse of each record. A
+    record in a pause is not active (where records have in_pause, see with_pauses())."""
     filled = records.withColumn("hr_filled", F.bround(R.interpolated("hr", "idx", [KEY], ["idx"], 15), 0).cast("int"))
     out = filled.withColumn("zone", hr_zone(F.col("hr_filled"), profile)).withColumn("dt", R.time_step("t", [KEY], ["idx"]))
     moving = F.coalesce(F.col("speed") > moving_speed(F.col("sport"), profile), F.lit(False))
-    out = out.withColumn("is_active", moving | ~F.col("zone").isin("Z1", ""))
+    paused = F.col("in_pause") if "in_pause" in records.columns else F.lit(False)
+    out = out.withColumn("is_active", (moving | ~F.col("zone").isin("Z1", "")) & ~paused)
     return out.withColumn("trimp", F.when(F.col("is_active"), trimp_increment(F.col("hr_filled"), F.col("dt"), profile)).otherwise(0.0))
 
 
+#: Greatest plausible speeds, km/h (momentary, mean), by kind of sport: fixed values.
+CAPS = {"cycling|biking": (100.0, 60.0), "running|trail|soccer|football|hiking|walking|fitness|gym|swim": (35.0, 30.0), "": (45.0, 40.0)}
+
+
+def capped(summary: DataFrame) -> DataFrame:
+    """max_speed_kmh and avg_speed_kmh are null over the caps of the sport; distance_km is null where the mean is, or where the
+    distance over duration_minutes is over the cap of the mean."""
+    (fast, fast_caps), (slow, slow_caps), (_, other_caps) = CAPS.items()
+    cap = lambda i: F.when(sport_matches(F.col("sport"), fast), fast_caps[i]).when(sport_matches(F.col("sport"), slow), slow_caps[i]).otherwise(other_caps[i])
+    over = lambda x, i: F.coalesce(x > cap(i), F.lit(False))
+    implied = F.when(F.col("duration_minutes") > 0, F.col("distance_km") / (F.col("duration_minutes") / 60))
+    return summary.withColumns({
+        "max_speed_kmh": F.when(~over(F.col("max_speed_kmh"), 0), F.col("max_speed_kmh")),
+        "avg_speed_kmh": F.when(~over(F.col("avg_speed_kmh"), 1), F.col("avg_speed_kmh")),
+        "distance_km": F.when(~over(F.col("avg_speed_kmh"), 1) & ~over(implied, 1), F.col("distance_km")),
+    })
+
+
+def activity_summary(records: DataFrame, events: DataFrame, sessions: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
+    """D-27 from messages: the roll-up of records, with the pauses of the timer events, the distance, mean speed and training effects
+    of the sessions (activity_id, sport, distance_m, avg_speed, te_aerobic, te_anaerobic), a duration that falls back from active
+    seconds to minutes in zones to rows (A6), caps (P12), and effects from the load where the device has none (F-m11)."""
+    z = with_zones(with_pauses(records, pauses(events)), profile)
+    z = z.withColumns({"_up": F.col("altitude") - F.lag("altitude").over(_order()), "_moves": F.coalesce(F.col("speed") > 0, F.lit(False))})
+    z = z.withColumn("_smooth", R.rolling_median3("speed", [KEY, "_moves"], ["idx"]))
+    active, c = F.col("is_active"), F.col
+    seconds = lambda cond: F.sum(F.when(cond, c("dt")).otherwise(0.0))
+    g = z.groupBy(KEY).agg(
+        F.count("*").alias("records_count"),
+        F.count_if("in_pause").alias("paused_records"),
+        F.sum("trimp").alias("total_trimp"),
+        F.bround(F.round(F.avg("hr_filled"), 9), 0).cast("long").alias("avg_hr"),
+        F.least(F.max("hr_filled"), F.lit(profile.max_hr)).cast("long").alias("max_hr"),
+        *((seconds(active & c("zone").isin(n, n + "+")) / 60).alias(n.lower()) for n in profile.zones),
+        seconds(active).alias("_active"),
+        (seconds(active & (c("zone") != "")) / 60).alias("_zones"),
+        (seconds(active & (c("_up") > 0) & (c("speed") > 0)) / 60).alias("uphill_minutes"),
+        F.bround(F.round(F.percentile(F.when(c("_moves"), c("_smooth")), F.lit(0.99)) * 3.6, 9), 2).alias("max_speed_kmh"),
+    )
+    duration = F.when(c("_active") > 0, c("_active") / 60).when(c("_zones") > 0, c("_zones")).otherwise(c("records_count") / 60)
+    km = F.bround(F.round(c("distance_m") / 1000, 9), 3)
+    out = g.join(sessions, KEY, "left").withColumns({"duration_minutes": duration, "distance_km": km, "avg_speed_kmh": F.bround(F.round(c("avg_speed") * 3.6, 9), 2)})
+    effect = lambda device, load, scale: F.coalesce(device, F.when(load > 0, F.bround(F.round(F.least(F.lit(5.0), 5 * (1 - F.exp(-load / scale))), 9), 1)))
+    out = out.withColumns({"te_aerobic": effect(c("te_aerobic"), c("total_trimp"), 50), "te_anaerobic": effect(c("te_anaerobic"), c("z4") + c("z5"), 20)})
+    return capped(out).drop("_active", "_zones", "distance_m", "avg_speed")
+
+
 def roll_up(records: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
     """D-27: one row for each activity from its records: counts, impulse, heart rates, minutes by zone, active minutes, robust
     greatest speed (99th percentile of 3-row medians), distance, ascent, uphill minutes."""
@@ -118,14 +190,14 @@ def roll_up(records: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
     )
 
 
-def _halves(records: DataFrame, effort: Column, profile: Profile) -> DataFrame:
-    """Efforts a heart beat in the first and second half (by time) of each activity's rows, with their count and span."""
-    ends = Window.partitionBy(KEY)
+def _halves(records: DataFrame, effort: Column, profile: Profile, key: list[str]) -> DataFrame:
+    """Efforts a heart beat in the first and second half (by time) of the rows of each key, with their count and span."""
+    ends = Window.partitionBy(*key)
     rows = records.withColumn("_e", effort).withColumns({"_lo": F.min("t").over(ends), "_hi": F.max("t").over(ends), "_n": F.count("*").over(ends)})
     first = F.col("t") <= (F.col("_lo") + F.col("_hi")) / 2
     ratio = lambda side: F.avg(F.when(side, F.col("_e"))) / F.avg(F.when(side, F.col("hr")))
     mean = lambda side: F.avg(F.when(side, F.col("_e")))
-    return rows.groupBy(KEY).agg(F.first("_n").alias("n"), (F.first("_hi") - F.first("_lo")).alias("span_s"), ratio(first).alias("ef1"), ratio(~first).alias("ef2"), mean(first).alias("m1"), mean(~first).alias("m2"), F.first("cycling").alias("cycling"))
+    return rows.groupBy(*key).agg(F.first("_n").alias("n"), (F.first("_hi") - F.first("_lo")).alias("span_s"), ratio(first).alias("ef1"), ratio(~first).alias("ef2"), mean(first).alias("m1"), mean(~first).alias("m2"), F.first("cycling").alias("cycling"))
 
 
 def _efforts(records: DataFrame) -> tuple[DataFrame, Column]:
@@ -136,69 +208,95 @@ def _efforts(records: DataFrame) -> tuple[DataFrame, Column]:
     return marked.filter(moving & (F.col("hr") > 0) & (effort > 0)), effort
 
 
-def cardiac_drift(records: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
+def cardiac_drift(records: DataFrame, profile: Profile = DEFAULT, key: tuple[str, ...] = (KEY,)) -> DataFrame:
     """D-1: percent by which effort a beat falls from the first to the second half, after the warm-up. Null where there are under
     20 rows, the effort is slight, or (not cycling) the ground is hilly; elsewhere on foot only easy zones count."""
     rows, effort = _efforts(records)
-    whole = Window.partitionBy(KEY)
+    whole = Window.partitionBy(*key)
     rows = rows.withColumns({"_first": F.min("t").over(whole), "_rows": F.count("*").over(whole)}).filter(F.col("_rows") >= 20)
     rows = rows.filter(F.col("t") >= F.col("_first") + profile.warmup_s)
     rows = rows.withColumns({"_rows": F.count("*").over(whole), "_range": F.max("altitude").over(whole) - F.min("altitude").over(whole), "_alts": F.count("altitude").over(whole)}).filter(F.col("_rows") >= 20)
     hilly = (F.col("_alts") >= 10) & (F.col("_range") > profile.drift_max_altitude)
     easy = hr_zone(F.col("hr").cast("int"), profile).isin("Z1", "Z2", "")
     rows = rows.filter(F.col("cycling") | (~F.coalesce(hilly, F.lit(False)) & easy))
-    h = _halves(rows, effort, profile).filter("n >= 20")
+    h = _halves(rows, effort, profile, list(key)).filter("n >= 20")
     least = F.when(F.col("cycling"), 30.0).otherwise(2 / 3.6)
     good = (F.col("m1") >= least) & (F.col("m2") >= least)
-    return h.select(KEY, F.bround(F.round(F.when(good, (F.col("ef1") - F.col("ef2")) / F.col("ef1") * 100), 9), 2).alias("cardiac_drift"))
+    return h.select(*key, F.bround(F.round(F.when(good, (F.col("ef1") - F.col("ef2")) / F.col("ef1") * 100), 9), 2).alias("cardiac_drift"))
 
 
 def durability(records: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
     """D-18: percent by which effort a beat changes from the first to the second half of activities of two hours."""
     rows, effort = _efforts(records)
-    h = _halves(rows, effort, profile).filter((F.col("n") >= 20) & (F.col("span_s") >= profile.durability_min * 60))
+    h = _halves(rows, effort, profile, [KEY]).filter((F.col("n") >= 20) & (F.col("span_s") >= profile.durability_min * 60))
     least = F.when(F.col("cycling"), 30.0).otherwise(0.56)
     good = (F.col("m1") >= least) & (F.col("m2") >= least)
     return h.select(KEY, F.bround(F.round(F.when(good, (F.col("ef2") / F.col("ef1") - 1) * 100), 9), 2).alias("durability"))
 
 
-def resampled_hr(records: DataFrame, limit_s: int = 30) -> DataFrame:
-    """Heart rates at every second by linear interpolation over at most limit_s seconds into a gap; activity_id, t, hr, n (place)."""
-    known = records.filter("hr IS NOT NULL").groupBy(KEY, "t").agg(F.avg("hr").alias("hr"))
-    by_t = Window.partitionBy(KEY).orderBy("t")
+def resampled_hr(records: DataFrame, limit_s: int = 30, key: tuple[str, ...] = (KEY,)) -> DataFrame:
+    """Heart rates at every second by linear interpolation over at most limit_s seconds into a gap; key, t, hr, n (place)."""
+    known = records.filter("hr IS NOT NULL").groupBy(*key, "t").agg(F.avg("hr").alias("hr"))
+    by_t = Window.partitionBy(*key).orderBy("t")
     pairs = known.withColumns({"_t": F.lead("t").over(by_t), "_hr": F.lead("hr").over(by_t)})
     until = F.least(F.coalesce(F.col("_t") - 1, F.col("t")), F.col("t") + limit_s)
     dense = pairs.withColumn("_s", F.explode(F.sequence("t", until)))
     value = F.col("hr") + F.coalesce((F.col("_hr") - F.col("hr")) * (F.col("_s") - F.col("t")) / (F.col("_t") - F.col("t")), F.lit(0.0))
-    out = dense.select(KEY, F.col("_s").alias("t"), value.alias("hr"))
+    out = dense.select(*key, F.col("_s").alias("t"), value.alias("hr"))
     return out.withColumn("n", F.row_number().over(by_t))
 
 
-def max_hr_drop(records: DataFrame, samples: int = 60, profile: Profile = DEFAULT) -> DataFrame:
+def max_hr_drop(records: DataFrame, samples: int = 60, profile: Profile = DEFAULT, key: tuple[str, ...] = (KEY,)) -> DataFrame:
     """D-2: the greatest fall of the heart rate over 60 samples from 110 on, not over 90, without a fall over 30 in 3 samples; one
     decimal. Null where there are under 60 values or 61 samples."""
-    counted = records.groupBy(KEY).agg(F.count("hr").alias("_known"))
-    s = resampled_hr(records)
-    by_n = Window.partitionBy(KEY).orderBy("n")
+    counted = records.groupBy(*key).agg(F.count("hr").alias("_known"))
+    s = resampled_hr(records, key=key)
+    by_n = Window.partitionBy(*key).orderBy("n")
     s = s.withColumns({"_end": F.lead("hr", samples).over(by_n), "_fall3": F.col("hr") - F.lead("hr", 3).over(by_n)})
     s = s.withColumn("_worst", F.max("_fall3").over(by_n.rowsBetween(0, samples - 3)))
     drop = F.col("hr") - F.col("_end")
     ok = (F.col("hr") >= profile.min_start_hr) & (drop > 0) & (drop <= profile.max_drop) & (F.col("_worst") <= profile.max_jump)
-    best = s.groupBy(KEY).agg(F.max(F.when(ok, drop)).alias("_d"), F.count("*").alias("_n"))
-    out = counted.join(best, KEY, "left")
-    return out.select(KEY, F.when((F.col("_known") >= 60) & (F.col("_n") >= samples + 1), F.bround(F.round("_d", 9), 1)).alias("max_hr_drop"))
+    best = s.groupBy(*key).agg(F.max(F.when(ok, drop)).alias("_d"), F.count("*").alias("_n"))
+    out = counted.join(best, list(key), "left")
+    return out.select(*key, F.when((F.col("_known") >= 60) & (F.col("_n") >= samples + 1), F.bround(F.round("_d", 9), 1)).alias("max_hr_drop"))
 
 
-def threshold_proxy(records: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
-    """D-21 (a): the lowest 5-bpm bin (3 values at least) whose mean HRV is under half of the best bin's, with 4 bins at least,
-    60 values and 100 pairs; between 130 and 80 % of the greatest rate, else null."""
-    known = records.filter("hr > 0 AND hrv > 0").withColumn("bin", (F.floor(F.col("hr") / 5) * 5).cast("long"))
+def low_hrv_bin(records: DataFrame) -> DataFrame:
+    """D-21 (a): activity_id and the lowest 5-bpm bin (3 values at least) whose mean HRV is under half of the best bin's; null with
+    under 4 bins, or not over 60 values and 100 pairs."""
+    known = records.filter("hr > 0 AND hrv IS NOT NULL").withColumn("bin", (F.floor(F.col("hr") / 5) * 5).cast("long"))
     bins = known.groupBy(KEY, "bin").agg(F.avg("hrv").alias("mean"), F.count("*").alias("n"))
     kept = bins.filter("n >= 3").withColumn("best", F.max("mean").over(Window.partitionBy(KEY)))
     low = kept.groupBy(KEY).agg(F.count("*").alias("bins"), F.min(F.when(F.col("mean") < F.col("best") / 2, F.col("bin"))).alias("low"))
-    pairs = known.groupBy(KEY).agg(F.count("*").alias("pairs"))
-    good = (F.col("pairs") > 100) & (F.col("bins") >= 4) & (F.col("low") >= 130) & (F.col("low") <= 0.8 * profile.max_hr)
-    return pairs.join(low, KEY, "left").select(KEY, F.when(good, F.col("low")).alias("threshold_hr"))
+    counts = records.groupBy(KEY).agg(F.count("hrv").alias("values"), F.count_if((F.col("hr") > 0) & F.col("hrv").isNotNull()).alias("pairs"))
+    enough = (F.col("values") > 60) & (F.col("pairs") > 100) & (F.col("bins") >= 4)
+    return counts.join(low, KEY, "left").select(KEY, F.when(enough, F.col("low")).alias("low"))
+
+
+def speed_breakpoint(records: DataFrame) -> DataFrame:
+    """D-21 (b), W24: activity_id and the mean heart rate (cut to a whole number) after the segment where the slope of heart rate over
+    speed rises most, the first of equals. Active rows on flat ground (2 % at most, or unknown) count, 100 at least; 4 segments
+    and 3 slopes are needed. records with is_active."""
+    by_idx = Window.partitionBy(KEY).orderBy("idx")
+    rows = records.filter("is_active AND hr > 0 AND speed > 0.5")
+    diff = lambda c: F.col(c) - F.lag(c).over(by_idx)
+    rows = rows.withColumns({"_n0": F.count("*").over(Window.partitionBy(KEY)), "_gradient": diff("altitude") / F.nullif(diff("distance"), F.lit(0.0)) * 100})
+    flat = rows.filter((F.col("_n0") >= 100) & F.coalesce(F.abs("_gradient") <= 2, F.lit(True))).drop("_n0", "_gradient")
+    by_segment = Window.partitionBy(KEY).orderBy("segment")
+    steps = speed_segments(flat).withColumn("hr_after", F.lead("hr").over(by_segment)).filter("slope IS NOT NULL")
+    steps = steps.withColumn("change", F.lead("slope").over(by_segment) - F.col("slope"))
+    best = F.max_by("hr_after", F.when(F.col("change").isNotNull(), F.struct("change", -F.col("segment"))))
+    g = steps.groupBy(KEY).agg(F.count("*").alias("_slopes"), F.floor(best).cast("long").alias("hr"))
+    return g.select(KEY, F.when(F.col("_slopes") >= 3, F.col("hr")).alias("breakpoint_hr"))
+
+
+def threshold_proxy(records: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
+    """D-21: the aerobic threshold from a low HRV bin, if that is 130 at least (null if it is over 80 % of the greatest rate); else
+    from the breakpoint of heart rate over speed, between these. records with is_active."""
+    cap = 0.8 * profile.max_hr
+    out = low_hrv_bin(records).join(speed_breakpoint(records), KEY, "left")
+    other = F.when(F.col("breakpoint_hr").between(130, cap), F.col("breakpoint_hr"))
+    return out.select(KEY, F.when(F.col("low") > cap, None).when(F.col("low") >= 130, F.col("low")).otherwise(other).alias("threshold_hr"))
 
 
 def speed_segments(records: DataFrame) -> DataFrame:
@@ -213,3 +311,30 @@ def speed_segments(records: DataFrame) -> DataFrame:
     nxt = Window.partitionBy(KEY).orderBy("segment")
     ds = F.lead("speed").over(nxt) - F.col("speed")
     return g.withColumn("slope", F.when(F.abs(ds) > 0.05, (F.lead("hr").over(nxt) - F.col("hr")) / ds))
+
+
+def activity_metrics(activities: DataFrame, records: DataFrame, beats: DataFrame | None = None, profile: Profile = DEFAULT, least_minutes: float = 20) -> DataFrame:
+    """D-26: every activity with its measures: fuel, fluid, climb, excess oxygen, recovery and load over critical heart rate of all;
+    drift, heart-rate drop, durability and thresholds of cardio activities of at least 20 minutes, from their records (activity_id
+    joined once for each measure), and respiration from beats. records as with_zones() gives them."""
+    from stridelake.operators import rr
+
+    eligible = activities.filter(is_cardio(F.col("sport")) & (F.col("duration_minutes") >= least_minutes)).select(KEY)
+    rows = records.join(eligible, KEY, "left_semi")
+    fuel = fueling(profile)
+    c = F.col
+    out = critical_hr(activities, profile).withColumns(fuel).withColumns({
+        "fluid_loss_l": fluid_loss_l(c("duration_minutes"), c("avg_temp")),
+        "vam": vam(c("duration_minutes"), c("ascent_m"), c("distance_km"), c("uphill_minutes"), c("sport")),
+        "epoc": epoc_score(c("z4"), c("z5")),
+        "recovery_h": recovery_hours(c("total_trimp")),
+        "climb_score": climb_score(c("ascent_m"), c("distance_km")),
+    })
+    out = out.withColumn("climb_category", climb_category(c("climb_score")))
+    parts = [cardiac_drift(rows, profile), max_hr_drop(rows, profile=profile), durability(rows, profile), threshold_proxy(rows, profile).withColumnRenamed("threshold_hr", "aet_hr_proxy")]
+    if beats is not None:
+        own = beats.join(eligible, KEY, "left_semi")
+        parts += [rr.aerobic_thresholds(own, rows, profile), rr.respiration_rate(own)]
+    for part in parts:
+        out = out.join(part, KEY, "left")
+    return out

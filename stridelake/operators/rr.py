@@ -98,6 +98,25 @@ def dfa_thresholds(beats: DataFrame, profile: Profile = DEFAULT, aerobic: float
     return without_ectopic(beats).groupBy(KEY).applyInPandas(one, f"{KEY} long, aet_hr double, ant_hr double, windows long, quality string")
 
 
+def aerobic_thresholds(beats: DataFrame, records: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
+    """D-22 with its fall-back: activity_id, aet_hr, ant_hr, quality of every activity with records or beats: real where the beats tell
+    the aerobic threshold, proxy where only the records do (D-21), else none. records with is_active."""
+    from stridelake.operators.activity import threshold_proxy
+
+    real, proxy = dfa_thresholds(beats, profile), threshold_proxy(records, profile)
+    out = real.join(proxy, KEY, "full")
+    quality = F.when(F.col("aet_hr").isNotNull(), "real").when(F.col("threshold_hr").isNotNull(), "proxy").otherwise("none")
+    return out.select(KEY, F.coalesce("aet_hr", F.col("threshold_hr").cast("double")).alias("aet_hr"), "ant_hr", quality.alias("dfa_quality"))
+
+
+def flattened_beats(messages: DataFrame) -> DataFrame:
+    """F-arr1: activity_id, beat, rr_ms from beat messages (activity_id, message, times: array of seconds, or null): the intervals above
+    0 of all messages in order, in milliseconds."""
+    one = messages.select(KEY, "message", F.posexplode("times").alias("_at", "_s")).filter("_s > 0")
+    number = F.row_number().over(Window.partitionBy(KEY).orderBy("message", "_at")).cast("long")
+    return one.select(KEY, number.alias("beat"), (F.col("_s") * 1000).alias("rr_ms"))
+
+
 def _spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Natural cubic spline through (x, y), by the tridiagonal system of its second derivatives."""
     h = np.diff(x)

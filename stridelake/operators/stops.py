@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stridelake.functions.scalars import haversine_m, kmh, map_url, step_score
+from stridelake.functions.scalars import haversine_m, is_cardio, kmh, map_url, step_score
 from stridelake.profile import DEFAULT, Profile
 
 KEY = "activity_id"
@@ -144,31 +144,80 @@ def anchors(records: DataFrame, stops: DataFrame) -> DataFrame:
     return out.select(KEY, "stop_id", "p.lat", "p.lon")
 
 
+def report_positions(records: DataFrame, stops: DataFrame) -> DataFrame:
+    """The first position inside each stop, else the last on the 29 rows before it."""
+    known = records.filter("lat IS NOT NULL AND lon IS NOT NULL").select(KEY, "idx", "lat", "lon")
+    joined = known.join(stops.select(KEY, "stop_id", "start_idx", "end_idx"), KEY).filter("idx >= start_idx - 29 AND idx <= end_idx")
+    place, inside = F.struct("lat", "lon"), F.col("idx") >= F.col("start_idx")
+    out = joined.groupBy(KEY, "stop_id").agg(F.coalesce(F.min_by(place, F.when(inside, F.col("idx"))), F.max_by(place, F.when(~inside, F.col("idx")))).alias("p"))
+    return out.select(KEY, "stop_id", F.col("p.lat").alias("report_lat"), F.col("p.lon").alias("report_lon"))
+
+
 def stop_report(records: DataFrame, profile: Profile = DEFAULT, km_digits: int = 2) -> DataFrame:
-    """D-41: every stop with its markers, confidence, kilometres before and after, anchor and map link."""
+    """D-41: every stop with its markers, confidence, kilometres before and after, and a map link to its report position."""
     stops = detect_stops(records, profile)
     scored = confidence(markers(records, stops, profile))
     total = records.groupBy(KEY).agg(F.max_by("distance", F.when(F.col("distance").isNotNull(), F.col("idx"))).alias("_total"))
     at = records.select(KEY, F.col("idx").alias("start_idx"), F.col("distance").alias("_at"))
-    out = stops.join(scored, [KEY, "stop_id"]).join(anchors(records, stops), [KEY, "stop_id"], "left").join(total, KEY).join(at, [KEY, "start_idx"], "left")
+    out = stops.join(scored, [KEY, "stop_id"]).join(report_positions(records, stops), [KEY, "stop_id"], "left").join(total, KEY).join(at, [KEY, "start_idx"], "left")
     km = lambda x: F.bround(F.round(x / 1000, 9), km_digits)
-    out = out.withColumns({"km_before": km(F.col("_at")), "km_after": km(F.col("_total") - F.col("_at")), "map_url": F.when(F.col("lat").isNotNull(), map_url(F.col("lat"), F.col("lon")))})
-    return out.drop("_total", "_at")
+    link = F.when(F.col("report_lat").isNotNull(), map_url(F.col("report_lat"), F.col("report_lon")))
+    return out.withColumns({"km_before": km(F.col("_at")), "km_after": km(F.col("_total") - F.col("_at")), "map_url": link}).drop("_total", "_at")
+
+
+def report_order(report: DataFrame) -> DataFrame:
+    """T5: the likeliest stops first."""
+    return report.orderBy(F.desc("confidence"), KEY, "stop_id")
+
+
+def stop_points(records: DataFrame, areas: list[tuple[float, float, float]] | None = None, profile: Profile = DEFAULT) -> DataFrame:
+    """D-41b: stops of cardio activities that have an anchor (W25) outside the excluded areas, with their confidence; what is
+    excluded is dropped before it is scored. activity_id, stop_id, lat, lon, confidence, duration_min."""
+    rows = records.filter(is_cardio(F.col("sport")))
+    stops = detect_stops(rows, profile)
+    located = stops.join(anchors(rows, stops), [KEY, "stop_id"]).filter(~in_any_area(F.col("lat"), F.col("lon"), areas or []))
+    scored = confidence(markers(rows, located.select(*stops.columns), profile)).select(KEY, "stop_id", "confidence")
+    minutes = F.bround(F.round(F.col("duration_s") / 60, 9), 1)
+    return located.join(scored, [KEY, "stop_id"]).select(KEY, "stop_id", "lat", "lon", "confidence", minutes.alias("duration_min"))
+
+
+def read_report(rows: DataFrame, least_confidence: float = DEFAULT.min_confidence) -> DataFrame:
+    """A stop report of texts (activity_id, date, start, end, confidence) with types, from the least confidence on: start and
+    end times are put on the date, an end before the start on the next day. Rows whose date or times cannot be read are left out."""
+    at = lambda c: F.try_to_timestamp(F.concat_ws(" ", "date", c), F.lit("yyyy-MM-dd HH:mm:ss"))
+    out = rows.select(F.col("activity_id").try_cast("long").alias(KEY), at("start").alias("start_ts"), at("end").alias("end_ts"), F.col("confidence").try_cast("double").alias("confidence"))
+    out = out.withColumn("end_ts", F.when(F.col("end_ts") < F.col("start_ts"), F.col("end_ts") + F.expr("INTERVAL 1 DAY")).otherwise(F.col("end_ts")))
+    return out.filter(F.col("start_ts").isNotNull() & F.col("end_ts").isNotNull() & (F.col("confidence") >= least_confidence))
 
 
 METRICS = ("moving_s", "km", "mean_hr", "mean_kmh", "mean_power", "mean_cadence", "ef")
 
 
-def performance(records: DataFrame, stops: DataFrame) -> DataFrame:
-    """D-44: each side of every stop over the whole activity: moving time (steps under 30 s, the first 1 s), distance, means of
-    plausible values, efficiency; before_, after_ and delta_ columns where both sides have 5 rows."""
+ZONES = ("Z1", "Z2", "Z3", "Z4", "Z5")
+#: What A16, D-1 and D-2 add to a side: shares and minutes of zones, drift and heart-rate drop.
+ZONE_METRICS = tuple(f"{z.lower()}_{what}" for z in ZONES for what in ("pct", "min"))
+
+
+def sides(records: DataFrame, stops: DataFrame) -> DataFrame:
+    """The rows of an activity before and after each of its stops, with stop_id and side. Each stop takes the activity's rows once."""
     s = stops.select(KEY, "stop_id", "start_t", "end_t")
     side = F.when(F.col("t") < F.col("start_t"), "before").when(F.col("t") > F.col("end_t"), "after")
-    rows = records.join(s, KEY).withColumn("side", side).filter("side IS NOT NULL")
+    return records.join(s, KEY).withColumn("side", side).filter("side IS NOT NULL").drop("start_t", "end_t")
+
+
+def performance(records: DataFrame, stops: DataFrame, profile: Profile = DEFAULT, full: bool = False) -> DataFrame:
+    """D-44: each side of every stop over the whole activity: moving time (steps under 30 s, the first 1 s), distance, means of
+    plausible values, efficiency; before_, after_ and delta_ columns where both sides have 5 rows. full (records as with_zones()
+    gives them) adds shares and minutes of zones (A16: rows without a zone do not count, those over the last zone only in the
+    whole), cardiac drift and greatest heart-rate drop of each side, with deltas of the zones."""
+    rows = sides(records, stops)
     dt = F.col("t") - F.lag("t").over(Window.partitionBy(KEY, "stop_id", "side").orderBy("idx"))
     rows = rows.withColumn("_dt", F.when(dt.isNull(), 1).when(dt < 30, dt).otherwise(0))
     ok = lambda cond, x: F.avg(F.when(cond, x))
-    m = rows.groupBy(KEY, "stop_id", "side").agg(
+    share = lambda z: F.nullif(F.count_if(F.col("zone") == z), F.lit(0)) / F.count_if(F.col("zone") != "") * 100
+    zones = [share(z).alias(f"_{z}") for z in ZONES] if full else []
+    key = [KEY, "stop_id", "side"]
+    m = rows.groupBy(*key).agg(
         F.count("*").alias("n"),
         F.sum("_dt").cast("double").alias("moving_s"),
         ((F.max("distance") - F.min("distance")) / 1000).alias("km"),
@@ -176,11 +225,22 @@ def performance(records: DataFrame, stops: DataFrame) -> DataFrame:
         (ok(F.col("speed") > 0, F.col("speed")) * 3.6).alias("mean_kmh"),
         ok(F.col("power") > 0, F.col("power")).alias("mean_power"),
         ok(F.col("cadence") > 0, F.col("cadence")).alias("mean_cadence"),
+        *zones,
     )
     m = m.withColumn("ef", F.col("mean_power") / F.col("mean_hr"))
+    picked, compared = METRICS, METRICS
+    if full:
+        from stridelake.operators.activity import cardiac_drift, max_hr_drop
+
+        two = lambda x: F.bround(F.round(x, 9), 2)
+        for z in ZONES:
+            minutes = F.col("moving_s") / 60 * F.coalesce(F.col(f"_{z}"), F.lit(0.0)) / 100
+            m = m.withColumns({f"{z.lower()}_pct": two(F.col(f"_{z}")), f"{z.lower()}_min": two(minutes)})
+        m = m.join(cardiac_drift(rows, profile, tuple(key)), key, "left").join(max_hr_drop(rows, profile=profile, key=tuple(key)), key, "left")
+        picked, compared = (*METRICS, *ZONE_METRICS, "cardiac_drift", "max_hr_drop"), (*METRICS, *ZONE_METRICS)
     pick = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c)))
-    wide = m.filter("n >= 5").groupBy(KEY, "stop_id").agg(F.count("*").alias("_sides"), *(pick(s, c).alias(f"{s}_{c}") for s in ("before", "after") for c in METRICS))
-    deltas = {f"delta_{c}": F.col(f"after_{c}") - F.col(f"before_{c}") for c in METRICS}
+    wide = m.filter("n >= 5").groupBy(KEY, "stop_id").agg(F.count("*").alias("_sides"), *(pick(s, c).alias(f"{s}_{c}") for s in ("before", "after") for c in picked))
+    deltas = {f"delta_{c}": F.col(f"after_{c}") - F.col(f"before_{c}") for c in compared}
     return wide.filter("_sides = 2").drop("_sides").withColumns(deltas)
 
 

@@ -208,11 +208,33 @@ def d02(spark, d):
     return A.max_hr_drop(recs(spark, d))
 
 
-@query("d21_threshold_proxy", sql("""k AS (SELECT *, CAST(floor(hr / 5) * 5 AS BIGINT) AS bin FROM records WHERE hr > 0 AND hrv > 0), b AS (SELECT activity_id, bin, avg(hrv) AS m FROM k GROUP BY 1, 2 HAVING count(*) >= 3),
-l AS (SELECT activity_id, count(*) AS bins, min(bin) FILTER (m < best / 2) AS low FROM (SELECT *, max(m) OVER (PARTITION BY activity_id) AS best FROM b) GROUP BY 1)
-SELECT activity_id, CASE WHEN n > 100 AND bins >= 4 AND low >= 130 AND low <= 159.2 THEN low END AS threshold_hr FROM (SELECT activity_id, count(*) AS n FROM k GROUP BY 1) LEFT JOIN l USING (activity_id)"""))
+SEG = """o AS (SELECT *, row_number() OVER (PARTITION BY activity_id ORDER BY speed, idx) - 1 AS rn, count(*) OVER (PARTITION BY activity_id) AS n FROM {src}),
+k AS (SELECT *, least(10, n // 20) AS k FROM o WHERE n >= 100), s AS (SELECT *, rn // (n // k) AS segment FROM k WHERE k >= 4),
+g AS (SELECT activity_id, segment, avg(speed) AS speed, avg(hr) AS hr FROM s WHERE segment < k GROUP BY 1, 2)"""
+BREAK = f"""{FILL}, mv AS (SELECT *, count(*) OVER (PARTITION BY activity_id) AS n0, (altitude - lag(altitude) OVER ({I})) / nullif(distance - lag(distance) OVER ({I}), 0) * 100 AS grade FROM active WHERE is_active AND hr > 0 AND speed > 0.5),
+flat AS (SELECT * EXCLUDE (n0, grade) FROM mv WHERE n0 >= 100 AND coalesce(abs(grade) <= 2, true)), {SEG.format(src='flat')},
+sl AS (SELECT *, lead(hr) OVER w AS after, CASE WHEN abs(lead(speed) OVER w - speed) > 0.05 THEN (lead(hr) OVER w - hr) / (lead(speed) OVER w - speed) END AS slope FROM g WINDOW w AS (PARTITION BY activity_id ORDER BY segment)),
+ch AS (SELECT *, lead(slope) OVER (PARTITION BY activity_id ORDER BY segment) - slope AS change FROM sl WHERE slope IS NOT NULL),
+bp AS (SELECT activity_id, CASE WHEN count(*) >= 3 THEN CAST(floor(arg_max(after, {{'c': change, 's': -segment}}) FILTER (change IS NOT NULL)) AS BIGINT) END AS breakpoint_hr FROM ch GROUP BY 1)"""
+PROXY = f"""{BREAK}, kn2 AS (SELECT *, CAST(floor(hr / 5) * 5 AS BIGINT) AS bin FROM records WHERE hr > 0 AND hrv IS NOT NULL), bn AS (SELECT activity_id, bin, avg(hrv) AS m FROM kn2 GROUP BY 1, 2 HAVING count(*) >= 3),
+lo AS (SELECT activity_id, count(*) AS bins, min(bin) FILTER (m < best / 2) AS low FROM (SELECT *, max(m) OVER (PARTITION BY activity_id) AS best FROM bn) GROUP BY 1),
+lw AS (SELECT activity_id, CASE WHEN vals > 60 AND pairs > 100 AND bins >= 4 THEN low END AS low FROM (SELECT activity_id, count(hrv) AS vals, count(*) FILTER (hr > 0 AND hrv IS NOT NULL) AS pairs FROM records GROUP BY 1) LEFT JOIN lo USING (activity_id)),
+px AS (SELECT activity_id, CASE WHEN low > 159.2 THEN NULL WHEN low >= 130 THEN low WHEN breakpoint_hr BETWEEN 130 AND 159.2 THEN breakpoint_hr END AS threshold_hr FROM lw LEFT JOIN bp USING (activity_id))"""
+
+
+@query("d21_threshold_proxy", sql(f"{PROXY} SELECT activity_id, threshold_hr FROM px"))
 def d21(spark, d):
-    return A.threshold_proxy(recs(spark, d))
+    return A.threshold_proxy(A.with_zones(recs(spark, d)))
+
+
+@query("w24_speed_breakpoint", sql(f"{BREAK} SELECT activity_id, breakpoint_hr FROM bp"))
+def w24(spark, d):
+    return A.speed_breakpoint(A.with_zones(recs(spark, d)))
+
+
+@query("d21_low_hrv_bin", sql(f"{PROXY} SELECT activity_id, low FROM lw"))
+def d21_bin(spark, d):
+    return A.low_hrv_bin(recs(spark, d))
 
 
 @query("w23_w24_speed_segments", sql("""o AS (SELECT *, row_number() OVER (PARTITION BY activity_id ORDER BY speed, idx) - 1 AS rn, count(*) OVER (PARTITION BY activity_id) AS n FROM records WHERE speed > 0.5 AND hr > 0),
@@ -257,6 +279,115 @@ def d22(spark, d):
     return RR.dfa_thresholds(beats(spark, d))
 
 
+@query("d22_thresholds_with_fall_back")
+def d22_all(spark, d):
+    """Every third activity has no beats."""
+    return RR.aerobic_thresholds(beats(spark, d).filter("activity_id % 3 > 0"), A.with_zones(recs(spark, d)))
+
+
+@query("f_arr1_flattened_beats", sql("m AS (SELECT activity_id, idx // 10 AS message, idx, CASE WHEN idx % 7 = 0 THEN NULL WHEN idx % 11 = 0 THEN 0 ELSE 60 / hr END AS s FROM records WHERE hr > 0 AND idx // 10 % 9 > 0) SELECT activity_id, row_number() OVER (PARTITION BY activity_id ORDER BY idx) AS beat, round(s * 1000, 5) AS rr_ms FROM m WHERE s > 0"))
+def f_arr1(spark, d):
+    """Messages of up to ten intervals, some missing or 0, and messages without any."""
+    seconds = F.when(F.col("idx") % 7 == 0, None).when(F.col("idx") % 11 == 0, 0.0).otherwise(60 / F.col("hr"))
+    message = F.floor(F.col("idx") / 10)
+    held = recs(spark, d).filter("hr > 0").groupBy("activity_id", message.alias("message")).agg(F.array_sort(F.collect_list(F.struct("idx", seconds.alias("s")))).alias("x"))
+    held = held.select("activity_id", "message", F.when(F.col("message") % 9 > 0, F.transform("x", lambda e: e["s"])).alias("times"))
+    return RR.flattened_beats(held).withColumn("rr_ms", F.round("rr_ms", 5))
+
+
 @query("d23_respiration_rate")
 def d23(spark, d):
     return RR.respiration_rate(beats(spark, d))
+
+
+# --- pauses, summaries, marts -----------------------------------------------------------------------------------------------
+
+#: Timer events of an activity: stops (some in a row), starts, and others, at the times of its records.
+TIMER = {0: ("timer", "stop"), 4: ("TIMER", "Stop_Disable"), 9: ("timer", "start"), 13: ("lap", "stop"), 20: ("timer", "start_data"), 31: ("timer", "stop_disable_all"), 32: ("timer", "marker"), 40: ("timer", "start")}
+_WHICH = "CASE idx % 50 " + " ".join(f"WHEN {k} THEN '{{}}'".format(v) for k, v in ((k, "|".join(v)) for k, v in TIMER.items())) + " END"
+PAUSES = f"""ev AS (SELECT activity_id, t, lower(split_part(x, '|', 1)) AS event, lower(split_part(x, '|', 2)) AS kind FROM (SELECT activity_id, t, {_WHICH} AS x FROM records) WHERE x IS NOT NULL),
+tm AS (SELECT activity_id, t, CASE WHEN kind IN ('stop', 'stop_disable', 'stop_disable_all') THEN 0 ELSE 1 END AS k FROM ev WHERE event = 'timer' AND kind IN ('stop', 'stop_disable', 'stop_disable_all', 'start', 'start_data')),
+pz AS (SELECT activity_id, a AS start_t, t AS end_t FROM (SELECT *, lag(k) OVER w AS b, lag(t) OVER w AS a FROM tm WINDOW w AS (PARTITION BY activity_id ORDER BY t, k)) WHERE k = 1 AND b = 0)"""
+
+
+def timer_events(spark, d):
+    which = F.expr(_WHICH)
+    e = recs(spark, d).select("activity_id", "t", F.split(which, "[|]").alias("x")).filter("x IS NOT NULL")
+    return e.select("activity_id", "t", F.col("x")[0].alias("event"), F.col("x")[1].alias("event_type"))
+
+
+@query("j07_timer_pauses", sql(f"{PAUSES} SELECT * FROM pz"))
+def j07_timer(spark, d):
+    return A.pauses(timer_events(spark, d))
+
+
+@query("p05_records_in_pause", sql(f"{PAUSES} SELECT activity_id, idx, EXISTS (SELECT 1 FROM pz WHERE pz.activity_id = r.activity_id AND r.t BETWEEN start_t AND end_t) AS in_pause FROM records r"))
+def p05(spark, d):
+    return A.with_pauses(recs(spark, d), A.pauses(timer_events(spark, d))).select("activity_id", "idx", "in_pause")
+
+
+SUMMARY = f"""{PAUSES}, {FILL.replace("AS is_active FROM zoned", "AS moves FROM zoned").replace("active AS (SELECT *", "active0 AS (SELECT *")
+  .replace("FROM active))", "FROM active))").replace("rec2 AS (", "act1 AS (SELECT a.*, EXISTS (SELECT 1 FROM pz WHERE pz.activity_id = a.activity_id AND a.t BETWEEN start_t AND end_t) AS in_pause FROM active0 a), active AS (SELECT *, moves AND NOT in_pause AS is_active FROM act1), rec2 AS (")},
+se AS (SELECT s_suppkey AS activity_id, CASE s_suppkey % 3 WHEN 0 THEN 'running' WHEN 1 THEN 'cycling' ELSE 'rowing' END AS sport, CASE WHEN s_suppkey % 8 > 0 THEN (s_suppkey * 2311 % 90000)::DOUBLE END AS distance_m, (s_suppkey * 7 % 19)::DOUBLE AS avg_speed,
+  CASE WHEN s_suppkey % 4 = 0 THEN 2.5::DOUBLE END AS te_aerobic, CASE WHEN s_suppkey % 5 = 0 THEN 1.5::DOUBLE END AS te_anaerobic FROM supplier WHERE s_suppkey % 10 > 0),
+sm AS (SELECT *, quantile_cont(speed, 0.5) OVER (PARTITION BY activity_id, coalesce(speed > 0, false) ORDER BY idx ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS smooth, altitude - lag(altitude) OVER ({I}) AS up FROM rec2),
+sg AS (SELECT activity_id, count(*) AS records_count, count(*) FILTER (in_pause) AS paused_records, sum(trimp) AS trimp, CAST(round_even(round(avg(h), 9), 0) AS BIGINT) AS avg_hr, CAST(least(max(h), 199) AS BIGINT) AS max_hr,
+  coalesce(sum(dt) FILTER (is_active), 0) AS act, coalesce(sum(dt) FILTER (is_active AND zone <> ''), 0) / 60 AS zm, coalesce(sum(dt) FILTER (is_active AND up > 0 AND speed > 0), 0) / 60 AS uphill,
+  coalesce(sum(dt) FILTER (is_active AND zone = 'Z4'), 0) / 60 + coalesce(sum(dt) FILTER (is_active AND zone IN ('Z5', 'Z5+')), 0) / 60 AS z45, coalesce(sum(dt) FILTER (is_active AND zone = 'Z4+'), 0) / 60 AS none,
+  round_even(round(quantile_cont(smooth, 0.99) FILTER (speed > 0) * 3.6::DOUBLE, 9), 2) AS max_kmh FROM sm GROUP BY 1),
+su AS (SELECT sg.*, sport, round_even(round(distance_m / 1000, 9), 3) AS km, round_even(round(avg_speed * 3.6::DOUBLE, 9), 2) AS avg_kmh, te_aerobic AS ta, te_anaerobic AS tn,
+  CASE WHEN act > 0 THEN act / 60 WHEN zm > 0 THEN zm ELSE records_count / 60 END AS minutes, CASE sport WHEN 'cycling' THEN 100 WHEN 'running' THEN 35 ELSE 45 END AS c0, CASE sport WHEN 'cycling' THEN 60 WHEN 'running' THEN 30 ELSE 40 END AS c1 FROM sg LEFT JOIN se USING (activity_id))
+SELECT activity_id, records_count, paused_records, round(trimp, 5) AS total_trimp, avg_hr, max_hr, round(minutes, 6) AS duration_minutes, round(uphill, 6) AS uphill_minutes, CASE WHEN max_kmh <= c0 THEN max_kmh END AS max_speed_kmh, CASE WHEN avg_kmh <= c1 THEN avg_kmh END AS avg_speed_kmh,
+  CASE WHEN NOT coalesce(avg_kmh > c1, false) AND NOT coalesce(km / (minutes / 60) > c1, false) THEN km END AS distance_km,
+  coalesce(ta, CASE WHEN trimp > 0 THEN round_even(round(least(5, 5 * (1 - exp(-trimp / 50))), 9), 1) END) AS te_aerobic, coalesce(tn, CASE WHEN z45 > 0 THEN round_even(round(least(5, 5 * (1 - exp(-z45 / 20))), 9), 1) END) AS te_anaerobic FROM su"""
+
+
+@query("d27_summary_from_messages", sql(SUMMARY))
+def d27_messages(spark, d):
+    from stridelake.sources.tables import table
+
+    k = F.col("s_suppkey")
+    sessions = table(spark, d, "supplier").filter("s_suppkey % 10 > 0").select(
+        k.alias("activity_id"), F.when(k % 3 == 0, "running").when(k % 3 == 1, "cycling").otherwise("rowing").alias("sport"), F.when(k % 8 > 0, (k * 2311 % 90000).cast("double")).alias("distance_m"),
+        (k * 7 % 19).cast("double").alias("avg_speed"), F.when(k % 4 == 0, 2.5).alias("te_aerobic"), F.when(k % 5 == 0, 1.5).alias("te_anaerobic"),
+    )
+    out = A.activity_summary(recs(spark, d), timer_events(spark, d), sessions)
+    rounded = {"total_trimp": 5, "duration_minutes": 6, "uphill_minutes": 6}
+    names = ("records_count", "paused_records", "avg_hr", "max_hr", "max_speed_kmh", "avg_speed_kmh", "distance_km", "te_aerobic", "te_anaerobic")
+    return out.select("activity_id", *names, *(F.round(c, n).alias(c) for c, n in rounded.items()))
+
+
+GAPS = """gp AS (SELECT *, CASE WHEN idx % 5 = 0 THEN NULL ELSE t END AS tt, CASE WHEN hr IS NULL OR idx % 37 IN (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11) OR idx <= activity_id % 15 THEN NULL ELSE hr END AS x FROM records),
+nb AS (SELECT *, max(CASE WHEN x IS NOT NULL THEN idx END) OVER (PARTITION BY activity_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS p0, min(CASE WHEN x IS NOT NULL THEN idx END) OVER (PARTITION BY activity_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS p1,
+  max(idx) OVER (PARTITION BY activity_id) AS e FROM gp)"""
+
+
+@query("w19b_whole_gap_interpolation", sql(f"""{GAPS} SELECT n.activity_id, n.idx, round(CASE WHEN n.x IS NOT NULL THEN n.x WHEN coalesce(b.tt - a.tt <= 15, coalesce(p1, e + 1) - coalesce(p0, 0) - 1 <= 10)
+  THEN coalesce(a.x + (b.x - a.x) * (n.idx - p0) / (p1 - p0), a.x, b.x) END, 6) AS hr FROM nb n LEFT JOIN gp a ON a.activity_id = n.activity_id AND a.idx = p0 LEFT JOIN gp b ON b.activity_id = n.activity_id AND b.idx = p1"""))
+def w19b(spark, d):
+    """Gaps of twelve rows, at edges too, and times that are unknown."""
+    hidden = (F.col("idx") % 37 < 12) | (F.col("idx") <= F.col("activity_id") % 15)
+    r = recs(spark, d).withColumns({"x": F.when(~hidden, F.col("hr")), "tt": F.when(F.col("idx") % 5 > 0, F.col("t"))})
+    return r.select("activity_id", "idx", F.round(R.interpolated_by_time("x", "tt", "idx", ["activity_id"], ["idx"]), 6).alias("hr"))
+
+
+def _sql_of(name: str) -> str:
+    from stridelake.plans.registry import _FOUND
+
+    return _FOUND[name][1]
+
+
+MART = ["d24_critical_hr", "d09_vam", "d15_fueling", "d16_fluid_loss", "d19_d20_threshold_epoc", "d25_p18_climb_score"]
+_ROWS = ["d01_cardiac_drift", "d02_w21_max_hr_drop", "d18_durability", "d21_threshold_proxy"]
+
+
+@query("d26_activity_mart", "SELECT m.activity_id, critical_hr, tati, vam, fat_g, cardiac_drift, max_hr_drop, durability, threshold_hr AS aet_hr_proxy, sport FROM (SELECT activity_id, sport, duration_minutes >= 20 AND regexp_matches(sport, 'cycl|bik|run|walk|hik|ski') AS ok FROM (" + sql("SELECT * FROM activities") + ")) m" + "".join(f" LEFT JOIN ({_sql_of(n)}) USING (activity_id)" for n in MART[:3]) + "".join(f" LEFT JOIN ({_sql_of(n)}) r{i} ON ok AND r{i}.activity_id = m.activity_id" for i, n in enumerate(_ROWS)))
+def d26_mart(spark, d):
+    out = A.activity_metrics(acts(spark, d), A.with_zones(recs(spark, d)))
+    rounded = {"tati": 6, "vam": 7, "fat_g": 6}
+    return out.select("activity_id", "sport", "critical_hr", *(F.round(c, n).alias(c) for c, n in rounded.items()), "cardiac_drift", "max_hr_drop", "durability", "aet_hr_proxy")
+
+
+@query("d26_activity_mart_with_beats")
+def d26_beats(spark, d):
+    return A.activity_metrics(acts(spark, d), A.with_zones(recs(spark, d)), beats(spark, d))
