@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,20 +100,47 @@ def day_first_date(text: Column) -> Column:
     return F.when(first != "", iso.try_cast("date")).otherwise(F.substring(F.trim(text), 1, 10).try_cast("date"))
 
 
-ACCENTED = "áàâäãåčçďéèêëěíìîïľňñóòôöõőřšťúùûüůűýÿžÁÀÂÄÃÅČÇĎÉÈÊËĚÍÌÎÏĽŇÑÓÒÔÖÕŐŘŠŤÚÙÛÜŮŰÝŸŽ"
-PLAIN = "aaaaaaccdeeeeeiiiilnnoooooorstuuuuuuyyzAAAAAACCDEEEEEIIIILNNOOOOOORSTUUUUUUYYZ"
+def _accent_table() -> tuple[str, str]:
+    """Letters whose canonical decomposition is another letter and marks, and that letter: by rule, over all alphabets with them."""
+    pairs = []
+    for c in map(chr, range(0xC0, 0x2000)):
+        plain = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+        if len(plain) == 1 and plain != c:
+            pairs.append((c, plain))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+ACCENTED, PLAIN = _accent_table()
 
 
 def strip_accents(text: Column) -> Column:
-    return F.translate(text, ACCENTED, PLAIN)
+    """F-str1: the text decomposed (NFD) without its marks. Letters that no decomposition changes (ß, ł, ø) stay."""
+    return F.regexp_replace(F.translate(text, ACCENTED, PLAIN), r"\p{Mn}+", "")
 
 
 def sanitised(text: Column, default: str = "Unknown") -> Column:
-    """Letters, digits and single underscores of a place name without accents; the default if nothing is left."""
-    out = F.regexp_replace(F.regexp_replace(strip_accents(text_or_empty(text)), "[^A-Za-z0-9]+", "_"), "^_+|_+$", "")
+    """F-str2: a place name without accents: blanks and hyphens become single underscores, other characters than letters, digits and
+    underscores go; the default if nothing is left."""
+    out = F.regexp_replace(strip_accents(F.trim(text_or_empty(text))), r"[\s\-]+", "_")
+    out = F.regexp_replace(F.regexp_replace(F.regexp_replace(out, r"[^\p{L}\p{N}_]", ""), "_+", "_"), "^_|_$", "")
     return F.when(out == "", default).otherwise(out)
 
 
+#: Words of a title that name the sport, and prepositions before a place: fixed values.
+SPORT_WORDS = "cycling|cyklistika|cyklo|ride|gravel|mtb|mountain\\s*bike|bike|kolo|jizda|jízda|road|generic|virtual|indoor|outdoor|spinning"
+PREPOSITIONS = "in|v|ve|na"
+#: Parts of an address that are administrative: fixed values.
+ADMINISTRATIVE = "okres|kraj|jihovychod|jihozapad|severovychod|severozapad|cesko|morava|ceskomoravska|region|district|municipality"
+
+
+def place_in_title(title: Column) -> Column:
+    """F-str3: what is left of an activity's title without sport words, prepositions and separators; null if nothing is."""
+    out = F.regexp_replace(title, rf"(?iU)\b({SPORT_WORDS})\b", " ")
+    out = F.regexp_replace(out, rf"(?iU)\b({PREPOSITIONS})\b", " ")
+    out = F.regexp_replace(F.regexp_replace(out, r"[-–—|/\\]", " "), r"(?U)\s+", " ")
+    return F.nullif(F.trim(out), F.lit(""))
+
+
 def map_url(lat: Column, lon: Column) -> Column:
     return F.format_string("https://maps.example.org/?q=%.6f,%.6f", lat, lon)
 
@@ -128,10 +157,15 @@ def activity_id_of(path: Column) -> Column:
 
 
 def first_address_part(address: Column) -> Column:
-    """The first comma-separated part that has no leading digit and names no district, region or country level."""
+    """F-str4: the first comma-separated part that is more than digits and has no administrative word; null if there is none."""
     parts = F.transform(F.split(address, ","), lambda p: F.trim(p))
-    good = F.filter(parts, lambda p: ~p.rlike(r"(?i)^[0-9]|^$|district|region|county|country"))
-    return F.try_element_at(good, F.lit(1))
+    good = F.filter(parts, lambda p: ~p.rlike(r"^[0-9\s]+$") & ~p.rlike(rf"(?i)\b({ADMINISTRATIVE})\b"))
+    return F.nullif(F.try_element_at(good, F.lit(1)), F.lit(""))
+
+
+def place_name(title: Column, address: Column, default: str = "Unknown") -> Column:
+    """F-str4: the place a title names, else that of the address, sanitised."""
+    return sanitised(F.coalesce(place_in_title(title), first_address_part(address)), default)
 
 
 def joined_text(*parts: Column, separator: str = " | ") -> Column:

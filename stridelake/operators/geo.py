@@ -86,8 +86,8 @@ def hotspots(clustered: DataFrame, profile: Profile = DEFAULT, addresses: DataFr
         F.bround(F.round(F.avg("confidence"), 9), 1).alias("avg_confidence"),
         F.max("confidence").alias("max_confidence"),
         F.bround(F.round(F.avg("duration_min"), 9), 1).alias("avg_duration_min"),
-        F.round(F.avg("lat"), 6).alias("centroid_lat"),
-        F.round(F.avg("lon"), 6).alias("centroid_lon"),
+        F.round(F.round(F.avg("lat"), 9), 6).alias("centroid_lat"),
+        F.round(F.round(F.avg("lon"), 9), 6).alias("centroid_lon"),
         F.array_sort(F.collect_set("date")).alias("_dates"),
     )
     g = g.filter((F.col("max_confidence") >= profile.min_confidence) | (F.col("visit_count") >= 3))
@@ -109,8 +109,19 @@ def spot_category(most: Column, mean: Column, visits: Column) -> Column:
 
 
 def address_key(lat: Column, lon: Column) -> Column:
-    """J15."""
-    return F.format_string("%.4f,%.4f", lat, lon)
+    """Both coordinates rounded to four decimals, as texts without trailing zeros."""
+    four = lambda x: F.bround(F.round(x, 9), 4).cast("string")
+    return F.concat_ws(",", four(lat), four(lon))
+
+
+def hotspot_listing(points: DataFrame, spots: DataFrame, metres: float = DEFAULT.match_m) -> DataFrame:
+    """D-45: for each hotspot (cluster_id, centroid_lat, centroid_lon) the facts of its marker: how many stops lie within `metres`, the
+    best confidence, minutes in all, and the stops, likeliest first. A hotspot without any has no row."""
+    b = spots.select("cluster_id", F.col("centroid_lat").alias("lat_b"), F.col("centroid_lon").alias("lon_b"))
+    near = within(points, b, metres)
+    order = F.struct((-F.col("confidence")).alias("o"), "point_id", "confidence", "duration_min", "date", F.round("distance_m", 1).alias("distance_m"))
+    g = near.groupBy("cluster_id").agg(F.count("*").alias("n_stops"), F.max("confidence").alias("best_confidence"), F.sum("duration_min").alias("minutes"), F.array_sort(F.collect_list(order)).alias("stops"))
+    return g.withColumn("stops", F.transform("stops", lambda x: x.dropFields("o")))
 
 
 def marker_style(confidence: Column, visits: Column) -> dict[str, Column]:

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from stridelake.functions import rolling as R
 from stridelake.functions.scalars import day_first_date, eu_number, sleep_minutes
 from stridelake.profile import DEFAULT, Profile
+from stridelake.sources.tables import enforced
 
 # --- health export (D-28) -------------------------------------------------------------------------------------------------
 
@@ -38,6 +39,31 @@ def export_days(cleaned: DataFrame) -> DataFrame:
     return days.join(seen, ["athlete_id", "date"], "left")
 
 
+#: The columns of the four daily tables that a health export fills in part: fixed by the tables they stand beside.
+EXPORT_TABLES = {
+    "hrv": "weekly_avg double, last_night_avg double, last_night_5min_high double, status string, feedback_text string, sample_count long",
+    "sleep": "sleep_score double, duration_minutes long, sleep_start_time string, sleep_end_time string, rem_sleep_percentage double, light_sleep_percentage double, deep_sleep_percentage double, awake_count double, avg_spo2 double, avg_respiration double",
+    "daily_health": "body_battery_highest double, body_battery_lowest double, stress_average double, stress_max double, resting_heart_rate double, active_calories double, resting_calories double",
+    "vo2_max": "vo2_max double",
+}
+
+
+def export_tables(cleaned: DataFrame) -> dict[str, DataFrame]:
+    """D-28: the four daily tables of a cleaned export, each with all columns of the table it stands beside (null where an export has
+    nothing): HRV to one decimal with its 7-value mean, sleep in whole minutes, health where any of its three sources is there,
+    oxygen uptake to two decimals. Rounding is half to even."""
+    days = export_days(cleaned)
+    cut = lambda c, n: F.bround(F.round(c, 9), n)
+    hrv = days.filter("hrv IS NOT NULL").select("athlete_id", "date", cut("hrv", 1).alias("last_night_avg"))
+    hrv = hrv.withColumn("weekly_avg", cut(R.rolling_mean("last_night_avg", ["athlete_id"], ["date"], 7, 3), 1))
+    sleep = days.filter("sleep_min IS NOT NULL").select("athlete_id", "date", cut("sleep_min", 0).cast("long").alias("duration_minutes"), cut("spo2", 1).alias("avg_spo2"))
+    health = days.filter("rhr IS NOT NULL OR active IS NOT NULL OR resting IS NOT NULL")
+    health = health.select("athlete_id", "date", cut("rhr", 1).alias("resting_heart_rate"), cut("active", 0).alias("active_calories"), cut("resting", 0).alias("resting_calories"))
+    uptake = days.filter("vo2 IS NOT NULL").select("athlete_id", "date", cut("vo2", 2).alias("vo2_max"))
+    made = {"hrv": hrv, "sleep": sleep, "daily_health": health, "vo2_max": uptake}
+    return {name: enforced(made[name], T._parse_datatype_string(f"athlete_id long, date date, {columns}")) for name, columns in EXPORT_TABLES.items()}
+
+
 # --- raw JSON (section E) ---------------------------------------------------------------------------------------------------
 
 

@@ -205,7 +205,7 @@ def sides(records: DataFrame, stops: DataFrame) -> DataFrame:
     return records.join(s, KEY).withColumn("side", side).filter("side IS NOT NULL").drop("start_t", "end_t")
 
 
-def performance(records: DataFrame, stops: DataFrame, profile: Profile = DEFAULT, full: bool = False) -> DataFrame:
+def performance(records: DataFrame, stops: DataFrame, profile: Profile = DEFAULT, full: bool = False, zone_digits: int = 2) -> DataFrame:
     """D-44: each side of every stop over the whole activity: moving time (steps under 30 s, the first 1 s), distance, means of
     plausible values, efficiency; before_, after_ and delta_ columns where both sides have 5 rows. full (records as with_zones()
     gives them) adds shares and minutes of zones (A16: rows without a zone do not count, those over the last zone only in the
@@ -232,10 +232,10 @@ def performance(records: DataFrame, stops: DataFrame, profile: Profile = DEFAULT
     if full:
         from stridelake.operators.activity import cardiac_drift, max_hr_drop
 
-        two = lambda x: F.bround(F.round(x, 9), 2)
+        cut = lambda x: F.bround(F.round(x, 9), zone_digits)
         for z in ZONES:
             minutes = F.col("moving_s") / 60 * F.coalesce(F.col(f"_{z}"), F.lit(0.0)) / 100
-            m = m.withColumns({f"{z.lower()}_pct": two(F.col(f"_{z}")), f"{z.lower()}_min": two(minutes)})
+            m = m.withColumns({f"{z.lower()}_pct": cut(F.col(f"_{z}")), f"{z.lower()}_min": cut(minutes)})
         m = m.join(cardiac_drift(rows, profile, tuple(key)), key, "left").join(max_hr_drop(rows, profile=profile, key=tuple(key)), key, "left")
         picked, compared = (*METRICS, *ZONE_METRICS, "cardiac_drift", "max_hr_drop"), (*METRICS, *ZONE_METRICS)
     pick = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c)))

@@ -179,7 +179,7 @@ HALF = """{out} AS (SELECT activity_id, any_value(cycling) AS cycling, count(*)
 
 @query("d01_cardiac_drift", sql(f"""{EFFORT}, w1 AS (SELECT *, min(t) OVER (PARTITION BY activity_id) AS f0, count(*) OVER (PARTITION BY activity_id) AS n0 FROM mov),
 w2 AS (SELECT *, count(*) OVER (PARTITION BY activity_id) AS n1, max(altitude) OVER (PARTITION BY activity_id) - min(altitude) OVER (PARTITION BY activity_id) AS rng, count(altitude) OVER (PARTITION BY activity_id) AS na FROM w1 WHERE n0 >= 20 AND t >= f0 + 600),
-w3 AS (SELECT * FROM w2 WHERE n1 >= 20 AND (cycling OR (NOT coalesce(na >= 10 AND rng > 30, false) AND {Z.format(h='CAST(hr AS INTEGER)')} IN ('Z1', 'Z2', '')))), {HALF.format(out='h', src='w3')}
+w3 AS (SELECT * FROM w2 WHERE n1 >= 20 AND (cycling OR (NOT coalesce(na >= 10 AND rng > 30, false) AND {Z.format(h='CAST(floor(hr) AS INTEGER)')} IN ('Z1', 'Z2', '')))), {HALF.format(out='h', src='w3')}
 SELECT activity_id, CASE WHEN m1 >= CASE WHEN cycling THEN 30 ELSE 2 / 3.6::DOUBLE END AND m2 >= CASE WHEN cycling THEN 30 ELSE 2 / 3.6::DOUBLE END THEN round_even(round((ef1 - ef2) / ef1 * 100, 9), 2) END AS cardiac_drift FROM h WHERE n >= 20"""))
 def d01(spark, d):
     return A.cardiac_drift(recs(spark, d))

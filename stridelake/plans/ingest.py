@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -384,3 +385,127 @@ last AS (SELECT walk.*, h.start_t AS held_t, nx.start_t AS next_t FROM walk JOIN
 @query("d31_j12_deduplicated_sessions", "WITH RECURSIVE " + f"{WALK} SELECT athlete_id, start_t, file_id, source, n_records, n_rr, density, sensor, size FROM se WHERE file_id IN (SELECT held FROM last WHERE next_t IS NULL OR next_t - held_t > 1800)")
 def d31(spark, d):
     return G.deduplicated(sessions(spark, d))
+
+
+# --- the four tables of an export, marts, and tables that come and go ---------------------------------------------------------
+
+DD = f"""{EXPORT}, dd AS (SELECT athlete_id, date, avg(CASE WHEN k % 5 <> 0 THEN v END) AS vo2, avg(40 + k % 20) AS rhr, avg(v + 2) AS hrv, avg(CASE WHEN NOT workout THEN 97.5::DOUBLE END) AS spo2,
+  nullif(sum(CASE WHEN NOT workout THEN nullif((k % 9) * 60 + k % 60, 0) END), 0) AS sleep_min, nullif(sum(CASE WHEN NOT workout THEN 1000 + k % 1000 END), 0) AS active FROM ex GROUP BY 1, 2),
+hv AS (SELECT athlete_id, date, round(hrv, 1) AS last_night_avg FROM dd WHERE hrv IS NOT NULL)"""
+_EXPORT_SQL = {
+    "hrv": "SELECT athlete_id, date, round_even(round(hrv, 9), 1) AS last_night_avg FROM dd WHERE hrv IS NOT NULL",
+    "sleep": "SELECT athlete_id, date, CAST(sleep_min AS BIGINT) AS duration_minutes, round(spo2, 1) AS avg_spo2 FROM dd WHERE sleep_min IS NOT NULL",
+    "daily_health": "SELECT athlete_id, date, round_even(round(rhr, 9), 1) AS resting_heart_rate, active::DOUBLE AS active_calories FROM dd WHERE rhr IS NOT NULL OR active IS NOT NULL",
+    "vo2_max": "SELECT athlete_id, date, (q + CASE WHEN r > 5000000 OR r = 5000000 AND q % 2 = 1 THEN 1 ELSE 0 END) / 100 AS vo2_max FROM (SELECT *, m // 10000000 AS q, m % 10000000 AS r FROM (SELECT *, CAST(round(vo2 * 1000000000) AS BIGINT) AS m FROM dd WHERE vo2 IS NOT NULL))",
+}
+_EXPORT_NULLS = {
+    "hrv": "NULL::DOUBLE AS last_night_5min_high, NULL::VARCHAR AS status, NULL::VARCHAR AS feedback_text, NULL::BIGINT AS sample_count",
+    "sleep": "NULL::DOUBLE AS sleep_score, NULL::VARCHAR AS sleep_start_time, NULL::VARCHAR AS sleep_end_time, NULL::DOUBLE AS rem_sleep_percentage, NULL::DOUBLE AS light_sleep_percentage, NULL::DOUBLE AS deep_sleep_percentage, NULL::DOUBLE AS awake_count, NULL::DOUBLE AS avg_respiration",
+    "daily_health": "NULL::DOUBLE AS body_battery_highest, NULL::DOUBLE AS body_battery_lowest, NULL::DOUBLE AS stress_average, NULL::DOUBLE AS stress_max, NULL::DOUBLE AS resting_calories",
+}
+_WEEKLY = "round_even(round(CASE WHEN count(*) OVER w >= 3 THEN avg(last_night_avg) OVER w END, 9), 1) AS weekly_avg"
+for _table, _select in _EXPORT_SQL.items():
+
+    def _export(spark, d, name=_table):
+        return G.export_tables(G.clean_export(export_rows(spark, d)))[name]
+
+    _more = ", ".join(x for x in (_EXPORT_NULLS.get(_table), _WEEKLY if _table == "hrv" else None) if x)
+    _window = " WINDOW w AS (PARTITION BY athlete_id ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)" if _table == "hrv" else ""
+    query(f"d28_export_{_table}", sql(f"{DD} SELECT *{', ' + _more if _more else ''} FROM ({_select}){_window}"))(_export)
+
+
+def place(spark) -> str:
+    return f"{T.shared_folder(spark)}/table-{uuid.uuid4().hex}"
+
+
+@query("s04_optional_table", sql("SELECT activity_id, date FROM activities"))
+def s04(spark, d):
+    """A table that is not there counts as an empty one."""
+    a = acts(spark, d).select("activity_id", "date")
+    return T.union_all(a, T.optional(spark, f"{place(spark)}/nowhere", a.schema))
+
+
+@query("s09_append", sql("SELECT activity_id, sport FROM activities"))
+def s09(spark, d):
+    path, a = place(spark), acts(spark, d).select("activity_id", "sport")
+    for part in (a.filter("activity_id % 3 = 0"), a.filter("activity_id % 3 > 0")):
+        T.append(part, path, "sport")
+    return spark.read.parquet(path).select("activity_id", "sport")
+
+
+@query("s16_export_by_name", sql("SELECT sport || '_' || date_part('year', date) AS export_name, activity_id FROM activities WHERE regexp_matches(sport, 'cycl|biking|ride')"))
+def s16(spark, d):
+    """A folder for each name (of sport and year here, for there would be one for each activity with the names of F-str9)."""
+    path, a = place(spark), acts(spark, d).filter(is_cycling(F.col("sport")))
+    T.export_by(a.select("activity_id", F.concat_ws("_", "sport", F.year("date")).alias("export_name")), path, "export_name")
+    return spark.read.parquet(path).select("export_name", "activity_id")
+
+
+@query("s17_mart_write_back", sql("SELECT activity_id, round_even(round(total_trimp, 9), 1) AS total_trimp, round_even(round(avg_hr / 7, 9), 2) AS pace FROM activities"))
+def s17(spark, d):
+    mart = acts(spark, d).select("activity_id", "total_trimp", (F.col("avg_hr") / 7).alias("pace"))
+    return T.write_mart(mart, place(spark), {"total_trimp": 1, "pace": 2})
+
+
+@query("s13_missing_files", sql("SELECT activity_id, date FROM activities WHERE date >= (SELECT max(date) FROM activities) - 3 AND activity_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')"))
+def s13_missing(spark, d):
+    a = acts(spark, d)
+    landed = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("activity_id"))
+    since = a.agg(F.max("date").alias("m")).first()["m"] - datetime.timedelta(days=3)
+    return T.missing_files(a.select("activity_id", "date"), landed, "activity_id", since)
+
+
+@query("p11_found_columns", sql("SELECT activity_id, total_trimp AS load, sport AS kind FROM activities"))
+def p11(spark, d):
+    a = acts(spark, d)
+    return a.select("activity_id", F.col(T.find_column(a, "TRIMP")).alias("load"), F.col(T.first_existing(a, ["type", "sport", "activity_id"])).alias("kind"))
+
+
+@query("p23_rearranged", sql("SELECT activity_id, sport, total_trimp AS load, date FROM activities"))
+def p23(spark, d):
+    a = acts(spark, d).select("activity_id", "date", "total_trimp", "sport", "z1")
+    out = T.rearranged(a, drop=["z1", "nothing"], rename={"total_trimp": "load"}, after={"sport": "activity_id", "date": "load", "none": "date"})
+    assert out.columns == ["activity_id", "sport", "load", "date"]
+    return out
+
+
+@query("j03_d46_enriched", sql("SELECT activity_id, date, avg_hr, hrv, sleep_score, CASE WHEN hrv > 50 THEN sleep_score + hrv END AS readiness FROM activities LEFT JOIN bio USING (athlete_id, date)"))
+def j03(spark, d):
+    """The activity table with the daily measures; a column of theirs that it has already is not taken."""
+    daily = view(spark, d, "bio").withColumns({"readiness": F.when(F.col("hrv") > 50, F.col("sleep_score") + F.col("hrv")), "avg_hr": F.lit(0.0)})
+    return T.enriched(acts(spark, d), daily, ["athlete_id", "date"]).select("activity_id", "date", "avg_hr", "hrv", "sleep_score", "readiness")
+
+
+@query("j05_sport_and_date", sql("SELECT r.activity_id, a.sport, a.date, count(*) AS n FROM records r LEFT JOIN activities a USING (activity_id) GROUP BY ALL"))
+def j05(spark, d):
+    known = acts(spark, d).select("activity_id", "sport", "date")
+    return view(spark, d, "records").groupBy("activity_id").agg(F.count("*").alias("n")).join(known, "activity_id", "left")
+
+
+@query("t07_recent_fuel", sql("f AS (SELECT athlete_id, date, z1*6*0.8::DOUBLE + z2*8*0.6::DOUBLE + z3*10*0.4::DOUBLE + z4*12*0.1::DOUBLE AS fat FROM activities), m AS (SELECT max(date) AS d FROM activities) SELECT athlete_id, round(sum(fat) / 9, 5) AS fat_g, count(*) AS n FROM f, m WHERE date >= d - 7 GROUP BY 1"))
+def t07(spark, d):
+    """The fat burnt in the last seven days."""
+    from stridelake.operators.activity import fueling
+
+    a = acts(spark, d)
+    as_of = a.agg(F.max("date").alias("m")).first()["m"]
+    recent = a.filter(F.col("date") >= F.date_sub(F.lit(as_of), 7)).withColumn("fat_g", fueling()["fat_g"])
+    return recent.groupBy("athlete_id").agg(F.round(F.sum("fat_g"), 5).alias("fat_g"), F.count("*").alias("n"))
+
+
+@query("f_dt6_backfill_days", sql("SELECT athlete_id, CAST(unnest(generate_series(first - INTERVAL 2 DAY, first + INTERVAL 3 DAY, INTERVAL 1 DAY)) AS DATE) AS day FROM (SELECT athlete_id, min(date) AS first FROM activities GROUP BY 1)"))
+def f_dt6(spark, d):
+    first = acts(spark, d).groupBy("athlete_id").agg(F.min("date").alias("first"))
+    return first.select("athlete_id", F.explode(F.sequence(F.date_sub("first", 2), F.date_add("first", 3))).alias("day"))
+
+
+@query("w17_pause_islands", sql("SELECT activity_id, island, count(*) AS n FROM (SELECT *, sum(CASE WHEN t - p > 900 THEN 1 ELSE 0 END) OVER (PARTITION BY activity_id ORDER BY idx) AS island FROM (SELECT *, lag(t) OVER (PARTITION BY activity_id ORDER BY idx) AS p FROM records WHERE coalesce(speed, 0) < 2.2)) GROUP BY 1, 2"))
+def w17_pauses(spark, d):
+    """Islands of slow rows, apart by over 900 s."""
+    from pyspark.sql import Window
+
+    from stridelake.functions import rolling as R
+
+    w = Window.partitionBy("activity_id").orderBy("idx")
+    r = view(spark, d, "records").filter("coalesce(speed, 0) < 2.2").withColumn("gap", F.col("t") - F.lag("t").over(w))
+    return r.withColumn("island", R.islands(F.col("gap"), 900, ["activity_id"], ["idx"])).groupBy("activity_id", "island").agg(F.count("*").alias("n"))

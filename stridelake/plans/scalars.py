@@ -75,10 +75,13 @@ def p12(spark, d):
     return v.select("activity_id", F.when(ok, F.col("v")).alias("avg_kmh"), F.when(ok, F.col("distance_km")).alias("distance_km"))
 
 
-@query("p13_lenient_cast", sql("SELECT doc_id, try_cast(split_part(text, ' ', 1) AS DOUBLE) AS first_number, coalesce(try_cast(regexp_extract(text, '([0-9]{1,8})', 1) AS BIGINT), 0) AS number FROM documents"))
+@query("p13_lenient_cast", sql("SELECT doc_id, try_cast(text AS DOUBLE) AS whole, len(list_filter(string_split(text, ' '), lambda x: try_cast(x AS BIGINT) IS NOT NULL AND regexp_full_match(x, '[0-9]+'))) AS n_numbers, coalesce(list_sum(list_transform(list_filter(string_split(text, ' '), lambda x: regexp_full_match(x, '[0-9]+')), lambda x: coalesce(try_cast(x AS BIGINT) % 1000, 0))), 0)::BIGINT AS total FROM documents"))
 def p13(spark, d):
+    """Of whole texts: the text as a number, and its words that are whole numbers."""
     t = table(spark, d, "documents")
-    return t.select("doc_id", F.split_part(F.col("text"), F.lit(" "), F.lit(1)).try_cast("double").alias("first_number"), F.coalesce(F.regexp_extract("text", "([0-9]{1,8})", 1).try_cast("bigint"), F.lit(0)).alias("number"))
+    numbers = F.transform(F.filter(F.split("text", " "), lambda w: w.rlike("^[0-9]+$")), lambda w: w.try_cast("bigint"))
+    known = F.filter(numbers, lambda n: n.isNotNull())
+    return t.select("doc_id", F.col("text").try_cast("double").alias("whole"), F.size(known).cast("long").alias("n_numbers"), F.coalesce(F.aggregate(known, F.lit(0).cast("long"), lambda a, n: a + n % 1000), F.lit(0)).alias("total"))
 
 
 @query("p16_p17_range_filters", sql("SELECT activity_id, coalesce(avg_temp > 25, false) AS hot, CASE WHEN avg_hr > 30 AND avg_hr < 180 THEN avg_hr END AS hr FROM activities"))
@@ -92,9 +95,26 @@ def p20(spark, d):
     return events(spark, d).select("event_id", *(c.alias(k) for k, c in G.marker_style(v, n).items()), G.spot_category(v, v * 0.8, n).alias("spot"))
 
 
-@query("f_str1_str2_place_names", sql("SELECT doc_id, CASE WHEN s = '' THEN 'Unknown' ELSE s END AS place FROM (SELECT doc_id, regexp_replace(regexp_replace(translate(left(text, 40), '" + S.ACCENTED + "', '" + S.PLAIN + "'), '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS s FROM documents)"))
+_SANITISED = lambda x: "regexp_replace(regexp_replace(regexp_replace(regexp_replace(strip_accents(trim(coalesce(" + x + ", ''))), '[\\s\\-]+', '_', 'g'), '[^\\pL\\pN_]', '', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g')"
+
+
+@query("f_str1_str2_place_names", sql(f"SELECT doc_id, CASE WHEN s = '' THEN 'Unknown' ELSE s END AS place FROM (SELECT doc_id, {_SANITISED('text')} AS s FROM documents)"))
 def f_str1(spark, d):
-    return table(spark, d, "documents").select("doc_id", S.sanitised(F.substring("text", 1, 40)).alias("place"))
+    return table(spark, d, "documents").select("doc_id", S.sanitised(F.col("text")).alias("place"))
+
+
+TITLES = """CASE k % 6 WHEN 0 THEN 'Brno - Cyklistika' WHEN 1 THEN 'Sumava Gravel' WHEN 2 THEN 'Ride in ' || event_type WHEN 3 THEN 'MTB bike | road' WHEN 4 THEN NULL ELSE 'mountain  bike ' || user_id || '/Vltava' END"""
+ADDRESSES = """CASE k % 5 WHEN 0 THEN '12, 602 00, okres Brno, Brno, Czechia' WHEN 1 THEN user_id || ' , Long Street 5' WHEN 2 THEN NULL WHEN 3 THEN '77, region X' ELSE 'Kraj Z,, Old Town' END"""
+
+
+@query("f_str3_f_str4_places", sql(rf"""e AS (SELECT event_id, {TITLES} AS title, {ADDRESSES} AS address FROM (SELECT *, event_id AS k FROM events)),
+t AS (SELECT *, nullif(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(title, '(?i)\b(cyklistika|gravel|ride|mtb|mountain\s*bike|bike|road)\b', ' ', 'g'), '(?i)\b(in)\b', ' ', 'g'), '[-|/]', ' ', 'g'), '\s+', ' ', 'g')), '') AS from_title,
+  nullif(list_filter(list_transform(string_split(address, ','), lambda x: trim(x)), lambda x: NOT regexp_full_match(x, '[0-9\s]+') AND NOT regexp_matches(x, '(?i)\b(okres|kraj|region)\b'))[1], '') AS from_address FROM e)
+SELECT event_id, from_title, from_address, CASE WHEN s = '' THEN 'Unknown' ELSE s END AS place FROM (SELECT *, {_SANITISED('coalesce(from_title, from_address)')} AS s FROM t)"""))
+def f_str3(spark, d):
+    e = events(spark, d).withColumn("k", F.col("event_id"))
+    title, address = F.expr(TITLES), F.expr(ADDRESSES)
+    return e.select("event_id", S.place_in_title(title).alias("from_title"), S.first_address_part(address).alias("from_address"), S.place_name(title, address).alias("place"))
 
 
 @query("f_str5_eu_numbers", sql("SELECT event_id, value AS number, (value + (value + 2)) / 2 AS mean FROM events"))

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from stridelake.operators import geo as G
 from stridelake.operators import stops as S
+from stridelake.plans.activities import FILL
 from stridelake.plans.registry import query
 from stridelake.sources.fixtures import sql, view
+from stridelake.sources.tables import shared_folder
 
 I = "PARTITION BY activity_id ORDER BY idx"
 IMPLICIT = f"""imp AS (SELECT activity_id, idx - 1 AS start_idx, idx AS end_idx, t0 AS start_t, t AS end_t FROM
@@ -83,16 +85,47 @@ def d40(spark, d):
     return S.confidence(S.markers(r, S.detect_stops(r))).select("activity_id", "stop_id", "raw_confidence", "gradient_penalty", "confidence")
 
 
-@query("d41_stop_report", sql(f"{STOPS}, {MARKERS}, {ANCHOR}, tot AS (SELECT activity_id, arg_max(distance, idx) AS total FROM records GROUP BY 1) SELECT s.activity_id, s.stop_id, s.duration_s, confidence, round(r.distance / 1000, 3) AS km_before, round((total - r.distance) / 1000, 3) AS km_after, printf('https://maps.example.org/?q=%.6f,%.6f', p.lat, p.lon) AS map_url FROM stops s JOIN cf USING (activity_id, stop_id) LEFT JOIN anc a ON a.activity_id = s.activity_id AND a.stop_id = s.stop_id JOIN tot ON tot.activity_id = s.activity_id JOIN records r ON r.activity_id = s.activity_id AND r.idx = s.start_idx"))
+REPORT = """rp AS (SELECT activity_id, stop_id, coalesce(arg_min({{'lat': lat, 'lon': lon}}, idx) FILTER (idx >= start_idx), arg_max({{'lat': lat, 'lon': lon}}, idx) FILTER (idx < start_idx)) AS p
+  FROM records JOIN stops USING (activity_id) WHERE lat IS NOT NULL AND lon IS NOT NULL AND idx >= start_idx - 29 AND idx <= end_idx GROUP BY ALL)""".replace("{{", "{").replace("}}", "}")
+
+
+@query("d41_stop_report", sql(f"{STOPS}, {MARKERS}, {REPORT}, tot AS (SELECT activity_id, arg_max(distance, idx) AS total FROM records GROUP BY 1) SELECT s.activity_id, s.stop_id, s.duration_s, confidence, round(r.distance / 1000, 3) AS km_before, round((total - r.distance) / 1000, 3) AS km_after, printf('https://maps.example.org/?q=%.6f,%.6f', p.lat, p.lon) AS map_url FROM stops s JOIN cf USING (activity_id, stop_id) LEFT JOIN rp a ON a.activity_id = s.activity_id AND a.stop_id = s.stop_id JOIN tot ON tot.activity_id = s.activity_id JOIN records r ON r.activity_id = s.activity_id AND r.idx = s.start_idx"))
 def d41(spark, d):
-    return S.stop_report(records(spark, d), km_digits=3).select("activity_id", "stop_id", "duration_s", "confidence", "km_before", "km_after", "map_url")
+    report = S.stop_report(records(spark, d), km_digits=3)
+    return S.report_order(report).select("activity_id", "stop_id", "duration_s", "confidence", "km_before", "km_after", "map_url")
 
 
-def points(spark, d):
+@query("t05_report_order", sql(f"{STOPS}, {MARKERS} SELECT activity_id, stop_id, confidence FROM cf ORDER BY confidence DESC, activity_id, stop_id LIMIT 100"))
+def t05(spark, d):
+    """A top-k report: the 100 likeliest stops."""
+    return S.report_order(S.stop_report(records(spark, d))).limit(100).select("activity_id", "stop_id", "confidence")
+
+
+@query("s18_p15_typed_report", sql(f"{STOPS}, {MARKERS} SELECT s.activity_id, TIMESTAMP '2024-03-01 22:00:00' + INTERVAL 1 SECOND * (start_t % 7200) AS start_ts, TIMESTAMP '2024-03-01 22:00:00' + INTERVAL 1 SECOND * (start_t % 7200 + duration_s % 86400) AS end_ts, confidence FROM stops s JOIN cf USING (activity_id, stop_id) WHERE confidence >= 15 AND s.activity_id % 7 > 0"))
+def s18(spark, d):
+    """The report as texts, some with dates that cannot be read; stops that end past midnight."""
     report = S.stop_report(records(spark, d))
+    start = F.lit("2024-03-01 22:00:00").cast("timestamp") + F.make_dt_interval(secs=F.col("start_t") % 7200)
+    end = start + F.make_dt_interval(secs=F.col("duration_s") % 86400)
+    day = F.when(F.col("activity_id") % 7 > 0, "2024-03-01").otherwise("soon")
+    # A start past midnight is put on its own date.
+    day = F.when((F.col("start_t") % 7200 >= 7200) & (day != "soon"), "2024-03-02").otherwise(day)
+    texts = report.select(F.col("activity_id").cast("string").alias("activity_id"), day.alias("date"), F.date_format(start, "HH:mm:ss").alias("start"), F.date_format(end, "HH:mm:ss").alias("end"), F.col("confidence").cast("string").alias("confidence"))
+    out = S.read_report(texts)
+    return out.select("activity_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("start_ts", "end_ts")), "confidence")
+
+
+def points(spark, d):
+    p = S.stop_points(records(spark, d))
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("activity_id") % 30).cast("int"))
-    located = report.filter("lat IS NOT NULL")
-    return located.select((F.col("activity_id") * 1000 + F.col("stop_id")).alias("point_id"), "lat", "lon", "confidence", F.bround(F.col("duration_s") / 60, 1).alias("duration_min"), day.alias("date"))
+    return p.select((F.col("activity_id") * 1000 + F.col("stop_id")).alias("point_id"), "lat", "lon", "confidence", "duration_min", day.alias("date"))
+
+
+@query("d41b_stop_points", sql(f"{STOPS}, {MARKERS}, {ANCHOR} SELECT activity_id, s.stop_id, p.lat AS lat, p.lon AS lon, confidence, round_even(round(duration_s / 60.0::DOUBLE, 9), 1) AS duration_min FROM stops s JOIN cf USING (activity_id, stop_id) JOIN anc USING (activity_id, stop_id) WHERE activity_id % 3 < 2 AND NOT (111194.92664455873::DOUBLE * abs(p.lat - 50.02) < 500 AND p.lon = 14.03)"))
+def d41b(spark, d):
+    """Hikes count as something that is no cardio sport; one area is left out."""
+    r = records(spark, d).withColumn("sport", F.when(F.col("sport") == "hiking", "chess").otherwise(F.col("sport")))
+    return S.stop_points(r, [(0.0, 0.0, 1000.0)])
 
 
 @query("w25_stop_anchor", sql(f"{STOPS}, {MARKERS}, {ANCHOR} SELECT point_id, lat, lon, duration_min FROM pts"))
@@ -117,36 +150,71 @@ def j13(spark, d):
     return G.within(p, b, 300).filter("point_id < point_id_b").select("point_id", "point_id_b", F.round("distance_m", 3).alias("distance_m"))
 
 
-def clustered(spark, d):
+def folder(spark) -> None:
+    """Checkpoints go to the folder the session names; a local session without one has its own."""
     if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stridelake-"))
+def clustered(spark, d):
+    folder(spark)
     return G.clusters(points(spark, d).checkpoint())
 
 
-@query("d42_stop_clusters")
+#: Clusters in SQL: places, their links, and all places reachable from each; then hotspots.
+CLUSTERS = f"""{STOPS}, {MARKERS}, {ANCHOR}, pl AS (SELECT lat, lon, min(point_id) AS place FROM pts GROUP BY 1, 2),
+lk AS (SELECT a.place AS a, b.place AS b FROM pl a JOIN pl b ON a.place <> b.place AND abs(a.lat - b.lat) < 0.003 AND {HAV.format(a='a.', b='b.')} <= 300),
+reach(p, q) AS (SELECT place, place FROM pl UNION SELECT p, b FROM reach JOIN lk ON a = q),
+cl AS (SELECT pts.*, cluster_id FROM pts JOIN pl USING (lat, lon) JOIN (SELECT p, min(q) AS cluster_id FROM reach GROUP BY 1) ON p = place),
+hs AS (SELECT cluster_id, count(*) AS visit_count, round_even(round(avg(confidence), 9), 1) AS avg_confidence, max(confidence) AS max_confidence, round_even(round(avg(duration_min), 9), 1) AS avg_duration_min, round(round(avg(lat), 9), 6) AS centroid_lat, round(round(avg(lon), 9), 6) AS centroid_lon,
+  list_sort(list(DISTINCT date::VARCHAR)) AS ds FROM cl GROUP BY 1 HAVING max(confidence) >= 15 OR count(*) >= 3)"""
+recursive = lambda body: sql(body).replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query("d42_stop_clusters", recursive(f"{CLUSTERS} SELECT point_id, cluster_id FROM cl"))
 def d42(spark, d):
     return clustered(spark, d).select("point_id", "cluster_id")
 
 
-@query("d43_hotspots")
+ADDRESS = "CASE WHEN k % 4 > 0 THEN (k % 90) || ', Street ' || (k % 7) || ', okres Town' END"
+
+
+@query("d43_hotspots", recursive(f"""{CLUSTERS} SELECT cluster_id, visit_count, avg_confidence, max_confidence, avg_duration_min, centroid_lat, centroid_lon, row_number() OVER (ORDER BY visit_count DESC, avg_confidence DESC, cluster_id) AS rank,
+  CASE WHEN max_confidence >= 50 AND avg_confidence >= 35 THEN 'high' WHEN visit_count >= 3 AND avg_confidence < 30 THEN 'frequent' ELSE 'moderate' END AS spot_category,
+  array_to_string(ds[greatest(1, len(ds) - 4):], ', ') || CASE WHEN len(ds) > 5 THEN ' + ' || (len(ds) - 5) || ' older' ELSE '' END AS dates, printf('https://maps.example.org/?q=%.6f,%.6f', centroid_lat, centroid_lon) AS map_url,
+  round_even(round(centroid_lat, 9), 4) || ',' || round_even(round(centroid_lon, 9), 4) AS address_key, CASE WHEN cluster_id % 3 > 0 THEN 'place ' || cluster_id % 11 END AS address FROM hs"""))
 def d43(spark, d):
-    return G.hotspots(clustered(spark, d))
+    """Two thirds of the places have an address."""
+    spots = G.hotspots(clustered(spark, d)).checkpoint()
+    known = spots.filter("cluster_id % 3 > 0").groupBy(F.col("address_key").alias("key")).agg(F.concat(F.lit("place "), F.min("cluster_id") % 11).alias("address"))
+    return spots.join(known.withColumnRenamed("key", "address_key"), "address_key", "left")
 
 
-@query("s20_hotspot_markers")
+@query("s20_hotspot_markers", recursive(f"""{CLUSTERS} SELECT cluster_id, centroid_lat, centroid_lon, CASE WHEN c >= 75 THEN 'red' WHEN c >= 50 THEN 'orange' WHEN c >= 25 THEN 'yellow' ELSE 'gray' END AS color, CASE WHEN c >= 50 THEN 'red' WHEN c >= 20 THEN 'orange' ELSE 'green' END AS color2,
+  CASE WHEN c >= 75 THEN 'very likely' WHEN c >= 50 THEN 'likely' WHEN c >= 25 THEN 'possible' ELSE 'unlikely' END AS label, least(30, greatest(6, 4 + 1.5::DOUBLE * visit_count)) AS radius, (8 + least(visit_count, 20))::DOUBLE AS radius2 FROM (SELECT *, max_confidence AS c FROM hs)"""))
 def s20(spark, d):
     spots = G.hotspots(clustered(spark, d))
     return spots.select("cluster_id", "centroid_lat", "centroid_lon", *(c.alias(n) for n, c in G.marker_style(F.col("max_confidence"), F.col("visit_count")).items()))
 
 
-@query("j10_stops_near_hotspots")
+NEAR = f"""nr AS (SELECT cluster_id, p.*, {HAV.format(a='p.', b='h.').replace('h.lat', 'h.centroid_lat').replace('h.lon', 'h.centroid_lon')} AS m FROM hs h JOIN pts p ON abs(p.lat - centroid_lat) < 0.004)"""
+
+
+@query("j10_stops_near_hotspots", recursive(f"{CLUSTERS}, {NEAR} SELECT cluster_id, point_id, round(m, 3) AS distance_m FROM nr WHERE m <= 400"))
 def j10(spark, d):
     spots = G.hotspots(clustered(spark, d)).select("cluster_id", F.col("centroid_lat").alias("lat_b"), F.col("centroid_lon").alias("lon_b"))
     return G.within(points(spark, d), spots, 400).select("cluster_id", "point_id", F.round("distance_m", 3).alias("distance_m"))
 
 
+@query("d45_hotspot_listing", recursive(f"{CLUSTERS}, {NEAR} SELECT cluster_id, count(*) AS n_stops, max(confidence) AS best_confidence, round(sum(duration_min), 4) AS minutes, string_agg(point_id || ' ' || date, ';' ORDER BY confidence DESC, point_id) AS listing FROM nr WHERE m <= 400 GROUP BY 1"))
+def d45(spark, d):
+    folder(spark)
+    p = points(spark, d).checkpoint()
+    out = G.hotspot_listing(p, G.hotspots(G.clusters(p)))
+    listing = F.array_join(F.transform("stops", lambda x: F.concat_ws(" ", x["point_id"], x["date"])), ";")
+    return out.select("cluster_id", "n_stops", "best_confidence", F.round("minutes", 4).alias("minutes"), listing.alias("listing"))
+
+
 PERF = f"""sides AS (SELECT r.*, stop_id, CASE WHEN t < start_t THEN 'before' WHEN t > end_t THEN 'after' END AS side FROM records r JOIN stops s USING (activity_id) WHERE t < start_t OR t > end_t),
 steps AS (SELECT *, t - lag(t) OVER (PARTITION BY activity_id, stop_id, side ORDER BY idx) AS dt FROM sides),
 pm AS (SELECT activity_id, stop_id, side, count(*) AS n, sum(CASE WHEN dt IS NULL THEN 1 WHEN dt < 30 THEN dt ELSE 0 END)::DOUBLE AS moving_s, (max(distance) - min(distance)) / 1000 AS km,
@@ -167,3 +235,46 @@ def a20(spark, d):
     names = ["mean_hr", "mean_kmh", "ef"]
     long = p.select(*(F.col(f"delta_{c}").alias(c) for c in names)).unpivot([], names, "metric", "value")
     return long.groupBy("metric").agg(F.count("value").alias("n"), *(F.round(f("value"), 5).alias(a) for f, a in ((F.avg, "mean"), (F.min, "least"), (F.max, "most"))))
+
+
+ZONED = f"""{FILL}, zs AS (SELECT r.*, stop_id, CASE WHEN t < start_t THEN 'before' ELSE 'after' END AS side FROM active r JOIN stops s USING (activity_id) WHERE t < start_t OR t > end_t),
+zp AS (SELECT activity_id, stop_id, side, """ + ", ".join(f"nullif(count(*) FILTER (zone = 'Z{i}'), 0) / count(*) FILTER (zone <> '') * 100 AS z{i}_pct, nullif(count(*) FILTER (zone = 'Z{i}'), 0) / count(*) FILTER (zone <> '') * 100 AS s{i}" for i in range(1, 6)) + """ FROM zs GROUP BY ALL),
+zm AS (SELECT pm.*, """ + ", ".join(f"z{i}_pct, moving_s / 60 * coalesce(s{i}, 0) / 100 AS z{i}_min" for i in range(1, 6)) + """ FROM pm JOIN zp USING (activity_id, stop_id, side))"""
+
+
+@query("d44_a16_zone_shares", sql(f"{STOPS}, {PERF}, {ZONED} SELECT b.activity_id, b.stop_id, " + ", ".join(f"round(b.{c}, 7) AS before_{c}, round(a.{c}, 7) AS after_{c}, round(a.{c} - b.{c}, 7) AS delta_{c}" for c in S.ZONE_METRICS) + " FROM zm b JOIN zm a ON a.activity_id = b.activity_id AND a.stop_id = b.stop_id AND b.side = 'before' AND a.side = 'after' WHERE a.n >= 5 AND b.n >= 5"))
+def d44_zones(spark, d):
+    from stridelake.operators.activity import with_zones
+
+    r = records(spark, d)
+    p = S.performance(with_zones(r), S.detect_stops(r), full=True, zone_digits=9)
+    return p.select("activity_id", "stop_id", *(F.round(f"{s}_{c}", 7).alias(f"{s}_{c}") for c in S.ZONE_METRICS for s in ("before", "after", "delta")))
+
+
+#: Drift and heart-rate drop of each side: the SQL of whole activities over rows whose activity is a side of a stop.
+_SIDED = sql(f"{STOPS} SELECT r.* REPLACE (r.activity_id * 100000 + s.stop_id * 10 + CASE WHEN r.t < start_t THEN 1 ELSE 2 END AS activity_id) FROM records r JOIN stops s USING (activity_id) WHERE r.t < start_t OR r.t > end_t")
+
+
+def _of_sides(name: str) -> str:
+    from stridelake.plans import activities  # noqa: F401  registers them
+    from stridelake.plans.registry import _FOUND
+
+    return _FOUND[name][1].replace("FROM records", "FROM sided").replace("JOIN records", "JOIN sided").replace("WITH ", f"WITH sided AS ({_SIDED}), ", 1)
+
+
+@query("d44_drift_and_drop", f"SELECT activity_id // 100000 AS activity_id, activity_id // 10 % 10000 AS stop_id, activity_id % 10 AS side, cardiac_drift, max_hr_drop FROM ({_of_sides('d02_w21_max_hr_drop')}) LEFT JOIN ({_of_sides('d01_cardiac_drift')}) USING (activity_id)")
+def d44_drift(spark, d):
+    from stridelake.operators.activity import cardiac_drift, max_hr_drop
+
+    key = ("activity_id", "stop_id", "side")
+    r = records(spark, d)
+    rows = S.sides(r, S.detect_stops(r))
+    out = max_hr_drop(rows, key=key).join(cardiac_drift(rows, key=key), list(key), "left")
+    return out.withColumn("side", F.when(F.col("side") == "before", 1).otherwise(2))
+
+
+@query("j15_rounded_address", sql("a AS (SELECT activity_id, idx, round_even(round(lat, 9), 4) || ',' || round_even(round(lon, 9), 4) AS key FROM records WHERE lat IS NOT NULL), b AS (SELECT key, 'at ' || key AS address FROM (SELECT DISTINCT key FROM a) WHERE length(key) % 3 > 0) SELECT activity_id, idx, address FROM a LEFT JOIN b USING (key)"))
+def j15_rounded(spark, d):
+    r = records(spark, d).filter("lat IS NOT NULL").withColumn("key", G.address_key(F.col("lat"), F.col("lon")))
+    book = r.select("key").distinct().filter("length(key) % 3 > 0").withColumn("address", F.concat(F.lit("at "), F.col("key")))
+    return r.join(book, "key", "left").select("activity_id", "idx", "address")

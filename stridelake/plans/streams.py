@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from stridelake.plans.registry import query
+from stridelake.sources.tables import shared_folder
 from stridelake.streaming import jobs as J
 
 
 def folder(spark) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stridelake-")
-    return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def events(spark, d):
@@ -41,18 +40,34 @@ def st5(spark, d):
 
 @query("st1_unseen_events", "SELECT event_id, user_id, event_type FROM events")
 def st1(spark, d):
-    return J.drained(J.unseen(events(spark, d).select("event_id", "user_id", "event_type", "ts"), "event_id").select("event_id", "user_id", "event_type"), folder(spark))
+    """Every event arrives twice."""
+    e = events(spark, d).select("event_id", "user_id", "event_type", "ts")
+    twice = e.unionByName(events(spark, d).select("event_id", "user_id", "event_type", "ts"))
+    return J.drained(J.unseen(twice, "event_id").select("event_id", "user_id", "event_type"), folder(spark))
 
 
-@query("st4_fitness_state")
+#: Of each day the sums in order, carried on over the days between; the state of a day is that of the day before, idle days and its own load.
+FITNESS_SQL = """WITH RECURSIVE days AS (SELECT user_id, CAST(ts AS DATE) AS date, sum(value) AS load, row_number() OVER (PARTITION BY user_id ORDER BY CAST(ts AS DATE)) AS n FROM events GROUP BY 1, 2),
+state AS (SELECT user_id, date, n, load AS ctl, load AS atl, NULL::DOUBLE AS tsb FROM days WHERE n = 1
+  UNION ALL SELECT user_id, date, n, c + (load - c) / 42, a + (load - a) / 7, c - (a + (load - a) / 7) FROM
+    (SELECT d.*, s.ctl * pow(1 - 1 / 42.0::DOUBLE, greatest(0, date_diff('day', s.date, d.date) - 1)) AS c, s.atl * pow(1 - 1 / 7.0::DOUBLE, greatest(0, date_diff('day', s.date, d.date) - 1)) AS a FROM state s JOIN days d ON d.user_id = s.user_id AND d.n = s.n + 1))
+SELECT user_id, date, round(ctl, 6) AS ctl, round(atl, 6) AS atl, round(tsb, 6) AS tsb FROM state"""
+
+
+@query("st4_fitness_state", FITNESS_SQL)
 def st4(spark, d):
     days = events(spark, d).select("user_id", F.to_date("ts").alias("date"), F.col("value").alias("load"))
-    return J.drained(J.fitness(days), folder(spark))
+    out = J.drained(J.fitness(days), folder(spark))
+    return out.select("user_id", "date", *(F.round(c, 6).alias(c) for c in ("ctl", "atl", "tsb")))
 
 
-@query("st2_overlap_upsert", "SELECT event_id, user_id, value FROM events")
+@query("st2_overlap_upsert", "SELECT event_id, user_id, CASE WHEN event_id % 3 = 0 THEN value * 2 WHEN event_id % 5 = 0 THEN value + 1 ELSE value END AS value FROM events")
 def st2(spark, d):
-    path = folder(spark)
+    """Three batches that overlap: all events, a fifth of them again with other values, and a third with others still."""
+    path, k = folder(spark), F.col("event_id")
     stream = events(spark, d).select("event_id", "user_id", "value")
-    stream.writeStream.foreachBatch(J.upsert_sink(f"{path}/table", ["event_id"])).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return J.latest(spark, f"{path}/table")
+    batches = [stream, stream.filter(k % 5 == 0).withColumn("value", F.col("value") + 1), stream.filter(k % 3 == 0).withColumn("value", F.col("value") * 2)]
+    for i, batch in enumerate(batches):
+        sink = J.upsert_sink(f"{path}/table", first=1000 * i)
+        batch.writeStream.foreachBatch(sink).option("checkpointLocation", f"{path}/checkpoint{i}").trigger(availableNow=True).start().awaitTermination()
+    return J.latest(spark, f"{path}/table", ["event_id"])

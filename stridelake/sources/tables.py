@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +14,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir of the session. Where it is unset, as in tests, one of this
+    machine serves if all tasks run on it too; else this fails."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    made = tempfile.mkdtemp(prefix="stridelake-")
+    spark.conf.set("spark.checkpoint.dir", made)
+    return made
+
+
 def optional(spark: SparkSession, path: str, schema: T.StructType, required: bool = False) -> DataFrame:
     """The table at path, or an empty one of the schema where there is none and it is not required."""
     try:
@@ -76,3 +91,47 @@ def append(df: DataFrame, path: str, *columns: str) -> None:
     """S9."""
     writer = df.write.mode("append")
     (writer.partitionBy(*columns) if columns else writer).parquet(path)
+
+
+def find_column(df: DataFrame, keyword: str) -> str | None:
+    """The first column whose name contains the keyword, without case."""
+    return next((c for c in df.columns if keyword.lower() in c.lower()), None)
+
+
+def first_existing(df: DataFrame, candidates: list[str]) -> str | None:
+    """The first of the candidates that df has as a column."""
+    return next((c for c in candidates if c in df.columns), None)
+
+
+def rearranged(df: DataFrame, drop: list[str] | None = None, rename: dict[str, str] | None = None, after: dict[str, str] | None = None) -> DataFrame:
+    """Df without the columns `drop`, others renamed, and each column of `after` put behind the one it maps to. Names that df
+    has not say nothing."""
+    names = [c for c in df.columns if c not in (drop or [])]
+    out = df.select(*names).withColumnsRenamed(rename or {})
+    order = list(out.columns)
+    for column, place in (after or {}).items():
+        if column in order and place in order and column != place:
+            order.remove(column)
+            order.insert(order.index(place) + 1, column)
+    return out.select(*order)
+
+
+def enriched(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Left with the columns of right that it has not, by equal keys. The number of rows never changes: right must have each key
+    once, else this fails."""
+    twice = right.groupBy(*on).count().filter("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"right has a key more than once: {twice[0].asDict()}")
+    return left.join(right.select(*on, *(c for c in right.columns if c not in left.columns)), on, "left")
+
+
+def missing_files(expected: DataFrame, landed: DataFrame, key: str, since) -> DataFrame:
+    """Expected rows (key, date) from a date on of which no file has landed."""
+    return expected.filter(F.col("date") >= F.lit(since)).join(landed.select(key).distinct(), key, "left_anti")
+
+
+def write_mart(df: DataFrame, path: str, digits: dict[str, int] | None = None) -> DataFrame:
+    """Df, its columns rounded half to even to the digits given, written over what is at path; and read again."""
+    rounded = [F.bround(F.round(c, 9), digits[c]).alias(c) if c in (digits or {}) else F.col(c) for c in df.columns]
+    df.select(*rounded).write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

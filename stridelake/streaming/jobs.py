@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from stridelake.sources.tables import upserted
+from stridelake.sources.tables import latest as latest_rows
 
 
 def stream_of(spark: SparkSession, path: str) -> DataFrame:
@@ -76,22 +76,26 @@ def fitness(events: DataFrame, ctl_days: float = 42, atl_days: float = 7) -> Dat
     return events.groupBy("user_id").applyInPandasWithState(step, FITNESS, "ctl double, atl double, last long", "append", GroupStateTimeout.NoTimeout)
 
 
-def upsert_sink(path: str, key: list[str]) -> Callable[[DataFrame, int], None]:
-    """ST2: a foreachBatch function that replaces the rows of a Parquet table by those of the batch with their keys. The table is
-    written beside the last version, and readers take the version with the greatest number, so a repeated batch does no harm."""
+def upsert_sink(path: str, first: int = 0) -> Callable[[DataFrame, int], None]:
+    """ST2: a foreachBatch function that lays each batch beside the others, numbered from `first` on: what it writes grows with the
+    batch, not with the table, and a repeated batch writes over itself. latest() puts the rows of greater numbers in place of others."""
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        merged = upserted(spark.read.parquet(f"{path}/v={number - 1}"), batch, key) if number else batch
-        merged.write.mode("overwrite").parquet(f"{path}/v={number}")
+        batch.write.mode("overwrite").parquet(f"{path}/v={first + number}")
 
     return write
 
 
-def latest(spark: SparkSession, path: str) -> DataFrame:
-    """ST2: the version with the greatest number."""
-    number = spark.read.parquet(path).agg(F.max("v")).first()[0]
-    return spark.read.parquet(f"{path}/v={number}")
+def latest(spark: SparkSession, path: str, key: list[str]) -> DataFrame:
+    """ST2: one row for each key: of the batch with the greatest number; of repeated rows in a batch one by all columns in order."""
+    rows = spark.read.parquet(path)
+    columns = [c for c in rows.columns if c != "v"]
+    return latest_rows(rows, key, [F.desc("v"), *(F.col(c).desc_nulls_last() for c in columns if c not in key)]).select(*columns)
+
+
+def compacted(spark: SparkSession, path: str, to: str, key: list[str]) -> None:
+    """ST2: the state of latest() as the first batch of a new table, when there are many batches."""
+    latest(spark, path, key).write.mode("overwrite").parquet(f"{to}/v=0")
 
 
 def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
