@@ -205,11 +205,11 @@ def sides(records: DataFrame, stops: DataFrame) -> DataFrame:
     return records.join(s, KEY).withColumn("side", side).filter("side IS NOT NULL").drop("start_t", "end_t")
 
 
-def performance(records: DataFrame, stops: DataFrame, profile: Profile = DEFAULT, full: bool = False, zone_digits: int = 2) -> DataFrame:
+def performance(records: DataFrame, stops: DataFrame, profile: Profile = DEFAULT, full: bool = False, zone_digits: int | None = 2) -> DataFrame:
     """D-44: each side of every stop over the whole activity: moving time (steps under 30 s, the first 1 s), distance, means of
     plausible values, efficiency; before_, after_ and delta_ columns where both sides have 5 rows. full (records as with_zones()
     gives them) adds shares and minutes of zones (A16: rows without a zone do not count, those over the last zone only in the
-    whole), cardiac drift and greatest heart-rate drop of each side, with deltas of the zones."""
+    whole), cardiac drift and greatest heart-rate drop of each side, with deltas of the zones. zone_digits None: zones are not rounded."""
     rows = sides(records, stops)
     dt = F.col("t") - F.lag("t").over(Window.partitionBy(KEY, "stop_id", "side").orderBy("idx"))
     rows = rows.withColumn("_dt", F.when(dt.isNull(), 1).when(dt < 30, dt).otherwise(0))
@@ -232,7 +232,7 @@ def performance(records: DataFrame, stops: DataFrame, profile: Profile = DEFAULT
     if full:
         from stridelake.operators.activity import cardiac_drift, max_hr_drop
 
-        cut = lambda x: F.bround(F.round(x, 9), zone_digits)
+        cut = lambda x: x if zone_digits is None else F.bround(F.round(x, 9), zone_digits)
         for z in ZONES:
             minutes = F.col("moving_s") / 60 * F.coalesce(F.col(f"_{z}"), F.lit(0.0)) / 100
             m = m.withColumns({f"{z.lower()}_pct": cut(F.col(f"_{z}")), f"{z.lower()}_min": cut(minutes)})

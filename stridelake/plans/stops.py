@@ -242,13 +242,14 @@ zp AS (SELECT activity_id, stop_id, side, """ + ", ".join(f"nullif(count(*) FILT
 zm AS (SELECT pm.*, """ + ", ".join(f"z{i}_pct, moving_s / 60 * coalesce(s{i}, 0) / 100 AS z{i}_min" for i in range(1, 6)) + """ FROM pm JOIN zp USING (activity_id, stop_id, side))"""
 
 
-@query("d44_a16_zone_shares", sql(f"{STOPS}, {PERF}, {ZONED} SELECT b.activity_id, b.stop_id, " + ", ".join(f"round(b.{c}, 7) AS before_{c}, round(a.{c}, 7) AS after_{c}, round(a.{c} - b.{c}, 7) AS delta_{c}" for c in S.ZONE_METRICS) + " FROM zm b JOIN zm a ON a.activity_id = b.activity_id AND a.stop_id = b.stop_id AND b.side = 'before' AND a.side = 'after' WHERE a.n >= 5 AND b.n >= 5"))
+@query("d44_a16_zone_shares", sql(f"{STOPS}, {PERF}, {ZONED} SELECT b.activity_id, b.stop_id, " + ", ".join(f"floor(b.{c} * 100000 + 0.5::DOUBLE) AS before_{c}, floor(a.{c} * 100000 + 0.5::DOUBLE) AS after_{c}, floor((a.{c} - b.{c}) * 100000 + 0.5::DOUBLE) AS delta_{c}" for c in S.ZONE_METRICS) + " FROM zm b JOIN zm a ON a.activity_id = b.activity_id AND a.stop_id = b.stop_id AND b.side = 'before' AND a.side = 'after' WHERE a.n >= 5 AND b.n >= 5"))
 def d44_zones(spark, d):
     from stridelake.operators.activity import with_zones
 
     r = records(spark, d)
-    p = S.performance(with_zones(r), S.detect_stops(r), full=True, zone_digits=9)
-    return p.select("activity_id", "stop_id", *(F.round(f"{s}_{c}", 7).alias(f"{s}_{c}") for c in S.ZONE_METRICS for s in ("before", "after", "delta")))
+    p = S.performance(with_zones(r), S.detect_stops(r), full=True, zone_digits=None)
+    # In units of the fifth decimal, by sums that both engines do alike.
+    return p.select("activity_id", "stop_id", *(F.floor(F.col(f"{s}_{c}") * 100000 + 0.5).cast("double").alias(f"{s}_{c}") for c in S.ZONE_METRICS for s in ("before", "after", "delta")))
 
 
 #: Drift and heart-rate drop of each side: the SQL of whole activities over rows whose activity is a side of a stop.
