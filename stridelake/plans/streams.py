@@ -68,6 +68,6 @@ def st2(spark, d):
     stream = events(spark, d).select("event_id", "user_id", "value")
     batches = [stream, stream.filter(k % 5 == 0).withColumn("value", F.col("value") + 1), stream.filter(k % 3 == 0).withColumn("value", F.col("value") * 2)]
     for i, batch in enumerate(batches):
-        sink = J.upsert_sink(f"{path}/table", first=1000 * i)
+        sink = J.upsert_sink(f"{path}/table", ["event_id"], first=1000 * i)
         batch.writeStream.foreachBatch(sink).option("checkpointLocation", f"{path}/checkpoint{i}").trigger(availableNow=True).start().awaitTermination()
     return J.latest(spark, f"{path}/table", ["event_id"])

@@ -76,21 +76,22 @@ def fitness(events: DataFrame, ctl_days: float = 42, atl_days: float = 7) -> Dat
     return events.groupBy("user_id").applyInPandasWithState(step, FITNESS, "ctl double, atl double, last long", "append", GroupStateTimeout.NoTimeout)
 
 
-def upsert_sink(path: str, first: int = 0) -> Callable[[DataFrame, int], None]:
-    """ST2: a foreachBatch function that lays each batch beside the others, numbered from `first` on: what it writes grows with the
-    batch, not with the table, and a repeated batch writes over itself. latest() puts the rows of greater numbers in place of others."""
+def upsert_sink(path: str, key: list[str], first: int = 0) -> Callable[[DataFrame, int], None]:
+    """ST2: a foreachBatch function that lays each batch, one row for each key, beside the others, numbered from `first` on: what it
+    writes grows with the batch, not with the table, and a repeated batch writes over itself. latest() puts the rows of greater
+    numbers in place of others."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/v={first + number}")
+        order = [F.col(c).desc_nulls_last() for c in batch.columns if c not in key] or [F.lit(0)]
+        latest_rows(batch, key, order).write.mode("overwrite").parquet(f"{path}/v={first + number}")
 
     return write
 
 
 def latest(spark: SparkSession, path: str, key: list[str]) -> DataFrame:
-    """ST2: one row for each key: of the batch with the greatest number; of repeated rows in a batch one by all columns in order."""
+    """ST2: one row for each key: that of the batch with the greatest number."""
     rows = spark.read.parquet(path)
-    columns = [c for c in rows.columns if c != "v"]
-    return latest_rows(rows, key, [F.desc("v"), *(F.col(c).desc_nulls_last() for c in columns if c not in key)]).select(*columns)
+    return latest_rows(rows, key, [F.desc("v")]).select(*(c for c in rows.columns if c != "v"))
 
 
 def compacted(spark: SparkSession, path: str, to: str, key: list[str]) -> None:

@@ -222,7 +222,7 @@ def test_streams_read_tables_of_part_files(spark, tmp_path):
     write = J.upsert_sink(f"{tmp_path}/table", ["event_id"])
     write(rows.select("event_id", "value"), 0)
     write(rows.selectExpr("event_id + 20 AS event_id", "-1.0D AS value"), 1)
-    got = {r.event_id: r.value for r in J.latest(spark, f"{tmp_path}/table").collect()}
+    got = {r.event_id: r.value for r in J.latest(spark, f"{tmp_path}/table", ["event_id"]).collect()}
     assert len(got) == 60 and got[19] == 19 and got[20] == got[59] == -1
 
 
@@ -277,3 +277,139 @@ def test_changed_files(spark):
 @pytest.mark.parametrize("label, value, text", [(D.hrv_cv_label, 9.9, "stable"), (D.hrv_cv_label, 10.0, "raised"), (D.hrv_cv_label, 15.0, "high stress"), (D.hrv_cv_label, None, ""), (D.mix_label, 80.0, "high"), (D.mix_label, 60.0, "reduced"), (D.mix_label, 59.9, "low"), (D.mix_label, None, "")])
 def test_status_labels(spark, label, value, text):
     assert one(spark, label(F.lit(value).cast("double"))) == text
+
+
+# --- pauses, thresholds, gaps, JSON, places -----------------------------------------------------------------------------------
+
+
+def test_pauses_pair_the_last_stop_with_the_next_start(spark):
+    told = [(1, 5, "timer", "start"), (1, 10, "timer", "stop"), (1, 12, "Timer", "STOP_DISABLE"), (1, 20, "timer", "start_data"), (1, 25, "lap", "stop"), (1, 30, "timer", "start"), (1, 40, "timer", "stop_disable_all"), (2, 1, "timer", "stop"), (1, None, "timer", "start")]
+    p = A.pauses(spark.createDataFrame(told, "activity_id long, t long, event string, event_type string"))
+    assert [tuple(r) for r in p.collect()] == [(1, 12, 20)]
+    rows = spark.createDataFrame([(1, i, t, None) for i, t in enumerate([11, 12, 15, 20, 21, 50], 1)] + [(3, 1, 12, "x")], "activity_id long, idx long, t long, more string")
+    got = {(r.activity_id, r.t): r.in_pause for r in A.with_pauses(rows, p).collect()}
+    assert got == {(1, 11): False, (1, 12): True, (1, 15): True, (1, 20): True, (1, 21): False, (1, 50): False, (3, 12): False}
+    assert A.with_pauses(rows, p.limit(0)).filter("in_pause").count() == 0 and A.with_pauses(rows, p).columns == [*rows.columns, "in_pause"]
+
+
+def test_caps_follow_the_sport(spark):
+    rows = [("cycling", 101.0, 50.0, 10.0, 60.0), ("cycling", 90.0, 61.0, 10.0, 60.0), ("trail_running", 36.0, 12.0, 40.0, 60.0), ("rowing", 44.0, 39.0, 5.0, 60.0), ("rowing", None, None, 5.0, 0.0)]
+    got = A.capped(spark.createDataFrame(rows, "sport string, max_speed_kmh double, avg_speed_kmh double, distance_km double, duration_minutes double")).collect()
+    assert [(r.max_speed_kmh, r.avg_speed_kmh, r.distance_km) for r in got] == [(None, 50.0, 10.0), (90.0, None, None), (None, 12.0, None), (44.0, 39.0, 5.0), (None, None, 5.0)]
+
+
+def test_speed_breakpoint(spark):
+    """Ten segments of 20 rows: heart rate rises by 5 a m/s up to the sixth segment, then by 20."""
+    rows = []
+    for i in range(200):
+        seg = i // 20
+        rows.append((1, i + 1, True, 120.0 + 5 * min(seg, 5) + 20 * max(0, seg - 5), 1.0 + seg, 100.0, 10.0 * i))
+    r = spark.createDataFrame(rows, "activity_id long, idx long, is_active boolean, hr double, speed double, altitude double, distance double").withColumn("hrv", F.lit(None).cast("double"))
+    # The slope rises most from the fifth to the sixth step; the heart rate after the fifth is that of the sixth segment.
+    assert A.speed_breakpoint(r).first().breakpoint_hr == 145
+    assert A.threshold_proxy(r).first().threshold_hr == 145
+    assert A.threshold_proxy(r.filter("idx <= 99")).first().threshold_hr is None
+    steep = r.withColumn("altitude", F.col("idx") * 5.0)
+    assert A.threshold_proxy(steep).first().threshold_hr is None
+
+
+def test_low_bins_outrank_the_breakpoint(spark):
+    rows = [(1, i + 1, True, 100.0 + 5 * (i % 12), 1.0, 30.0 if 100 + 5 * (i % 12) >= 140 else 90.0) for i in range(240)]
+    r = spark.createDataFrame(rows, "activity_id long, idx long, is_active boolean, hr double, speed double, hrv double").withColumns({"altitude": F.lit(0.0), "distance": F.col("idx") * 3.0})
+    assert A.threshold_proxy(r).first().threshold_hr == 140
+    assert A.threshold_proxy(r.withColumn("hr", F.col("hr") + 40)).first().threshold_hr is None
+
+
+def test_whole_gaps(spark):
+    values = [None, 1.0, None, None, 4.0, None, 6.0, None, None]
+    times = [0, 1, 2, 3, 4, 5, 60, 61, 62]
+    rows = spark.createDataFrame([(1, i, v, t) for i, (v, t) in enumerate(zip(values, times, strict=True))], "k long, i long, v double, t long")
+    got = lambda **kw: [r.x for r in rows.select("i", R.interpolated_by_time("v", "t", "i", ["k"], ["i"], **kw).alias("x")).orderBy("i").collect()]
+    assert got() == [1.0, 1.0, 2.0, 3.0, 4.0, None, 6.0, 6.0, 6.0]
+    assert got(limit=1) == [1.0, 1.0, 2.0, 3.0, 4.0, None, 6.0, None, None]
+
+
+def test_median_of_three(spark):
+    rows = spark.createDataFrame([(1, i, v) for i, v in enumerate([None, 4.0, None, 2.0, 9.0, 1.0])], "k long, i long, v double")
+    assert [r.x for r in rows.select("i", R.rolling_median3("v", ["k"], ["i"]).alias("x")).orderBy("i").collect()] == [None, 4.0, 4.0, 3.0, 5.5, 2.0]
+
+
+def test_interpolation_is_linear_in_rows(spark):
+    import time
+
+    rows = spark.range(60_000).selectExpr("1 AS k", "id AS i", "CASE WHEN id % 50 = 0 THEN id / 1.0 END AS v")
+    began = time.time()
+    assert rows.select(R.interpolated("v", "i", ["k"], ["i"], 15).alias("x")).filter("x IS NOT NULL").count() == 1200 * 16
+    assert time.time() - began < 60
+
+
+def test_search_in_json(spark):
+    deep = '{"a": [[{"KEY1": [1, 2]}], {"b": {"key2": "x"}}], "key0": null, "z": {"theKey9": 5}}'
+    found = lambda text, key: one(spark, I.found_anywhere(F.lit(text).cast("string"), key))
+    assert found(deep, "key1") == "[1,2]" and found(deep, "key") == "[1,2]" and found(deep, "key9") == "5" and found(deep, "key0") is None and found(deep, "none") is None
+    nest = lambda n: '{"n":' * n + '{"k": 7}' + "}" * n
+    assert found(nest(10), "k") == "7" and found(nest(11), "k") is None
+    assert found(None, "k") is None and found("no json", "k") is None and found("[]", "k") is None
+
+
+def test_uptake_and_range(spark):
+    rows = [(1, DAY, '{"generic": {"vo2MaxPreciseValue": 51.5}}'), (1, DAY, '[{"x": 1}, {"q": {"vo2MaxValue": 44}}]'), (1, DAY, '{"vo2Max": 0}'), (1, DAY, None), (1, DAY, "[]")]
+    landing = spark.createDataFrame(rows, "athlete_id long, date date, payload string")
+    assert sorted(r.vo2_max for r in I.extracted(landing, "vo2_max").collect()) == [44.0, 51.5]
+    dated = spark.createDataFrame([(1, DAY), (1, DAY - dt.timedelta(days=5)), (2, DAY - dt.timedelta(days=29)), (2, DAY - dt.timedelta(days=31)), (3, DAY + dt.timedelta(days=1))], "athlete_id long, date date")
+    got = sorted(map(tuple, I.in_range_or_before(dated, str(DAY - dt.timedelta(days=1)), str(DAY)).collect()))
+    assert got == [(1, DAY), (2, DAY - dt.timedelta(days=29))]
+
+
+def test_lactate_falls_back(spark):
+    reports = spark.createDataFrame([(1, '[{"lactateThresholdHeartRate": 170, "date": "2024-02-03T10:00"}, {}]'), (2, '{"lactateThresholdSpeed": 0}'), (3, None)], "athlete_id long, payload string")
+    daily = spark.createDataFrame([(a, DAY + dt.timedelta(days=i), f'{{"lactateThresholdHeartRate": {150 + i}}}') for a in (1, 2) for i in range(12)], "athlete_id long, date date, payload string")
+    got = I.lactate_threshold(reports, daily, "2024-01-02", "2024-01-31", "2024-06-01").collect()
+    assert sorted((r.date, r.lt_heart_rate) for r in got if r.athlete_id == 1) == [(dt.date(2024, 2, 3), 170.0), (dt.date(2024, 6, 1), 0.0)]
+    assert sorted(r.lt_heart_rate for r in got if r.athlete_id == 2) == [151.0 + i for i in range(8)] and not [r for r in got if r.athlete_id == 3]
+
+
+def test_sessions_without_records_are_no_error(spark):
+    rows = [(1, 0, 1, "primary", 0, 0, 0.0, "unknown", 5), (1, 60, 2, "primary", 0, 0, 0.0, "unknown", 9)]
+    got = I.deduplicated(spark.createDataFrame(rows, "athlete_id long, start_t long, file_id long, source string, n_records long, n_rr long, density double, sensor string, size long")).collect()
+    assert [r.file_id for r in got] == [2]
+
+
+@pytest.mark.parametrize("title, place", [("Brno - Cyklistika", "Brno"), ("Šumava Gravel", "Šumava"), ("Ride in Prague", "Prague"), ("Cyklistika", None), (None, None), ("Jízda / Bricktown", "Bricktown"), ("mountain  bike|Lužnice", "Lužnice")])
+def test_places_in_titles(spark, title, place):
+    assert one(spark, S.place_in_title(F.lit(title).cast("string"))) == place
+
+
+def test_accents_by_decomposition(spark):
+    import unicodedata
+
+    for text in ("Żółć ąęśź İğşț Ĺôw ñ", "e\u0301 a\u0308\u0323", "Ὀδυσσεύς Йод", "straße øre", "한글 漢字"):
+        nfd = "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
+        assert unicodedata.normalize("NFC", one(spark, S.strip_accents(F.lit(text)))) == unicodedata.normalize("NFC", nfd)
+    assert one(spark, S.place_name(F.lit("Ride"), F.lit("12, 602 00, okres X, Stará Ves"), "none")) == "Stara_Ves" and one(spark, S.place_name(F.lit(None).cast("string"), F.lit(None).cast("string"), "none")) == "none"
+
+
+def test_report_positions(spark):
+    places = {3: 1.0, 40: 2.0, 45: None}
+    rows = spark.createDataFrame([(1, i, places.get(i), 5.0) for i in range(1, 61)], "activity_id long, idx long, lat double, lon double")
+    stops = spark.createDataFrame([(1, 1, 39, 45), (1, 2, 41, 50), (1, 3, 33, 35), (1, 4, 32, 33)], "activity_id long, stop_id long, start_idx long, end_idx long")
+    assert {r.stop_id: r.report_lat for r in ST.report_positions(rows, stops).collect()} == {1: 2.0, 2: 2.0, 4: 1.0}
+
+
+def test_enriched_keeps_the_rows(spark):
+    left, right = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k long, v string"), spark.createDataFrame([(1, "x", 5)], "k long, v string, w int")
+    assert sorted(map(tuple, T.enriched(left, right, ["k"]).collect()), key=str) == [(1, "a", 5), (1, "b", 5), (2, "c", None)]
+    with pytest.raises(ValueError):
+        T.enriched(left, right.unionByName(right), ["k"])
+
+
+def test_tables_written_over_and_apart(spark, tmp_path):
+    df = spark.createDataFrame([(1, 2.25), (2, 2.35), (3, None)], "k long, x double")
+    for frame in (df.limit(1), df):
+        out = T.write_mart(frame, f"{tmp_path}/mart", {"x": 1})
+    assert sorted((r.k, r.x) for r in out.collect()) == [(1, 2.2), (2, 2.4), (3, None)]
+    T.export_by(df, f"{tmp_path}/by", "k")
+    assert spark.read.parquet(f"{tmp_path}/by").count() == 3 and T.optional(spark, f"{tmp_path}/none", df.schema).count() == 0
+    with pytest.raises(Exception):
+        T.optional(spark, f"{tmp_path}/none", df.schema, required=True)
+    assert T.find_column(df, "X") == "x" and T.find_column(df, "q") is None and T.first_existing(df, ["a", "k"]) == "k"
