@@ -39,11 +39,13 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """selected: drawn when as many are drawn as are likelier under the target; in_half: when half as many are."""
+    """selected: drawn when as many are drawn as are likelier under the target; draw tells the smallest draw of two that has the
+    row: half (half as many), whole, or none."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = quality.keyed(docs, quality.target_texts(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
     k = quality.likelier(held)
-    return quality.drawn(held, {"selected": k, "in_half": k // 2})
+    out = quality.drawn(held, {"selected": k, "in_half": k // 2})
+    return out.withColumn("draw", F.when(F.col("in_half"), "half").when(F.col("selected"), "whole").otherwise("none")).drop("in_half")
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
