@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from stridelake.llm.common import table
 
-#: Seconds of a time bucket of the as-of join.
-BUCKET_S = 30 * 86400
+#: Seconds of a time bucket of the as-of join: captures of one host are split by it, and an interval is repeated for each it spans.
+BUCKET_S = 5 * 86400
 
 
 def host_of(url: Column) -> Column:
@@ -47,8 +47,8 @@ def judged(captures: DataFrame, changes: DataFrame, bucket_s: int = BUCKET_S) ->
     """captures (page_id, url, fetch_ts) with host, n_active (entries active at the fetch), categories (sorted, comma-joined,
     empty if none) and blocked. valid_from counts as active, valid_to does not.
 
-    A null or hostless URL and a null fetch time match nothing. Repeated captures of one id are judged each by itself and must
-    differ in url or time, else they share one row. Empty lists block nothing."""
+    A null or hostless URL and a null fetch time match nothing. Every capture has its row, repeated ones too. Empty lists block
+    nothing."""
     seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1_000_000
     bucket = lambda c: F.floor(seconds(c) / bucket_s).cast("long")
     held = captures.select("page_id", "url", "fetch_ts").withColumn("host", host_of(F.col("url")))
@@ -58,10 +58,10 @@ def judged(captures: DataFrame, changes: DataFrame, bucket_s: int = BUCKET_S) ->
     last = F.least(F.coalesce(bucket(F.col("valid_to")), F.lit(hi)), F.lit(hi))
     pieces = intervals(changes).withColumns({"_first": first, "_last": last}).filter("_first <= _last")
     pieces = pieces.select("domain", "category", "valid_from", "valid_to", F.explode(F.sequence("_first", "_last")).alias("_bucket"))
-    asked = held.select("page_id", "url", "fetch_ts", F.explode(suffixes(F.col("host"))).alias("domain"), bucket(F.col("fetch_ts")).alias("_bucket"))
+    asked = held.distinct().select("page_id", "url", "fetch_ts", F.explode(suffixes(F.col("host"))).alias("domain"), bucket(F.col("fetch_ts")).alias("_bucket"))
     active = asked.join(pieces, ["domain", "_bucket"]).filter("fetch_ts >= valid_from AND (valid_to IS NULL OR fetch_ts < valid_to)")
     found = active.groupBy("page_id", "url", "fetch_ts").agg(F.count("*").alias("n_active"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"))
-    out = held.distinct().alias("h").join(found.alias("f"), [F.col(f"h.{c}").eqNullSafe(F.col(f"f.{c}")) for c in ("page_id", "url", "fetch_ts")], "left")
+    out = held.alias("h").join(found.alias("f"), [F.col(f"h.{c}").eqNullSafe(F.col(f"f.{c}")) for c in ("page_id", "url", "fetch_ts")], "left")
     return out.select("h.page_id", "h.url", "h.fetch_ts", "h.host", F.coalesce("f.n_active", F.lit(0)).alias("n_active"), F.coalesce("f.categories", F.lit("")).alias("categories"), F.col("f.n_active").isNotNull().alias("blocked"))
 
 

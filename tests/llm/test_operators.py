@@ -543,6 +543,8 @@ def test_url_lists(spark):
         got = {r.page_id: (r.n_active, r.categories, r.blocked) for r in urls.judged(frame, changes, bucket).collect()}
         none = (0, "", False)
         assert got == {1: (2, "ads,bad", True), 2: none, 3: (1, "bad", True), 4: none, 5: none, 6: none, 7: none, 8: none, 9: none, 10: (1, "ads", True)}
+    twice = urls.judged(frame.unionByName(frame), changes).collect()
+    assert len(twice) == 2 * len(captures) and {r.page_id: (r.n_active, r.categories, r.blocked) for r in twice} == got
     assert urls.judged(frame, changes.limit(0)).filter("blocked").count() == 0
     assert urls.judged(frame.limit(0), changes).count() == 0
 

@@ -59,3 +59,19 @@ def test_every_group_keeps_a_row(spark):
     assert sorted(((r.doc_id or 0, r.text or "") for r in got)) == sorted([(0, a), (0, b), (4, c), (5, d), (9, "")])
     shared = docs.filter("doc_id = 5")
     assert sorted(r.text for r in P.near_dedup(spark, shared.unionByName(shared), "").collect()) == sorted([c, d])
+
+
+def test_empty_corpus_and_clashing_columns(spark, tmp_path):
+    """No documents, labels or items at all; then documents without ids, repeated ones, and columns named like the stages' own."""
+    extra = ", selected int, log_weight int, _mentions int, _hash int, _ID int, fp int, n_words int, sequence_id int"
+    for name, schema in (("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.createDataFrame([], COLUMNS + extra).write.parquet(f"{tmp_path}/documents.parquet")
+    assert P.run(spark, str(tmp_path)).count() == 0
+    rows = [(None, prose(1, 60)), (1, prose(2, 60)), (1, prose(2, 60)), (2, None), (3, "mail a.b@c.example.org " + prose(3, 60)), (4, prose(4, 30_000))]
+    docs = spark.createDataFrame([(*r, "en", "s", 1, *range(8)) for r in rows], COLUMNS + extra)
+    for name, stage in P.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == (COLUMNS + extra).replace(" long", "").replace(" string", "").replace(" int", "").split(", ")
+    assert sorted((r.doc_id or 0) for r in docs.collect()) == [0, 1, 2, 3, 4] and docs.filter("text LIKE '%a.b@c%'").count() == 0
+    assert {r.doc_id for r in P.STAGES[-1][1](spark, docs, str(tmp_path)).collect()} == {None, 1, 2, 3, 4}
