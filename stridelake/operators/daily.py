@@ -18,9 +18,11 @@ def _days():
     return Window.partitionBy(*KEY).orderBy(*DAY)
 
 
-def densify(days: DataFrame, fill: dict[str, float] | None = None) -> DataFrame:
-    """A row for every day between each athlete's first and last; the columns in `fill` get its value on new days, others null."""
-    ends = days.groupBy(*KEY).agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
+def densify(days: DataFrame, fill: dict[str, float] | None = None, until: str | None = None) -> DataFrame:
+    """A row for every day between each athlete's first and last (or `until`, a date such as today's, if it is later); the columns
+    in `fill` get its value on new days, others null."""
+    last = F.max("date") if until is None else F.greatest(F.max("date"), F.lit(until).cast("date"))
+    ends = days.groupBy(*KEY).agg(F.min("date").alias("lo"), last.alias("hi"))
     spine = ends.select(*KEY, F.explode(F.sequence("lo", "hi")).alias("date"))
     out = spine.join(days, [*KEY, *DAY], "left")
     return out.fillna(fill) if fill else out

@@ -509,3 +509,40 @@ def w17_pauses(spark, d):
     w = Window.partitionBy("activity_id").orderBy("idx")
     r = view(spark, d, "records").filter("coalesce(speed, 0) < 2.2").withColumn("gap", F.col("t") - F.lag("t").over(w))
     return r.withColumn("island", R.islands(F.col("gap"), 900, ["activity_id"], ["idx"])).groupBy("activity_id", "island").agg(F.count("*").alias("n"))
+
+
+DAILY = {
+    "activities": ("activities", "athlete_id long, date date, sport string, total_trimp double, missing double"),
+    "hrv": ("bio", "athlete_id long, date date, hrv double"),
+    "health": ("bio", "athlete_id long, date date, rhr double"),
+    "sleep": ("bio", "athlete_id long, date date, sleep_score double, sleep_minutes double"),
+}
+
+
+@query("s03_daily_tables", sql("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{name}' AS tab, athlete_id, count(*) AS n, min(date) AS first, max(date) AS last, count({value}) AS known FROM {source} WHERE athlete_id % 9 > 0 GROUP BY 2" for name, source, value in (("activities", "activities", "total_trimp"), ("hrv", "bio", "hrv"), ("health", "bio", "rhr"), ("sleep", "bio", "sleep_minutes"))) + ")"))
+def s03(spark, d):
+    """The four daily tables from texts, with times behind the dates, blanks around values, words for missing ones and unreadable dates."""
+    from pyspark.sql import types as ST
+
+    out = []
+    for name, (source, ddl) in DAILY.items():
+        schema = ST._parse_datatype_string(ddl)
+        have = [f.name for f in schema.fields if f.name not in ("date", "missing")]
+        date = F.when(F.col("athlete_id") % 9 > 0, F.concat(F.col("date").cast("string"), F.lit("T06:00:00"))).otherwise("unknown")
+        texts = view(spark, d, source).select(date.alias("date"), *(F.coalesce(F.concat(F.lit(" "), F.col(c).cast("string")), F.lit("n/a")).alias(c) for c in have), F.lit("x").alias("other"))
+        value = have[-1]
+        table_ = T.read_daily(texts, schema)
+        out.append(table_.groupBy("athlete_id").agg(F.count("*").alias("n"), F.min("date").alias("first"), F.max("date").alias("last"), F.count(value).alias("known")).withColumn("tab", F.lit(name)))
+    return T.union_all(*out)
+
+
+@query("s19_lookup_table", sql("SELECT c_custkey, 'Town of ' || n_name AS address FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey % 5 > 0"))
+def s19(spark, d):
+    """A cache of addresses as one JSON object, read back and looked up; a fifth of the keys is not in it."""
+    path = place(spark)
+    pair = F.struct(F.col("n_nationkey").cast("string").alias("key"), F.concat(F.lit("Town of "), "n_name").alias("value"))
+    book = table(spark, d, "nation").filter("n_nationkey % 5 > 0").agg(F.map_from_entries(F.collect_list(pair)).alias("m"))  # 25 nations
+    book.select(F.to_json("m").alias("value")).write.text(path)
+    held = T.read_lookup(spark, path).withColumnRenamed("value", "address")
+    c = table(spark, d, "customer").withColumn("key", F.col("c_nationkey").cast("string"))
+    return c.join(held, "key", "left").select("c_custkey", "address")

@@ -135,3 +135,23 @@ def write_mart(df: DataFrame, path: str, digits: dict[str, int] | None = None) -
     rounded = [F.bround(F.round(c, 9), digits[c]).alias(c) if c in (digits or {}) else F.col(c) for c in df.columns]
     df.select(*rounded).write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def read_daily(texts: DataFrame, schema: T.StructType) -> DataFrame:
+    """S3: a daily table of texts with the types of the schema (which has a date): a date is the first ten characters, values that cannot
+    be read are null, missing columns too, other columns go. Rows without a date that can be read are left out."""
+    have = set(texts.columns)
+
+    def typed(f: T.StructField):
+        if f.name not in have:
+            return F.lit(None).cast(f.dataType).alias(f.name)
+        text = F.trim(F.col(f.name).cast("string"))
+        return (F.substring(text, 1, 10) if f.name == "date" else text).try_cast(f.dataType).alias(f.name)
+
+    return texts.select(*map(typed, schema.fields)).filter("date IS NOT NULL")
+
+
+def read_lookup(spark: SparkSession, path: str) -> DataFrame:
+    """Key, value of a JSON object of texts (a small file, such as a cache of addresses), read whole."""
+    whole = spark.read.text(path, wholetext=True)
+    return whole.select(F.explode(F.from_json("value", "map<string,string>"))).select("key", "value")
