@@ -55,9 +55,9 @@ def j06(spark, d):
     return D.densify(view(spark, d, "bio").select("athlete_id", "date", "hrv", "rhr"))
 
 
-@query("j06_densify_until", sql("spine AS (SELECT athlete_id, CAST(unnest(generate_series(min(date), greatest(max(date), DATE '2030-01-05'), INTERVAL 1 DAY)) AS DATE) AS date FROM bio GROUP BY 1) SELECT athlete_id, date, coalesce(hrv, 0) AS hrv, rhr FROM spine LEFT JOIN bio USING (athlete_id, date)"))
+@query("j06_densify_until", sql("spine AS (SELECT athlete_id, CAST(unnest(generate_series(min(date), greatest(max(date), DATE '1999-06-30'), INTERVAL 1 DAY)) AS DATE) AS date FROM bio GROUP BY 1) SELECT athlete_id, date, coalesce(hrv, 0) AS hrv, rhr FROM spine LEFT JOIN bio USING (athlete_id, date)"))
 def j06_until(spark, d):
-    return D.densify(view(spark, d, "bio").select("athlete_id", "date", "hrv", "rhr"), {"hrv": 0.0}, until="2030-01-05")
+    return D.densify(view(spark, d, "bio").select("athlete_id", "date", "hrv", "rhr"), {"hrv": 0.0}, until="1999-06-30")
 
 
 @query("d13_acwr", sql(f"{LOAD}, {ACWR} SELECT athlete_id, date, round(acute, 4) AS acute, round(chronic, 4) AS chronic, round(acwr, 4) AS acwr, CASE WHEN acwr < 0.8 THEN 'low' WHEN acwr <= 1.3 THEN 'optimal' WHEN acwr <= 1.5 THEN 'caution' WHEN acwr IS NOT NULL THEN 'danger' ELSE '' END AS status FROM acwr"))
