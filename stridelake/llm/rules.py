@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from stridelake.llm.common import SPACE, fresh, stored
 
 #: About how many rows cost and selectivity are measured on, how often each row is judged for a time, and how many times are taken.
-SAMPLE_ROWS, REPEATS, TIMES = 2000, 4, 2
+SAMPLE_ROWS, REPEATS, TIMES = 2000, 1, 2
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 REPEAT_WINDOW = 5
