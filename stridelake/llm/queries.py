@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridelake.llm import chat, decontam, interaction, licenses, packing, pii, quality, rules, simhash, toxicity, urls
+from stridelake.llm import chat, decontam, divergence, interaction, licenses, packing, pii, quality, rules, simhash, toxicity, urls
 from stridelake.llm.common import table
 
 #: The tokenizer file of the packing query: given by name, never copied.
@@ -73,6 +73,10 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interaction.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -82,4 +86,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_temporal_lists": urls.SQL, "op13_filter_interaction": interaction.SQL}
+    return {"op9_url_temporal_lists": urls.SQL, "op11_source_divergence": divergence.SQL, "op13_filter_interaction": interaction.SQL}
