@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridelake.llm import chat, decontam, divergence, interaction, licenses, packing, pii, quality, rules, simhash, toxicity, urls
+from stridelake.llm import chat, decontam, divergence, interaction, licenses, packing, pii, quality, rules, simhash, templates, toxicity, urls
 from stridelake.llm.common import table
 
 #: The tokenizer file of the packing query: given by name, never copied.
@@ -77,6 +77,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergences(table(spark, sf_dir, "documents"))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.extract(table(spark, sf_dir, "pages"))
+
+
 def op13_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interaction.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
