@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stridelake.functions.scalars import haversine_m, map_url
 from stridelake.profile import DEFAULT, Profile
+from stridelake.sources.tables import stored
 
 #: Metres of a degree of latitude, a little less than it has, so that cells are never too small.
 DEGREE_M = 110_000.0
@@ -35,37 +38,135 @@ def within(a: DataFrame, b: DataFrame, metres: float) -> DataFrame:
 
 def _components(pairs: DataFrame) -> DataFrame:
     """node, root (the least node reachable) of an undirected graph of pairs (a, b), by alternating large and small stars: the
-    rounds grow with the logarithm of the longest chain. Ends when nothing changes."""
-    edges = pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct().checkpoint()
+    rounds grow with the logarithm of the longest chain. Ends when nothing changes; a round's table goes once the next is written."""
+    edges = stored(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     told = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        edges = large.join(lower, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct().checkpoint()
+        star = large.join(lower, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        edges = stored(star, instead_of=edges)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == told:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         told = now
 
 
+#: Metres of a degree on the sphere of haversine_m.
+SPHERE_DEGREE_M = 6371000.0 * math.pi / 180
+#: A box is split in so many rows and columns at a time; from this many splits on, places stand by themselves.
+SPLIT, LAST_SPLIT = 8, 14
+
+
+def _box() -> list[Column]:
+    """Aggregates of places: the box they fill and one of them."""
+    ends = [f(c).alias(f"{c}{n}") for c in ("lat", "lon") for n, f in ((0, F.min), (1, F.max))]
+    return [*ends, F.min(F.struct("lat", "lon")).alias("one")]
+
+
+def _gap(a: str, b: str) -> Column:
+    """Metres that any two places of two boxes (columns with prefixes a and b) are apart at least."""
+    c = F.col
+    apart = lambda x, turn=0: F.greatest(F.lit(0.0), c(f"{b}{x}0") + turn - c(f"{a}{x}1"), c(f"{a}{x}0") - c(f"{b}{x}1") - turn)
+    dlat, dlon = F.radians(apart("lat")), F.radians(F.least(apart("lon"), apart("lon", 360.0), apart("lon", -360.0)))
+    cos = lambda p: F.least(F.cos(F.radians(c(f"{p}lat0"))), F.cos(F.radians(c(f"{p}lat1"))))
+    x = F.pow(F.sin(dlat / 2), 2) + F.greatest(F.lit(0.0), cos(a) * cos(b)) * F.pow(F.sin(dlon / 2), 2)
+    return 2 * 6371000.0 * F.asin(F.least(F.lit(1.0), F.sqrt(x)))
+
+
+def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
+    return df.select(*(F.col(c).alias(prefix + c) for c in df.columns))
+
+
+def _judged(pairs: DataFrame, metres: float) -> DataFrame:
+    """Pairs of boxes that may have places within `metres`, with linked: whether the places that stand for them are; and open: whether
+    that they are not leaves the question open."""
+    far = haversine_m(F.col("a_one.lat"), F.col("a_one.lon"), F.col("b_one.lat"), F.col("b_one.lon"))
+    single = F.lit(True)
+    for x in ("a_lat", "a_lon", "b_lat", "b_lon"):
+        single = single & (F.col(f"{x}0") == F.col(f"{x}1"))
+    near = pairs.filter(_gap("a_", "b_") <= metres + 1e-6).withColumn("linked", far <= metres)
+    return near.withColumn("open", ~F.col("linked") & ~single)
+
+
+def _cell_links(placed: DataFrame, metres: float) -> DataFrame:
+    """a, b: pairs of cells (by id) that have places at most `metres` apart. placed: cell, row, col, lat, lon of every place.
+
+    Cells are compared by the boxes their places fill and by one place each. Where that does not decide, both boxes are split and
+    only the parts that may still be near are compared, so that a pair of crowded cells costs some rounds and not all its pairs."""
+    side = _side_m(metres)
+    cells = stored(placed.groupBy("cell", "row", "col").agg(*_box()))
+    high, reach = F.least(F.lit(89.999999), F.greatest(F.abs("lat0"), F.abs("lat1")) + metres / SPHERE_DEGREE_M), metres / SPHERE_DEGREE_M * 1.01
+    wide = F.least(F.lit(180.0), reach / F.cos(F.radians(high)))
+    around = cells.withColumns({"_wide": wide, "_turn": F.explode(F.array(F.lit(-360.0), F.lit(0.0), F.lit(360.0)))})
+    around = around.filter("lon0 + _turn - _wide <= 180 AND lon1 + _turn + _wide >= -180").withColumn("_row", F.explode(F.sequence(F.col("row") - 2, F.col("row") + 2)))
+    dlon = _column_degrees(F.col("_row"), side)
+    first, last = (F.floor((F.col("lon0") + F.col("_turn") - F.col("_wide")) / dlon), F.floor((F.col("lon1") + F.col("_turn") + F.col("_wide")) / dlon))
+    first, last = F.greatest(first, F.floor(-180 / dlon)), F.least(last, F.floor(180 / dlon))
+    around = around.withColumns({"_first": first, "_last": last}).filter("_first <= _last").withColumn("_col", F.explode(F.sequence("_first", "_last")))
+    a = _prefixed(around.select("cell", "_row", "_col", "lat0", "lat1", "lon0", "lon1", "one"), "a_")
+    b = _prefixed(cells, "b_")
+    pairs = a.join(b, (F.col("a__row") == F.col("b_row")) & (F.col("a__col") == F.col("b_col")) & (F.col("a_cell") < F.col("b_cell")))
+    told = stored(_judged(pairs, metres).groupBy(F.col("a_cell").alias("a"), F.col("b_cell").alias("b")).agg(F.max("linked").alias("linked"), F.max("open").alias("open")))
+    links = told.filter("linked").select("a", "b")
+    zero = F.lit(0).cast("long")
+    left, split = told.filter("NOT linked AND open").select("a", "b", zero.alias("a_up_row"), zero.alias("a_up_col"), zero.alias("b_up_row"), zero.alias("b_up_col")), 0
+    while left.limit(1).count():
+        split += 1
+        asked = left.select(F.col("a").alias("cell")).unionByName(left.select(F.col("b").alias("cell"))).distinct()
+        own = placed.join(asked, "cell", "left_semi")
+        dlat = side / SPHERE_DEGREE_M
+        x, y = F.col("lat") / dlat - F.col("row"), F.col("lon") / _column_degrees(F.col("row"), side) - F.col("col")
+        fine = float(SPLIT ** min(split, LAST_SPLIT))
+        own = own.withColumns({"sub_row": F.floor(x * fine), "sub_col": F.floor(y * fine)})
+        key = ["cell", "sub_row", "sub_col"] if split < LAST_SPLIT else ["cell", "sub_row", "sub_col", "lat", "lon"]
+        parts = own.groupBy(*key).agg(*_box()).select("cell", "sub_row", "sub_col", "lat0", "lat1", "lon0", "lon1", "one")
+        up = lambda c: F.floor(F.col(c) / SPLIT).cast("long")  # noqa: E731  what multiplies by a power of two is exact
+        parts = parts.withColumns({"up_row": up("sub_row"), "up_col": up("sub_col")}) if split <= LAST_SPLIT else parts.withColumns({"up_row": F.col("sub_row"), "up_col": F.col("sub_col")})
+        of = lambda p: _prefixed(parts, p).withColumnRenamed(f"{p}cell", p[0])
+        both = left.join(of("a_"), ["a", "a_up_row", "a_up_col"]).join(of("b_"), ["b", "b_up_row", "b_up_col"])
+        names = {"a_sub_row": "a_up_row", "a_sub_col": "a_up_col", "b_sub_row": "b_up_row", "b_sub_col": "b_up_col"}
+        judged = _judged(both, metres).filter("linked OR open").select("a", "b", "linked", *(F.col(c).alias(n) for c, n in names.items()))
+        left = stored(judged, instead_of=left)
+        linked = stored(left.filter("linked").select("a", "b").distinct())
+        links = links.unionByName(linked)
+        left = left.filter("NOT linked").drop("linked").join(linked, ["a", "b"], "left_anti")
+    return links
+
+
+def _side_m(metres: float) -> float:
+    """The side of cells whose diagonal is a little under `metres`."""
+    return metres / math.sqrt(2) * 0.995
+
+
+def _column_degrees(row: Column, side: float) -> Column:
+    """Degrees of longitude of the cells of a row: its edge next to the equator, where they are widest, is `side` metres."""
+    edge = F.when(row >= 0, row).otherwise(-row - 1) * (side / SPHERE_DEGREE_M)
+    return side / SPHERE_DEGREE_M / F.greatest(F.cos(F.radians(edge)), F.lit(1e-9))
+
+
 def clusters(points: DataFrame, metres: float = DEFAULT.cluster_m) -> DataFrame:
     """D-42: points (point_id, lat, lon) with cluster_id, the least point_id that is reachable by steps of at most `metres`
-    (density clustering with one point enough). Points of one place are joined first; the places are then joined along
-    their links, with checkpoints, until nothing changes."""
+    (density clustering with one point enough).
+
+    Points of one place are one; places of one grid cell, whose diagonal is under `metres`, are one node. What is linked, and joined
+    along links until nothing changes, is cells, so the links grow with the places however crowded a spot is."""
     known = points.filter("lat IS NOT NULL AND lon IS NOT NULL")
-    places = known.groupBy("lat", "lon").agg(F.min("point_id").alias("place"))
-    b = places.select(F.col("place").alias("place_b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
-    links = within(places, b, metres).filter("place > place_b").select(F.col("place").alias("a"), F.col("place_b").alias("b"))
-    roots = _components(links).withColumnRenamed("node", "place")
-    own = places.join(roots, "place", "left").select("lat", "lon", F.coalesce("root", "place").alias("cluster_id"))
+    side = _side_m(metres)
+    row = F.floor(F.col("lat") * SPHERE_DEGREE_M / side)
+    placed = known.groupBy("lat", "lon").agg(F.min("point_id").alias("place")).withColumn("row", row).withColumn("col", F.floor(F.col("lon") / _column_degrees(F.col("row"), side)))
+    ids = placed.groupBy("row", "col").agg(F.min("place").alias("cell"))
+    placed = stored(placed.join(ids, ["row", "col"]))
+    roots = _components(_cell_links(placed, metres)).withColumnRenamed("node", "cell")
+    own = placed.join(roots, "cell", "left").select("lat", "lon", F.coalesce("root", "cell").alias("cluster_id"))
     return known.join(own, ["lat", "lon"])
 
 
 def _ranked(df: DataFrame, *order: Column) -> DataFrame:
     """df with rank (1 first) by a total order: row numbers within ranges of it, after the rows of the ranges before."""
-    ranged = df.orderBy(*order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    ranged = stored(df.orderBy(*order).withColumn("_range", F.spark_partition_id()))
     counts = {r["_range"]: r["count"] for r in ranged.groupBy("_range").count().collect()}  # a row for each partition
     before, offsets = 0, []
     for k in sorted(counts):
@@ -100,7 +201,12 @@ def hotspots(clustered: DataFrame, profile: Profile = DEFAULT, addresses: DataFr
         "map_url": map_url(F.col("centroid_lat"), F.col("centroid_lon")),
         "address_key": address_key(F.col("centroid_lat"), F.col("centroid_lon")),
     }).drop("_dates")
-    return out if addresses is None else out.join(addresses.withColumnRenamed("key", "address_key"), "address_key", "left")
+    return out if addresses is None else addressed(out, addresses)
+
+
+def addressed(spots: DataFrame, addresses: DataFrame) -> DataFrame:
+    """Rows with an address_key and the address of a table (key, address), null where it has none."""
+    return spots.join(addresses.withColumnRenamed("key", "address_key"), "address_key", "left")
 
 
 def spot_category(most: Column, mean: Column, visits: Column) -> Column:
@@ -115,13 +221,14 @@ def address_key(lat: Column, lon: Column) -> Column:
 
 
 def hotspot_listing(points: DataFrame, spots: DataFrame, metres: float = DEFAULT.match_m) -> DataFrame:
-    """D-45: for each hotspot (cluster_id, centroid_lat, centroid_lon) the facts of its marker: how many stops lie within `metres`, the
-    best confidence, minutes in all, and the stops, likeliest first. A hotspot without any has no row."""
+    """D-45: for each hotspot (cluster_id, centroid_lat, centroid_lon) its marker's listing, a row for each stop within `metres`: the stop
+    with its distance, the line it stands on (likeliest first), and how many stops there are, the best confidence and the minutes in
+    all. A hotspot without any has no row. The facts of the whole listing are joined back, so that a busy place is a sort and no list."""
     b = spots.select("cluster_id", F.col("centroid_lat").alias("lat_b"), F.col("centroid_lon").alias("lon_b"))
-    near = within(points, b, metres)
-    order = F.struct((-F.col("confidence")).alias("o"), "point_id", "confidence", "duration_min", "date", F.round("distance_m", 1).alias("distance_m"))
-    g = near.groupBy("cluster_id").agg(F.count("*").alias("n_stops"), F.max("confidence").alias("best_confidence"), F.sum("duration_min").alias("minutes"), F.array_sort(F.collect_list(order)).alias("stops"))
-    return g.withColumn("stops", F.transform("stops", lambda x: x.dropFields("o")))
+    near = stored(within(points, b, metres))
+    facts = near.groupBy("cluster_id").agg(F.count("*").alias("n_stops"), F.max("confidence").alias("best_confidence"), F.sum("duration_min").alias("minutes"))
+    line = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("confidence"), "point_id"))
+    return near.select("cluster_id", line.alias("line"), "point_id", "confidence", "duration_min", "date", F.round("distance_m", 1).alias("distance_m")).join(facts, "cluster_id")
 
 
 def marker_style(confidence: Column, visits: Column) -> dict[str, Column]:

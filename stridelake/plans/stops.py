@@ -9,7 +9,7 @@ from stridelake.operators import stops as S
 from stridelake.plans.activities import FILL
 from stridelake.plans.registry import query
 from stridelake.sources.fixtures import sql, view
-from stridelake.sources.tables import shared_folder
+from stridelake.sources.tables import stored
 
 I = "PARTITION BY activity_id ORDER BY idx"
 IMPLICIT = f"""imp AS (SELECT activity_id, idx - 1 AS start_idx, idx AS end_idx, t0 AS start_t, t AS end_t FROM
@@ -150,15 +150,8 @@ def j13(spark, d):
     return G.within(p, b, 300).filter("point_id < point_id_b").select("point_id", "point_id_b", F.round("distance_m", 3).alias("distance_m"))
 
 
-def folder(spark) -> None:
-    """Checkpoints go to the folder the session names; a local session without one has its own."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-
-
 def clustered(spark, d):
-    folder(spark)
-    return G.clusters(points(spark, d).checkpoint())
+    return G.clusters(stored(points(spark, d)))
 
 
 #: Clusters in SQL: places, their links, and all places reachable from each; then hotspots.
@@ -185,9 +178,10 @@ ADDRESS = "CASE WHEN k % 4 > 0 THEN (k % 90) || ', Street ' || (k % 7) || ', okr
   round_even(round(centroid_lat, 9), 4) || ',' || round_even(round(centroid_lon, 9), 4) AS address_key, CASE WHEN cluster_id % 3 > 0 THEN 'place ' || cluster_id % 11 END AS address FROM hs"""))
 def d43(spark, d):
     """Two thirds of the places have an address."""
-    spots = G.hotspots(clustered(spark, d)).checkpoint()
-    known = spots.filter("cluster_id % 3 > 0").groupBy(F.col("address_key").alias("key")).agg(F.concat(F.lit("place "), F.min("cluster_id") % 11).alias("address"))
-    return spots.join(known.withColumnRenamed("key", "address_key"), "address_key", "left")
+    own = stored(clustered(spark, d))
+    places = own.groupBy("cluster_id").agg(*(F.round(F.round(F.avg(c), 9), 6).alias(c) for c in ("lat", "lon"))).filter("cluster_id % 3 > 0")
+    book = places.groupBy(G.address_key(F.col("lat"), F.col("lon")).alias("key")).agg(F.concat(F.lit("place "), F.min("cluster_id") % 11).alias("address"))
+    return G.hotspots(own, addresses=book)
 
 
 @query("s20_hotspot_markers", recursive(f"""{CLUSTERS} SELECT cluster_id, centroid_lat, centroid_lon, CASE WHEN c >= 75 THEN 'red' WHEN c >= 50 THEN 'orange' WHEN c >= 25 THEN 'yellow' ELSE 'gray' END AS color, CASE WHEN c >= 50 THEN 'red' WHEN c >= 20 THEN 'orange' ELSE 'green' END AS color2,
@@ -206,13 +200,11 @@ def j10(spark, d):
     return G.within(points(spark, d), spots, 400).select("cluster_id", "point_id", F.round("distance_m", 3).alias("distance_m"))
 
 
-@query("d45_hotspot_listing", recursive(f"{CLUSTERS}, {NEAR} SELECT cluster_id, count(*) AS n_stops, max(confidence) AS best_confidence, round(sum(duration_min), 4) AS minutes, string_agg(point_id || ' ' || date, ';' ORDER BY confidence DESC, point_id) AS listing FROM nr WHERE m <= 400 GROUP BY 1"))
+@query("d45_hotspot_listing", recursive(f"{CLUSTERS}, {NEAR}, ls AS (SELECT * FROM nr WHERE m <= 400) SELECT cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY confidence DESC, point_id) AS line, point_id, date, round(m, 1) AS distance_m, count(*) OVER (PARTITION BY cluster_id) AS n_stops, max(confidence) OVER (PARTITION BY cluster_id) AS best_confidence, round(sum(duration_min) OVER (PARTITION BY cluster_id), 4) AS minutes FROM ls"))
 def d45(spark, d):
-    folder(spark)
-    p = points(spark, d).checkpoint()
+    p = stored(points(spark, d))
     out = G.hotspot_listing(p, G.hotspots(G.clusters(p)))
-    listing = F.array_join(F.transform("stops", lambda x: F.concat_ws(" ", x["point_id"], x["date"])), ";")
-    return out.select("cluster_id", "n_stops", "best_confidence", F.round("minutes", 4).alias("minutes"), listing.alias("listing"))
+    return out.select("cluster_id", "line", "point_id", "date", "distance_m", "n_stops", "best_confidence", F.round("minutes", 4).alias("minutes"))
 
 
 PERF = f"""sides AS (SELECT r.*, stop_id, CASE WHEN t < start_t THEN 'before' WHEN t > end_t THEN 'after' END AS side FROM records r JOIN stops s USING (activity_id) WHERE t < start_t OR t > end_t),

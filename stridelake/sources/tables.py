@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,6 +29,26 @@ def shared_folder(spark: SparkSession) -> str:
     return made
 
 
+#: Where stored tables lie, as long as their frames are in use.
+_FILES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def stored(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+    """df written to the shared folder and read again: cuts the lineage, outlives executors, is computed once however often it is used.
+
+    The files stay until the folder is cleaned, since lazy reads need them; those of `instead_of`, a stored frame that nothing reads
+    any more once df is written, are deleted."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stridelake-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _FILES[out] = path
+    if instead_of is not None and (old := _FILES.pop(instead_of, None)):
+        where = spark._jvm.org.apache.hadoop.fs.Path(old)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return out
+
+
 def optional(spark: SparkSession, path: str, schema: T.StructType, required: bool = False) -> DataFrame:
     """The table at path, or an empty one of the schema where there is none and it is not required."""
     try:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import time
 
 import numpy as np
 import pytest
@@ -413,3 +414,62 @@ def test_tables_written_over_and_apart(spark, tmp_path):
     with pytest.raises(Exception):
         T.optional(spark, f"{tmp_path}/none", df.schema, required=True)
     assert T.find_column(df, "X") == "x" and T.find_column(df, "q") is None and T.first_existing(df, ["a", "k"]) == "k"
+
+
+# --- clusters over cells ------------------------------------------------------------------------------------------------
+
+
+def _plain_clusters(points, metres):
+    """Union by comparing all pairs."""
+    import math
+
+    def far(a, b):
+        x = math.sin(math.radians(b[0] - a[0]) / 2) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+        return 2 * 6371000.0 * math.asin(min(1.0, math.sqrt(x)))
+
+    root = {p: p for p, *_ in points}
+
+    def find(p):
+        while root[p] != p:
+            p = root[p]
+        return p
+
+    for i, (p, *a) in enumerate(points):
+        for q, *b in points[:i]:
+            if far(a, b) <= metres:
+                x, y = find(p), find(q)
+                root[max(x, y)] = min(x, y)
+    return {p: find(p) for p, *_ in points}
+
+
+@pytest.mark.parametrize(("lat", "lon", "spread"), [(50.0, 14.0, 0.02), (-33.0, -70.0, 0.02), (0.0, 0.0, 0.02), (10.0, 180.0, 0.02), (89.99, 0.0, 0.02)])
+def test_clusters_equal_all_pairs(spark, lat, lon, spread):
+    import random
+
+    rng = random.Random(int(lat * 7 + lon))
+    wide = spread if lat < 89 else 180
+    points = [(i, min(90.0, lat + rng.uniform(-spread, spread)), (lon + rng.uniform(-wide, wide) + 180) % 360 - 180) for i in range(150)]
+    points += [(1000 + i, points[i][1], points[i][2]) for i in range(5)]
+    got = {r.point_id: r.cluster_id for r in G.clusters(spark.createDataFrame(points, "point_id long, lat double, lon double"), 300.0).collect()}
+    assert got == _plain_clusters(points, 300.0)
+
+
+def test_clusters_at_the_limit(spark):
+    """Pairs a millimetre below and above the distance, which only places of the finest boxes decide."""
+    metre = 180 / (math.pi * 6371000)
+    rows = []
+    for k, gap in enumerate((299.999, 300.001)):
+        base = 40 + k
+        rows += [(100 * k + i, base + i * 2 * metre, 5.0) for i in range(20)] + [(100 * k + 50 + i, base + (19 * 2 + gap + i * 2) * metre, 5.0) for i in range(20)]
+    got = {r.point_id: r.cluster_id for r in G.clusters(spark.createDataFrame(rows, "point_id long, lat double, lon double"), 300.0).collect()}
+    assert {got[i] for i in range(70) if i in got} == {0} and {got[100 + i] for i in range(20)} == {100} and {got[150 + i] for i in range(20)} == {150}
+
+
+def test_a_crowded_place_costs_no_pairs(spark):
+    """50,000 places within a kilometre, where all pairs within 300 m would be some hundred millions."""
+    crowd = spark.range(50_000).selectExpr("id AS point_id", "50 + (id % 223) * 4e-5 AS lat", "14 + floor(id / 223) * 4e-5 AS lon")
+    apart = spark.range(50_000, 50_010).selectExpr("id AS point_id", "51D + id * 0.1 AS lat", "14D AS lon")
+    began = time.perf_counter()
+    out = G.clusters(crowd.unionByName(apart), 300.0).groupBy("cluster_id").count().collect()
+    assert {(r.cluster_id, r["count"]) for r in out} == {(0, 50_000), *((i, 1) for i in range(50_000, 50_010))}
+    assert time.perf_counter() - began < 60
