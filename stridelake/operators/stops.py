@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from stridelake.functions.scalars import haversine_m, is_cardio, kmh, map_url, step_score
 from stridelake.profile import DEFAULT, Profile
+from stridelake.sources.tables import stored
 
 KEY = "activity_id"
 
@@ -40,85 +41,208 @@ def explicit_stops(records: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
 
 def detect_stops(records: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
     """D-34: both kinds of stops, merged where they touch or where little riding lies between, of the least length at least,
-    without those over which the odometer moved on; one for each start, the longest. stop_id counts within an activity."""
-    both = implicit_stops(records, profile).unionByName(explicit_stops(records, profile))
-    fast = (kmh(F.col("speed")) > profile.moving_kmh).cast("long")
-    prefix = records.select(KEY, "idx", "distance", F.sum(fast).over(_order().rowsBetween(Window.unboundedPreceding, 0)).alias("fast"))
-    ordered = Window.partitionBy(KEY).orderBy("start_t", "end_t", "start_idx", "end_idx")
+    without those over which the odometer moved on; one for each start, the longest. stop_id counts within an activity.
+
+    One pass over records: each row tells the segment it is part of (the gap before it, or its island of slow rows), with the
+    odometer and the running count of fast rows at both of its ends, so that merging looks nothing up."""
+    return _detected(records, profile).drop("start_distance")
+
+
+def _detected(records: DataFrame, profile: Profile) -> DataFrame:
+    """detect_stops() with the odometer at the start."""
+    c, upto = F.col, _order().rowsBetween(Window.unboundedPreceding, 0)
+    v = kmh(c("speed"))
+    rows = records.select(KEY, "idx", "t", "distance", (v < profile.stop_kmh).alias("_slow"), (v > profile.moving_kmh).cast("long").alias("_own"))
+    rows = rows.withColumns({
+        "_fast": F.sum("_own").over(upto),
+        "_before": F.lag(F.struct("idx", "t", "distance")).over(_order()),
+        "_last": F.last(F.when(c("_slow"), c("t")), ignorenulls=True).over(_order().rowsBetween(Window.unboundedPreceding, -1)),
+    })
+    begins = c("_slow") & F.coalesce(c("t") - c("_last") > profile.pause_gap_s, F.lit(False))
+    rows = rows.withColumn("_run", F.sum(begins.cast("long")).over(upto))
+    gap = c("t") - c("_before.t")
+    moved = (c("distance") - c("_before.distance")) / gap * 3.6
+    still = (gap > profile.gap_s) & (gap >= profile.min_stop_s) & ~F.coalesce(moved > profile.odometer_kmh, F.lit(False))
+    # Ends of a segment: place, time, odometer, and fast rows up to it (at a start without its own).
+    end = F.struct("idx", "t", "distance", c("_fast").alias("fast"))
+    own = F.struct(F.lit(1).alias("kind"), c("_run").alias("run"), F.struct("idx", "t", "distance", (c("_fast") - c("_own")).alias("fast")).alias("a"), end.alias("b"))
+    # The row before a gap is at its start; what is fast up to it is what is fast up to here, without both rows' own.
+    first = F.struct(c("_before.idx").alias("idx"), c("_before.t").alias("t"), c("_before.distance").alias("distance"), (c("_fast") - c("_own") - F.coalesce("_own_before", F.lit(0))).alias("fast"))
+    rows = rows.withColumn("_own_before", F.lag("_own").over(_order()))
+    gapped = F.struct(F.lit(0).alias("kind"), c("idx").cast("long").alias("run"), first.alias("a"), end.alias("b"))
+    told = F.array_compact(F.array(F.when(c("_slow"), own), F.when(still, gapped)))
+    segs = rows.select(KEY, F.explode(told).alias("x")).groupBy(KEY, "x.kind", "x.run").agg(F.min("x.a").alias("a"), F.max("x.b").alias("b"))
+
+    ordered = Window.partitionBy(KEY).orderBy("a.t", "b.t", "a.idx", "b.idx")
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    segs = both.withColumns({"_t": F.max("end_t").over(before), "_i": F.max("end_idx").over(before)})
-    # Rows strictly between the open end and the next start, and how many of them are fast, by differences of running counts.
-    segs = segs.join(prefix.select(KEY, F.col("idx").alias("_i"), F.col("fast").alias("_f0")), [KEY, "_i"], "left")
-    segs = segs.join(prefix.select(KEY, (F.col("idx") + 1).alias("start_idx"), F.col("fast").alias("_f1")), [KEY, "start_idx"], "left")
-    gap, between = F.col("start_t") - F.col("_t"), F.col("start_idx") - F.col("_i") - 1
-    near = (gap <= profile.pause_gap_s) & ((between <= 0) | (2 * (F.coalesce("_f1", F.lit(0)) - F.col("_f0")) < between))
-    breaks = F.when(F.col("_t").isNull(), 0).otherwise((~((gap <= 0) | near)).cast("int"))
+    segs = segs.withColumns({"_t": F.max("b.t").over(before), "_i": F.max(F.struct("b.idx", "b.fast")).over(before)})
+    apart, between = c("a.t") - c("_t"), c("a.idx") - c("_i.idx") - 1
+    near = (apart <= profile.pause_gap_s) & ((between <= 0) | (2 * (c("a.fast") - c("_i.fast")) < between))
+    breaks = F.when(c("_t").isNull(), 0).otherwise((~((apart <= 0) | near)).cast("int"))
     run = F.sum("_break").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    merged = segs.withColumn("_break", breaks).withColumn("_run", run).groupBy(KEY, "_run")
-    merged = merged.agg(*(F.min(c).alias(c) for c in ("start_idx", "start_t")), *(F.max(c).alias(c) for c in ("end_idx", "end_t"))).drop("_run")
-    long = merged.filter(F.col("end_t") - F.col("start_t") >= profile.min_stop_s)
-    at = lambda c, name: prefix.select(KEY, F.col("idx").alias(c), F.col("distance").alias(name))
-    long = long.join(at("start_idx", "_d0"), [KEY, "start_idx"]).join(at("end_idx", "_d1"), [KEY, "end_idx"])
-    moved = (F.col("_d1") - F.col("_d0")) / (F.col("end_t") - F.col("start_t")) * 3.6
+    merged = segs.withColumn("_break", breaks).withColumn("_run", run).groupBy(KEY, "_run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    long = merged.filter(c("b.t") - c("a.t") >= profile.min_stop_s)
+    moved = (c("b.distance") - c("a.distance")) / (c("b.t") - c("a.t")) * 3.6
     still = long.filter(~F.coalesce(moved > profile.odometer_kmh, F.lit(False)))
-    unique = still.withColumn("_n", F.row_number().over(Window.partitionBy(KEY, "start_t").orderBy(F.col("end_t").desc()))).filter("_n = 1")
-    number = F.row_number().over(Window.partitionBy(KEY).orderBy("start_t")).cast("long")
-    return unique.select(KEY, number.alias("stop_id"), "start_idx", "end_idx", "start_t", "end_t", (F.col("end_t") - F.col("start_t")).alias("duration_s"))
+    unique = still.withColumn("_n", F.row_number().over(Window.partitionBy(KEY, "a.t").orderBy(F.col("b.t").desc()))).filter("_n = 1")
+    number = F.row_number().over(Window.partitionBy(KEY).orderBy("a.t")).cast("long")
+    ends = [c("a.idx").alias("start_idx"), c("b.idx").alias("end_idx"), c("a.t").alias("start_t"), c("b.t").alias("end_t")]
+    return unique.select(KEY, number.alias("stop_id"), *ends, (c("b.t") - c("a.t")).alias("duration_s"), c("a.distance").alias("start_distance"))
 
 
 def around(records: DataFrame, stops: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
     """Rows of each stop and of the analysis windows before and after it (the rows at its edges belong to the stop),
-    with side: before, in or after. Stops of an activity are few, so a row meets few."""
+    with side: before, in or after. Stops of an activity are few, so a row meets few. The measures of stops do without it, see edges()."""
     s = stops.select(KEY, "stop_id", "start_idx", "end_idx", "start_t", "end_t")
     joined = records.join(s, KEY).filter((F.col("t") >= F.col("start_t") - profile.analysis_s) & (F.col("t") <= F.col("end_t") + profile.analysis_s))
     side = F.when(F.col("idx") < F.col("start_idx"), "before").when(F.col("idx") > F.col("end_idx"), "after").otherwise("in")
     return joined.withColumn("side", side)
 
 
+ZONES = ("Z1", "Z2", "Z3", "Z4", "Z5")
+
+
+def _measures(records: DataFrame, zones: bool) -> tuple[dict[str, Column], dict[str, Column]]:
+    """What is summed over rows (null where a row does not count), and what is counted."""
+    have = set(records.columns)
+    c = lambda name: F.col(name) if name in have else F.lit(None).cast("double")
+    v = kmh(c("speed"))
+    riding = v > 5
+    sums = {
+        "hr": c("hr"),
+        "cost": F.when(riding & (c("hr") > 0), c("hr") / v),
+        "spin": F.when(c("cadence") > 0, c("cadence")),
+        "resp": F.when(c("respiration") > 0, c("respiration")),
+        "pulse": F.when((c("hr") > 30) & (c("hr") < 250), c("hr")),
+        "pace": F.when(c("speed") > 0, c("speed")),
+        "power": F.when(c("power") > 0, c("power")),
+        "climb": F.col("_climb"),
+        "moving": F.col("_moving"),
+    }
+    counts = {"rows": F.lit(True), "riding": riding, "coast": riding & (c("cadence").isNull() | (c("cadence") < 2)), "readings": F.col("distance").isNotNull(), "drops": F.col("_drop")}
+    if zones:
+        counts |= {z: F.col("zone") == z for z in ZONES} | {"zoned": F.col("zone") != ""}
+    return sums, counts
+
+
+_LAST = 1 << 62
+#: Moments of a stop: time, place and whether the rows there lie before it, as columns of the stop. Rows are ordered by time, then place.
+_MOMENTS = {
+    "first": lambda p: (F.lit(-_LAST), -1, False),
+    "window_begin": lambda p: (F.col("start_t") - p.analysis_s, -1, False),
+    "side_end": lambda p: (F.col("start_t"), -1, False),
+    "start": lambda p: (F.col("start_t"), F.col("start_idx"), False),
+    "started": lambda p: (F.col("start_t"), F.col("start_idx"), True),
+    "settled": lambda p: (F.col("start_t") + p.settle_s, _LAST, True),
+    "settling": lambda p: (F.col("end_t") - p.settle_s, -1, False),
+    "ended": lambda p: (F.col("end_t"), F.col("end_idx"), True),
+    "side_begin": lambda p: (F.col("end_t"), _LAST, True),
+    "window_end": lambda p: (F.col("end_t") + p.analysis_s, _LAST, True),
+    "last": lambda p: (F.lit(_LAST), _LAST, True),
+}
+
+
+def edges(records: DataFrame, stops: DataFrame, profile: Profile = DEFAULT, zones: bool = False) -> DataFrame:
+    """stops, with a column for each of their moments: running sums and counts of all measures up to it, and what is known next to it.
+
+    One pass over records: moments and records are sorted together, and sums over any stretch are the difference of two moments.
+    So neither rows are multiplied by stops nor does the length of a stretch matter. The result, a row for each stop, is stored."""
+    c, order = F.col, Window.partitionBy(KEY).orderBy("t", "idx", "_flag")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    have = set(records.columns)
+    step = c("t") - F.lag("t").over(_order())
+    moving = F.when(step.isNull(), 1).when(step < 30, step).otherwise(0).cast("double")
+    rise = c("altitude") - F.lag("altitude").over(_order()) if "altitude" in have else F.lit(None).cast("double")
+    odometer = c("distance").cast("double")
+    fell = F.coalesce(odometer < F.last(odometer, ignorenulls=True).over(_order().rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    rows = records.withColumns({"_moving": moving, "_climb": F.when(rise > 0.5, rise), "_drop": fell})
+    sums, counts = _measures(rows, zones)
+    place = F.when(c("lat").isNotNull() & c("lon").isNotNull(), F.struct("idx", "lat", "lon")) if {"lat", "lon"} <= have else F.lit(None).cast("struct<idx:bigint,lat:double,lon:double>")
+    rows = rows.select(
+        KEY, c("t").cast("long").alias("t"), c("idx").cast("long").alias("idx"), F.lit(1).alias("_flag"), odometer.alias("_odometer"), place.alias("_place"),
+        *(x.alias(f"_{m}") for m, x in sums.items()), *(F.coalesce(x, F.lit(False)).alias(f"_{m}") for m, x in counts.items()),
+    )
+    at = [F.struct(F.lit(name).alias("name"), *(F.lit(x).cast("long").alias(n) if n != "_flag" else F.lit(2 if x else 0).alias(n) for n, x in zip(("t", "idx", "_flag"), when(profile), strict=True))) for name, when in _MOMENTS.items()]
+    asked = stops.select(KEY, F.struct(*(x for x in stops.columns if x != KEY)).alias("_stop"), F.explode(F.array(*at)).alias("x")).select(KEY, "_stop", "x.*")
+    both = rows.unionByName(asked, allowMissingColumns=True)
+    # A sum is kept as whole thousandths, which add up exactly, and what is left of each value, which is small.
+    run = {"odometer": F.last("_odometer", ignorenulls=True).over(upto), "place": F.last("_place", ignorenulls=True).over(upto)}
+    for m in sums:
+        whole = F.floor(c(f"_{m}") * 1000).cast("long")
+        run |= {f"{m}_n": F.count(f"_{m}").over(upto), f"{m}_w": F.sum(whole).over(upto), f"{m}_r": F.sum(c(f"_{m}") - whole / 1000).over(upto)}
+    run |= {f"{m}_n": F.count_if(c(f"_{m}")).over(upto) for m in counts}
+    down = Window.partitionBy(KEY).orderBy(F.desc("t"), F.desc("idx"), F.desc("_flag")).rowsBetween(Window.unboundedPreceding, 0)
+    run |= {"next": F.last(F.when(c("_flag") == 1, F.struct("_moving", "_climb")), ignorenulls=True).over(down), "next_odometer": F.last("_odometer", ignorenulls=True).over(down), "next_place": F.last("_place", ignorenulls=True).over(down)}
+    told = both.select(KEY, "_stop", "name", F.struct(*(x.alias(n) for n, x in run.items())).alias("run")).filter("name IS NOT NULL")
+    g = told.groupBy(KEY, c("_stop.stop_id").alias("stop_id")).agg(F.first("_stop").alias("_stop"), *(F.max(F.when(c("name") == n, c("run"))).alias(n) for n in _MOMENTS))
+    return stored(g.select(KEY, *(c(f"_stop.{x}").alias(x) for x in stops.columns if x != KEY), *_MOMENTS))
+
+
+def _n(m: str, a: Column, b: Column) -> Column:
+    return F.coalesce(b[f"{m}_n"], F.lit(0)) - F.coalesce(a[f"{m}_n"], F.lit(0))
+
+
+def _sum(m: str, a: Column, b: Column) -> Column:
+    """The sum of a measure over the rows between two moments."""
+    part = lambda k: F.coalesce(b[f"{m}_{k}"], F.lit(0)) - F.coalesce(a[f"{m}_{k}"], F.lit(0))
+    return part("w") / 1000 + part("r")
+
+
+def _mean(m: str, a: Column, b: Column) -> Column:
+    return F.when(_n(m, a, b) > 0, _sum(m, a, b) / _n(m, a, b))
+
+
+def _with_span(e: DataFrame, records: DataFrame, name: str, a: str, b: str) -> DataFrame:
+    """e (as edges() gives it) with how far the odometer went (greatest reading less least) between two moments. Where it never runs
+    back there, its first and last readings tell; else the rows between are looked at."""
+    c = F.col
+    known, back = _n("readings", c(a), c(b)) > 0, _n("drops", c(a), c(b)) > 0
+    out = e.withColumns({name: F.when(known, c(b)["odometer"] - c(a)["next_odometer"]), "_bent": back})
+    bent = out.filter("_bent").select(KEY, "stop_id", F.coalesce(c(a)["rows_n"], F.lit(0)).alias("_from"), c(b)["rows_n"].alias("_to"))
+    if bent.limit(1).count():
+        place = F.row_number().over(Window.partitionBy(KEY).orderBy("t", "idx"))
+        rows = records.select(KEY, "distance", place.alias("_row")).join(bent, KEY).filter("_row > _from AND _row <= _to")
+        true = rows.groupBy(KEY, "stop_id").agg((F.max("distance") - F.min("distance")).alias("_span"))
+        out = out.join(true, [KEY, "stop_id"], "left").withColumn(name, F.when(c("_bent"), c("_span")).otherwise(c(name))).drop("_span")
+    return out.drop("_bent")
+
+
 def markers(records: DataFrame, stops: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
     """D-35 to D-39 for every stop: the four differences, their scores, and the gradient after it.
     A: heart rate at the stop's end against its start; B: heart rate a km/h, after against before, %; C: cadence drop, with
     coasting; D: respiration rise. B and A score 0 on thin data, C and D are null."""
-    rows = around(records, stops, profile)
-    v, c = kmh(F.col("speed")), F.col
-    before, after, inside = (c("side") == s for s in ("before", "after", "in"))
-    mean = lambda cond, x: F.avg(F.when(cond, x))
-    cost = F.when((v > 5) & (c("hr") > 0), c("hr") / v)
-    riding = v > 5
-    coast = riding & (c("cadence").isNull() | (c("cadence") < 2))
-    share = lambda side: F.sum(F.when(side & coast, 1.0).otherwise(0.0)) / F.nullif(F.sum(F.when(side & riding, 1.0).otherwise(0.0)), F.lit(0.0)) * 100
-    step = F.lead("altitude").over(Window.partitionBy(KEY, "stop_id", "side").orderBy("idx")) - c("altitude")
-    rows = rows.withColumn("_climb", F.when(after & (step > 0.5), step))
-    m = rows.groupBy(KEY, "stop_id").agg(
-        mean(inside & (c("t") <= c("start_t") + profile.settle_s), c("hr")).alias("hr_start"),
-        mean(inside & (c("t") >= c("end_t") - profile.settle_s), c("hr")).alias("hr_end"),
-        mean(before, cost).alias("cost_before"),
-        mean(after, cost).alias("cost_after"),
-        mean(before & (c("cadence") > 0), c("cadence")).alias("cad_before"),
-        mean(after & (c("cadence") > 0), c("cadence")).alias("cad_after"),
-        share(before).alias("coast_before"),
-        share(after).alias("coast_after"),
-        mean(before, c("respiration")).alias("resp_before"),
-        mean(after, c("respiration")).alias("resp_after"),
-        F.coalesce(F.sum("_climb"), F.lit(0.0)).alias("climb"),
-        (F.max(F.when(after, c("distance"))) - F.min(F.when(after, c("distance")))).alias("span_m"),
-    )
-    a = c("hr_end") - c("hr_start")
-    b = (c("cost_after") / c("cost_before") - 1) * 100
-    drop = c("cad_before") - c("cad_after")
-    rise = c("coast_after") - c("coast_before")
-    d = c("resp_after") - c("resp_before")
-    bonus = F.when(rise > 10, 15.0).when(rise > 5, 8.0).otherwise(0.0)
+    return _marked(edges(records, stops, profile), records)
+
+
+def _marked(e: DataFrame, records: DataFrame) -> DataFrame:
+    c = F.col
+    e = _with_span(e, records, "span_m", "ended", "window_end")
+    before, after = (c("window_begin"), c("start")), (c("ended"), c("window_end"))
+    settled = F.when(_n("rows", c("settled"), c("ended")) >= 0, c("settled")).otherwise(c("ended"))
+    settling = F.when(_n("rows", c("start"), c("settling")) >= 0, c("settling")).otherwise(c("start"))
+    coasting = lambda side: F.when(_n("riding", *side) > 0, _n("coast", *side) / _n("riding", *side) * 100).otherwise(0.0)
+    # A rise belongs to the row it ends at, so the first row's is none of this stretch.
+    climb = F.when(_n("rows", *after) > 0, _sum("climb", *after) - F.coalesce(c("ended.next._climb"), F.lit(0.0))).otherwise(0.0)
+    m = e.select(
+        KEY, "stop_id", "span_m", climb.alias("climb"),
+        (_mean("hr", settling, c("ended")) - _mean("hr", c("start"), settled)).alias("a"),
+        ((_mean("cost", *after) / _mean("cost", *before) - 1) * 100).alias("b"),
+        (_mean("spin", *before) - _mean("spin", *after)).alias("c"),
+        (coasting(after) - coasting(before)).alias("rise"),
+        (_mean("resp", *after) - _mean("resp", *before)).alias("d"),
+    )
+    a, b, drop, d = (c(x) for x in "abcd")
+    bonus = F.when(c("rise") > 10, 15.0).when(c("rise") > 5, 8.0).otherwise(0.0)
     return m.select(
         KEY,
         "stop_id",
-        a.alias("a"),
+        "a",
         F.coalesce(F.when(a <= 0, 0.0).otherwise(step_score(a, [(5, 15), (10, 35), (15, 55), (20, 70), (30, 85)], 100, strict=True)), F.lit(0.0)).alias("score_a"),
-        b.alias("b"),
+        "b",
         F.coalesce(step_score(b, [(3, 0), (8, 20), (15, 45), (25, 70), (40, 85)], 100), F.lit(0.0)).alias("score_b"),
-        drop.alias("c"),
+        "c",
         F.when(drop.isNotNull(), F.least(F.lit(100.0), step_score(drop, [(2, 0), (5, 20), (8, 40), (12, 60), (18, 80)], 100) + bonus)).alias("score_c"),
-        d.alias("d"),
+        "d",
         step_score(d, [(1, 0), (3, 25), (5, 50), (8, 75)], 100).alias("score_d"),
         F.bround(F.when(c("span_m") > 10, c("climb") / c("span_m") * 100).otherwise(0.0), 2).alias("gradient_pct"),
     )
@@ -136,33 +260,35 @@ def confidence(marked: DataFrame) -> DataFrame:
 
 def anchors(records: DataFrame, stops: DataFrame) -> DataFrame:
     """A position for each stop: the last one on the 49 rows before its start, else at the start, else the first inside."""
-    known = records.filter("lat IS NOT NULL AND lon IS NOT NULL").select(KEY, "idx", "lat", "lon")
-    joined = known.join(stops.select(KEY, "stop_id", "start_idx", "end_idx"), KEY).filter("idx >= start_idx - 49 AND idx <= end_idx")
-    place = F.struct("lat", "lon")
-    early, late = F.when(F.col("idx") <= F.col("start_idx"), F.col("idx")), F.when(F.col("idx") > F.col("start_idx"), F.col("idx"))
-    out = joined.groupBy(KEY, "stop_id").agg(F.coalesce(F.max_by(place, early), F.min_by(place, late)).alias("p"))
-    return out.select(KEY, "stop_id", "p.lat", "p.lon")
+    return edges(records, stops).withColumn("p", _anchor()).filter("p IS NOT NULL").select(KEY, "stop_id", "p.lat", "p.lon")
+
+
+def _anchor() -> Column:
+    early, late = F.col("started.place"), F.col("started.next_place")
+    return F.when(early["idx"] >= F.col("start_idx") - 49, early).when(late["idx"] <= F.col("end_idx"), late)
 
 
 def report_positions(records: DataFrame, stops: DataFrame) -> DataFrame:
     """The first position inside each stop, else the last on the 29 rows before it."""
-    known = records.filter("lat IS NOT NULL AND lon IS NOT NULL").select(KEY, "idx", "lat", "lon")
-    joined = known.join(stops.select(KEY, "stop_id", "start_idx", "end_idx"), KEY).filter("idx >= start_idx - 29 AND idx <= end_idx")
-    place, inside = F.struct("lat", "lon"), F.col("idx") >= F.col("start_idx")
-    out = joined.groupBy(KEY, "stop_id").agg(F.coalesce(F.min_by(place, F.when(inside, F.col("idx"))), F.max_by(place, F.when(~inside, F.col("idx")))).alias("p"))
-    return out.select(KEY, "stop_id", F.col("p.lat").alias("report_lat"), F.col("p.lon").alias("report_lon"))
+    return edges(records, stops).withColumn("p", _report_place()).filter("p IS NOT NULL").select(KEY, "stop_id", F.col("p.lat").alias("report_lat"), F.col("p.lon").alias("report_lon"))
+
+
+def _report_place() -> Column:
+    inside, before = F.col("start.next_place"), F.col("start.place")
+    return F.when(inside["idx"] <= F.col("end_idx"), inside).when(before["idx"] >= F.col("start_idx") - 29, before)
 
 
 def stop_report(records: DataFrame, profile: Profile = DEFAULT, km_digits: int = 2) -> DataFrame:
-    """D-41: every stop with its markers, confidence, kilometres before and after, and a map link to its report position."""
-    stops = detect_stops(records, profile)
-    scored = confidence(markers(records, stops, profile))
-    total = records.groupBy(KEY).agg(F.max_by("distance", F.when(F.col("distance").isNotNull(), F.col("idx"))).alias("_total"))
-    at = records.select(KEY, F.col("idx").alias("start_idx"), F.col("distance").alias("_at"))
-    out = stops.join(scored, [KEY, "stop_id"]).join(report_positions(records, stops), [KEY, "stop_id"], "left").join(total, KEY).join(at, [KEY, "start_idx"], "left")
+    """D-41: every stop with its markers, confidence, kilometres before and after, and a map link to its report position. Records are
+    read twice: to detect the stops, and for all that is known of them (see edges())."""
+    e = edges(records, _detected(records, profile), profile)
     km = lambda x: F.bround(F.round(x / 1000, 9), km_digits)
-    link = F.when(F.col("report_lat").isNotNull(), map_url(F.col("report_lat"), F.col("report_lon")))
-    return out.withColumns({"km_before": km(F.col("_at")), "km_after": km(F.col("_total") - F.col("_at")), "map_url": link}).drop("_total", "_at")
+    p, at = _report_place(), F.col("start_distance")
+    own = e.select(
+        KEY, "stop_id", "start_idx", "end_idx", "start_t", "end_t", "duration_s", p["lat"].alias("report_lat"), p["lon"].alias("report_lon"), km(at).alias("km_before"),
+        km(F.col("last.odometer") - at).alias("km_after"), F.when(p.isNotNull(), map_url(p["lat"], p["lon"])).alias("map_url"),
+    )
+    return own.join(confidence(_marked(e, records)), [KEY, "stop_id"])
 
 
 def report_order(report: DataFrame) -> DataFrame:
@@ -174,11 +300,11 @@ def stop_points(records: DataFrame, areas: list[tuple[float, float, float]] | No
     """D-41b: stops of cardio activities that have an anchor (W25) outside the excluded areas, with their confidence; what is
     excluded is dropped before it is scored. activity_id, stop_id, lat, lon, confidence, duration_min."""
     rows = records.filter(is_cardio(F.col("sport")))
-    stops = detect_stops(rows, profile)
-    located = stops.join(anchors(rows, stops), [KEY, "stop_id"]).filter(~in_any_area(F.col("lat"), F.col("lon"), areas or []))
-    scored = confidence(markers(rows, located.select(*stops.columns), profile)).select(KEY, "stop_id", "confidence")
+    e = edges(rows, _detected(rows, profile), profile).withColumn("p", _anchor()).filter("p IS NOT NULL")
+    e = e.filter(~in_any_area(F.col("p.lat"), F.col("p.lon"), areas or []))
+    scored = confidence(_marked(e, rows)).select(KEY, "stop_id", "confidence")
     minutes = F.bround(F.round(F.col("duration_s") / 60, 9), 1)
-    return located.join(scored, [KEY, "stop_id"]).select(KEY, "stop_id", "lat", "lon", "confidence", minutes.alias("duration_min"))
+    return e.select(KEY, "stop_id", "p.lat", "p.lon", minutes.alias("duration_min")).join(scored, [KEY, "stop_id"]).select(KEY, "stop_id", "lat", "lon", "confidence", "duration_min")
 
 
 def read_report(rows: DataFrame, least_confidence: float = DEFAULT.min_confidence) -> DataFrame:
@@ -191,10 +317,7 @@ def read_report(rows: DataFrame, least_confidence: float = DEFAULT.min_confidenc
 
 
 METRICS = ("moving_s", "km", "mean_hr", "mean_kmh", "mean_power", "mean_cadence", "ef")
-
-
-ZONES = ("Z1", "Z2", "Z3", "Z4", "Z5")
-#: What A16, D-1 and D-2 add to a side: shares and minutes of zones, drift and heart-rate drop.
+#: What A16 adds to a side: shares and minutes of zones.
 ZONE_METRICS = tuple(f"{z.lower()}_{what}" for z in ZONES for what in ("pct", "min"))
 
 
@@ -210,38 +333,43 @@ def performance(records: DataFrame, stops: DataFrame, profile: Profile = DEFAULT
     plausible values, efficiency; before_, after_ and delta_ columns where both sides have 5 rows. full (records as with_zones()
     gives them) adds shares and minutes of zones (A16: rows without a zone do not count, those over the last zone only in the
     whole), cardiac drift and greatest heart-rate drop of each side, with deltas of the zones. zone_digits None: zones are not rounded."""
-    rows = sides(records, stops)
-    dt = F.col("t") - F.lag("t").over(Window.partitionBy(KEY, "stop_id", "side").orderBy("idx"))
-    rows = rows.withColumn("_dt", F.when(dt.isNull(), 1).when(dt < 30, dt).otherwise(0))
-    ok = lambda cond, x: F.avg(F.when(cond, x))
-    share = lambda z: F.nullif(F.count_if(F.col("zone") == z), F.lit(0)) / F.count_if(F.col("zone") != "") * 100
-    zones = [share(z).alias(f"_{z}") for z in ZONES] if full else []
-    key = [KEY, "stop_id", "side"]
-    m = rows.groupBy(*key).agg(
-        F.count("*").alias("n"),
-        F.sum("_dt").cast("double").alias("moving_s"),
-        ((F.max("distance") - F.min("distance")) / 1000).alias("km"),
-        ok((F.col("hr") > 30) & (F.col("hr") < 250), F.col("hr")).alias("mean_hr"),
-        (ok(F.col("speed") > 0, F.col("speed")) * 3.6).alias("mean_kmh"),
-        ok(F.col("power") > 0, F.col("power")).alias("mean_power"),
-        ok(F.col("cadence") > 0, F.col("cadence")).alias("mean_cadence"),
-        *zones,
-    )
-    m = m.withColumn("ef", F.col("mean_power") / F.col("mean_hr"))
-    picked, compared = METRICS, METRICS
+    e = edges(records, stops, profile, zones=full)
+    e = _with_span(_with_span(e, records, "before_m", "first", "side_end"), records, "after_m", "side_begin", "last")
+    c, key = F.col, [KEY, "stop_id"]
+    stretch = {"before": (c("first"), c("side_end")), "after": (c("side_begin"), c("last"))}
+    # The first row of a side counts a second, whatever came before it.
+    first = {"before": F.lit(0.0), "after": 1 - c("side_begin.next._moving")}
+    e = e.filter((_n("rows", *stretch["before"]) >= 5) & (_n("rows", *stretch["after"]) >= 5))
+    m = {}
+    for side, ends in stretch.items():
+        m |= {
+            f"{side}_moving_s": _sum("moving", *ends) + first[side],
+            f"{side}_km": c(f"{side}_m") / 1000,
+            f"{side}_mean_hr": _mean("pulse", *ends),
+            f"{side}_mean_kmh": _mean("pace", *ends) * 3.6,
+            f"{side}_mean_power": _mean("power", *ends),
+            f"{side}_mean_cadence": _mean("spin", *ends),
+            f"{side}_ef": _mean("power", *ends) / _mean("pulse", *ends),
+        }
+    compared = list(METRICS)
     if full:
-        from stridelake.operators.activity import cardiac_drift, max_hr_drop
-
         cut = lambda x: x if zone_digits is None else F.bround(F.round(x, 9), zone_digits)
-        for z in ZONES:
-            minutes = F.col("moving_s") / 60 * F.coalesce(F.col(f"_{z}"), F.lit(0.0)) / 100
-            m = m.withColumns({f"{z.lower()}_pct": cut(F.col(f"_{z}")), f"{z.lower()}_min": cut(minutes)})
-        m = m.join(cardiac_drift(rows, profile, tuple(key)), key, "left").join(max_hr_drop(rows, profile=profile, key=tuple(key)), key, "left")
-        picked, compared = (*METRICS, *ZONE_METRICS, "cardiac_drift", "max_hr_drop"), (*METRICS, *ZONE_METRICS)
-    pick = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c)))
-    wide = m.filter("n >= 5").groupBy(KEY, "stop_id").agg(F.count("*").alias("_sides"), *(pick(s, c).alias(f"{s}_{c}") for s in ("before", "after") for c in picked))
-    deltas = {f"delta_{c}": F.col(f"after_{c}") - F.col(f"before_{c}") for c in compared}
-    return wide.filter("_sides = 2").drop("_sides").withColumns(deltas)
+        for side, ends in stretch.items():
+            for z in ZONES:
+                share = F.nullif(_n(z, *ends), F.lit(0)) / F.nullif(_n("zoned", *ends), F.lit(0)) * 100
+                m |= {f"{side}_{z.lower()}_pct": cut(share), f"{side}_{z.lower()}_min": cut(m[f"{side}_moving_s"] / 60 * F.coalesce(share, F.lit(0.0)) / 100)}
+        compared += ZONE_METRICS
+    wide = e.select(*key, *(x.alias(n) for n, x in m.items()))
+    wide = wide.withColumns({f"delta_{x}": c(f"after_{x}") - c(f"before_{x}") for x in compared})
+    if not full:
+        return wide
+    from stridelake.operators.activity import cardiac_drift, max_hr_drop
+
+    each = [*key, "side"]
+    rows = sides(records, stops)
+    both = cardiac_drift(rows, profile, tuple(each)).join(max_hr_drop(rows, profile=profile, key=tuple(each)), each, "full")
+    pick = lambda s, x: F.max(F.when(c("side") == s, c(x))).alias(f"{s}_{x}")
+    return wide.join(both.groupBy(*key).agg(*(pick(s, x) for s in stretch for x in ("cardiac_drift", "max_hr_drop"))), key, "left")
 
 
 def in_any_area(lat: Column, lon: Column, areas: list[tuple[float, float, float]]) -> Column:

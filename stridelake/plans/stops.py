@@ -36,9 +36,9 @@ win2 AS (SELECT *, lead(altitude) OVER (PARTITION BY activity_id, stop_id, side
 m AS (SELECT activity_id, stop_id, avg(hr) FILTER (side = 'in' AND t >= end_t - 180) - avg(hr) FILTER (side = 'in' AND t <= start_t + 180) AS a,
   (avg(hr / v) FILTER (side = 'after' AND v > 5 AND hr > 0) / avg(hr / v) FILTER (side = 'before' AND v > 5 AND hr > 0) - 1) * 100 AS b,
   avg(cadence) FILTER (side = 'before' AND cadence > 0) - avg(cadence) FILTER (side = 'after' AND cadence > 0) AS c,
-  (count(*) FILTER (side = 'after' AND v > 5 AND (cadence IS NULL OR cadence < 2)))::DOUBLE / nullif(count(*) FILTER (side = 'after' AND v > 5), 0) * 100
-  - (count(*) FILTER (side = 'before' AND v > 5 AND (cadence IS NULL OR cadence < 2)))::DOUBLE / nullif(count(*) FILTER (side = 'before' AND v > 5), 0) * 100 AS rise,
-  avg(respiration) FILTER (side = 'after') - avg(respiration) FILTER (side = 'before') AS d,
+  coalesce((count(*) FILTER (side = 'after' AND v > 5 AND (cadence IS NULL OR cadence < 2)))::DOUBLE / nullif(count(*) FILTER (side = 'after' AND v > 5), 0) * 100, 0)
+  - coalesce((count(*) FILTER (side = 'before' AND v > 5 AND (cadence IS NULL OR cadence < 2)))::DOUBLE / nullif(count(*) FILTER (side = 'before' AND v > 5), 0) * 100, 0) AS rise,
+  avg(respiration) FILTER (side = 'after' AND respiration > 0) - avg(respiration) FILTER (side = 'before' AND respiration > 0) AS d,
   coalesce(sum(step) FILTER (side = 'after' AND step > 0.5), 0) AS climb, max(distance) FILTER (side = 'after') - min(distance) FILTER (side = 'after') AS span FROM win2 GROUP BY ALL),
 sc AS (SELECT activity_id, stop_id, a, b, c, d, coalesce(CASE WHEN a <= 0 THEN 0 ELSE {LADDER("a", "<", [(5, 15), (10, 35), (15, 55), (20, 70), (30, 85)], 100)} END, 0)::DOUBLE AS score_a,
   coalesce({LADDER("b", "<=", [(3, 0), (8, 20), (15, 45), (25, 70), (40, 85)], 100)}, 0)::DOUBLE AS score_b,
@@ -210,14 +210,15 @@ def d45(spark, d):
 PERF = f"""sides AS (SELECT r.*, stop_id, CASE WHEN t < start_t THEN 'before' WHEN t > end_t THEN 'after' END AS side FROM records r JOIN stops s USING (activity_id) WHERE t < start_t OR t > end_t),
 steps AS (SELECT *, t - lag(t) OVER (PARTITION BY activity_id, stop_id, side ORDER BY idx) AS dt FROM sides),
 pm AS (SELECT activity_id, stop_id, side, count(*) AS n, sum(CASE WHEN dt IS NULL THEN 1 WHEN dt < 30 THEN dt ELSE 0 END)::DOUBLE AS moving_s, (max(distance) - min(distance)) / 1000 AS km,
-  avg(hr) FILTER (hr > 30 AND hr < 250) AS mean_hr, avg(speed) FILTER (speed > 0) * 3.6::DOUBLE AS mean_kmh, avg(power) FILTER (power > 0) / avg(hr) FILTER (hr > 30 AND hr < 250) AS ef FROM steps GROUP BY ALL)"""
+  avg(hr) FILTER (hr > 30 AND hr < 250) AS mean_hr, avg(speed) FILTER (speed > 0) * 3.6::DOUBLE AS mean_kmh, avg(power) FILTER (power > 0) AS mean_power, avg(cadence) FILTER (cadence > 0) AS mean_cadence, avg(power) FILTER (power > 0) / avg(hr) FILTER (hr > 30 AND hr < 250) AS ef FROM steps GROUP BY ALL)"""
 
 
-@query("d44_before_after", sql(f"{STOPS}, {PERF} SELECT b.activity_id, b.stop_id, " + ", ".join(f"round(b.{c}, 8) AS before_{c}, round(a.{c}, 8) AS after_{c}, round(a.{c} - b.{c}, 8) AS delta_{c}" for c in ("moving_s", "km", "mean_hr", "mean_kmh", "ef")) + " FROM pm b JOIN pm a ON a.activity_id = b.activity_id AND a.stop_id = b.stop_id AND b.side = 'before' AND a.side = 'after' WHERE a.n >= 5 AND b.n >= 5"))
+@query("d44_before_after", sql(f"{STOPS}, {PERF} SELECT b.activity_id, b.stop_id, " + ", ".join(f"round(round(b.{c}, 11), 8) AS before_{c}, round(round(a.{c}, 11), 8) AS after_{c}, round(round(a.{c} - b.{c}, 11), 8) AS delta_{c}" for c in S.METRICS) + " FROM pm b JOIN pm a ON a.activity_id = b.activity_id AND a.stop_id = b.stop_id AND b.side = 'before' AND a.side = 'after' WHERE a.n >= 5 AND b.n >= 5"))
 def d44(spark, d):
+    """All seven measures of both sides; rounded twice, so that what lies on a half in the ninth decimal is no matter of a sum's order."""
     r = records(spark, d)
     p = S.performance(r, S.detect_stops(r))
-    return p.select("activity_id", "stop_id", *(F.round(f"{s}_{c}", 8).alias(f"{s}_{c}") for c in ("moving_s", "km", "mean_hr", "mean_kmh", "ef") for s in ("before", "after", "delta")))
+    return p.select("activity_id", "stop_id", *(F.round(F.round(f"{s}_{c}", 11), 8).alias(f"{s}_{c}") for c in S.METRICS for s in ("before", "after", "delta")))
 
 
 @query("a20_delta_statistics", sql(f"{STOPS}, {PERF}, w AS (SELECT a.mean_hr - b.mean_hr AS mean_hr, a.mean_kmh - b.mean_kmh AS mean_kmh, a.ef - b.ef AS ef FROM pm b JOIN pm a ON a.activity_id = b.activity_id AND a.stop_id = b.stop_id AND b.side = 'before' AND a.side = 'after' WHERE a.n >= 5 AND b.n >= 5) SELECT metric, count(value) AS n, round(avg(value), 5) AS mean, round(min(value), 5) AS least, round(max(value), 5) AS most FROM (UNPIVOT w ON mean_hr, mean_kmh, ef INTO NAME metric VALUE value) GROUP BY metric"))

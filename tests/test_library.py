@@ -392,8 +392,8 @@ def test_accents_by_decomposition(spark):
 
 def test_report_positions(spark):
     places = {3: 1.0, 40: 2.0, 45: None}
-    rows = spark.createDataFrame([(1, i, places.get(i), 5.0) for i in range(1, 61)], "activity_id long, idx long, lat double, lon double")
-    stops = spark.createDataFrame([(1, 1, 39, 45), (1, 2, 41, 50), (1, 3, 33, 35), (1, 4, 32, 33)], "activity_id long, stop_id long, start_idx long, end_idx long")
+    rows = spark.createDataFrame([(1, i, i, 0.0, places.get(i), 5.0) for i in range(1, 61)], "activity_id long, idx long, t long, distance double, lat double, lon double")
+    stops = spark.createDataFrame([(1, k, a, b, a, b) for k, a, b in ((1, 39, 45), (2, 41, 50), (3, 33, 35), (4, 32, 33))], "activity_id long, stop_id long, start_idx long, end_idx long, start_t long, end_t long")
     assert {r.stop_id: r.report_lat for r in ST.report_positions(rows, stops).collect()} == {1: 2.0, 2: 2.0, 4: 1.0}
 
 
