@@ -27,7 +27,7 @@ SCALE = 1_000_000_000
 #: Ranks of part `term`.
 RANKS = 200
 #: Terms of a shard, about; bytes of terms and hashes that are broadcast at a time; slots of four bytes that a task holds.
-SHARD_KEYS, BLOCK_BYTES, HELD_SLOTS = 1 << 16, 64 << 20, 1 << 25
+SHARD_KEYS, BLOCK_BYTES, HELD_SLOTS = 1 << 16, 64 << 20, 1 << 24
 #: Terms a task of the first pass holds before it gives their counts away.
 HELD_TERMS = 400_000
 #: What a shard takes for a term beside its bytes: hash levels, ranks and an offset.
@@ -222,6 +222,10 @@ def _recounted(held):
             for lang, source, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if lang in block.many:
                     groups[lang, source].update(terms_of(text))
+            slots_of: dict[str, dict[bytes, int]] = {}
+            for lang in {lang for lang, _ in groups}:  # each term once, however many sources have it
+                every = list(set().union(*(counts for (own, _), counts in groups.items() if own == lang)))
+                slots_of[lang] = dict(zip(every, block.slots(lang, every).tolist(), strict=True))
             for key, counts in groups.items():
                 width, n = block.width[key[0]], counts.total()
                 if (key not in dense and dense and width > room) or words + n >= 1 << 32:  # four bytes hold a count
@@ -230,7 +234,7 @@ def _recounted(held):
                 if key not in dense:
                     dense[key] = np.zeros(width, dtype=np.uint32)
                     room -= width
-                slots = block.slots(key[0], list(counts))
+                slots = np.fromiter(map(slots_of[key[0]].__getitem__, counts), dtype=np.int64, count=len(counts))
                 kept = slots >= 0
                 dense[key][slots[kept] - block.first[key[0]]] += np.fromiter(counts.values(), dtype=np.int64, count=len(counts))[kept].astype(np.uint32)
                 words += n
