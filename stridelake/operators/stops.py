@@ -142,8 +142,13 @@ _MOMENTS = {
 }
 
 
-def edges(records: DataFrame, stops: DataFrame, profile: Profile = DEFAULT, zones: bool = False) -> DataFrame:
-    """stops, with a column for each of their moments: running sums and counts of all measures up to it, and what is known next to it.
+#: What a purpose needs: measures, counts and moments.
+_AROUND = ("hr cost spin resp climb rows riding coast readings drops".split(), "window_begin start started settled settling ended window_end last".split())
+_SIDES = ("pulse pace power spin moving rows readings drops".split(), "first side_end side_begin last".split())
+
+
+def edges(records: DataFrame, stops: DataFrame, profile: Profile = DEFAULT, needs: tuple[list[str], list[str]] = _AROUND, zones: bool = False) -> DataFrame:
+    """stops, with a column for each of their moments: running sums and counts of measures up to it, and what is known next to it.
 
     One pass over records: moments and records are sorted together, and sums over any stretch are the difference of two moments.
     So neither rows are multiplied by stops nor does the length of a stretch matter. The result, a row for each stop, is stored."""
@@ -157,12 +162,13 @@ def edges(records: DataFrame, stops: DataFrame, profile: Profile = DEFAULT, zone
     fell = F.coalesce(odometer < F.last(odometer, ignorenulls=True).over(_order().rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
     rows = records.withColumns({"_moving": moving, "_climb": F.when(rise > 0.5, rise), "_drop": fell})
     sums, counts = _measures(rows, zones)
+    sums, counts = {m: x for m, x in sums.items() if m in needs[0]}, {m: x for m, x in counts.items() if m in needs[0] or m in (*ZONES, "zoned")}
     place = F.when(c("lat").isNotNull() & c("lon").isNotNull(), F.struct("idx", "lat", "lon")) if {"lat", "lon"} <= have else F.lit(None).cast("struct<idx:bigint,lat:double,lon:double>")
     rows = rows.select(
         KEY, c("t").cast("long").alias("t"), c("idx").cast("long").alias("idx"), F.lit(1).alias("_flag"), odometer.alias("_odometer"), place.alias("_place"),
         *(x.alias(f"_{m}") for m, x in sums.items()), *(F.coalesce(x, F.lit(False)).alias(f"_{m}") for m, x in counts.items()),
     )
-    at = [F.struct(F.lit(name).alias("name"), *(F.lit(x).cast("long").alias(n) if n != "_flag" else F.lit(2 if x else 0).alias(n) for n, x in zip(("t", "idx", "_flag"), when(profile), strict=True))) for name, when in _MOMENTS.items()]
+    at = [F.struct(F.lit(name).alias("name"), *(F.lit(x).cast("long").alias(n) if n != "_flag" else F.lit(2 if x else 0).alias(n) for n, x in zip(("t", "idx", "_flag"), _MOMENTS[name](profile), strict=True))) for name in needs[1]]
     asked = stops.select(KEY, F.struct(*(x for x in stops.columns if x != KEY)).alias("_stop"), F.explode(F.array(*at)).alias("x")).select(KEY, "_stop", "x.*")
     both = rows.unionByName(asked, allowMissingColumns=True)
     # A sum is kept as whole thousandths, which add up exactly, and what is left of each value, which is small.
@@ -172,10 +178,10 @@ def edges(records: DataFrame, stops: DataFrame, profile: Profile = DEFAULT, zone
         run |= {f"{m}_n": F.count(f"_{m}").over(upto), f"{m}_w": F.sum(whole).over(upto), f"{m}_r": F.sum(c(f"_{m}") - whole / 1000).over(upto)}
     run |= {f"{m}_n": F.count_if(c(f"_{m}")).over(upto) for m in counts}
     down = Window.partitionBy(KEY).orderBy(F.desc("t"), F.desc("idx"), F.desc("_flag")).rowsBetween(Window.unboundedPreceding, 0)
-    run |= {"next": F.last(F.when(c("_flag") == 1, F.struct("_moving", "_climb")), ignorenulls=True).over(down), "next_odometer": F.last("_odometer", ignorenulls=True).over(down), "next_place": F.last("_place", ignorenulls=True).over(down)}
+    run |= {"next": F.last(F.when(c("_flag") == 1, F.struct(*(f"_{m}" for m in ("moving", "climb") if m in sums))), ignorenulls=True).over(down), "next_odometer": F.last("_odometer", ignorenulls=True).over(down), "next_place": F.last("_place", ignorenulls=True).over(down)}
     told = both.select(KEY, "_stop", "name", F.struct(*(x.alias(n) for n, x in run.items())).alias("run")).filter("name IS NOT NULL")
-    g = told.groupBy(KEY, c("_stop.stop_id").alias("stop_id")).agg(F.first("_stop").alias("_stop"), *(F.max(F.when(c("name") == n, c("run"))).alias(n) for n in _MOMENTS))
-    return stored(g.select(KEY, *(c(f"_stop.{x}").alias(x) for x in stops.columns if x != KEY), *_MOMENTS))
+    g = told.groupBy(KEY, c("_stop.stop_id").alias("stop_id")).agg(F.first("_stop").alias("_stop"), *(F.max(F.when(c("name") == n, c("run"))).alias(n) for n in needs[1]))
+    return stored(g.select(KEY, *(c(f"_stop.{x}").alias(x) for x in stops.columns if x != KEY), *needs[1]))
 
 
 def _n(m: str, a: Column, b: Column) -> Column:
@@ -333,7 +339,7 @@ def performance(records: DataFrame, stops: DataFrame, profile: Profile = DEFAULT
     plausible values, efficiency; before_, after_ and delta_ columns where both sides have 5 rows. full (records as with_zones()
     gives them) adds shares and minutes of zones (A16: rows without a zone do not count, those over the last zone only in the
     whole), cardiac drift and greatest heart-rate drop of each side, with deltas of the zones. zone_digits None: zones are not rounded."""
-    e = edges(records, stops, profile, zones=full)
+    e = edges(records, stops, profile, _SIDES, full)
     e = _with_span(_with_span(e, records, "before_m", "first", "side_end"), records, "after_m", "side_begin", "last")
     c, key = F.col, [KEY, "stop_id"]
     stretch = {"before": (c("first"), c("side_end")), "after": (c("side_begin"), c("last"))}
