@@ -236,29 +236,33 @@ def durability(records: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
 
 def resampled_hr(records: DataFrame, limit_s: int = 30, key: tuple[str, ...] = (KEY,)) -> DataFrame:
     """Heart rates at every second by linear interpolation over at most limit_s seconds into a gap; key, t, hr, n (place)."""
-    known = records.filter("hr IS NOT NULL").groupBy(*key, "t").agg(F.avg("hr").alias("hr"))
-    by_t = Window.partitionBy(*key).orderBy("t")
-    pairs = known.withColumns({"_t": F.lead("t").over(by_t), "_hr": F.lead("hr").over(by_t)})
-    until = F.least(F.coalesce(F.col("_t") - 1, F.col("t")), F.col("t") + limit_s)
+    return _by_second(records, limit_s, key).filter("known").select(*key, "t", "hr", "n")
+
+
+def _by_second(records: DataFrame, limit_s: int, key: tuple[str, ...]) -> DataFrame:
+    """Rows of resampled_hr() with known (true), and a row for each time without a heart rate (false); values: how many heart rates a
+    row stands for, so that all are counted without another look at the records."""
+    times = records.groupBy(*key, "t").agg(F.avg("hr").alias("hr"), F.count("hr").alias("values")).withColumn("known", F.col("hr").isNotNull())
+    by_t = Window.partitionBy(*key, "known").orderBy("t")
+    pairs = times.withColumns({"_t": F.lead("t").over(by_t), "_hr": F.lead("hr").over(by_t)})
+    until = F.when(F.col("known"), F.least(F.coalesce(F.col("_t") - 1, F.col("t")), F.col("t") + limit_s)).otherwise(F.col("t"))
     dense = pairs.withColumn("_s", F.explode(F.sequence("t", until)))
     value = F.col("hr") + F.coalesce((F.col("_hr") - F.col("hr")) * (F.col("_s") - F.col("t")) / (F.col("_t") - F.col("t")), F.lit(0.0))
-    out = dense.select(*key, F.col("_s").alias("t"), value.alias("hr"))
+    out = dense.select(*key, F.col("_s").alias("t"), value.alias("hr"), "known", F.when(F.col("_s") == F.col("t"), F.col("values")).otherwise(0).alias("values"))
     return out.withColumn("n", F.row_number().over(by_t))
 
 
 def max_hr_drop(records: DataFrame, samples: int = 60, profile: Profile = DEFAULT, key: tuple[str, ...] = (KEY,)) -> DataFrame:
     """D-2: the greatest fall of the heart rate over 60 samples from 110 on, not over 90, without a fall over 30 in 3 samples; one
-    decimal. Null where there are under 60 values or 61 samples."""
-    counted = records.groupBy(*key).agg(F.count("hr").alias("_known"))
-    s = resampled_hr(records, key=key)
-    by_n = Window.partitionBy(*key).orderBy("n")
+    decimal. Null where there are under 60 values or 61 samples. Records are read once; a second of an activity is a row."""
+    s = _by_second(records, 30, key)
+    by_n = Window.partitionBy(*key, "known").orderBy("n")
     s = s.withColumns({"_end": F.lead("hr", samples).over(by_n), "_fall3": F.col("hr") - F.lead("hr", 3).over(by_n)})
     s = s.withColumn("_worst", F.max("_fall3").over(by_n.rowsBetween(0, samples - 3)))
     drop = F.col("hr") - F.col("_end")
     ok = (F.col("hr") >= profile.min_start_hr) & (drop > 0) & (drop <= profile.max_drop) & (F.col("_worst") <= profile.max_jump)
-    best = s.groupBy(*key).agg(F.max(F.when(ok, drop)).alias("_d"), F.count("*").alias("_n"))
-    out = counted.join(best, list(key), "left")
-    return out.select(*key, F.when((F.col("_known") >= 60) & (F.col("_n") >= samples + 1), F.bround(F.round("_d", 9), 1)).alias("max_hr_drop"))
+    best = s.groupBy(*key).agg(F.max(F.when(ok, drop)).alias("_d"), F.count_if("known").alias("_n"), F.sum("values").alias("_known"))
+    return best.select(*key, F.when((F.col("_known") >= 60) & (F.col("_n") >= samples + 1), F.bround(F.round("_d", 9), 1)).alias("max_hr_drop"))
 
 
 def low_hrv_bin(records: DataFrame) -> DataFrame:
@@ -313,10 +317,94 @@ def speed_segments(records: DataFrame) -> DataFrame:
     return g.withColumn("slope", F.when(F.abs(ds) > 0.05, (F.lead("hr").over(nxt) - F.col("hr")) / ds))
 
 
+def record_measures(records: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
+    """D-1, D-18 and D-21 of every activity in one pass: activity_id, cardiac_drift, durability, aet_hr_proxy. The rules are those of
+    cardiac_drift(), durability(), low_hrv_bin() and speed_breakpoint(), each of which reads the records by itself; here each is a
+    condition on rows, whose bounds windows over the activity give, and one aggregate ends them all: one scan, one shuffle.
+    records as with_zones() gives them."""
+    c, whole, by_idx = F.col, Window.partitionBy(KEY), Window.partitionBy(KEY).orderBy("idx")
+    cycling = is_cycling(c("sport"))
+    effort = F.when(cycling, c("power")).otherwise(c("speed"))
+    moving = F.coalesce(c("speed") > moving_speed(c("sport")), F.lit(False)) | (F.coalesce("hr", F.lit(0.0)) > DEFAULT.zones["Z1"][1])
+    yes = lambda x: F.coalesce(x, F.lit(False))
+    rows = records.select(
+        KEY, "idx", "t", "hr", "speed", "altitude", "distance", "hrv", cycling.alias("_cyc"), effort.alias("_e"), yes(moving & (c("hr") > 0) & (effort > 0)).alias("_eff"),
+        yes(c("is_active") & (c("hr") > 0) & (c("speed") > 0.5)).alias("_fast"), yes((c("hr") > 0) & c("hrv").isNotNull()).alias("_pair"), (F.floor(c("hr") / 5) * 5).cast("long").alias("_bin"),
+        hr_zone(c("hr").cast("int"), profile).isin("Z1", "Z2", "").alias("_easy"),
+    )
+    over = lambda f, cond, x: f(F.when(cond, x)).over(whole)
+    rows = rows.withColumns({
+        "_first": over(F.min, c("_eff"), c("t")),
+        "_last": over(F.max, c("_eff"), c("t")),
+        "_efforts": F.count_if("_eff").over(whole),
+        "_quick": F.count_if("_fast").over(whole),
+        "_before": F.last(F.when(c("_fast"), F.struct("altitude", "distance")), ignorenulls=True).over(by_idx.rowsBetween(Window.unboundedPreceding, -1)),
+    })
+    warm = c("_eff") & (c("_efforts") >= 20) & (c("t") >= c("_first") + profile.warmup_s)
+    gradient = (c("altitude") - c("_before.altitude")) / F.nullif(c("distance") - c("_before.distance"), F.lit(0.0)) * 100
+    rows = rows.withColumns({"_warm": warm, "_flat": c("_fast") & (c("_quick") >= 100) & F.coalesce(F.abs(gradient) <= 2, F.lit(True))})
+    rows = rows.withColumns({
+        "_warms": F.count_if("_warm").over(whole),
+        "_range": over(F.max, c("_warm"), c("altitude")) - over(F.min, c("_warm"), c("altitude")),
+        "_heights": F.count(F.when(c("_warm"), c("altitude"))).over(whole),
+        "_flats": F.count_if("_flat").over(whole),
+    })
+    hilly = yes((c("_heights") >= 10) & (c("_range") > profile.drift_max_altitude))
+    rows = rows.withColumn("_drift", c("_warm") & (c("_warms") >= 20) & (c("_cyc") | (~hilly & c("_easy"))))
+    # Flat rows in k equal segments by speed: numbered among themselves.
+    k = F.least(F.lit(10), F.floor(c("_flats") / 20))
+    place = F.row_number().over(Window.partitionBy(KEY, "_flat").orderBy("speed", "idx")) - 1
+    segment = F.when(c("_flat") & (c("_flats") >= 100) & (k >= 4), F.floor(place / F.floor(c("_flats") / k)).cast("long"))
+    in_bin = Window.partitionBy(KEY, "_pair", "_bin")
+    rows = rows.withColumns({
+        "_from": over(F.min, c("_drift"), c("t")),
+        "_to": over(F.max, c("_drift"), c("t")),
+        "_segment": F.when(segment < k, segment),
+        "_bin_mean": F.avg("hrv").over(in_bin),
+        "_bin_rows": F.count("*").over(in_bin),
+    })
+
+    def halves(cond: Column, lo: str, hi: str, name: str) -> list[Column]:
+        early = c("t") <= (c(lo) + c(hi)) / 2
+        mean = lambda side, x: F.avg(F.when(cond & side, x))
+        ratio = {f"{name}_r{i}": mean(side, c("_e")) / mean(side, c("hr")) for i, side in ((1, early), (2, ~early))}
+        level = {f"{name}_m{i}": mean(side, c("_e")) for i, side in ((1, early), (2, ~early))}
+        return [x.alias(n) for n, x in (ratio | level).items()]
+
+    bins = F.collect_set(F.when(c("_pair") & (c("_bin_rows") >= 3), F.struct(c("_bin").alias("bin"), c("_bin_mean").alias("mean"))))  # one for each 5 beats a minute
+    part = lambda i, x: F.avg(F.when(c("_segment") == i, c(x)))
+    g = rows.groupBy(KEY).agg(
+        F.first("_cyc").alias("cyc"), F.count_if("_drift").alias("n_drift"), F.first("_efforts").alias("n_efforts"), (F.first("_last") - F.first("_first")).alias("span"),
+        *halves(c("_drift"), "_from", "_to", "d"), *halves(c("_eff"), "_first", "_last", "e"),
+        bins.alias("bins"), F.count("hrv").alias("n_values"), F.count_if("_pair").alias("n_pairs"),
+        F.array(*(F.struct(part(i, "speed").alias("v"), part(i, "hr").alias("h")) for i in range(10))).alias("segments"),
+    )
+    change = lambda name, least, x: F.when((c(f"{name}_m1") >= least) & (c(f"{name}_m2") >= least), F.bround(F.round(x, 9), 2))
+    drift = change("d", F.when(c("cyc"), 30.0).otherwise(2 / 3.6), (c("d_r1") - c("d_r2")) / c("d_r1") * 100)
+    lasting = change("e", F.when(c("cyc"), 30.0).otherwise(0.56), (c("e_r2") / c("e_r1") - 1) * 100)
+    best = F.array_max(F.transform("bins", lambda b: b["mean"]))
+    low = F.array_min(F.transform(F.filter("bins", lambda b: b["mean"] < best / 2), lambda b: b["bin"]))
+    low = F.when((c("n_values") > 60) & (c("n_pairs") > 100) & (F.size("bins") >= 4), low)
+    # Slopes of neighbouring segments, and the segment after the slope that rises most to the next (the first of equals).
+    g = g.withColumn("segments", F.filter("segments", lambda x: x["v"].isNotNull()))
+    steps = F.transform(F.slice("segments", 2, 9), lambda b, i: F.struct((b["v"] - c("segments")[i]["v"]).alias("dv"), (b["h"] - c("segments")[i]["h"]).alias("dh"), b["h"].alias("after"), i.alias("i")))
+    g = g.withColumn("slopes", F.transform(F.filter(steps, lambda x: F.abs(x["dv"]) > 0.05), lambda x: F.struct((x["dh"] / x["dv"]).alias("s"), x["after"].alias("after"), x["i"].alias("i"))))
+    rises = F.transform(F.slice("slopes", 2, 9), lambda b, i: F.struct((b["s"] - c("slopes")[i]["s"]).alias("change"), (-c("slopes")[i]["i"]).alias("i"), c("slopes")[i]["after"].alias("after")))
+    turn = F.when(F.size("slopes") >= 3, F.floor(F.array_max(rises)["after"]).cast("long"))
+    cap = 0.8 * profile.max_hr
+    proxy = F.when(low > cap, None).when(low >= 130, low).otherwise(F.when(turn.between(130, cap), turn))
+    return g.select(
+        KEY,
+        F.when(c("n_drift") >= 20, drift).alias("cardiac_drift"),
+        F.when((c("n_efforts") >= 20) & (c("span") >= profile.durability_min * 60), lasting).alias("durability"),
+        proxy.alias("aet_hr_proxy"),
+    )
+
+
 def activity_metrics(activities: DataFrame, records: DataFrame, beats: DataFrame | None = None, profile: Profile = DEFAULT, least_minutes: float = 20) -> DataFrame:
     """D-26: every activity with its measures: fuel, fluid, climb, excess oxygen, recovery and load over critical heart rate of all;
-    drift, heart-rate drop, durability and thresholds of cardio activities of at least 20 minutes, from their records (activity_id
-    joined once for each measure), and respiration from beats. records as with_zones() gives them."""
+    drift, heart-rate drop, durability and thresholds of cardio activities of at least 20 minutes, from their records (read once for
+    all measures by rows and once for the drop, which needs a row a second), and respiration from beats. records as with_zones() gives them."""
     from stridelake.operators import rr
 
     eligible = activities.filter(is_cardio(F.col("sport")) & (F.col("duration_minutes") >= least_minutes)).select(KEY)
@@ -331,10 +419,14 @@ def activity_metrics(activities: DataFrame, records: DataFrame, beats: DataFrame
         "climb_score": climb_score(c("ascent_m"), c("distance_km")),
     })
     out = out.withColumn("climb_category", climb_category(c("climb_score")))
-    parts = [cardiac_drift(rows, profile), max_hr_drop(rows, profile=profile), durability(rows, profile), threshold_proxy(rows, profile).withColumnRenamed("threshold_hr", "aet_hr_proxy")]
+    parts = [record_measures(rows, profile), max_hr_drop(rows, profile=profile)]
     if beats is not None:
         own = beats.join(eligible, KEY, "left_semi")
-        parts += [rr.aerobic_thresholds(own, rows, profile), rr.respiration_rate(own)]
+        parts += [rr.dfa_thresholds(own, profile).select(KEY, "aet_hr", "ant_hr", "quality"), rr.respiration_rate(own)]
+        parts[0] = parts[0].withColumn("_measured", F.lit(True))
     for part in parts:
         out = out.join(part, KEY, "left")
+    if beats is not None:
+        quality = F.when(c("aet_hr").isNotNull(), "real").when(c("aet_hr_proxy").isNotNull(), "proxy").when(c("_measured") | c("quality").isNotNull(), "none")
+        out = out.withColumns({"dfa_quality": quality, "aet_hr": F.coalesce("aet_hr", c("aet_hr_proxy").cast("double"))}).drop("_measured", "quality")
     return out
