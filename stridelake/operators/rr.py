@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stridelake.profile import DEFAULT, Profile
@@ -42,60 +42,81 @@ def beat_windows(beats: DataFrame, width: int = 200, step: int = 30) -> DataFram
     return dealt.groupBy(KEY, "win").agg(F.avg("rr_ms").alias("mean_rr"), (F.stddev_pop("rr_ms") / F.avg("rr_ms")).alias("cv"))
 
 
-def dfa_alpha1(rr: np.ndarray, boxes: range = range(4, 17)) -> float:
-    """Short-term scaling exponent: slope of log fluctuation over log box size, each box detrended by a line (Peng et al., 1994)."""
-    walk = np.cumsum(rr - rr.mean())
-    sizes, fluctuation = [], []
-    for n in boxes:
-        parts = walk[: len(walk) // n * n].reshape(-1, n)
-        x = np.arange(n) - (n - 1) / 2
-        slope = parts @ x / (x @ x)
-        rest = parts - parts.mean(axis=1, keepdims=True) - slope[:, None] * x
-        f = np.sqrt((rest**2).mean())
-        if f > 0:
-            sizes.append(np.log(n))
-            fluctuation.append(np.log(f))
-    return float(np.polyfit(sizes, fluctuation, 1)[0]) if len(sizes) > 1 else float("nan")
+def _let(value: Column, use) -> Column:
+    """use(value), where value is worked out once."""
+    return F.transform(F.array(value), use)[0]
 
 
-def _crossing(hr: np.ndarray, alpha: np.ndarray, limit: float) -> float | None:
-    """Heart rate at which alpha first falls through the limit, between its neighbours."""
-    for i in range(len(alpha) - 1):
-        if alpha[i] >= limit > alpha[i + 1]:
-            return float(hr[i] + (hr[i + 1] - hr[i]) * (alpha[i] - limit) / (alpha[i] - alpha[i + 1]))
-    return None
+def _total(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
 
 
-def _smoothed(x: np.ndarray, size: int) -> np.ndarray:
-    """Moving mean, reflected at the edges; an even window reaches one further back."""
-    left = size // 2
-    padded = np.concatenate([x[:left][::-1], x, x[::-1][: size - 1 - left]])
-    return np.convolve(padded, np.ones(size) / size, mode="valid")
+def smoothed(xs: Column, size: Column) -> Column:
+    """Moving mean of an array, reflected at its edges; an even window reaches one further back."""
+
+    def means(xs: Column) -> Column:
+        n, left = F.size(xs), F.floor(size / 2).cast("int")
+        at = lambda j: F.when(j < 0, -1 - j).when(j >= n, 2 * n - 1 - j).otherwise(j)
+        mean = lambda i: _total(F.transform(F.sequence(i - left, i - left + size - 1), lambda j: F.get(xs, at(j)))) / size
+        return F.transform(F.sequence(F.lit(0), n - 1), mean)
+
+    return _let(xs, means)
+
+
+def first_crossing(xs: Column, ys: Column, limit: float) -> Column:
+    """X at which y first falls through the limit, between its neighbours; null where it never does."""
+    falls = F.filter(F.sequence(F.lit(0), F.size(ys) - 2), lambda i: (F.get(ys, i) >= limit) & (F.get(ys, i + 1) < limit))
+    between = lambda i: F.get(xs, i) + (F.get(xs, i + 1) - F.get(xs, i)) * (F.get(ys, i) - limit) / (F.get(ys, i) - F.get(ys, i + 1))
+    return F.when(F.size(ys) > 1, F.get(F.transform(falls, between), F.lit(0)))
+
+
+def dfa_alpha1(walks: DataFrame, key: list[str], width: int, sizes: range = range(4, 17)) -> DataFrame:
+    """key, alpha: short-term scaling exponents of walks (key, pos from 0 to width - 1, y: running sums of deviations): slopes of log
+    fluctuation over log box size, each box detrended by a line (Peng et al., 1994). Sizes without any fluctuation do not count;
+    no row where fewer than two are left. A place is in one box of each size; all sums are closed forms of a line's regression."""
+    size = F.explode(F.array(*map(F.lit, sizes))).alias("size")
+    dealt = walks.select(*key, "pos", "y", size).filter(F.col("pos") < F.floor(F.lit(width) / F.col("size")) * F.col("size"))
+    box = F.floor(F.col("pos") / F.col("size")).alias("box")
+    rest = F.count("*") * (F.var_pop("y") - F.pow(F.covar_pop("y", "pos"), F.lit(2)) / F.var_pop("pos"))
+    boxes = dealt.groupBy(*key, "size", box).agg(rest.alias("rest"), F.count("*").alias("n"))
+    level = boxes.groupBy(*key, "size").agg((F.sum("rest") / F.sum("n")).alias("f2")).filter("f2 > 0")
+    slope = F.regr_slope(F.ln("f2") / 2, F.ln(F.col("size").cast("double")))
+    return level.groupBy(*key).agg(slope.alias("alpha"), F.count("*").alias("_sizes")).filter("_sizes > 1").drop("_sizes")
+
+
+def alpha_windows(beats: DataFrame, width: int = 200, step: int = 30) -> DataFrame:
+    """Windows of `width` plausible beats every `step` beats with at most a quarter of variation, and alpha between 0 and 2:
+    activity_id, win, hr (mean), alpha. An activity's beats meet by one shuffle; windows and boxes are groups within."""
+    numbered = without_ectopic(beats).withColumns({"_i": F.row_number().over(_order()) - 1, "_n": F.count("*").over(Window.partitionBy(KEY))})
+    first = F.greatest(F.lit(0), F.ceil((F.col("_i") - (width - 1)) / step)).cast("long")
+    dealt = numbered.withColumn("win", F.explode(F.sequence(first, F.floor(F.col("_i") / step).cast("long")))).filter(F.col("win") * step <= F.col("_n") - width)
+    whole = Window.partitionBy(KEY, "win")
+    dealt = dealt.withColumns({"mean": F.avg("rr_ms").over(whole), "_sd": F.stddev_pop("rr_ms").over(whole)}).filter(F.col("_sd") / F.col("mean") <= 0.25)
+    run = F.sum(F.col("rr_ms") - F.col("mean")).over(whole.orderBy("_i").rowsBetween(Window.unboundedPreceding, 0))
+    walks = dealt.select(KEY, "win", "mean", (F.col("_i") - F.col("win") * step).alias("pos"), run.alias("y"))
+    return dfa_alpha1(walks, [KEY, "win", "mean"], width).select(KEY, "win", (60000 / F.col("mean")).alias("hr"), "alpha").filter("alpha > 0 AND alpha < 2")
+
+
+def alpha_curves(beats: DataFrame) -> DataFrame:
+    """activity_id, windows (how many), and for ten windows and more the arrays hr and alpha, by heart rate, alpha smoothed."""
+    g = alpha_windows(beats).groupBy(KEY).agg(F.count("*").alias("windows"), F.array_sort(F.collect_list(F.struct("hr", "alpha"))).alias("x"))
+    size = F.least(F.lit(5), F.greatest(F.lit(3), F.floor(F.col("windows") / 3))).cast("int")
+    alpha = smoothed(F.transform("x", lambda x: x["alpha"]), size)
+    enough = F.col("windows") >= 10
+    return g.select(KEY, "windows", F.when(enough, F.transform("x", lambda x: x["hr"])).alias("hr"), F.when(enough, alpha).alias("alpha"))
 
 
 def dfa_thresholds(beats: DataFrame, profile: Profile = DEFAULT, aerobic: float = 0.75, anaerobic: float = 0.50) -> DataFrame:
     """D-22: heart rates at which alpha1 of beat windows falls through both limits; null where there are too few beats or pairs.
-    quality: real where the aerobic one was found, else none."""
+    quality: real where the aerobic one was found, else none. A row for every activity with plausible beats."""
     cap = 0.8 * profile.max_hr
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        rr = group.sort_values("beat")["rr_ms"].to_numpy(float)
-        pairs = []
-        for at in range(0, len(rr) - 199, 30):
-            part = rr[at : at + 200]
-            alpha = dfa_alpha1(part) if part.std() / part.mean() <= 0.25 else float("nan")
-            if 0 < alpha < 2:
-                pairs.append((60000 / part.mean(), alpha))
-        aet = ant = None
-        if len(pairs) >= 10:
-            hr, alpha = np.array(sorted(pairs)).T
-            alpha = _smoothed(alpha, min(5, max(3, len(pairs) // 3)))
-            aet, ant = _crossing(hr, alpha, aerobic), _crossing(hr, alpha, anaerobic)
-            aet = aet if aet and 100 <= aet <= cap else None
-            ant = ant if ant and ant >= 100 and (aet is None or ant > aet) else None
-        return pd.DataFrame({KEY: [group[KEY].iloc[0]], "aet_hr": [aet], "ant_hr": [ant], "windows": [len(pairs)], "quality": ["real" if aet else "none"]})
-
-    return without_ectopic(beats).groupBy(KEY).applyInPandas(one, f"{KEY} long, aet_hr double, ant_hr double, windows long, quality string")
+    every = without_ectopic(beats).select(KEY).distinct()
+    found = alpha_curves(beats).select(KEY, "windows", *(first_crossing(F.col("hr"), F.col("alpha"), limit).alias(n) for n, limit in (("aet", aerobic), ("ant", anaerobic))))
+    aet = F.when(F.col("aet").between(100, cap), F.col("aet"))
+    out = every.join(found, KEY, "left").withColumn("aet_hr", aet)
+    ant = F.when((F.col("ant") >= 100) & (F.col("aet_hr").isNull() | (F.col("ant") > F.col("aet_hr"))), F.col("ant"))
+    quality = F.when(F.col("aet_hr").isNotNull(), "real").otherwise("none")
+    return out.select(KEY, "aet_hr", ant.alias("ant_hr"), F.coalesce("windows", F.lit(0)).alias("windows"), quality.alias("quality"))
 
 
 def aerobic_thresholds(beats: DataFrame, records: DataFrame, profile: Profile = DEFAULT) -> DataFrame:

@@ -9,6 +9,7 @@ from stridelake.functions import rolling as R
 from stridelake.operators import activity as A
 from stridelake.operators import rr as RR
 from stridelake.plans.registry import query
+from stridelake.profile import DEFAULT
 from stridelake.sources.fixtures import sql, view
 
 I = "PARTITION BY activity_id ORDER BY idx"
@@ -274,15 +275,56 @@ def w27(spark, d):
     return RR.beat_windows(beats(spark, d)).select("activity_id", "win", F.round("mean_rr", 6).alias("mean_rr"), F.round("cv", 6).alias("cv"))
 
 
-@query("d22_dfa_thresholds")
+#: Detrended fluctuations by the same definition: boxes as groups, regression sums, slopes over the logarithms of sizes.
+ALPHA = f"""{RRV}, ok AS (SELECT activity_id, beat, rr_ms FROM (SELECT *, lag(rr_ms) OVER (PARTITION BY activity_id ORDER BY beat) AS p FROM rr WHERE rr_ms BETWEEN 273 AND 2000) WHERE {{of}} AND (p IS NULL OR abs(rr_ms - p) / p <= 0.20)),
+nb AS (SELECT *, row_number() OVER (PARTITION BY activity_id ORDER BY beat) - 1 AS i, count(*) OVER (PARTITION BY activity_id) AS n FROM ok),
+dw AS (SELECT * FROM (SELECT *, unnest(range(greatest(0, (i - 199 + 29) // 30), i // 30 + 1)) AS win FROM nb) WHERE win * 30 <= n - 200),
+mw AS (SELECT *, avg(rr_ms) OVER (PARTITION BY activity_id, win) AS mean, stddev_pop(rr_ms) OVER (PARTITION BY activity_id, win) AS sd FROM dw),
+wk AS (SELECT activity_id, win, mean, i - win * 30 AS pos, sum(rr_ms - mean) OVER (PARTITION BY activity_id, win ORDER BY i ROWS UNBOUNDED PRECEDING) AS y FROM mw WHERE sd / mean <= 0.25),
+bx AS (SELECT activity_id, win, mean, s, pos // s AS box, pos % s - (s - 1) / 2.0::DOUBLE AS x, y, avg(y) OVER (PARTITION BY activity_id, win, s, pos // s) AS m FROM wk, (SELECT unnest(range(4, 17)) AS s) WHERE pos < (200 // s) * s),
+rs AS (SELECT activity_id, win, mean, s, sum(pow(y - m, 2)) - pow(sum((y - m) * x), 2) / (s * (s * s - 1) / 12.0::DOUBLE) AS rest FROM bx GROUP BY activity_id, win, mean, s, box),
+fl AS (SELECT activity_id, win, mean, ln(s) AS x, ln(sum(rest) / ((200 // s) * s)) / 2 AS y FROM rs GROUP BY activity_id, win, mean, s HAVING sum(rest) > 0),
+al AS (SELECT activity_id, win, 60000 / mean AS hr, (count(*) * sum(x * y) - sum(x) * sum(y)) / (count(*) * sum(x * x) - sum(x) * sum(x)) AS alpha FROM fl GROUP BY activity_id, win, mean HAVING count(*) > 1),
+pa AS (SELECT *, row_number() OVER (PARTITION BY activity_id ORDER BY hr, alpha) - 1 AS i, count(*) OVER (PARTITION BY activity_id) AS n, least(5, greatest(3, count(*) OVER (PARTITION BY activity_id) // 3)) AS size FROM al WHERE alpha > 0 AND alpha < 2),
+of_ AS (SELECT *, unnest(range(i - size // 2, i - size // 2 + size)) AS j FROM pa WHERE n >= 10),
+sm AS (SELECT o.activity_id, o.i, o.hr, avg(p.alpha) AS alpha FROM of_ o JOIN pa p ON p.activity_id = o.activity_id AND p.i = CASE WHEN j < 0 THEN -1 - j WHEN j >= o.n THEN 2 * o.n - 1 - j ELSE j END GROUP BY ALL),
+nx AS (SELECT *, lead(alpha) OVER (PARTITION BY activity_id ORDER BY i) AS a2, lead(hr) OVER (PARTITION BY activity_id ORDER BY i) AS h2 FROM sm),
+cr AS (SELECT activity_id, """ + ", ".join(f"arg_min(hr + (h2 - hr) * (alpha - {x}) / (alpha - a2), i) FILTER (alpha >= {x} AND a2 < {x}) AS {n}" for n, x in (("aet", "0.75::DOUBLE"), ("ant", "0.5::DOUBLE"))) + """ FROM nx GROUP BY 1),
+th AS (SELECT activity_id, windows, aet_hr, CASE WHEN ant >= 100 AND (aet_hr IS NULL OR ant > aet_hr) THEN ant END AS ant_hr FROM (SELECT k.activity_id, coalesce(windows, 0) AS windows, CASE WHEN aet BETWEEN 100 AND 0.8::DOUBLE * {most} THEN aet END AS aet_hr, ant
+  FROM (SELECT DISTINCT activity_id FROM ok) k LEFT JOIN (SELECT activity_id, count(*) AS windows FROM pa GROUP BY 1) USING (activity_id) LEFT JOIN cr USING (activity_id)))"""
+_alpha = lambda of="true": ALPHA.replace("{of}", of).replace("{most}", str(DEFAULT.max_hr))
+
+
+@query("w27_w28_alpha_windows", sql(f"{_alpha()} SELECT activity_id, win, round(hr, 6) AS hr, round(alpha, 6) AS alpha FROM al WHERE alpha > 0 AND alpha < 2"))
+def w28_windows(spark, d):
+    return RR.alpha_windows(beats(spark, d)).select("activity_id", "win", F.round("hr", 6).alias("hr"), F.round("alpha", 6).alias("alpha"))
+
+
+@query("w28_smoothed_alpha", sql(f"{_alpha()} SELECT activity_id, i AS place, round(hr, 6) AS hr, round(alpha, 6) AS alpha FROM sm"))
+def w28(spark, d):
+    curves = RR.alpha_curves(beats(spark, d)).filter("windows >= 10")
+    rows = curves.select("activity_id", F.posexplode(F.arrays_zip("hr", "alpha")).alias("place", "x"))
+    return rows.select("activity_id", F.col("place").cast("long").alias("place"), F.round("x.hr", 6).alias("hr"), F.round("x.alpha", 6).alias("alpha"))
+
+
+@query("w29_first_crossings", sql(f"{_alpha()} SELECT activity_id, round(aet, 5) AS aet, round(ant, 5) AS ant FROM cr"))
+def w29(spark, d):
+    """Where alpha first falls through both limits, whether or not these heart rates are plausible."""
+    curves = RR.alpha_curves(beats(spark, d)).filter("windows >= 10")
+    at = lambda limit: F.round(RR.first_crossing(F.col("hr"), F.col("alpha"), limit), 5)
+    return curves.select("activity_id", at(0.75).alias("aet"), at(0.50).alias("ant"))
+
+
+@query("d22_dfa_thresholds", sql(f"{_alpha()} SELECT activity_id, round(aet_hr, 5) AS aet_hr, round(ant_hr, 5) AS ant_hr, windows, CASE WHEN aet_hr IS NULL THEN 'none' ELSE 'real' END AS quality FROM th"))
 def d22(spark, d):
-    return RR.dfa_thresholds(beats(spark, d))
+    return RR.dfa_thresholds(beats(spark, d)).withColumns({c: F.round(c, 5) for c in ("aet_hr", "ant_hr")})
 
 
-@query("d22_thresholds_with_fall_back")
+@query("d22_thresholds_with_fall_back", sql(f"{PROXY}, {_alpha('activity_id % 3 > 0')} SELECT activity_id, round(coalesce(aet_hr, threshold_hr), 5) AS aet_hr, round(ant_hr, 5) AS ant_hr, CASE WHEN aet_hr IS NOT NULL THEN 'real' WHEN threshold_hr IS NOT NULL THEN 'proxy' ELSE 'none' END AS dfa_quality FROM th FULL JOIN px USING (activity_id)"))
 def d22_all(spark, d):
     """Every third activity has no beats."""
-    return RR.aerobic_thresholds(beats(spark, d).filter("activity_id % 3 > 0"), A.with_zones(recs(spark, d)))
+    out = RR.aerobic_thresholds(beats(spark, d).filter("activity_id % 3 > 0"), A.with_zones(recs(spark, d)))
+    return out.withColumns({c: F.round(c, 5) for c in ("aet_hr", "ant_hr")})
 
 
 @query("f_arr1_flattened_beats", sql("m AS (SELECT activity_id, idx // 10 AS message, idx, CASE WHEN idx % 7 = 0 THEN NULL WHEN idx % 11 = 0 THEN 0 ELSE 60 / hr END AS s FROM records WHERE hr > 0 AND idx // 10 % 9 > 0) SELECT activity_id, row_number() OVER (PARTITION BY activity_id ORDER BY idx) AS beat, round(s * 1000, 5) AS rr_ms FROM m WHERE s > 0"))

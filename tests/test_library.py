@@ -190,10 +190,29 @@ def test_drop_needs_61_samples(spark):
     assert A.max_hr_drop(frame.filter("t < 59")).first().max_hr_drop is None
 
 
-def test_dfa_of_noise_and_walk():
-    rng = np.random.default_rng(0)
-    noise = rng.normal(size=4000)
-    assert abs(RR.dfa_alpha1(noise) - 0.5) < 0.1 and abs(RR.dfa_alpha1(np.cumsum(noise)) - 1.5) < 0.2
+def test_dfa_of_noise_and_walk(spark):
+    noise = np.random.default_rng(0).normal(size=4000)
+    rows = [(k, i, float(y)) for k, x in (("noise", noise), ("walk", np.cumsum(noise))) for i, y in enumerate(np.cumsum(x - x.mean()))] + [("still", i, 0.0) for i in range(4000)]
+    got = {r.k: r.alpha for r in RR.dfa_alpha1(spark.createDataFrame(rows, "k string, pos long, y double"), ["k"], 4000).collect()}
+    assert set(got) == {"noise", "walk"} and abs(got["noise"] - 0.5) < 0.1 and abs(got["walk"] - 1.5) < 0.2
+    walk = np.cumsum(noise - noise.mean())
+    levels = []
+    for n in range(4, 17):
+        parts = walk[: 4000 // n * n].reshape(-1, n)
+        fits = [np.polyval(np.polyfit(np.arange(n), p, 1), np.arange(n)) for p in parts]
+        levels.append((np.log(n), np.log(np.sqrt(np.mean((parts - fits) ** 2)))))
+    assert got["noise"] == pytest.approx(np.polyfit(*zip(*levels, strict=True), 1)[0], abs=1e-9)
+
+
+@pytest.mark.parametrize(("n", "size"), [(10, 3), (12, 4), (40, 5)])
+def test_reflected_means_and_crossings(spark, n, size):
+    x = [float((i * 37) % 11) for i in range(n)]
+    at = lambda j: x[-1 - j if j < 0 else 2 * n - 1 - j if j >= n else j]
+    want = [sum(at(i - size // 2 + k) for k in range(size)) / size for i in range(n)]
+    frame = spark.createDataFrame([(x, size)], "x array<double>, size int")
+    assert frame.select(RR.smoothed(F.col("x"), F.col("size")).alias("y")).first().y == pytest.approx(want)
+    curve = spark.createDataFrame([([100.0, 110.0, 120.0, 130.0], [0.5, 0.9, 0.6, 0.4]), ([1.0], [1.0]), ([1.0, 2.0], [0.75, 0.75])], "hr array<double>, a array<double>")
+    assert [r.x for r in curve.select(RR.first_crossing(F.col("hr"), F.col("a"), 0.75).alias("x")).collect()] == [pytest.approx(115.0), None, None]
 
 
 def test_respiration(spark):
