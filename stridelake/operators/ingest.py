@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stridelake.functions import rolling as R
-from stridelake.functions.scalars import day_first_date, eu_number, sleep_minutes
+from stridelake.functions.scalars import day_first_date, eu_number, is_cardio, sleep_minutes
 from stridelake.profile import DEFAULT, Profile
 from stridelake.sources.tables import enforced
 
@@ -322,3 +322,10 @@ def deduplicated(entries: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
     element = "array<struct<" + ",".join(f"`{c}`:{kind[c].dataType.simpleString()}" for c in sortable) + ">>"
     folded = crowd.select(F.inline(F.aggregate("rows", F.array().cast(element), step)))
     return alone.unionByName(folded)
+
+
+def records_of_newest(activities: DataFrame, records: DataFrame, most: int) -> DataFrame:
+    """The records of the newest `most` cardio activities (T1: by date, then id). The ids are a top-k, broadcast as such: at most
+    `most` of them, so that records are filtered where they are read."""
+    newest = activities.filter(is_cardio(F.col("sport"))).orderBy(F.desc("date"), "activity_id").limit(most).select("activity_id")
+    return records.join(F.broadcast(newest), "activity_id", "left_semi")

@@ -546,3 +546,56 @@ def s19(spark, d):
     held = T.read_lookup(spark, path).withColumnRenamed("value", "address")
     c = table(spark, d, "customer").withColumn("key", F.col("c_nationkey").cast("string"))
     return c.join(held, "key", "left").select("c_custkey", "address")
+
+
+# --- real files -------------------------------------------------------------------------------------------------------------
+
+
+def scratch(spark, name: str) -> str:
+    return f"{T.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("s05_csv_landing", sql("SELECT event_id, user_id, CASE WHEN event_id % 3 > 0 THEN value END AS value, NULL::VARCHAR AS corrupt FROM events UNION ALL SELECT NULL, NULL, NULL, 'only ' || event_type FROM (SELECT DISTINCT event_type FROM events)"))
+def s05_csv(spark, d):
+    """Files in two folders: one with quoted and padded headers, one with other columns in another order; and one with broken lines."""
+    e, base = events(spark, d), scratch(spark, "csv")
+    first = e.filter("event_id % 3 > 0").select(F.col("event_id").alias(" event_id "), F.col("value").alias("value"), F.col("user_id").alias("user_id "), "event_type")
+    first.write.option("header", "true").option("quoteAll", "true").option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(f"{base}/a")
+    e.filter("event_id % 3 = 0").select("user_id", "event_type", "event_id").write.option("header", "true").csv(f"{base}/b/deeper")
+    broken = e.select(F.concat(F.lit("only "), "event_type").alias("value")).distinct()
+    # A header for each of these files: a partition's first line.
+    headed = broken.coalesce(1).select(F.explode(F.when(F.monotonically_increasing_id() == 0, F.array(F.lit("event_id,user_id"), "value")).otherwise(F.array("value"))).alias("value"))
+    headed.write.text(f"{base}/c")
+    kinds = T.T.StructType([T.T.StructField("event_id", T.T.LongType()), T.T.StructField("user_id", T.T.LongType()), T.T.StructField("value", T.T.DoubleType())])
+    return T.read_csvs(spark, base, kinds, pattern="*.{csv,txt}")
+
+
+@query("s12_rewritten_files", sql("SELECT event_type, count(*) AS n FROM events WHERE event_type = (SELECT min(event_type) FROM events) GROUP BY 1"))
+def s12_files(spark, d):
+    """Files of a table whose cached state no longer holds after one of its partitions was written again; and what they hold."""
+    path = scratch(spark, "states")
+    T.export_by(events(spark, d).select("event_id", "value", "event_type"), path, "event_type")
+    cache = T.stored(T.file_states(spark, path).select("path", "mtime").withColumn("version", F.lit(2)))
+    first = events(spark, d).agg(F.min("event_type").alias("event_type"))
+    again = events(spark, d).select("event_id", "value", "event_type").join(F.broadcast(first), "event_type", "left_semi")
+    again.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_type").parquet(path)
+    changed = T.changed_files(T.file_states(spark, path), cache, 2)
+    rows = spark.read.parquet(path).select("event_type", F.col("_metadata.file_path").alias("path"))
+    return rows.join(changed.select("path"), "path", "left_semi").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("s10_s14_partition_upsert", sql("SELECT o_orderkey AS activity_id, CASE WHEN o_orderstatus = 'P' THEN -o_totalprice ELSE o_totalprice END AS v, o_orderpriority AS part FROM orders WHERE o_orderpriority < '3' UNION ALL SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders WHERE o_orderpriority >= '3' UNION ALL SELECT -1, 0, '1-URGENT'"))
+def s10_partitions(spark, d):
+    """Two of five partitions get changed rows and a new one; the key is the first of the known names that the rows have."""
+    path = scratch(spark, "upsert")
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("activity_id"), F.col("o_totalprice").alias("v"), F.col("o_orderpriority").alias("part"), "o_orderstatus")
+    T.export_by(o.drop("o_orderstatus"), path, "part")
+    new = o.filter("o_orderstatus = 'P' AND part < '3'").select("activity_id", (-F.col("v")).alias("v"), "part")
+    more = spark.range(1).selectExpr("-1L AS activity_id", "0D AS v", "'1-URGENT' AS part")
+    return T.upsert_partitions(new.unionByName(more), path, "part")
+
+
+@query("s01c_records_of_newest_cardio", sql("n AS (SELECT activity_id FROM activities WHERE regexp_matches(sport, 'cycl|bik|run|walk|hik|ski') ORDER BY date DESC, activity_id LIMIT 10000) SELECT activity_id, count(*) AS n, max(t) AS last_t FROM records JOIN n USING (activity_id) GROUP BY 1"))
+def s01c(spark, d):
+    """The newest 10,000 cardio activities (a top-k report) say which records are read."""
+    return G.records_of_newest(acts(spark, d), view(spark, d, "records"), 10_000).groupBy("activity_id").agg(F.count("*").alias("n"), F.max("t").alias("last_t"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import tempfile
 import uuid
 import weakref
@@ -177,3 +178,61 @@ def read_lookup(spark: SparkSession, path: str) -> DataFrame:
     """Key, value of a JSON object of texts (a small file, such as a cache of addresses), read whole."""
     whole = spark.read.text(path, wholetext=True)
     return whole.select(F.explode(F.from_json("value", "map<string,string>"))).select("key", "value")
+
+
+#: Layouts (distinct header lines) that one landing folder may have.
+MOST_LAYOUTS = 200
+
+
+def read_csvs(spark: SparkSession, path: str, schema: T.StructType, pattern: str = "*.csv", corrupt: str = "corrupt") -> DataFrame:
+    """All CSV files below path whose name matches the pattern, each by its own header: names lose quotes and blanks, columns are
+    taken by name in any order, missing ones are null and others go; values that cannot be read as their type are null. A line
+    with more or fewer cells than its header has is a row of nulls with the line in `corrupt`. Lines end records (no line breaks in
+    cells). Headers are read first, a line a file; of them only the distinct ones come to the driver."""
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path)
+    lines = lines.select(F.regexp_replace("value", "^\ufeff|\r$", "").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"))
+    heads = lines.filter("_block = 0").withColumn("_at", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("value", "_at").alias("head"))
+    heads = stored(heads)
+    layouts = [r["head"] for r in heads.select("head").distinct().limit(MOST_LAYOUTS + 1).collect()]
+    if len(layouts) > MOST_LAYOUTS:
+        raise ValueError(f"over {MOST_LAYOUTS} different headers below {path}")
+    rows = lines.join(heads, "file").filter((F.col("value") != F.col("head")) & (F.trim("value") != ""))
+    parts = [enforced(spark.createDataFrame([], schema), schema).withColumn(corrupt, F.lit(None).cast("string"))]
+    for head in layouts:
+        names = [c.strip().strip('"').strip() for c in next(csv.reader([head]))]
+        cells = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))] + [T.StructField("_bad", T.StringType())])
+        own = rows.filter(F.col("head") == head).select(F.from_csv("value", cells.simpleString()[len("struct<") : -1].replace(":", " "), {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}).alias("x"))
+        at = {n: F.when(F.col("x._bad").isNull(), F.trim(F.col(f"x.c{i}"))) for i, n in enumerate(names)}
+        parts.append(own.select(*((at[f.name].try_cast(f.dataType) if f.name in at else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields), F.col("x._bad").alias(corrupt)))
+    return union_all(*parts)
+
+
+def file_states(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
+    """Path, mtime and size of all files below path, from the hidden columns that every file source has; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_size").alias("size"))
+
+
+#: What identifies a row of a landed table: the first of these that it has.
+KEYS = ("activity_id", "timestamp", "date")
+
+
+def upsert_key(df: DataFrame) -> str:
+    """The first of activity_id, timestamp and date that df has."""
+    found = first_existing(df, list(KEYS))
+    if found is None:
+        raise ValueError(f"none of {KEYS} among {df.columns}")
+    return found
+
+
+def upsert_partitions(new: DataFrame, path: str, partition: str, key: list[str] | None = None) -> DataFrame:
+    """The rows of new put into the partitioned table at path, which is read again. Only partitions that new touches are read
+    and written (dynamic overwrite); the files of others stay. A key must stay in its partition. key: upsert_key() by default.
+    The merged partitions are stored first, so that a job that fails in between has overwritten nothing."""
+    key = key or [upsert_key(new)]
+    old = new.sparkSession.read.parquet(path)
+    touched = stored(new.select(partition).distinct())
+    same = old.schema[partition].dataType
+    merged = stored(upserted(old.join(touched.withColumn(partition, F.col(partition).cast(same)), partition, "left_semi").select(*old.columns), new.select(*(F.col(c).cast(old.schema[c].dataType).alias(c) for c in old.columns)), key))
+    merged.repartition(partition).sortWithinPartitions(partition, *key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    return new.sparkSession.read.parquet(path)
