@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stridelake.llm.common import fresh
+from stridelake.llm.common import fresh, stored
 
 WINDOW = 10
 #: Benchmark words in one broadcast block.
@@ -195,7 +195,9 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
     item_ids (sorted as strings) of items with occurring windows, and matches (each item's longest verbatim match and its place).
 
     Null, empty and wordless texts have no words and no hits. Benchmark rows without words have no windows; a row without id
-    marks words but no item; repeated items count once. Columns of docs with these names are kept, ours then get underscores (see the returned frame's last four)."""
+    marks words but no item; repeated items count once. A benchmark of more than about block_words words is searched in blocks, one
+    at a time: a pass's marks are stored before the next block is collected and broadcast, so memory does not grow with their number
+    (each pass writes docs once more and deletes the pass before). Columns of docs with these names are kept, ours then get underscores (see the returned frame's last four)."""
     named = fresh(docs, "n_words", "hit_spans", "item_ids", "matches")
     size = benchmark.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("c")).first()["c"] // 2 + 1  # a word is two characters at least with its gap
     blocks = -(-size // block_words)
@@ -204,7 +206,11 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
     for block in range(blocks):
         part = rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
         held = docs.sparkSession.sparkContext.broadcast(Suffixes.of([tuple(r) for r in part.collect()], window))  # at most about block_words words
-        out = out.mapInArrow(_scan(held, docs.columns.index(text), len(docs.columns)), out.schema)
+        marked = out.mapInArrow(_scan(held, docs.columns.index(text), len(docs.columns)), out.schema)
+        if blocks == 1:
+            return marked
+        out = stored(marked, instead_of=out if block else None)
+        held.destroy()
     return out
 
 

@@ -582,6 +582,8 @@ def test_decontamination(spark, rows, monkeypatch):
 
         got = marked.select("doc_id", "n_words", decontam.hit_words(F.col("hit_spans")), F.size("item_ids"), F.sha2(F.array_join("item_ids", ",").cast("binary"), 256), F.size("hit_spans") > 0)
         assert sorted((tuple(r) for r in got.collect()), key=str) == want
+        plan = marked._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == (1 if block > 40 else 0)  # blocks are passes of their own, not a chain of workers
     assert sorted((tuple(r)[:6] for r in decontam.report(docs, bench).collect()), key=str) == want
     best = {r.doc_id: r.matches for r in decontam.report(docs, bench).collect()}
     assert best[61][0].asDict() == {"item_id": "3", "doc_word": 1, "item_word": 0, "n_words": 3}
