@@ -71,3 +71,68 @@ def st2(spark, d):
         sink = J.upsert_sink(f"{path}/table", ["event_id"], first=1000 * i)
         batch.writeStream.foreachBatch(sink).option("checkpointLocation", f"{path}/checkpoint{i}").trigger(availableNow=True).start().awaitTermination()
     return J.latest(spark, f"{path}/table", ["event_id"])
+
+
+# --- several runs on one checkpoint -------------------------------------------------------------------------------------------
+
+#: Noon of a day in the middle of the table, so that a day is split over two runs.
+CUT = "SELECT date_trunc('DAY', timestamp_seconds((unix_seconds(min(ts)) + unix_seconds(max(ts))) div 2)) + INTERVAL 12 HOURS FROM {e}"
+
+
+def run_twice(spark, d, job, overlap: str = "0 HOURS"):
+    """What a job's sink holds after two runs on one checkpoint: events until the cut land before the first; those from `overlap`
+    before it on, and a row from the first day of all, which is late by then, before the second."""
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
+    base = folder(spark)
+    early = spark.sql(f"SELECT * FROM {{e}} WHERE ts < ({CUT})", e=e)
+    late = spark.sql("SELECT -1L AS event_id, min(user_id) AS user_id, 'late' AS event_type, 1e6D AS value, min(ts) AS ts FROM {e}", e=e)
+    then = spark.sql(f"SELECT * FROM {{e}} WHERE ts >= ({CUT}) - INTERVAL {overlap}", e=e).unionByName(late)
+    out = None
+    for rows in (early, then):
+        rows.write.mode("append").parquet(f"{base}/landed")
+        stream = spark.readStream.schema(e.schema).parquet(f"{base}/landed")
+        out = J.drained(job(stream), base)
+    return out
+
+
+#: Days whose end the watermark, three days behind the greatest time, has passed.
+CLOSED = "CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 4 DAY <= (SELECT max(ts) FROM events)"
+
+
+@query("st1_unseen_over_runs", "SELECT event_id, user_id, event_type FROM events")
+def st1_runs(spark, d):
+    """The second run's files hold a day of the first's again."""
+    return run_twice(spark, d, lambda e: J.unseen(e, "event_id").select("event_id", "user_id", "event_type"), "24 HOURS")
+
+
+@query("st3_daily_load_over_runs", f"SELECT user_id, CAST(ts AS DATE) AS date, round(sum(value), 4) AS load, count(*) AS n FROM events WHERE {CLOSED} GROUP BY 1, 2")
+def st3_runs(spark, d):
+    out = run_twice(spark, d, J.daily_load)
+    return out.select("user_id", "date", F.round("load", 4).alias("load"), "n")
+
+
+@query("st4_fitness_over_runs", FITNESS_SQL.replace("FROM events GROUP BY 1, 2", f"FROM events WHERE {CLOSED} GROUP BY 1, 2"))
+def st4_runs(spark, d):
+    """Single rows: a day split over the runs is closed once, with both parts."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    J.rocks(spark)
+    try:
+        out = run_twice(spark, d, lambda e: J.closed_fitness(e.withColumnRenamed("value", "load")))
+    finally:
+        spark.conf.set(name, before)
+    return out.select("user_id", "date", *(F.round(c, 6).alias(c) for c in ("ctl", "atl", "tsb")))
+
+
+@query("st2_upsert_over_runs", "SELECT event_id, user_id, value FROM events UNION ALL SELECT -1, min(user_id), 1000000 FROM events")
+def st2_runs(spark, d):
+    """Each run's rows are a batch; rows of both runs are one row, late ones too, since an upsert has no watermark. Compacted at the end."""
+    base = folder(spark)
+
+    def job(e):
+        e.select("event_id", "user_id", "value").writeStream.foreachBatch(J.upsert_sink(f"{base}/table", ["event_id"])).option("checkpointLocation", f"{base}/upserts").trigger(availableNow=True).start().awaitTermination()
+        return e
+
+    run_twice(spark, d, job, "24 HOURS")
+    J.compacted(spark, f"{base}/table", f"{base}/compact", ["event_id"])
+    return J.latest(spark, f"{base}/compact", ["event_id"])

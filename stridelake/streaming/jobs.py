@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from stridelake.sources.tables import latest as latest_rows
@@ -52,7 +54,7 @@ FITNESS = "user_id long, date date, ctl double, atl double, tsb double"
 
 def fitness(events: DataFrame, ctl_days: float = 42, atl_days: float = 7) -> DataFrame:
     """ST4: fitness and fatigue carried from day to day in state; the sums of a batch's days are taken up in order, days between
-    them decay with no load. Batches must not split a day (feed it daily sums)."""
+    them decay with no load. For daily sums, which no batch splits; of single rows see closed_fitness()."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         ctl, atl, last = state.get if state.exists else (None, None, None)
@@ -76,6 +78,64 @@ def fitness(events: DataFrame, ctl_days: float = 42, atl_days: float = 7) -> Dat
     return events.groupBy("user_id").applyInPandasWithState(step, FITNESS, "ctl double, atl double, last long", "append", GroupStateTimeout.NoTimeout)
 
 
+DAY_MS = 86_400_000
+
+
+class _ClosedDays(StatefulProcessor):
+    """Sums of open days by day, and the averages up to the last closed one; a timer at a day's end closes it."""
+
+    def __init__(self, ctl_days: float, atl_days: float) -> None:
+        self.ctl_days, self.atl_days = ctl_days, atl_days
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "day long", "load double")
+        self.last = handle.getValueState("last", "ctl double, atl double, day long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            for day, load in frame.groupby("day")["load"].sum().items():
+                place = (int(day),)
+                if not self.open.containsKey(place):
+                    self.handle.registerTimer((int(day) + 1) * DAY_MS)
+                    self.open.updateValue(place, (float(load),))
+                else:
+                    self.open.updateValue(place, (self.open.getValue(place)[0] + float(load),))
+        yield pd.DataFrame(columns=["user_id", "date", "ctl", "atl", "tsb"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        day = expiredTimerInfo.getExpiryTimeInMs() // DAY_MS - 1
+        load = self.open.getValue((day,))[0]
+        self.open.removeKey((day,))
+        before = None
+        if self.last.exists():
+            ctl, atl, last = self.last.get()
+            idle = max(0, day - last - 1)
+            before, atl = ctl * (1 - 1 / self.ctl_days) ** idle, atl * (1 - 1 / self.atl_days) ** idle
+            ctl, atl = before + (load - before) / self.ctl_days, atl + (load - atl) / self.atl_days
+        else:
+            ctl = atl = load
+        self.last.update((ctl, atl, day))
+        date = dt.date(1970, 1, 1) + dt.timedelta(days=day)
+        yield pd.DataFrame([(key[0], date, ctl, atl, None if before is None else before - atl)], columns=["user_id", "date", "ctl", "atl", "tsb"])
+
+    def close(self) -> None:
+        pass
+
+
+def closed_fitness(events: DataFrame, delay: str = "3 days", ctl_days: float = 42, atl_days: float = 7) -> DataFrame:
+    """ST4 over single rows (user_id, ts, load): a day adds up in state over as many batches and runs as its rows take, and is closed
+    by an event-time timer once the watermark has passed its end (UTC); its averages then follow from those of the day closed before.
+    Rows later than the delay are dropped. Needs the state store RocksDB (see rocks())."""
+    rows = events.withWatermark("ts", delay).withColumn("day", F.floor(F.unix_seconds("ts") / 86400))
+    return rows.groupBy("user_id").transformWithStateInPandas(_ClosedDays(ctl_days, atl_days), FITNESS, "Append", "EventTime")
+
+
+def rocks(spark: SparkSession) -> None:
+    """Streams of this session that start from now on keep their state in RocksDB, on disk with checkpoints, not in the heap."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def upsert_sink(path: str, key: list[str], first: int = 0) -> Callable[[DataFrame, int], None]:
     """ST2: a foreachBatch function that lays each batch, one row for each key, beside the others, numbered from `first` on: what it
     writes grows with the batch, not with the table, and a repeated batch writes over itself. latest() puts the rows of greater
@@ -100,7 +160,8 @@ def compacted(spark: SparkSession, path: str, to: str, key: list[str]) -> None:
 
 
 def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there, into Parquet (append) or, in complete mode, a table of the last state."""
+    """Run a stream over all that is there and not yet taken, into Parquet (append) or, in complete mode, a table of the last state. Another
+    run over the same folder goes on from its checkpoint: what has landed since is added."""
     spark = stream.sparkSession
     out, checkpoint = f"{folder}/out", f"{folder}/checkpoint"
     if mode == "append":
