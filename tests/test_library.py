@@ -492,3 +492,111 @@ def test_a_crowded_place_costs_no_pairs(spark):
     out = G.clusters(crowd.unionByName(apart), 300.0).groupBy("cluster_id").count().collect()
     assert {(r.cluster_id, r["count"]) for r in out} == {(0, 50_000), *((i, 1) for i in range(50_000, 50_010))}
     assert time.perf_counter() - began < 60
+
+
+# --- stops by running sums ------------------------------------------------------------------------------------------------
+
+
+def test_stop_measures_equal_rows_of_each_stop(spark):
+    """Odometers that run backwards, missing values and equal times, against the rows of each stop and its sides."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for a in range(4):
+        t = np.cumsum(rng.choice([0, 5, 10, 20, 40, 700], 400, p=[0.05, 0.3, 0.35, 0.2, 0.09, 0.01]))
+        for i, x in enumerate(t.tolist()):
+            some = lambda v: None if rng.random() < 0.1 else float(v)
+            slow = (x // 1500) % 2 == 1
+            rows.append((a, "cycling", i + 1, int(x), some(rng.integers(20, 180)), 0.0 if slow else some(rng.integers(0, 90) / 10), some(i * 3 if a % 2 else rng.integers(0, 5000)), some(rng.integers(0, 50)), some(rng.integers(0, 90)), some(rng.integers(0, 300)), some(rng.integers(0, 30)), None, None))
+    r = spark.createDataFrame(rows, "activity_id long, sport string, idx long, t long, hr double, speed double, distance double, altitude double, cadence double, power double, respiration double, lat double, lon double").repartition(3)
+    starts = [(a, k, 40 + 90 * k, 60 + 90 * k) for a in range(4) for k in range(1, 4)]
+    at = {(x[0], x[2]): x[3] for x in rows}
+    stops = spark.createDataFrame([(a, k, i, j, at[a, i], at[a, j]) for a, k, i, j in starts], "activity_id long, stop_id long, start_idx long, end_idx long, start_t long, end_t long")
+    got = {(x.activity_id, x.stop_id): x for x in ST.performance(r, stops).collect()}
+    marked = {(x.activity_id, x.stop_id): x for x in ST.markers(r, stops).collect()}
+    mean = lambda xs: sum(xs) / len(xs) if xs else None
+    for a, k, i, j in starts:
+        own = [x for x in rows if x[0] == a]
+        before, after = [x for x in own if x[3] < at[a, i]], [x for x in own if x[3] > at[a, j]]
+        for name, side in (("before", before), ("after", after)):
+            steps = [1] + [q[3] - p[3] for p, q in zip(side, side[1:], strict=False)]
+            assert got[a, k][f"{name}_moving_s"] == sum(s for s in steps if s < 30)
+            reads = [x[6] for x in side if x[6] is not None]
+            assert got[a, k][f"{name}_km"] == pytest.approx((max(reads) - min(reads)) / 1000)
+            assert got[a, k][f"{name}_mean_hr"] == pytest.approx(mean([x[4] for x in side if x[4] and 30 < x[4] < 250]))
+            assert got[a, k][f"{name}_mean_power"] == pytest.approx(mean([x[9] for x in side if x[9] and x[9] > 0]))
+        win_a = [x for x in own if x[2] > j and x[3] <= at[a, j] + 900]
+        win_b = [x for x in own if x[2] < i and x[3] >= at[a, i] - 900]
+        cost = lambda side: mean([x[4] / (x[5] * 3.6) for x in side if x[5] and x[5] * 3.6 > 5 and x[4]])
+        assert marked[a, k].b == (pytest.approx((cost(win_a) / cost(win_b) - 1) * 100) if cost(win_a) and cost(win_b) else None)
+        inside = [x for x in own if i <= x[2] <= j]
+        first, last = ([x[4] for x in inside if x[4] is not None and ok(x)] for ok in (lambda x: x[3] <= at[a, i] + 180, lambda x: x[3] >= at[a, j] - 180))
+        assert marked[a, k].a == (pytest.approx(mean(last) - mean(first)) if first and last else None)
+        reads = [x[6] for x in win_a if x[6] is not None]
+        climb = sum(q[7] - p[7] for p, q in zip(win_a, win_a[1:], strict=False) if p[7] is not None and q[7] is not None and q[7] - p[7] > 0.5)
+        span = max(reads) - min(reads) if reads else 0
+        assert marked[a, k].gradient_pct == pytest.approx(climb / span * 100 if span > 10 else 0.0, abs=0.006)
+
+
+def test_measures_in_one_pass_equal_each_by_itself(spark):
+    from stridelake.sources.fixtures import view
+
+    records = A.with_zones(view(spark, "/root/testdata/sf0.01", "records"))
+    one = {r.activity_id: r for r in A.record_measures(records).collect()}
+    for frame, name, column in ((A.cardiac_drift(records), "cardiac_drift", "cardiac_drift"), (A.durability(records), "durability", "durability"), (A.threshold_proxy(records), "aet_hr_proxy", "threshold_hr")):
+        alone = {r.activity_id: r[column] for r in frame.collect()}
+        assert {k: r[name] for k, r in one.items()} == {k: alone.get(k) for k in one} and set(alone) <= set(one)
+
+
+# --- files ----------------------------------------------------------------------------------------------------------------
+
+
+def test_csvs_by_their_own_headers(spark, tmp_path):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / "one.csv").write_text('"id ", "name","day"\n1,"x, y",2024-01-02\n2, z ,soon\n\n"id ", "name","day"\n')
+    (tmp_path / "a" / "b" / "two.csv").write_text("﻿extra,id\n5,3\nbroken\n7,8,9\n")
+    (tmp_path / "a" / "b" / "three.csv").write_text("id\n")
+    (tmp_path / "a" / "other.txt").write_text("id\n99\n")
+    from pyspark.sql import types as PT
+
+    schema = PT.StructType([PT.StructField("id", PT.LongType()), PT.StructField("name", PT.StringType()), PT.StructField("day", PT.DateType())])
+    got = {tuple(r) for r in T.read_csvs(spark, str(tmp_path), schema).collect()}
+    assert got == {(1, "x, y", dt.date(2024, 1, 2), None), (2, "z", None, None), (3, None, None, None), (None, None, None, "broken"), (None, None, None, "7,8,9")}
+
+
+def test_upsert_leaves_other_partitions_alone(spark, tmp_path):
+    path = str(tmp_path / "t")
+    old = spark.createDataFrame([(1, 1.0, "a"), (2, 2.0, "b"), (3, 3.0, "b")], "activity_id long, v double, part string")
+    T.export_by(old, path, "part")
+    before = {r.path: r.mtime for r in T.file_states(spark, path).collect()}
+    new = spark.createDataFrame([(2, 20.0, "b"), (9, 9.0, "c"), (9, 8.0, "c")], "activity_id long, v double, part string")
+    out = {(r.activity_id, r.v, r.part) for r in T.upsert_partitions(new, path, "part").collect()}
+    assert out == {(1, 1.0, "a"), (2, 20.0, "b"), (3, 3.0, "b"), (9, 9.0, "c")}
+    after = {r.path: r.mtime for r in T.file_states(spark, path).collect()}
+    assert {p: m for p, m in before.items() if "part=a" in p} == {p: m for p, m in after.items() if "part=a" in p}
+    assert not {p for p in before if "part=b" in p} & set(after)
+    assert [T.upsert_key(spark.createDataFrame([], s)) for s in ("date string, activity_id int", "timestamp string, date string", "x int, date string")] == ["activity_id", "timestamp", "date"]
+    with pytest.raises(ValueError, match="none of"):
+        T.upsert_key(spark.createDataFrame([], "x int"))
+
+
+def test_days_split_over_runs_are_closed_once(spark, tmp_path):
+    from stridelake.streaming import jobs as J
+
+    hour = lambda d, h: dt.datetime(2024, 1, d, h)
+    runs = [[(1, hour(1, 1), 10.0), (1, hour(2, 9), 5.0)], [(1, hour(2, 20), 7.0), (1, hour(5, 1), 1.0), (1, hour(1, 2), 99.0)], [(1, hour(9, 0), 3.0)]]
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    J.rocks(spark)
+    try:
+        for rows in runs:
+            spark.createDataFrame(rows, "user_id long, ts timestamp, load double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            stream = spark.readStream.schema("user_id long, ts timestamp, load double").parquet(str(tmp_path / "in"))
+            out = J.drained(J.closed_fitness(stream, "1 hour"), str(tmp_path / "job"))
+    finally:
+        spark.conf.set(name, before)
+    got = [(r.date.day, round(r.ctl, 9)) for r in out.orderBy("date").collect()]
+    ctl = [10.0]
+    for idle, load in ((0, 12.0), (2, 1.0)):  # the late row of the first day, which was closed by then, does not count
+        c = ctl[-1] * (1 - 1 / 42) ** idle
+        ctl.append(c + (load - c) / 42)
+    assert got == [(d, round(c, 9)) for d, c in zip((1, 2, 5), ctl, strict=True)]
