@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,19 +54,40 @@ def scaled(x: Column, lo: float, hi: float) -> Column:
     return (clip(x, min(lo, hi), max(lo, hi)) - lo) / (hi - lo) * 100
 
 
-def ewma(df: DataFrame, key: str, order: str, column: str, spans: dict[str, float]) -> DataFrame:
-    """df with a recursive exponential average of `column` for each span (alpha = 1/span, started at the first value).
-
-    One group is one athlete's days, which stays small; null values carry the average on."""
+#: Blocks of a recursive average end where what came before has faded by e to this power.
+FADED = 200.0
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, kind="stable")
-        for name, span in spans.items():
-            group[name] = group[column].ewm(alpha=1 / span, adjust=False).mean()
-        return group
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + "".join(f", {n} double" for n in spans)
-    return df.groupBy(key).applyInPandas(fold, schema)
+def ewma(df: DataFrame, key: str, order: str, column: str, spans: dict[str, float]) -> DataFrame:
+    """df with a recursive exponential average of `column` for each span over 1 (alpha = 1/span, started at the first value). Null values
+    carry the average on, and a value after them weighs the more; before the first value there is none.
+
+    Each row maps the average before it to a * average + b, and maps compose: the average is a running sum of the b, each faded by
+    the product of the a since, which logarithms turn into sums. A block ends where that product would leave the range of doubles;
+    of the blocks before only the last one still counts (the others have faded by e**-200). Windows alone, one shuffle by key."""
+    by = Window.partitionBy(key).orderBy(order)
+    upto, before = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(Window.unboundedPreceding, -1)
+    c, x = F.col, F.col(column).cast("double")
+    out = df.withColumn("_ew_n", F.row_number().over(by))
+    out = out.withColumns({"_ew_seen": F.last(F.when(x.isNotNull(), c("_ew_n")), ignorenulls=True).over(before), "_ew_any": F.count(column).over(upto) > 0})
+    for name, span in spans.items():
+        alpha = 1 / span
+        old = F.pow(F.lit(1 - alpha), (c("_ew_n") - c("_ew_seen")).cast("double"))
+        moves = x.isNotNull() & c("_ew_seen").isNotNull()
+        out = out.withColumns({
+            "_ew_l": F.when(moves, F.greatest(F.ln(old / (old + alpha)), F.lit(-700.0))).otherwise(0.0),
+            "_ew_b": F.when(moves, alpha * x / (old + alpha)).when(x.isNotNull(), x).otherwise(0.0),
+        })
+        out = out.withColumn("_ew_l", F.sum("_ew_l").over(upto))
+        out = out.withColumn("_ew_k", F.floor(-c("_ew_l") / FADED))
+        block = Window.partitionBy(key, "_ew_k").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        out = out.withColumn("_ew_0", F.first("_ew_l").over(block))
+        own = F.sum(c("_ew_b") * F.exp(c("_ew_0") - c("_ew_l"))).over(block)
+        out = out.withColumn("_ew_a", own * F.exp(c("_ew_l") - c("_ew_0")))
+        out = out.withColumn("_ew_q", F.lag(F.struct("_ew_a", "_ew_l")).over(by)).withColumn("_ew_p", F.first("_ew_q").over(block))
+        carried = F.coalesce(c("_ew_p._ew_a") * F.exp(c("_ew_l") - c("_ew_p._ew_l")), F.lit(0.0))
+        out = out.withColumn(name, F.when(c("_ew_any"), c("_ew_a") + carried))
+    return out.select(*df.columns, *spans)
 
 
 def islands(gap: Column, limit: float, partition, order) -> Column:

@@ -600,3 +600,21 @@ def test_days_split_over_runs_are_closed_once(spark, tmp_path):
         c = ctl[-1] * (1 - 1 / 42) ** idle
         ctl.append(c + (load - c) / 42)
     assert got == [(d, round(c, 9)) for d, c in zip((1, 2, 5), ctl, strict=True)]
+
+
+def test_recursive_averages_equal_the_recursion(spark):
+    """Long series, gaps of nulls long enough for all to fade, leading nulls, and no values at all."""
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    long = [float(v) for v in rng.integers(0, 200, 6000)]
+    holes = [None, None] + [None if rng.random() < 0.3 else float(v) for v in rng.normal(0, 50, 900)]
+    gap = [5.0, 7.0] + [None] * 3000 + [1.0, 2.0] + [None] * 20 + [9.0]
+    series = {1: long, 2: holes, 3: gap, 4: [None] * 5, 5: [3.0]}
+    rows = [(k, i, v) for k, xs in series.items() for i, v in enumerate(xs)]
+    out = R.ewma(spark.createDataFrame(rows, "k long, day long, v double").repartition(3), "k", "day", "v", {"a": 42, "b": 7, "c": 1.5}).orderBy("k", "day").toPandas()
+    assert list(out.columns) == ["k", "day", "v", "a", "b", "c"]
+    for k, xs in series.items():
+        for name, span in (("a", 42), ("b", 7), ("c", 1.5)):
+            want = pd.Series(xs, dtype=float).ewm(alpha=1 / span, adjust=False).mean().to_numpy()
+            np.testing.assert_allclose(out[out.k == k][name].to_numpy(float), want, rtol=1e-9, atol=1e-9)
