@@ -179,3 +179,9 @@ def signed(x: Column, digits: int = 1) -> Column:
 def synthetic_effect(device: Column, load: Column, scale: float) -> Column:
     """The device's training effect, or one from the load where it has none."""
     return F.coalesce(F.nullif(device, F.lit(0.0)), F.least(F.lit(5.0), 5 * (1 - F.exp(-load / scale))))
+
+
+def export_name(date: Column, km: Column, minutes: Column, ascent: Column, activity_id: Column) -> Column:
+    """F-str9: the name under which an activity is exported: date, kilometres, minutes, ascent and id."""
+    distance = F.format_string("%.1f", F.coalesce(km, F.lit(0.0)))
+    return F.format_string("%s_%skm_%dmin_%dm_%d", date.cast("string"), distance, minutes.cast("long"), F.coalesce(ascent, F.lit(0.0)).cast("long"), activity_id)

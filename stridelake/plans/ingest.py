@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from stridelake.functions.scalars import activity_id_of, is_cycling
+from stridelake.functions.scalars import activity_id_of, export_name, is_cycling
 from stridelake.operators import ingest as G
 from stridelake.plans.registry import query
 from stridelake.sources import tables as T
@@ -599,3 +599,13 @@ def s10_partitions(spark, d):
 def s01c(spark, d):
     """The newest 10,000 cardio activities (a top-k report) say which records are read."""
     return G.records_of_newest(acts(spark, d), view(spark, d, "records"), 10_000).groupBy("activity_id").agg(F.count("*").alias("n"), F.max("t").alias("last_t"))
+
+
+@query("s16_records_by_export_name", sql("SELECT printf('%s_%skm_%dmin_%dm_%d', date::VARCHAR, CASE WHEN distance_km IS NULL THEN '0.0' ELSE printf('%.1f', distance_km) END, CAST(duration_minutes AS BIGINT), CAST(coalesce(ascent_m, 0) AS BIGINT), activity_id) AS export_name, count(*) AS n, max(t) AS last_t FROM records r JOIN activities a USING (activity_id) WHERE regexp_matches(r.sport, 'cycl|biking|ride') GROUP BY 1, activity_id"))
+def s16_records(spark, d):
+    """The records of each cycling activity in a folder of its export name (F-str9); read back from the folders."""
+    path = scratch(spark, "export")
+    rides = view(spark, d, "records").filter(is_cycling(F.col("sport"))).select("activity_id", "idx", "t", "hr", "speed")
+    names = acts(spark, d).select("activity_id", export_name(*map(F.col, ("date", "distance_km", "duration_minutes", "ascent_m", "activity_id"))).alias("export_name"))
+    T.export_by(rides.join(names, "activity_id"), path, "export_name")
+    return spark.read.parquet(path).groupBy("export_name").agg(F.count("*").alias("n"), F.max("t").alias("last_t"))

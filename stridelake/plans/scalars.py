@@ -139,8 +139,7 @@ def f_str8(spark, d):
 
 @query("f_str9_export_names", sql("SELECT activity_id, printf('%s_%skm_%dmin_%dm_%d', date::VARCHAR, CASE WHEN distance_km IS NULL THEN '0.0' ELSE printf('%.1f', distance_km) END, CAST(duration_minutes AS BIGINT), CAST(coalesce(ascent_m, 0) AS BIGINT), activity_id) AS export_name FROM activities"))
 def f_str9(spark, d):
-    km = F.format_string("%.1f", F.coalesce("distance_km", F.lit(0.0)))
-    name = F.format_string("%s_%skm_%dmin_%dm_%d", F.col("date").cast("string"), km, F.col("duration_minutes").cast("long"), F.coalesce("ascent_m", F.lit(0.0)).cast("long"), F.col("activity_id"))
+    name = S.export_name(*map(F.col, ("date", "distance_km", "duration_minutes", "ascent_m", "activity_id")))
     return acts(spark, d).select("activity_id", name.alias("export_name"))
 
 

@@ -100,9 +100,14 @@ def changed_files(files: DataFrame, cache: DataFrame, version: int, tolerance_s:
     return files.join(same, ["path", "mtime"], "left_anti").select(*files.columns)
 
 
+def clean_name(name: str) -> str:
+    """A column's name without quotes and blanks around it."""
+    return name.strip().strip('"').strip()
+
+
 def trimmed_header(df: DataFrame) -> DataFrame:
-    """Column names without quotes and blanks around them."""
-    return df.toDF(*(c.strip().strip('"').strip() for c in df.columns))
+    """Df with clean names."""
+    return df.toDF(*map(clean_name, df.columns))
 
 
 def export_by(df: DataFrame, path: str, *columns: str) -> None:
@@ -199,7 +204,7 @@ def read_csvs(spark: SparkSession, path: str, schema: T.StructType, pattern: str
     rows = lines.join(heads, "file").filter((F.col("value") != F.col("head")) & (F.trim("value") != ""))
     parts = [enforced(spark.createDataFrame([], schema), schema).withColumn(corrupt, F.lit(None).cast("string"))]
     for head in layouts:
-        names = [c.strip().strip('"').strip() for c in next(csv.reader([head]))]
+        names = [clean_name(c) for c in next(csv.reader([head]))]
         cells = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))] + [T.StructField("_bad", T.StringType())])
         own = rows.filter(F.col("head") == head).select(F.from_csv("value", cells.simpleString()[len("struct<") : -1].replace(":", " "), {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}).alias("x"))
         at = {n: F.when(F.col("x._bad").isNull(), F.trim(F.col(f"x.c{i}"))) for i, n in enumerate(names)}
