@@ -39,6 +39,7 @@ NAMES = {
     "LGPL-2.1": ["GNU Lesser General Public License, version 2.1", "GNU LGPL v2.1", "LGPLv2.1"],
     "LGPL-3.0": ["GNU Lesser General Public License, version 3", "GNU LGPL v3", "LGPLv3"],
     "AGPL-3.0": ["GNU Affero General Public License, version 3", "GNU AGPL v3", "AGPLv3"],
+    "BSD": ["BSD License"],
     "BSD-2-Clause": ["BSD 2-Clause License", "Simplified BSD License"],
     "BSD-3-Clause": ["BSD 3-Clause License", "New BSD License"],
     "MPL-2.0": ["Mozilla Public License, version 2.0", "MPL 2.0"],
@@ -56,12 +57,16 @@ NOTICES = {
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "Apache-2.0": ['Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
     "BSD-2-Clause": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, "
-        "this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice",
+        "this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials "
+        "provided with the distribution.",
     ],
     "BSD-3-Clause": [
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, "
+        "this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials "
+        "provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ],
 }
@@ -88,6 +93,9 @@ for _version, _scope in (("3.0", "Unported"), ("4.0", "International")):
 #: How a short notice names a licence: fixed values.
 FORMS = ["Licensed under the {}.", "Licensed under {}.", "Released under the {}.", "Released under {}.", "This project is licensed under the terms of the {}.", "This work is licensed under a {}."]
 
+#: Words that, after a `not`, deny a licence: fixed values.
+GRANTING = frozenset(["licensed", "released", "distributed", "available", "covered"])
+
 UNKNOWN = "unknown"
 TEMPLATES = {
     family: [f.format(n) for n in names for f in FORMS] + [f"SPDX-License-Identifier: {i}" for i in IDENTIFIERS.get(family, [family])] + NOTICES.get(family, [])
@@ -159,7 +167,7 @@ class Model:
     def judge(self, paragraph: str) -> tuple[str, float, float, frozenset] | None:
         """Family, probability, agreement with its best template and the word pairs shared with it, if the paragraph is taken for a licence."""
         found = words(paragraph)
-        if self.distinctive.isdisjoint(found):
+        if self.distinctive.isdisjoint(found) or any(a == "not" and b in GRANTING for a, b in zip(found, found[1:], strict=False)):
             return None
         p = self.probabilities(found)
         best = int(p.argmax())

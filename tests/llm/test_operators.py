@@ -219,7 +219,7 @@ def test_license_versions_variants_and_wraps():
 
     model = licenses.train([prose(i, 40) for i in range(400)])
     notice = {f: n[0] for f, n in licenses.NOTICES.items()}
-    texts = [(f, textwrap.fill(notice[f], width)) for f in notice if f != "BSD-3-Clause" for width in (40, 60, 10_000)]
+    texts = [(f, textwrap.fill(notice[f], width)) for f in notice for width in (40, 60, 10_000)]
     texts += [(f, f"alpha beta {t} gamma") for f, t in texts] + [(f, t.replace("free of charge", "at no charge").replace("the Free", "our Free")) for f, t in texts]
     texts += [
         ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."), ("CC-BY-4.0", "Licensed under CC BY 4.0"), ("CC-BY-3.0", "Licensed under CC BY 3.0."), ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
@@ -227,7 +227,17 @@ def test_license_versions_variants_and_wraps():
         ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"), ("GPL-3.0", "// SPDX-License-Identifier: GPL-3.0-only"), ("MIT", "This project is licensed under the MIT License."), ("", "Licensed under the GNU General Public License, version 4."), ("GPL", "This code is licensed under the GNU General Public License."),
         ("", "CC BY 2.5"), ("", "Fishing licences are granted to any person over twenty."), ("", "The license of the driver was taken away by the court."), ("", "")
     ]
+    texts += [("", "This project is not licensed under the MIT License."), ("BSD", "Released under the BSD License.")]
     assert [f for f, t in texts if ",".join(x["family"] for x in licenses.judged(model, t)[1]) != f] == []
+    # The whole texts, clauses as paragraphs: what both share says BSD, and the clause of one alone which.
+    head, one, two, three = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", notice3(licenses)
+    families = lambda parts, sep: {x["family"] for x in licenses.judged(model, sep.join(parts))[1]}
+    assert families([head, one, two], " ") == {"BSD-2-Clause"} and families([head, one, two, three], " ") == {"BSD-3-Clause"}
+    assert "BSD-3-Clause" not in families([head, one, two], "\n\n") and families([head, one, two, three], "\n\n") >= {"BSD", "BSD-3-Clause"}
+
+
+def notice3(licenses):
+    return "3. " + licenses.NOTICES["BSD-3-Clause"][1]
 
 
 def test_paragraphs():
