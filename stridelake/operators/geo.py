@@ -227,7 +227,7 @@ def hotspot_listing(points: DataFrame, spots: DataFrame, metres: float = DEFAULT
     b = spots.select("cluster_id", F.col("centroid_lat").alias("lat_b"), F.col("centroid_lon").alias("lon_b"))
     near = stored(within(points, b, metres))
     facts = near.groupBy("cluster_id").agg(F.count("*").alias("n_stops"), F.max("confidence").alias("best_confidence"), F.sum("duration_min").alias("minutes"))
-    line = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("confidence"), "point_id"))
+    line = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("confidence"), "point_id")).cast("long")
     return near.select("cluster_id", line.alias("line"), "point_id", "confidence", "duration_min", "date", F.round("distance_m", 1).alias("distance_m")).join(facts, "cluster_id")
 
 
