@@ -491,7 +491,7 @@ def test_a_crowded_place_costs_no_pairs(spark):
     began = time.perf_counter()
     out = G.clusters(crowd.unionByName(apart), 300.0).groupBy("cluster_id").count().collect()
     assert {(r.cluster_id, r["count"]) for r in out} == {(0, 50_000), *((i, 1) for i in range(50_000, 50_010))}
-    assert time.perf_counter() - began < 60
+    assert time.perf_counter() - began < 180  # all pairs would take far longer
 
 
 # --- stops by running sums ------------------------------------------------------------------------------------------------
