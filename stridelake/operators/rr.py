@@ -1,9 +1,9 @@
-"""Beat-to-beat intervals: rows of activity_id, beat (number) and rr_ms. Whole activities meet in one group; one has some thousand beats."""
+"""Beat-to-beat intervals: rows of activity_id, beat (number) and rr_ms. An activity's beats, some thousand, meet in a window."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,46 +138,70 @@ def flattened_beats(messages: DataFrame) -> DataFrame:
     return one.select(KEY, number.alias("beat"), (F.col("_s") * 1000).alias("rr_ms"))
 
 
-def _spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Natural cubic spline through (x, y), by the tridiagonal system of its second derivatives."""
-    h = np.diff(x)
-    n = len(x)
-    low, diag, up, right = np.zeros(n), np.ones(n), np.zeros(n), np.zeros(n)
-    low[1:-1], diag[1:-1], up[1:-1] = h[:-1], 2 * (h[:-1] + h[1:]), h[1:]
-    right[1:-1] = 6 * (np.diff(y)[1:] / h[1:] - np.diff(y)[:-1] / h[:-1])
-    for i in range(1, n):
-        w = low[i] / diag[i - 1]
-        diag[i] -= w * up[i - 1]
-        right[i] -= w * right[i - 1]
-    m = np.zeros(n)
-    m[-1] = right[-1] / diag[-1]
-    for i in range(n - 2, -1, -1):
-        m[i] = (right[i] - up[i] * m[i + 1]) / diag[i]
-    k = np.clip(np.searchsorted(x, at) - 1, 0, n - 2)
-    a, b = x[k + 1] - at, at - x[k]
-    return (m[k] * a**3 + m[k + 1] * b**3) / (6 * h[k]) + (y[k] / h[k] - m[k] * h[k] / 6) * a + (y[k + 1] / h[k] - m[k + 1] * h[k] / 6) * b
+def with_curvature(points: DataFrame, key: list[str], x: str, y: str, to: str) -> DataFrame:
+    """points (key, x, y; x rising within a key) with the second derivatives, `to`, of the natural cubic spline through them.
+
+    The tridiagonal system is reduced by windows of one order: each step puts the equations of both neighbours into a row's own, after
+    which it names rows twice as far away. A row's off-diagonal share is at most 1/2 of its diagonal, then 1/3, 1/8, 1/63 ..., and under
+    1e-14 after six steps, when it is dropped. Adds the columns _a, _c, _d (the last equation), which callers may drop."""
+    w = Window.partitionBy(*key).orderBy(x)
+    c = F.col
+    before, after = c(x) - F.lag(x).over(w), F.lead(x).over(w) - c(x)
+    rows = points.withColumns({"_h0": before, "_h1": after, "_s0": (c(y) - F.lag(y).over(w)) / before, "_s1": (F.lead(y).over(w) - c(y)) / after})
+    both = c("_h0") + c("_h1")
+    inner = {"_a": c("_h0") / (2 * both), "_c": c("_h1") / (2 * both), "_d": 3 * (c("_s1") - c("_s0")) / both}
+    rows = rows.withColumns({n: F.coalesce(e, F.lit(0.0)) for n, e in inner.items()}).drop("_h0", "_h1", "_s0", "_s1")
+    for step in (1, 2, 4, 8, 16, 32):
+        near = {f"{n}{side}": at(n, step, 0.0).over(w) for n in ("_a", "_c", "_d") for side, at in (("0", F.lag), ("1", F.lead))}
+        rows = rows.withColumns(near)
+        rest = 1 - c("_a") * c("_c0") - c("_c") * c("_a1")
+        reduced = {"_d": (c("_d") - c("_a") * c("_d0") - c("_c") * c("_d1")) / rest, "_a": -c("_a") * c("_a0") / rest, "_c": -c("_c") * c("_c1") / rest}
+        rows = rows.withColumns(reduced).drop(*near)
+    return rows.withColumn(to, c("_d"))
+
+
+def resampled_beats(beats: DataFrame, least: int = 120) -> DataFrame:
+    """Intervals (seconds) of plausible beats at 4 Hz, by a natural cubic spline over the times of beats (to the nanosecond):
+    activity_id, points (how many), at (from 0), x. Nothing for activities of fewer than `least` beats."""
+    whole, c = Window.partitionBy(KEY), F.col
+    timed = without_ectopic(beats).select(KEY, "beat", (c("rr_ms") / 1000).alias("y"), F.round(F.sum("rr_ms").over(_order().rowsBetween(Window.unboundedPreceding, 0)), 6).alias("ms"))
+    timed = timed.withColumns({"_n": F.count("*").over(whole), "_first": F.min("ms").over(whole), "_last": F.max("ms").over(whole)}).filter(c("_n") >= least)
+    place = lambda ms: F.ceil((ms - c("_first")) / 250)  # noqa: E731  the first place at or after a time
+    timed = timed.select(KEY, "y", "ms", "_first", (c("ms") / 1000).alias("t"), place(c("_last")).alias("points"))
+    w = Window.partitionBy(KEY).orderBy("t")
+    bent = with_curvature(timed, [KEY], "t", "y", "m").withColumns({f"_{n}": F.lead(n).over(w) for n in ("t", "y", "m", "ms")}).filter("_t IS NOT NULL")
+    # Plausible beats are over 250 ms apart, so that each has a place or more before the next.
+    placed = bent.withColumn("at", F.explode(F.sequence(place(c("ms")), place(c("_ms")) - 1)))
+    h, left, right = c("_t") - c("t"), c("_ms") / 1000 - c("_first") / 1000 - c("at") / 4, c("_first") / 1000 + c("at") / 4 - c("t")
+    cubic = (c("m") * left * left * left + c("_m") * right * right * right) / (6 * h)
+    x = cubic + (c("y") / h - c("m") * h / 6) * left + (c("_y") / h - c("_m") * h / 6) * right
+    return placed.select(KEY, "points", "at", x.alias("x"))
+
+
+def band_power(samples: DataFrame) -> DataFrame:
+    """Welch's mean power of resampled_beats() at the bins from 0.15 to 0.5 Hz: activity_id, size (places of a window), bin, power.
+    Hann windows overlap by half and have 256 places, or half the points where there are fewer than 512; under 64 points there are none.
+
+    Sums of sine and cosine at these few bins replace a whole transform; they are added map-side. Taking a window's mean away first would
+    change nothing: a Hann window has no share in bins over 1, and the lowest here is 2."""
+    c = F.col
+    own = samples.filter("points >= 64").withColumn("size", F.least(F.lit(256), F.floor(c("points") / 2)))
+    half = F.floor(c("size") / 2)
+    first = F.greatest(F.lit(0), F.floor((c("at") - c("size")) / half) + 1)
+    last = F.least(F.floor(c("at") / half), F.floor((c("points") - c("size")) / half))
+    # Places past the last whole window are in none; sequence() would count down for them.
+    dealt = own.filter(first <= last).withColumn("part", F.explode(F.sequence(first, last))).withColumn("_i", c("at") - c("part") * half)
+    hann = c("x") * (0.5 - 0.5 * F.cos(2 * math.pi * c("_i") / c("size")))
+    dealt = dealt.select(KEY, "size", "part", "_i", hann.alias("_x"), F.explode(F.sequence(F.ceil(3 * c("size") / 80), F.floor(c("size") / 8))).alias("bin"))
+    turn = 2 * math.pi * ((c("_i") * c("bin")) % c("size")) / c("size")
+    sums = dealt.groupBy(KEY, "size", "part", "bin").agg(F.sum(c("_x") * F.cos(turn)).alias("_cos"), F.sum(c("_x") * F.sin(turn)).alias("_sin"))
+    return sums.groupBy(KEY, "size", "bin").agg(F.avg(c("_cos") * c("_cos") + c("_sin") * c("_sin")).alias("power"))
 
 
 def respiration_rate(beats: DataFrame) -> DataFrame:
     """D-23: breaths a minute from the strongest rhythm between 0.15 and 0.5 Hz of the intervals, resampled at 4 Hz (Welch's mean of
-    half-overlapping Hann windows); null under 120 beats or outside 6 to 40."""
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        rr = group.sort_values("beat")["rr_ms"].to_numpy(float) / 1000
-        rate = None
-        if len(rr) >= 120:
-            t = np.cumsum(rr)
-            x = _spline(t, rr, np.arange(t[0], t[-1], 0.25))
-            n = min(256, len(x) // 2)
-            if len(x) >= 64 and n >= 32:
-                x = x - x.mean()
-                window = np.hanning(n + 1)[:-1]
-                parts = [x[i : i + n] for i in range(0, len(x) - n + 1, n // 2)]
-                power = np.mean([np.abs(np.fft.rfft((p - p.mean()) * window)) ** 2 for p in parts], axis=0)
-                f = np.fft.rfftfreq(n, 0.25)
-                band = (f >= 0.15) & (f <= 0.5)
-                found = float(f[band][power[band].argmax()] * 60)
-                rate = found if 6 <= found <= 40 else None
-        return pd.DataFrame({KEY: [group[KEY].iloc[0]], "respiration_rate": [rate]})
-
-    return without_ectopic(beats).groupBy(KEY).applyInPandas(one, f"{KEY} long, respiration_rate double")
+    half-overlapping Hann windows; of equal bins the lowest); null under 120 beats or outside 6 to 40. A row for every activity with
+    plausible beats. An activity's beats meet by one shuffle, its sums by another."""
+    best = band_power(resampled_beats(beats)).groupBy(KEY).agg(F.max(F.struct("power", (-F.col("bin")).alias("lower"), "size")).alias("b"))
+    rate = best.select(KEY, (-F.col("b")["lower"] * 240 / F.col("b")["size"]).alias("respiration_rate")).filter("respiration_rate BETWEEN 6 AND 40")
+    return without_ectopic(beats).select(KEY).distinct().join(rate, KEY, "left")

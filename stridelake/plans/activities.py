@@ -337,9 +337,28 @@ def f_arr1(spark, d):
     return RR.flattened_beats(held).withColumn("rr_ms", F.round("rr_ms", 5))
 
 
-@query("d23_respiration_rate")
+#: The spline's equations (e0), reduced six times (e6), its values at 4 Hz, and sums of sine and cosine at the bins of the band.
+BREATH = """tt AS (SELECT activity_id, rr_ms / 1000 AS y, round(sum(rr_ms) OVER (PARTITION BY activity_id ORDER BY beat ROWS UNBOUNDED PRECEDING), 6) AS ms FROM ok),
+tn AS (SELECT activity_id, y, ms, ms / 1000 AS t, min(ms) OVER p AS f, CAST(ceil((max(ms) OVER p - min(ms) OVER p) / 250) AS BIGINT) AS points FROM tt WINDOW p AS (PARTITION BY activity_id) QUALIFY count(*) OVER p >= 120),
+hh AS (SELECT *, t - lag(t) OVER w AS h0, lead(t) OVER w - t AS h1, y - lag(y) OVER w AS y0, lead(y) OVER w - y AS y1 FROM tn WINDOW w AS (PARTITION BY activity_id ORDER BY t)),
+e0 AS (SELECT activity_id, f, points, ms, t, y, coalesce(h0 / (2 * (h0 + h1)), 0) AS a, coalesce(h1 / (2 * (h0 + h1)), 0) AS c, coalesce(3 * (y1 / h1 - y0 / h0) / (h0 + h1), 0) AS m FROM hh),
+""" + "".join(
+    f"""n{i} AS (SELECT *, {", ".join(f"{at}({x}, {2**i}, 0.0::DOUBLE) OVER w AS {x}{k}" for x in "acm" for k, at in enumerate(("lag", "lead")))} FROM e{i} WINDOW w AS (PARTITION BY activity_id ORDER BY t)),
+e{i + 1} AS (SELECT activity_id, f, points, ms, t, y, -a * a0 / (1 - a * c0 - c * a1) AS a, -c * c1 / (1 - a * c0 - c * a1) AS c, (m - a * m0 - c * m1) / (1 - a * c0 - c * a1) AS m FROM n{i}),
+""" for i in range(6)) + """iv AS (SELECT *, lead(ms) OVER w AS ms1, lead(t) OVER w - t AS h, lead(y) OVER w AS y1, lead(m) OVER w AS m1 FROM e6 WINDOW w AS (PARTITION BY activity_id ORDER BY t)),
+gr AS (SELECT *, unnest(range(CAST(ceil((ms - f) / 250) AS BIGINT), CAST(ceil((ms1 - f) / 250) AS BIGINT))) AS k FROM iv WHERE ms1 IS NOT NULL),
+uv AS (SELECT *, (ms1 - f) / 1000 - k / 4 AS u, k / 4 - (ms - f) / 1000 AS v FROM gr),
+sp AS (SELECT activity_id, points, k, least(256, points // 2) AS size, (m * pow(u, 3) + m1 * pow(v, 3)) / (6 * h) + (y / h - m * h / 6) * u + (y1 / h - m1 * h / 6) * v AS x FROM uv WHERE points >= 64),
+wn AS (SELECT activity_id, size, s, k - s * (size // 2) AS i, x FROM sp, LATERAL (SELECT unnest(range(0, (points - size) // (size // 2) + 1)) AS s) WHERE k >= s * (size // 2) AND k < s * (size // 2) + size),
+wm AS (SELECT *, (x - avg(x) OVER (PARTITION BY activity_id, s)) * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * i / size)) AS z FROM wn),
+bn AS (SELECT *, unnest(range((3 * size + 79) // 80, size // 8 + 1)) AS j FROM wm),
+pw AS (SELECT activity_id, size, j, pow(sum(z * cos(2 * pi() * i * j / size)), 2) + pow(sum(z * sin(2 * pi() * i * j / size)), 2) AS p FROM bn GROUP BY activity_id, size, s, j),
+br AS (SELECT activity_id, arg_max(j, p) * 240.0::DOUBLE / size AS rate FROM (SELECT activity_id, size, j, avg(p) AS p FROM pw GROUP BY ALL) GROUP BY activity_id, size)"""
+
+
+@query("d23_respiration_rate", sql(f"{_alpha().partition(chr(10))[0]} {BREATH} SELECT activity_id, round(rate, 6) AS respiration_rate FROM (SELECT DISTINCT activity_id FROM ok) LEFT JOIN br USING (activity_id)"))
 def d23(spark, d):
-    return RR.respiration_rate(beats(spark, d))
+    return RR.respiration_rate(beats(spark, d)).withColumn("respiration_rate", F.round("respiration_rate", 6))
 
 
 # --- pauses, summaries, marts -----------------------------------------------------------------------------------------------

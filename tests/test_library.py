@@ -225,6 +225,61 @@ def test_respiration(spark):
     assert got == pytest.approx(15, abs=1.5)
 
 
+def plain_respiration(rr_ms):
+    """D-23 with a dense solution of the spline and whole transforms."""
+    rr = [x for x in rr_ms if 273 <= x <= 2000]
+    y = np.array([x for i, x in enumerate(rr) if i == 0 or abs(x - rr[i - 1]) / rr[i - 1] <= 0.2]) / 1000
+    if len(y) < 120:
+        return None
+    t, n = np.cumsum(y), len(y)
+    h, slope = np.diff(t), np.diff(y) / np.diff(t)
+    system, right = np.eye(n), np.zeros(n)
+    for i in range(1, n - 1):
+        system[i, i - 1 : i + 2], right[i] = (h[i - 1], 2 * (h[i - 1] + h[i]), h[i]), 6 * (slope[i] - slope[i - 1])
+    m = np.linalg.solve(system, right)
+    at = np.arange(t[0], t[-1], 0.25)
+    k = np.clip(np.searchsorted(t, at) - 1, 0, n - 2)
+    a, b = t[k + 1] - at, at - t[k]
+    x = (m[k] * a**3 + m[k + 1] * b**3) / (6 * h[k]) + (y[k] / h[k] - m[k] * h[k] / 6) * a + (y[k + 1] / h[k] - m[k + 1] * h[k] / 6) * b
+    size = min(256, len(x) // 2)
+    if len(x) < 64 or size < 32:
+        return None
+    parts = [x[i : i + size] - x[i : i + size].mean() for i in range(0, len(x) - size + 1, size // 2)]
+    power = np.mean([np.abs(np.fft.rfft(p * np.hanning(size + 1)[:-1])) ** 2 for p in parts], axis=0)
+    f = np.fft.rfftfreq(size, 0.25)
+    band = (f >= 0.15) & (f <= 0.5)
+    return float(f[band][power[band].argmax()] * 60)
+
+
+def test_respiration_equals_the_plain_definition(spark):
+    rng = np.random.default_rng(5)
+    beats = {1: 119, 2: 120, 3: 121, 4: 300, 5: 900, 6: 2500, 7: 1}
+    # Fast hearts give the shortest windows, of 32 to 60 places; the last activity has no plausible beat.
+    series = {k: (330 if k in (2, 3) else 800) * (1 + 0.05 * np.sin(0.9 * np.arange(n)) + 0.04 * rng.standard_normal(n)) for k, n in beats.items()} | {8: np.array([100.0, 5000.0])}
+    rows = [(k, i, float(x)) for k, v in series.items() for i, x in enumerate(v)]
+    frame = spark.createDataFrame(rows, "activity_id long, beat long, rr_ms double").repartition(5)
+    got = {r.activity_id: r.respiration_rate for r in RR.respiration_rate(frame).collect()}
+    assert set(got) == set(series) - {8} and sum(x is not None for x in got.values()) >= 4
+    for k, rate in got.items():
+        want = plain_respiration(list(series[k]))
+        assert rate is None if want is None else rate == pytest.approx(want), k
+    assert not RR.respiration_rate(frame.limit(0)).count()
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 64, 400])
+def test_curvature_equals_a_dense_solution(spark, n):
+    rng = np.random.default_rng(n)
+    x, y = np.cumsum(rng.choice([0.01, 1.0, 50.0], n)), rng.standard_normal(n)
+    h = np.diff(x)
+    system, right = np.eye(n), np.zeros(n)
+    for i in range(1, n - 1):
+        system[i, i - 1 : i + 2], right[i] = (h[i - 1], 2 * (h[i - 1] + h[i]), h[i]), 6 * ((y[i + 1] - y[i]) / h[i] - (y[i] - y[i - 1]) / h[i - 1])
+    want = np.linalg.solve(system, right)
+    points = spark.createDataFrame([(1, float(a), float(b)) for a, b in zip(x, y, strict=True)], "k long, x double, y double")
+    got = [r.m for r in RR.with_curvature(points, ["k"], "x", "y", "m").orderBy("x").collect()]
+    assert got == pytest.approx(list(want), rel=1e-9, abs=1e-9 * float(np.abs(want).max() or 1))
+
+
 def test_upsert_and_unseen(spark):
     old, new = (spark.createDataFrame(x, "k long, v long") for x in ([(1, 1), (2, 2)], [(2, 5), (2, 7), (3, 9)]))
     assert sorted(map(tuple, T.upserted(old, new, ["k"]).collect())) == [(1, 1), (2, 7), (3, 9)]
