@@ -449,6 +449,17 @@ def d26_mart(spark, d):
     return out.select("activity_id", "sport", "critical_hr", *(F.round(c, n).alias(c) for c, n in rounded.items()), "cardiac_drift", "max_hr_drop", "durability", "aet_hr_proxy")
 
 
-@query("d26_activity_mart_with_beats")
+#: Every measure's own query, joined: all activities for what their summaries tell, eligible ones (ok) for what records and beats do.
+WITH_BEATS = f"""SELECT m.activity_id, m.sport, critical_hr, tati, vam, fat_kcal, carb_kcal, fat_g, fluid_l AS fluid_loss_l, epoc, recovery_h, climb_score, category AS climb_category, cardiac_drift, max_hr_drop, durability, threshold_hr AS aet_hr_proxy,
+  coalesce(b.aet_hr, threshold_hr::DOUBLE) AS aet_hr, b.ant_hr, CASE WHEN b.aet_hr IS NOT NULL THEN 'real' WHEN threshold_hr IS NOT NULL THEN 'proxy' WHEN seen OR b.activity_id IS NOT NULL THEN 'none' END AS dfa_quality, respiration_rate
+FROM (SELECT activity_id, sport, duration_minutes >= 20 AND regexp_matches(sport, 'cycl|bik|run|walk|hik|ski') AS ok FROM ({sql("SELECT * FROM activities")})) m""" + "".join(f" LEFT JOIN ({_sql_of(n)}) USING (activity_id)" for n in MART) + "".join(
+    f" LEFT JOIN ({_sql_of(n)}) {a} ON ok AND {a}.activity_id = m.activity_id" for a, n in [*((f"r{i}", n) for i, n in enumerate(_ROWS)), ("b", "d22_dfa_thresholds"), ("q", "d23_respiration_rate")]
+) + f" LEFT JOIN ({sql('SELECT DISTINCT activity_id, true AS seen FROM records')}) k ON ok AND k.activity_id = m.activity_id"
+
+
+@query("d26_activity_mart_with_beats", WITH_BEATS)
 def d26_beats(spark, d):
-    return A.activity_metrics(acts(spark, d), A.with_zones(recs(spark, d)), beats(spark, d))
+    out = A.activity_metrics(acts(spark, d), A.with_zones(recs(spark, d)), beats(spark, d))
+    rounded = {"tati": 6, "vam": 7, "fat_kcal": 6, "carb_kcal": 6, "fat_g": 6, "fluid_loss_l": 7, "recovery_h": 5, "aet_hr": 5, "ant_hr": 5, "respiration_rate": 6}
+    names = ("sport", "critical_hr", "epoc", "climb_score", "climb_category", "cardiac_drift", "max_hr_drop", "durability", "aet_hr_proxy", "dfa_quality")
+    return out.select("activity_id", *names, *(F.round(c, n).alias(c) for c, n in rounded.items()))
