@@ -530,6 +530,52 @@ def test_long_entities_and_clashing_columns(spark):
     assert got[8].text == texts[7][1] and got[2].text == texts[1][1]
 
 
+def test_what_is_found_and_what_is_not(spark):
+    """Mentions by hand; nothing else in a text changes."""
+    found = {
+        "call 555 223 4567 now": ["555 223 4567"],
+        "Dr. Alice Smith and Prof Petr Hora": ["Dr. Alice Smith", "Prof Petr Hora"],
+        "MR means Mr JOHN SMITH, Mr O'Brien's car, Ms McDonald, Mr J. K. Hill": ["Mr JOHN SMITH", "Mr O'Brien", "Ms McDonald", "Mr J. K. Hill"],
+        "pay GB82 WEST 1234 5698 7654 32 or DE89370400440532013000.": ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"],
+        "NO93 8601 1117 947": ["NO93 8601 1117 947"],
+        "host 10.1.2.3": ["10.1.2.3"],
+    }
+    clean = ["Mr President, Ms Office, Ms Windows, Sr Software Engineer, Mr Mr", "version v1.2.3.4", "rows 223 445 6677 88 and 100 200 3000", "IN20 YEARS THIS WORD LIST", "AB12 CDEF", "Drum Profile Dr", ""]
+    frame = spark.createDataFrame(list(enumerate([*found, *clean])), "doc_id long, text string")
+    from pyspark.sql import functions as F
+
+    got = [r.m for r in frame.select("doc_id", pii.mentions(F.col("text")).alias("m")).orderBy("doc_id").collect()]
+    assert got == [*found.values(), *([[]] * len(clean))]
+    out = [r.text for r in pii.pseudonymise(frame, "k").orderBy("doc_id").collect()]
+    assert out[len(found) :] == clean
+    for new, (old, mentioned) in zip(out, found.items(), strict=False):
+        kept = re.split("|".join(map(re.escape, mentioned)), old)
+        assert re.fullmatch("(.+)".join(map(re.escape, kept)), new) and not any(m in new for m in mentioned), (old, new)
+    assert re.search(r"Mr [A-Z]+ [A-Z]+,", out[2]) and re.fullmatch(r"NO\d\d \d{4} \d{4} \d{3}", out[4])
+
+
+def test_accounts_have_valid_check_digits(spark):
+    ibans = ["GB82WEST12345698765432", "DE89370400440532013000", "NO9386011117947", "FR1420041010050500013M02606", "MT84MALT011000012345MTLCAST001S"]
+    docs = [(i, f"{n}; {' '.join(n[k : k + 4] for k in range(0, len(n), 4))}") for i, n in enumerate(ibans)]
+    for r in pii.pseudonymise(spark.createDataFrame(docs, DOCS), "k").collect():
+        plain, spaced = r.text.split("; ")
+        old = ibans[r.doc_id]
+        assert plain == spaced.replace(" ", "") != old and plain[:2] == old[:2] and r.pii_mentions == 2
+        assert re.sub("[A-Z]", "A", re.sub(r"\d", "0", plain[4:])) == re.sub("[A-Z]", "A", re.sub(r"\d", "0", old[4:]))
+        assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def test_families_named_again(spark):
+    """A family named with a title gets its surrogate where it stands alone in that document, and there only."""
+    texts = [(1, "Novak spoke. Mrs Anna Novak's car; NOVAK, novak, Novakova and Novak's dog. Mr Li met Li."), (2, "Novak alone"), (3, "Dr Gor met Mr Novak: Novak and Gor.")]
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(texts, DOCS), "k").collect()}
+    a, b, c, d, e = re.fullmatch(r"(\w+) spoke\. Mrs \w+ (\w+)'s car; (\w+), novak, Novakova and (\w+)'s dog\. Mr (\w+) met Li\.", got[1].text).groups()
+    assert a == b == d and c == a.upper() and a != "Novak" and e != "Li" and got[1].pii_mentions == 2
+    assert got[2].text == "Novak alone"
+    gor, novak, n2, g2 = re.fullmatch(r"Dr (\w+) met Mr (\w+): (\w+) and (\w+)\.", got[3].text).groups()
+    assert novak == n2 == a and gor == g2 != "Gor"
+
+
 def test_short_phones_settle(spark):
     texts = [(i, f"+1 {a}{b} {c}{d} 12 34") for i, (a, b, c, d) in enumerate(np.ndindex(10, 10, 10, 10)) if i % 10 == 0]
     got = [r.text for r in pii.pseudonymise(spark.createDataFrame(texts, DOCS), "k").collect()]
