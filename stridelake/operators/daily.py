@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stridelake.functions import rolling as R
-from stridelake.functions.scalars import sport_matches
+from stridelake.functions.scalars import half_even, sport_matches
 from stridelake.profile import DEFAULT, Profile
 
 KEY, DAY = ["athlete_id"], ["date"]
@@ -99,7 +99,7 @@ def readiness(fitness: DataFrame, bio: DataFrame) -> DataFrame:
     legacy = R.scaled(F.col("tsb"), -30, 10)
     modern = 0.3 * F.coalesce("hrv_score", F.lit(50.0)) + 0.3 * F.col("sleep_score") + 0.4 * legacy
     score = F.when(F.col("sleep_score").isNotNull() & F.col("hrv").isNotNull(), modern).otherwise(legacy)
-    return days.withColumn("readiness", F.bround(R.clip(score, 0, 100), 1))
+    return days.withColumn("readiness", half_even(R.clip(score, 0, 100), 1))
 
 
 def pure_recovery(bio: DataFrame) -> DataFrame:
@@ -125,7 +125,7 @@ def polarisation(activities: DataFrame) -> DataFrame:
     dense = densify(sums, {"low": 0.0, "mid": 0.0, "high": 0.0})
     out = dense.withColumns({f"{c}14": R.rolling_sum(c, KEY, DAY, 14, 3) for c in ("low", "mid", "high")})
     total = F.nullif(F.col("low14") + F.col("mid14") + F.col("high14"), F.lit(0.0))
-    out = out.withColumns({f"{c}_pct": F.bround(F.col(f"{c}14") / total * 100, 1) for c in ("low", "mid", "high")})
+    out = out.withColumns({f"{c}_pct": half_even(F.col(f"{c}14") / total * 100, 1) for c in ("low", "mid", "high")})
     return out.withColumn("mix_efficiency", R.clip(F.col("low_pct") + F.col("high_pct") - F.greatest(F.lit(0.0), F.col("mid_pct") - 5), 0, 100))
 
 
