@@ -22,3 +22,7 @@ def test_shares_next_to_a_half_round_as_numpy_does(spark):
     acts = spark.createDataFrame(days, "athlete_id long, date date, z1 double, z2 double, z3 double, z4 double, z5 double")
     last = D.polarisation(acts).orderBy(F.desc("date")).first()
     assert 1279 / 2000 * 100 < 63.95 and last.low_pct == 64.0
+
+
+def test_signed_text_keeps_the_sign_of_what_rounds_to_zero(spark):
+    assert [one(spark, S.signed(F.lit(x))) for x in (-0.04, 0.04, -0.06, 2.25)] == ["-0.0", "+0.0", "-0.1", "+2.2"]
