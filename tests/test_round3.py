@@ -6,8 +6,10 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from stridelake.functions import rolling as R
 from stridelake.functions import scalars as S
 from stridelake.operators import daily as D
+from stridelake.operators import stops as ST
 
 DAY = dt.date(2024, 1, 1)
 
@@ -26,3 +28,34 @@ def test_shares_next_to_a_half_round_as_numpy_does(spark):
 
 def test_signed_text_keeps_the_sign_of_what_rounds_to_zero(spark):
     assert [one(spark, S.signed(F.lit(x))) for x in (-0.04, 0.04, -0.06, 2.25)] == ["-0.0", "+0.0", "-0.1", "+2.2"]
+
+
+def test_equal_intervals_are_one(spark):
+    rows = [(1, 0, 5), (1, 20, 30), (1, 20, 30), (1, 20, 30), (1, 33, 34), (2, 0, 1)]
+    got = R.merged_intervals(spark.createDataFrame(rows, "g long, a long, b long").repartition(3), ["g"], "a", "b", 2)
+    assert {tuple(r) for r in got.collect()} == {(1, 0, 5), (1, 20, 30), (1, 33, 34), (2, 0, 1)}
+
+
+def riding(t, speed, distance, altitude=0.0):
+    return {"t": t, "speed": speed, "distance": distance, "altitude": altitude}
+
+
+def records(spark, rows):
+    cols = "activity_id long, idx long, t long, hr double, speed double, distance double, altitude double, cadence double, power double, respiration double"
+    own = [(1, i, r["t"], 120.0, r["speed"], float(r["distance"]), r["altitude"], 80.0, 200.0, 20.0) for i, r in enumerate(rows, 1)]
+    return spark.createDataFrame(own, cols)
+
+
+def test_a_gap_between_two_slow_rows_is_one_stop_and_leaves_the_stop_before_alone(spark):
+    first = [riding(10 * i, 3.0, 30 * i) for i in range(5)] + [riding(100, 0.0, 150), riding(800, 0.0, 150)]
+    between = [riding(810 + 10 * i, 3.0, 200 + 30 * i) for i in range(200)]
+    second = [riding(3000, 0.0, 6500), riding(3700, 0.0, 6500)]
+    got = ST.detect_stops(records(spark, first + between + second + [riding(3710 + 10 * i, 3.0, 6600 + 30 * i) for i in range(5)]))
+    assert [(r.stop_id, r.start_t, r.end_t, r.duration_s) for r in got.orderBy("stop_id").collect()] == [(1, 100, 800, 700), (2, 3000, 3700, 700)]
+
+
+def test_gradient_next_to_a_half(spark):
+    rows = [riding(10 * i, 3.0, 30 * i) for i in range(30)] + [riding(300 + 10 * i, 0.0, 900) for i in range(80)]
+    rows += [riding(1100 + 10 * i, 3.0, 1000 + 100 * i, 10.35 if i > 4 else 0.0) for i in range(11)]
+    r = records(spark, rows)
+    assert ST.markers(r, ST.detect_stops(r)).first().gradient_pct == 1.03 and 10.35 / 1000 * 100 == 1.035
