@@ -242,22 +242,26 @@ _ENTRY = "array<struct<path:array<int>,key:string,json:string>>"
 
 def found_anywhere(json: Column, key: str, depth: int = 10) -> Column:
     """F-json1: the first value, in the order of the text, under a key whose name contains `key`, without case: in objects and lists
-    down to `depth` levels below the outermost. Objects and lists come as their JSON text."""
-    none = F.array().cast(_ENTRY)
+    down to `depth` levels below the outermost. Objects and lists come as their JSON text. Only what has `key` in its text, or an
+    escape that could spell it, is parsed."""
+    none, sought = F.array().cast(_ENTRY), key.lower()
+    # The lower case of other than ASCII letters may hang on what stands beside them, so that a part says nothing.
+    open_ = lambda j: F.lower(j).contains(sought) | j.contains("\\") if sought.isascii() else j.isNotNull()
+    hit = lambda e: F.coalesce(F.lower(e["key"]).contains(sought), F.lit(False))
 
     def below(e: Column) -> Column:
         member = lambda i, name, value: F.struct(F.concat(e["path"], F.array(i)).alias("path"), name.alias("key"), value.alias("json"))
         fields = F.transform(F.map_entries(F.from_json(e["json"], "map<string,string>")), lambda x, i: member(i, x["key"], x["value"]))
         items = F.transform(F.from_json(e["json"], "array<string>"), lambda x, i: member(i, F.lit(None).cast("string"), x))
         start = F.ltrim(e["json"])
-        return F.coalesce(F.when(start.startswith("{"), fields).when(start.startswith("["), items), none)
+        told = F.when(open_(e["json"]) & start.startswith("{"), fields).when(open_(e["json"]) & start.startswith("["), items)
+        return F.filter(F.coalesce(told, none), lambda m: hit(m) | open_(m["json"]))
 
     root = F.array(F.struct(F.array().cast("array<int>").alias("path"), F.lit(None).cast("string").alias("key"), json.alias("json"))).cast(_ENTRY)
     state = F.struct(none.alias("seen"), root.alias("level"))
-    step = lambda a, _: F.struct(F.concat(a["seen"], a["level"]).alias("seen"), F.flatten(F.transform(a["level"], below)).alias("level"))
-    every = F.aggregate(F.sequence(F.lit(0), F.lit(depth)), state, step, lambda a: F.concat(a["seen"], a["level"]))
-    hits = F.filter(every, lambda e: F.lower(e["key"]).contains(key.lower()))
-    return F.array_min(F.transform(hits, lambda e: F.struct(e["path"], e["json"])))["json"]
+    step = lambda a, _: F.struct(F.concat(a["seen"], F.filter(a["level"], hit)).alias("seen"), F.flatten(F.transform(a["level"], below)).alias("level"))
+    hits = F.aggregate(F.sequence(F.lit(0), F.lit(depth)), state, step, lambda a: F.concat(a["seen"], F.filter(a["level"], hit)))
+    return F.when(open_(json), F.array_min(F.transform(hits, lambda e: F.struct(e["path"], e["json"])))["json"])
 
 
 # --- files and duplicate sessions -------------------------------------------------------------------------------------------

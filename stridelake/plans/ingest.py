@@ -137,8 +137,10 @@ def f_json1(spark, d):
     items = F.array(F.struct(F.lit(1).alias("x"), F.when(F.lit(False), generic).alias("generic")), F.struct(F.lit(None).cast("int").alias("x"), generic.alias("generic")))
     body = F.struct(items.alias("list"), F.lit(99).alias("vo2max"))
     j = F.to_json(F.struct(body.alias("body"), F.struct(F.col("event_type").alias("theStatus"), F.lit("later").alias("status")).alias("meta"), deep.alias("chain"), F.struct(F.struct(deep.alias("n")).alias("n")).alias("too")))
-    far = G.found_anywhere(j, "far_off")
-    return events(spark, d).select("event_id", G.found_anywhere(j, "vo2max").alias("vo2"), G.found_anywhere(j, "STATUS").alias("status_any"), far.alias("deep"), G.found_anywhere(j, "nowhere").alias("missing"))
+    # The rows are few for their cost, a small file one task: they are dealt over all cores.
+    told = events(spark, d).select("event_id", "event_type").repartition(8 * spark.sparkContext.defaultParallelism).select("event_id", j.alias("j"))
+    names = {"vo2": "vo2max", "status_any": "STATUS", "deep": "far_off", "missing": "nowhere"}
+    return told.select("event_id", *(G.found_anywhere(F.col("j"), key).alias(n) for n, key in names.items()))
 
 
 VO2 = "v AS (SELECT user_id % 25 AS athlete_id, CAST(ts AS DATE) AS date, CASE k % 5 WHEN 0 THEN 40 + k % 7 WHEN 1 THEN 50 + k % 7 WHEN 2 THEN 60 WHEN 3 THEN 33 END::DOUBLE AS vo2_max FROM (SELECT *, event_id AS k FROM events))"

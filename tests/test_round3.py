@@ -6,9 +6,11 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from stridelake.functions import rolling as R
 from stridelake.functions import scalars as S
 from stridelake.operators import daily as D
+from stridelake.operators import ingest as I
 from stridelake.operators import stops as ST
 
 DAY = dt.date(2024, 1, 1)
@@ -59,3 +61,15 @@ def test_gradient_next_to_a_half(spark):
     rows += [riding(1100 + 10 * i, 3.0, 1000 + 100 * i, 10.35 if i > 4 else 0.0) for i in range(11)]
     r = records(spark, rows)
     assert ST.markers(r, ST.detect_stops(r)).first().gradient_pct == 1.03 and 10.35 / 1000 * 100 == 1.035
+
+
+def test_search_parses_only_what_may_hold_the_key(spark):
+    found = lambda text, key: one(spark, I.found_anywhere(F.lit(text), key))
+    assert found('{"a": {"b": "x"}, "\\u0046ar": 1}', "far") == "1"  # a name spelt with an escape
+    assert found('{"a": "far", "b": {"c": [{"xFARx": {"far": 2}}]}}', "Far") == '{"far":2}'
+    assert found('{"a": "far"}', "far") is None
+
+
+def test_costly_rows_of_a_small_file_are_dealt_over_all_cores(spark):
+    out = entry.queries()["f_json1_recursive_search"](spark, entry.SMOKE)
+    assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
