@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from stridelake.functions import rolling as R
 from stridelake.functions import scalars as S
+from stridelake.operators import activity as A
 from stridelake.operators import daily as D
 from stridelake.operators import ingest as I
 from stridelake.operators import stops as ST
+from stridelake.sources import tables as T
+from stridelake.sources.fixtures import view
 
 DAY = dt.date(2024, 1, 1)
 
@@ -73,3 +76,15 @@ def test_search_parses_only_what_may_hold_the_key(spark):
 def test_costly_rows_of_a_small_file_are_dealt_over_all_cores(spark):
     out = entry.queries()["f_json1_recursive_search"](spark, entry.SMOKE)
     assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_records_lie_in_partitions_by_their_number(spark):
+    rows = spark.range(1000).selectExpr("id % 50 AS k", "id AS v")
+    assert T.dealt(rows, "k", rows=10).rdd.getNumPartitions() == 101
+    # Both the view and what is united with it keep a number that shuffle settings and coalescing do not touch.
+    r = view(spark, entry.SMOKE, "records")
+    assert r.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+    told = ST.sides(r, ST.detect_stops(r))
+    assert told.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+    paused = spark.createDataFrame([(1, 0, 5)], "activity_id long, start_t long, end_t long")
+    assert A.with_pauses(r, paused).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
