@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -88,3 +90,27 @@ def test_records_lie_in_partitions_by_their_number(spark):
     assert told.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
     paused = spark.createDataFrame([(1, 0, 5)], "activity_id long, start_t long, end_t long")
     assert A.with_pauses(r, paused).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+
+
+def test_sides_of_stops_get_smaller_tasks(spark):
+    out = entry.queries()["d44_drift_and_drop"](spark, entry.SMOKE.replace("sf0.001", "sf0.1"))
+    dealt = [int(x) for x in re.findall(r"hashpartitioning\(l_suppkey#\d+L?, (\d+)\)", out._jdf.queryExecution().executedPlan().toString())]
+    assert dealt and min(dealt) >= 30
+
+
+def test_drops_of_sides_are_those_of_their_rows(spark):
+    rng = random.Random(3)
+    rows, stops = [], []
+    for a in range(6):
+        t = 0
+        for i in range(rng.choice([30, 250, 400])):
+            t += rng.choice([1, 2, 5, 30, 31, 45])
+            rows.append((a, i, t, None if rng.random() < 0.2 or (a == 5 and i < 150) else float(rng.randrange(100, 180))))
+        at = sorted(rng.sample(range(-5, t + 50), 6))
+        stops += [(a, k, at[2 * k], at[2 * k + 1]) for k in range(3)]
+    r = spark.createDataFrame(rows, "activity_id long, idx long, t long, hr double")
+    s = spark.createDataFrame(stops, "activity_id long, stop_id long, start_t long, end_t long")
+    key = ("activity_id", "stop_id", "side")
+    want = {tuple(x) for x in A.max_hr_drop(ST.sides(r, s), key=key).collect()}
+    got = [tuple(x) for x in A.max_hr_drop_of_sides(r, s).collect()]
+    assert len(got) == len(want) and set(got) == want and sum(x[3] is not None for x in got) > 10
