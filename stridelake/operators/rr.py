@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,36 +70,78 @@ def first_crossing(xs: Column, ys: Column, limit: float) -> Column:
     return F.when(F.size(ys) > 1, F.get(F.transform(falls, between), F.lit(0)))
 
 
-def dfa_alpha1(walks: DataFrame, key: list[str], width: int, sizes: range = range(4, 17)) -> DataFrame:
-    """key, alpha: short-term scaling exponents of walks (key, pos from 0 to width - 1, y: running sums of deviations): slopes of log
-    fluctuation over log box size, each box detrended by a line (Peng et al., 1994). Sizes without any fluctuation do not count;
-    no row where fewer than two are left. A place is in one box of each size; all sums are closed forms of a line's regression."""
-    size = F.explode(F.array(*map(F.lit, sizes))).alias("size")
-    dealt = walks.select(*key, "pos", "y", size).filter(F.col("pos") < F.floor(F.lit(width) / F.col("size")) * F.col("size"))
-    box = F.floor(F.col("pos") / F.col("size")).alias("box")
-    rest = F.count("*") * (F.var_pop("y") - F.pow(F.covar_pop("y", "pos"), F.lit(2)) / F.var_pop("pos"))
-    boxes = dealt.groupBy(*key, "size", box).agg(rest.alias("rest"), F.count("*").alias("n"))
-    level = boxes.groupBy(*key, "size").agg((F.sum("rest") / F.sum("n")).alias("f2")).filter("f2 > 0")
-    slope = F.regr_slope(F.ln("f2") / 2, F.ln(F.col("size").cast("double")))
-    return level.groupBy(*key).agg(slope.alias("alpha"), F.count("*").alias("_sizes")).filter("_sizes > 1").drop("_sizes")
+def scaling_exponents(walks: np.ndarray, sizes: range = range(4, 17)) -> np.ndarray:
+    """Short-term scaling exponent of each row (a walk: running sums of deviations): the slope of log fluctuation over log box size,
+    each box detrended by a line (Peng et al., 1994). Sizes without any fluctuation do not count; nan where fewer than two are left."""
+    level = np.zeros((len(walks), len(sizes)))
+    for i, size in enumerate(sizes):
+        boxes = walks.shape[1] // size
+        if not boxes:
+            continue
+        y = walks[:, : boxes * size].reshape(-1, boxes, size)
+        y = y - y.mean(axis=2, keepdims=True)
+        x = np.arange(size) - (size - 1) / 2
+        rest = np.einsum("wbs,wbs->w", y, y) - (np.einsum("wbs,s->wb", y, x) ** 2).sum(axis=1) / np.einsum("s,s", x, x)
+        level[:, i] = rest / (boxes * size)
+    used = level > 0
+    n = used.sum(axis=1)
+    x = used * np.log(np.array(sizes))
+    y = np.log(np.where(used, level, 1.0)) / 2
+    with np.errstate(all="ignore"):
+        x = np.where(used, x - (x.sum(axis=1) / n)[:, None], 0.0)
+        return np.where(n > 1, (x * y).sum(axis=1) / (x * x).sum(axis=1), np.nan)
+
+
+def _alpha(y: pd.Series) -> pd.Series:
+    """scaling_exponents() of walks of any lengths."""
+    return y.map(lambda walk: scaling_exponents(walk[None, :])[0])
+
+
+def _window_measures(rr: pd.Series) -> pd.DataFrame:
+    """Mean, variation (population) and alpha of windows of beats, all of one width; null for null."""
+    out = pd.DataFrame(index=rr.index, columns=["mean", "cv", "alpha"], dtype=float)
+    known = rr.notna()
+    if known.any():
+        x = np.stack(rr[known])
+        mean = x.mean(axis=1)
+        out.loc[known] = np.column_stack([mean, x.std(axis=1) / mean, scaling_exponents(np.cumsum(x - mean[:, None], axis=1))])
+    return out
+
+
+def dfa_alpha1(walks: DataFrame, key: list[str], width: int) -> DataFrame:
+    """key, alpha: scaling_exponents() of walks (key, pos from 0 to width - 1, y: running sums of deviations). No row where there is none."""
+    whole = walks.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("pos", "y"))).alias("x")).filter(F.size("x") == width)
+    return whole.select(*key, F.pandas_udf(_alpha, "double")(F.transform("x", lambda p: p["y"])).alias("alpha")).filter("alpha IS NOT NULL")
+
+
+def _measured_windows(beats: DataFrame, width: int = 200, step: int = 30) -> DataFrame:
+    """activity_id, win, mean, cv and alpha of all windows of `width` plausible beats every `step` beats, in one pass over beats; a row of
+    nulls for activities of fewer. Beats meet as an array of their activity, of which windows are slices: what a window costs does not
+    grow with the activity, and the exponents of many windows are worked out at once."""
+    whole = without_ectopic(beats).groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("beat", "rr_ms"))).alias("x")).select(KEY, F.transform("x", lambda b: b["rr_ms"].cast("double")).alias("rr"))
+    last = F.floor((F.size("rr") - width) / step).cast("int")
+    windows = F.when(F.size("rr") >= width, F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), last)), lambda i: F.slice("rr", i * step + 1, F.lit(width))))
+    dealt = whole.select(KEY, F.posexplode_outer(windows).alias("win", "rr")).withColumn("m", F.pandas_udf(_window_measures, "struct<mean double, cv double, alpha double>")("rr"))
+    return dealt.select(KEY, F.col("win").cast("long").alias("win"), "m.*")
+
+
+def _plausible(windows: DataFrame) -> Column:
+    return F.coalesce((F.col("cv") <= 0.25) & (F.col("alpha") > 0) & (F.col("alpha") < 2), F.lit(False))
 
 
 def alpha_windows(beats: DataFrame, width: int = 200, step: int = 30) -> DataFrame:
     """Windows of `width` plausible beats every `step` beats with at most a quarter of variation, and alpha between 0 and 2:
-    activity_id, win, hr (mean), alpha. An activity's beats meet by one shuffle; windows and boxes are groups within."""
-    numbered = without_ectopic(beats).withColumns({"_i": F.row_number().over(_order()) - 1, "_n": F.count("*").over(Window.partitionBy(KEY))})
-    first = F.greatest(F.lit(0), F.ceil((F.col("_i") - (width - 1)) / step)).cast("long")
-    dealt = numbered.withColumn("win", F.explode(F.sequence(first, F.floor(F.col("_i") / step).cast("long")))).filter(F.col("win") * step <= F.col("_n") - width)
-    whole = Window.partitionBy(KEY, "win")
-    dealt = dealt.withColumns({"mean": F.avg("rr_ms").over(whole), "_sd": F.stddev_pop("rr_ms").over(whole)}).filter(F.col("_sd") / F.col("mean") <= 0.25)
-    run = F.sum(F.col("rr_ms") - F.col("mean")).over(whole.orderBy("_i").rowsBetween(Window.unboundedPreceding, 0))
-    walks = dealt.select(KEY, "win", "mean", (F.col("_i") - F.col("win") * step).alias("pos"), run.alias("y"))
-    return dfa_alpha1(walks, [KEY, "win", "mean"], width).select(KEY, "win", (60000 / F.col("mean")).alias("hr"), "alpha").filter("alpha > 0 AND alpha < 2")
+    activity_id, win, hr (mean), alpha. An activity's beats meet by one shuffle."""
+    windows = _measured_windows(beats, width, step)
+    return windows.filter(_plausible(windows)).select(KEY, "win", (60000 / F.col("mean")).alias("hr"), "alpha")
 
 
 def alpha_curves(beats: DataFrame) -> DataFrame:
-    """activity_id, windows (how many), and for ten windows and more the arrays hr and alpha, by heart rate, alpha smoothed."""
-    g = alpha_windows(beats).groupBy(KEY).agg(F.count("*").alias("windows"), F.array_sort(F.collect_list(F.struct("hr", "alpha"))).alias("x"))
+    """activity_id, windows (how many), and for ten windows and more the arrays hr and alpha, by heart rate, alpha smoothed. A row
+    for every activity with plausible beats."""
+    windows = _measured_windows(beats).withColumn("hr", 60000 / F.col("mean"))
+    good = F.when(_plausible(windows), F.struct("hr", "alpha"))
+    g = windows.groupBy(KEY).agg(F.count(good).alias("windows"), F.array_sort(F.collect_list(good)).alias("x"))
     size = F.least(F.lit(5), F.greatest(F.lit(3), F.floor(F.col("windows") / 3))).cast("int")
     alpha = smoothed(F.transform("x", lambda x: x["alpha"]), size)
     enough = F.col("windows") >= 10
@@ -110,13 +152,12 @@ def dfa_thresholds(beats: DataFrame, profile: Profile = DEFAULT, aerobic: float
     """D-22: heart rates at which alpha1 of beat windows falls through both limits; null where there are too few beats or pairs.
     quality: real where the aerobic one was found, else none. A row for every activity with plausible beats."""
     cap = 0.8 * profile.max_hr
-    every = without_ectopic(beats).select(KEY).distinct()
     found = alpha_curves(beats).select(KEY, "windows", *(first_crossing(F.col("hr"), F.col("alpha"), limit).alias(n) for n, limit in (("aet", aerobic), ("ant", anaerobic))))
     aet = F.when(F.col("aet").between(100, cap), F.col("aet"))
-    out = every.join(found, KEY, "left").withColumn("aet_hr", aet)
+    out = found.withColumn("aet_hr", aet)
     ant = F.when((F.col("ant") >= 100) & (F.col("aet_hr").isNull() | (F.col("ant") > F.col("aet_hr"))), F.col("ant"))
     quality = F.when(F.col("aet_hr").isNotNull(), "real").otherwise("none")
-    return out.select(KEY, "aet_hr", ant.alias("ant_hr"), F.coalesce("windows", F.lit(0)).alias("windows"), quality.alias("quality"))
+    return out.select(KEY, "aet_hr", ant.alias("ant_hr"), "windows", quality.alias("quality"))
 
 
 def aerobic_thresholds(beats: DataFrame, records: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
@@ -178,30 +219,38 @@ def resampled_beats(beats: DataFrame, least: int = 120) -> DataFrame:
     return placed.select(KEY, "points", "at", x.alias("x"))
 
 
+def _powers(x: pd.Series) -> pd.Series:
+    """Welch's mean power of each array at the bins from 0.15 to 0.5 Hz; see band_power()."""
+
+    def power(x: np.ndarray) -> np.ndarray:
+        size = min(256, len(x) // 2)
+        parts = np.lib.stride_tricks.sliding_window_view(x, size)[:: size // 2]
+        hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
+        return (np.abs(np.fft.rfft(parts * hann, axis=1)[:, -(-3 * size // 80) : size // 8 + 1]) ** 2).mean(axis=0)
+
+    return x.map(power)
+
+
 def band_power(samples: DataFrame) -> DataFrame:
     """Welch's mean power of resampled_beats() at the bins from 0.15 to 0.5 Hz: activity_id, size (places of a window), bin, power.
     Hann windows overlap by half and have 256 places, or half the points where there are fewer than 512; under 64 points there are none.
 
-    Sums of sine and cosine at these few bins replace a whole transform; they are added map-side. Taking a window's mean away first would
-    change nothing: a Hann window has no share in bins over 1, and the lowest here is 2."""
-    c = F.col
-    own = samples.filter("points >= 64").withColumn("size", F.least(F.lit(256), F.floor(c("points") / 2)))
-    half = F.floor(c("size") / 2)
-    first = F.greatest(F.lit(0), F.floor((c("at") - c("size")) / half) + 1)
-    last = F.least(F.floor(c("at") / half), F.floor((c("points") - c("size")) / half))
-    # Places past the last whole window are in none; sequence() would count down for them.
-    dealt = own.filter(first <= last).withColumn("part", F.explode(F.sequence(first, last))).withColumn("_i", c("at") - c("part") * half)
-    hann = c("x") * (0.5 - 0.5 * F.cos(2 * math.pi * c("_i") / c("size")))
-    dealt = dealt.select(KEY, "size", "part", "_i", hann.alias("_x"), F.explode(F.sequence(F.ceil(3 * c("size") / 80), F.floor(c("size") / 8))).alias("bin"))
-    turn = 2 * math.pi * ((c("_i") * c("bin")) % c("size")) / c("size")
-    sums = dealt.groupBy(KEY, "size", "part", "bin").agg(F.sum(c("_x") * F.cos(turn)).alias("_cos"), F.sum(c("_x") * F.sin(turn)).alias("_sin"))
-    return sums.groupBy(KEY, "size", "bin").agg(F.avg(c("_cos") * c("_cos") + c("_sin") * c("_sin")).alias("power"))
+    An activity's points meet as an array, of which a row for each bin is left. Taking a window's mean away first would change
+    nothing: a Hann window has no share in bins over 1, and the lowest here is 2."""
+    whole = samples.filter("points >= 64").groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("x")).select(KEY, F.transform("x", lambda p: p["x"]).alias("x"))
+    size = F.least(F.lit(256), F.floor(F.size("x") / 2))
+    bins = whole.select(KEY, size.alias("size"), F.posexplode(F.pandas_udf(_powers, "array<double>")("x")).alias("_i", "power"))
+    return bins.select(KEY, "size", (F.ceil(3 * F.col("size") / 80) + F.col("_i")).alias("bin"), "power")
+
+
+def breaths(beats: DataFrame) -> DataFrame:
+    """D-23 of the activities that have one: activity_id, respiration_rate, in one pass over beats."""
+    best = band_power(resampled_beats(beats)).groupBy(KEY).agg(F.max(F.struct("power", (-F.col("bin")).alias("lower"), "size")).alias("b"))
+    return best.select(KEY, (-F.col("b")["lower"] * 240 / F.col("b")["size"]).alias("respiration_rate")).filter("respiration_rate BETWEEN 6 AND 40")
 
 
 def respiration_rate(beats: DataFrame) -> DataFrame:
     """D-23: breaths a minute from the strongest rhythm between 0.15 and 0.5 Hz of the intervals, resampled at 4 Hz (Welch's mean of
     half-overlapping Hann windows; of equal bins the lowest); null under 120 beats or outside 6 to 40. A row for every activity with
-    plausible beats. An activity's beats meet by one shuffle, its sums by another."""
-    best = band_power(resampled_beats(beats)).groupBy(KEY).agg(F.max(F.struct("power", (-F.col("bin")).alias("lower"), "size")).alias("b"))
-    rate = best.select(KEY, (-F.col("b")["lower"] * 240 / F.col("b")["size"]).alias("respiration_rate")).filter("respiration_rate BETWEEN 6 AND 40")
-    return without_ectopic(beats).select(KEY).distinct().join(rate, KEY, "left")
+    plausible beats. An activity's beats meet by one shuffle."""
+    return without_ectopic(beats).select(KEY).distinct().join(breaths(beats), KEY, "left")
