@@ -78,46 +78,36 @@ def fitness(events: DataFrame, ctl_days: float = 42, atl_days: float = 7) -> Dat
     return events.groupBy("user_id").applyInPandasWithState(step, FITNESS, "ctl double, atl double, last long", "append", GroupStateTimeout.NoTimeout)
 
 
-DAY_MS = 86_400_000
+#: Athletes (by neighbouring ids) whose averages lie in one group of state.
+GROUP_USERS = 100
 
 
 class _ClosedDays(StatefulProcessor):
-    """Sums of open days by day, and the averages up to the last closed one; a timer at a day's end closes it."""
+    """Averages of a group of athletes up to the last closed day of each, as one list, which a batch's closed days read and write once."""
 
     def __init__(self, ctl_days: float, atl_days: float) -> None:
         self.ctl_days, self.atl_days = ctl_days, atl_days
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getMapState("open", "day long", "load double")
-        self.last = handle.getValueState("last", "ctl double, atl double, day long")
+        self.known = handle.getListState("known", "user_id long, ctl double, atl double, day long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            for day, load in frame.groupby("day")["load"].sum().items():
-                place = (int(day),)
-                if not self.open.containsKey(place):
-                    self.handle.registerTimer((int(day) + 1) * DAY_MS)
-                    self.open.updateValue(place, (float(load),))
-                else:
-                    self.open.updateValue(place, (self.open.getValue(place)[0] + float(load),))
-        yield pd.DataFrame(columns=["user_id", "date", "ctl", "atl", "tsb"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        day = expiredTimerInfo.getExpiryTimeInMs() // DAY_MS - 1
-        load = self.open.getValue((day,))[0]
-        self.open.removeKey((day,))
-        before = None
-        if self.last.exists():
-            ctl, atl, last = self.last.get()
-            idle = max(0, day - last - 1)
-            before, atl = ctl * (1 - 1 / self.ctl_days) ** idle, atl * (1 - 1 / self.atl_days) ** idle
-            ctl, atl = before + (load - before) / self.ctl_days, atl + (load - atl) / self.atl_days
-        else:
-            ctl = atl = load
-        self.last.update((ctl, atl, day))
-        date = dt.date(1970, 1, 1) + dt.timedelta(days=day)
-        yield pd.DataFrame([(key[0], date, ctl, atl, None if before is None else before - atl)], columns=["user_id", "date", "ctl", "atl", "tsb"])
+        last = {user: (ctl, atl, day) for user, ctl, atl, day in self.known.get()}
+        days = pd.concat(list(rows)).sort_values(["user_id", "day"])
+        out = []
+        for user, day, load in zip(days["user_id"].tolist(), days["day"].tolist(), days["load"].tolist(), strict=True):
+            before = None
+            if user in last:
+                ctl, atl, then = last[user]
+                idle = max(0, day - then - 1)
+                before, atl = ctl * (1 - 1 / self.ctl_days) ** idle, atl * (1 - 1 / self.atl_days) ** idle
+                ctl, atl = before + (load - before) / self.ctl_days, atl + (load - atl) / self.atl_days
+            else:
+                ctl = atl = load
+            last[user] = (ctl, atl, day)
+            out.append((user, dt.date(1970, 1, 1) + dt.timedelta(days=day), ctl, atl, None if before is None else before - atl))
+        self.known.put([(user, *x) for user, x in last.items()])
+        yield pd.DataFrame(out, columns=["user_id", "date", "ctl", "atl", "tsb"])
 
     def close(self) -> None:
         pass
@@ -125,10 +115,12 @@ class _ClosedDays(StatefulProcessor):
 
 def closed_fitness(events: DataFrame, delay: str = "3 days", ctl_days: float = 42, atl_days: float = 7) -> DataFrame:
     """ST4 over single rows (user_id, ts, load): a day adds up in state over as many batches and runs as its rows take, and is closed
-    by an event-time timer once the watermark has passed its end (UTC); its averages then follow from those of the day closed before.
-    Rows later than the delay are dropped. Needs the state store RocksDB (see rocks())."""
-    rows = events.withWatermark("ts", delay).withColumn("day", F.floor(F.unix_seconds("ts") / 86400))
-    return rows.groupBy("user_id").transformWithStateInPandas(_ClosedDays(ctl_days, atl_days), FITNESS, "Append", "EventTime")
+    once the watermark has passed its end (UTC); its averages then follow from those of the day closed before. Rows of closed days
+    are dropped. Days add up in a streaming aggregation; only what it closes goes on to Python, some athletes at a time, so that
+    state is asked once for a group and not some times for each day. Needs the state store RocksDB (see rocks())."""
+    days = events.withWatermark("ts", delay).groupBy(F.window("ts", "1 day"), "user_id").agg(F.sum("load").alias("load"))
+    rows = days.select("user_id", F.floor(F.unix_seconds("window.start") / 86400).alias("day"), F.coalesce("load", F.lit(0.0)).alias("load"), F.floor(F.col("user_id") / GROUP_USERS).alias("group"))
+    return rows.groupBy("group").transformWithStateInPandas(_ClosedDays(ctl_days, atl_days), FITNESS, "Append", "None")
 
 
 def rocks(spark: SparkSession) -> None:
